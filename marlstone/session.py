@@ -29,14 +29,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+_scratch: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where the cluster names none."""
+    """The folder that all executors share; a temporary one only where the session names none."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    scratch = tempfile.mkdtemp(prefix="marlstone-")
-    spark.conf.set("spark.checkpoint.dir", scratch)
-    return scratch
+    if not _scratch:
+        _scratch.append(tempfile.mkdtemp(prefix="marlstone-"))
+    return _scratch[0]
 
 
 def durable(df: DataFrame) -> DataFrame:
