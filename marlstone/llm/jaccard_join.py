@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from marlstone.llm import textkernel as tk
 from marlstone.llm.components import connected_components
-from marlstone.session import durable
+from marlstone.session import bound_batches, durable
 
 U64 = np.uint64
 _STEP = [U64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
@@ -291,6 +291,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     pivot_rounds: rounds of pivots before what is still apart is compared in full.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     described = durable(base.mapInArrow(_describe(width), "doc_id long, n_shingles long, set_key long"))
     member = described.where("n_shingles > 0 AND doc_id IS NOT NULL")

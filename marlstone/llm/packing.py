@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm import textkernel as tk
+from marlstone.session import bound_batches
 
 U64 = np.uint64
 _CACHE_SLOTS = 1 << 20
@@ -390,5 +391,6 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, id_col: str = "doc_
         packer.flush()
         yield packer.take(_SCHEMA)
 
+    bound_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return base.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from marlstone.llm import textkernel as tk
 from marlstone.llm.labelled import fold, training_rows
-from marlstone.session import durable
+from marlstone.session import bound_batches, durable
 
 EXACT, FUZZY, STEM = 1, 2, 3
 _WINDOW = 20
@@ -389,6 +389,7 @@ def score(docs: DataFrame, model: Model, extra: tuple[str, ...] = ()) -> DataFra
 
 def score_documents(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> DataFrame:
     """doc_id, held_out, score and predicted (score >= 0.5) of every document."""
+    bound_batches(docs.sparkSession)
     scored = score(docs, fit(docs, labels, 0, max_rows))
     held = F.coalesce(fold() == 0, F.lit(False))
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
