@@ -51,3 +51,8 @@ def durable(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/marlstone-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def bound_batches(spark: SparkSession, size: str = "16m") -> None:
+    """Bound the bytes of an Arrow batch, so that wide rows do not fill a Python worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
