@@ -7,6 +7,7 @@ of the component's size. Edges never reach the driver; only a count and a checks
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,3 +40,21 @@ def connected_components(edges: DataFrame) -> DataFrame:
             break
         before = after
     return now.select(F.col("v").alias("node"), F.col("m").alias("root"))
+
+
+def forest(r: np.ndarray, c: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (node, root) that connect what the links left[r] - right[c] connect."""
+    nodes, back = np.unique(np.concatenate([left[r], right[c]]), return_inverse=True)
+    a, b = back[: len(r)], back[len(r) :]
+    lab = np.arange(len(nodes))
+    while True:
+        low = np.minimum(lab[a], lab[b])
+        new = lab.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        new = new[new]
+        if (new == lab).all():
+            break
+        lab = new
+    away = lab != np.arange(len(nodes))
+    return nodes[away], nodes[lab[away]]

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.components import connected_components
+from marlstone.llm.components import connected_components, forest
 from marlstone.llm.topk import vectors
 from marlstone.session import bound_batches, durable
 
@@ -187,24 +187,6 @@ def _as_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["label", "dim", "cell", "keys", "mults", "cells"])
 
 
-def forest(r: np.ndarray, c: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (node, root) that connect what the links left[r] - right[c] connect."""
-    nodes, back = np.unique(np.concatenate([left[r], right[c]]), return_inverse=True)
-    a, b = back[: len(r)], back[len(r) :]
-    lab = np.arange(len(nodes))
-    while True:
-        low = np.minimum(lab[a], lab[b])
-        new = lab.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        new = new[new]
-        if (new == lab).all():
-            break
-        lab = new
-    away = lab != np.arange(len(nodes))
-    return nodes[away], nodes[lab[away]]
-
-
 def _verify(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

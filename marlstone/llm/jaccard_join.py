@@ -12,10 +12,11 @@ A document's set holds its distinct shingles of ``width`` words. Two sets link w
   on the whole content of one block. Only near copies share whole blocks.
 * The boundary is the one with the lowest cost over the histogram of set sizes.
 
-Sets that are equal are one class from the start. In a list of classes, all are first compared
-with one pivot; classes already in one component need no more comparisons, and what lies in
-different components is then compared in full. No list is expanded into all its pairs, none is
-capped, and no link between components is lost.
+Sets that are equal are one class from the start. Classes that lists connect form a cluster;
+clusters are packed in blocks of whole sets, and every two sets of a block are verified by a
+product of their incidence vectors over the shingles that they share. A cluster of several blocks
+is compared with its first block, and then block by block wherever sets are still in different
+components. Pairs never become rows, no list is capped, and no link between components is lost.
 
 Sets are compared as 64-bit hashes of shingles, and a class is known by a 64-bit hash of its set.
 
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm import textkernel as tk
-from marlstone.llm.components import connected_components
+from marlstone.llm.components import connected_components, forest
 from marlstone.session import bound_batches, durable
 
 U64 = np.uint64
@@ -268,28 +269,170 @@ def _packed(keys: list, sets: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets)))], ["set_key", "shingles"])
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b), those that link, by the intersection of their whole sets."""
-    left = sets.select(F.col("set_key").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("set_key").alias("b"), F.col("shingles").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    sizes = F.size("sa") + F.size("sb")
-    near = 100 * F.least(F.size("sa"), F.size("sb")) >= percent * F.greatest(F.size("sa"), F.size("sb"))
-    return pairs.join(left, "a").join(right, "b").where(near).where((100 + percent) * both >= percent * sizes).select("a", "b")
+_BLOCK_SETS, _BLOCK_SHINGLES = 256, 1 << 18
+_SMALL = 1_000_000
+_BLOCK = "cluster long, last_cluster long, block long, lo long, hi long, keys binary, roots binary, clusters binary, sizes binary, shingles binary"
 
 
-def _pivot_pairs(lists: DataFrame, round_no: int) -> DataFrame:
-    """Each set of a list with the list's pivot, if in different components; pivots differ between lists and rounds."""
-    order = F.xxhash64("set_key", "list_key", F.lit(round_no))
-    pivots = lists.groupBy("list_key").agg(F.min(F.struct(order.alias("o"), F.col("set_key").alias("p"), F.col("root").alias("rp"))).alias("pivot")).select("list_key", "pivot.p", "pivot.rp")
-    return lists.join(pivots, "list_key").where("set_key != p AND root != rp").select(F.least("set_key", "p").alias("a"), F.greatest("set_key", "p").alias("b")).distinct()
+def _bounded(df: DataFrame) -> DataFrame:
+    """Broadcast a table of a few longs if it was counted to be small; else leave the join to shuffle."""
+    return F.broadcast(df) if df.count() <= _SMALL else df
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 85, pivot_rounds: int = 3) -> DataFrame:
-    """doc_id, n_shingles (set size) and component_id (smallest id reachable by links) of every row.
+def _pack_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks from rows (cluster, bucket, root, set_key, shingles) sorted by cluster and bucket.
 
-    pivot_rounds: rounds of pivots before what is still apart is compared in full.
+    Bucket 0 holds whole clusters, which stay together; a block ends where a new one does not
+    fit. Larger clusters have buckets from 1, and blocks of their own.
     """
+    place: tuple | None = None
+    held: list[tuple] = []  # (cluster, root, set_key, shingles)
+    size = 0
+    names = [x.split()[0] for x in _BLOCK.split(", ")]
+    types = [pa.int64()] * 5 + [pa.binary()] * 5
+
+    def close() -> pa.RecordBatch:
+        nonlocal held, size
+        clusters, roots, keys = (np.array([h[i] for h in held], np.int64) for i in range(3))
+        sets = [h[3] for h in held]
+        row = [clusters[0], clusters[-1], int(keys[0]), roots.min(), roots.max(), keys.tobytes(), roots.tobytes(), clusters.tobytes(), np.array([len(x) for x in sets], np.int64).tobytes(), np.concatenate(sets).tobytes()]
+        held, size = [], 0
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names)
+
+    for b in batches:
+        cluster, bucket, root, key = (b.column(i).to_pylist() for i in range(4))
+        lists = b.column(4)
+        offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+        for i in range(b.num_rows):
+            now = (cluster[i], bucket[i])
+            if held and held[-1][2] == key[i] and held[-1][0] == cluster[i]:  # a repeated id
+                continue
+            a = flat[offsets[i] : offsets[i + 1]]
+            full = len(held) >= _BLOCK_SETS or size + len(a) > _BLOCK_SHINGLES
+            if held and ((full and (bucket[i] or now != place)) or (now != place and (bucket[i] or place[1]))):
+                yield close()
+            place = now
+            held.append((cluster[i], root[i], key[i], a.copy()))
+            size += len(a)
+    if held:
+        yield close()
+
+
+def _intersections(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """|x & y| of every x in a and y in b, over the shingles that occur on both sides."""
+    flat_a, flat_b = np.concatenate(a), np.concatenate(b)
+    row_a, row_b = np.repeat(np.arange(len(a)), [len(x) for x in a]), np.repeat(np.arange(len(b)), [len(x) for x in b])
+    both = np.intersect1d(flat_a, flat_b)
+    out = np.zeros((len(a), len(b)), np.float32)
+    if len(both) == 0:
+        return out.astype(np.int64)
+    at_a, at_b = np.searchsorted(both, flat_a), np.searchsorted(both, flat_b)
+    ok_a, ok_b = both[np.minimum(at_a, len(both) - 1)] == flat_a, both[np.minimum(at_b, len(both) - 1)] == flat_b
+    at_a, row_a, at_b, row_b = at_a[ok_a], row_a[ok_a], at_b[ok_b], row_b[ok_b]
+    for lo in range(0, len(both), 8192):
+        width = min(8192, len(both) - lo)
+        x, y = np.zeros((len(a), width), np.float32), np.zeros((len(b), width), np.float32)
+        for m, at, row in ((x, at_a, row_a), (y, at_b, row_b)):
+            own = (at >= lo) & (at < lo + width)
+            m[row[own], at[own] - lo] = 1
+        out += x @ y.T
+    return out.astype(np.int64)
+
+
+def _unpacked(keys: bytes, roots: bytes, clusters: bytes, sizes: bytes, shingles: bytes) -> tuple:
+    size = np.frombuffer(sizes, np.int64)
+    return np.frombuffer(keys, np.int64), np.frombuffer(roots, np.int64), np.frombuffer(clusters, np.int64), size, np.split(np.frombuffer(shingles, np.int64), np.cumsum(size)[:-1])
+
+
+def _linked(x: tuple, y: tuple, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect what links between sets of two blocks, of one cluster but different components."""
+    may = (x[2][:, None] == y[2][None, :]) & (x[1][:, None] != y[1][None, :])
+    may &= (100 * x[3][:, None] >= percent * y[3][None, :]) & (100 * y[3][None, :] >= percent * x[3][:, None])
+    i, j = np.flatnonzero(may.any(1)), np.flatnonzero(may.any(0))
+    if len(i) == 0:
+        return x[0][:0], x[0][:0]
+    both = _intersections([x[4][k] for k in i], [y[4][k] for k in j])
+    sizes = x[3][i][:, None] + y[3][j][None, :]
+    r, c = np.nonzero(may[np.ix_(i, j)] & ((100 + percent) * both >= percent * sizes))
+    return forest(r, c, x[0][i], y[0][j])
+
+
+def _within(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                x = _unpacked(*row)
+                a, r = _linked(x, x, percent)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(r)], ["a", "b"])
+
+    return run
+
+
+def _between(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                a, r = _linked(_unpacked(*row[:5]), _unpacked(*row[5:]), percent)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(r)], ["a", "b"])
+
+    return run
+
+
+def _rows_of_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            keys, _, clusters, size, _ = _unpacked(*row)
+            offsets = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
+            sets = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(row[4], np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(clusters), pa.array(keys), sets], ["cluster", "set_key", "shingles"])
+
+
+_PARTS = ("keys", "roots", "clusters", "sizes", "shingles")
+
+
+def _meeting(left: DataFrame, right: DataFrame, percent: int, only) -> DataFrame:
+    """Links between the blocks of a cluster that ``only`` lets meet; crowded clusters are salted."""
+    crowds = right.groupBy("cluster").agg(F.least(F.lit(64), F.ceil(F.count("*") / 4)).alias("salts"))
+    x = left.join(crowds, "cluster").select("cluster", F.pmod(F.xxhash64("block"), F.col("salts")).alias("salt"), *(F.col(c).alias(f"x_{c}") for c in ("block", "lo", "hi", *_PARTS)))
+    y = right.join(crowds, "cluster").select("cluster", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), *(F.col(c).alias(f"y_{c}") for c in ("block", "lo", "hi", *_PARTS)))
+    met = x.join(y, ["cluster", "salt"]).where(only)
+    return met.select(*(f"x_{c}" for c in _PARTS), *(f"y_{c}" for c in _PARTS)).mapInArrow(_between(percent), "a long, b long")
+
+
+def _cluster_links(base: DataFrame, lists: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
+    """Edges that connect all linked classes."""
+    spark = base.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    stars = lists.join(lists.groupBy("list_key").agg(F.min("set_key").alias("b")), "list_key").select(F.col("set_key").alias("a"), "b")
+    clusters = connected_components(stars).select(F.col("node").alias("set_key"), F.col("root").alias("cluster"))
+    clusters = clusters.unionAll(clusters.select(F.col("cluster").alias("set_key"), "cluster").distinct())
+    known = clusters.join(classes, "set_key")
+    crowd = known.groupBy("cluster").agg(F.ceil(F.greatest(F.count("*") / _BLOCK_SETS, F.sum("n") / _BLOCK_SHINGLES)).alias("buckets"))
+    placed = durable(known.join(crowd, "cluster").select("set_key", "cluster", F.when(F.col("buckets") > 1, 1 + F.pmod(F.xxhash64("set_key"), F.col("buckets"))).otherwise(0).alias("bucket"), F.col("first_id").alias("doc_id")))
+    texts = base.join(_bounded(placed.select("doc_id").distinct()), "doc_id", "left_semi").select("doc_id", "text")
+    sets = texts.mapInArrow(_set_rows(width), "set_key long, shingles array<long>")
+    rows = sets.join(_bounded(placed.select("set_key", "cluster", "bucket")), "set_key").select("cluster", "bucket", F.col("set_key").alias("root"), "set_key", "shingles")
+    blocks = durable(rows.repartition(parts, "cluster", "bucket").sortWithinPartitions("cluster", "bucket", "set_key").mapInArrow(_pack_blocks, _BLOCK))
+
+    inside = durable(blocks.select(*_PARTS).mapInArrow(_within(percent), "a long, b long"))
+    # Clusters of several blocks: all blocks with the first one, then what is still apart.
+    several = blocks.groupBy("cluster").agg(F.count("*").alias("n"), F.min("block").alias("first")).where("n > 1")
+    large = blocks.join(several, "cluster")
+    first = large.where("block = first")
+    met = durable(_meeting(large.where("block != first"), first, percent, F.lit(True)))
+    links = inside.unionAll(met)
+    roots = connected_components(links).withColumnRenamed("node", "set_key")
+    again = large.select(*_PARTS).mapInArrow(_rows_of_blocks, "cluster long, set_key long, shingles array<long>")
+    rooted = again.join(roots, "set_key", "left").select("cluster", F.lit(1).cast("long").alias("bucket"), F.coalesce("root", "set_key").alias("root"), "set_key", "shingles")
+    apart = rooted.groupBy("cluster").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("cluster")
+    left = durable(rooted.join(apart, "cluster", "left_semi"))
+    packed = durable(left.repartitionByRange(parts, "cluster", "root", "set_key").sortWithinPartitions("cluster", "root", "set_key").mapInArrow(_pack_blocks, _BLOCK).where("cluster = last_cluster"))
+    differ = F.expr("x_block <= y_block AND NOT (x_lo = x_hi AND y_lo = y_hi AND x_lo = y_lo)")
+    return links.unionAll(durable(_meeting(packed, packed, percent, differ)))
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 85) -> DataFrame:
+    """doc_id, n_shingles (set size) and component_id (smallest id reachable by links) of every row."""
     spark = docs.sparkSession
     bound_batches(spark)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -302,30 +445,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     listed = base.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(_list_entries(width, percent, boundary), "list_key long, set_key long")
     lists = durable(listed.repartition(parts, "list_key").sortWithinPartitions("list_key", "set_key").mapInArrow(_shared_only, "list_key long, set_key long"))
-
-    wanted = lists.select("set_key").distinct()
-    ids = classes.join(wanted, "set_key").select(F.col("first_id").alias("doc_id")).distinct()
-    texts = base.join(ids, "doc_id", "left_semi").select("doc_id", "text")
-    sets = durable(texts.mapInArrow(_set_rows(width), "set_key long, shingles array<long>").join(wanted, "set_key", "left_semi").dropDuplicates(["set_key"]))
-
-    links, tried, apart = None, None, lists.withColumn("root", F.col("set_key"))
-    roots = None
-    for n in range(pivot_rounds):
-        pairs = _pivot_pairs(apart, n)
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = durable(pairs)
-        found = durable(_verified(pairs, sets, percent))
-        tried = pairs if tried is None else tried.unionAll(pairs)
-        links = found if links is None else links.unionAll(found)
-        roots = connected_components(links)
-        apart, left = _still_apart(lists, roots)
-        if not left:
-            break
-    else:
-        pairs = _cross_pairs(apart).join(tried, ["a", "b"], "left_anti")
-        links = links.unionAll(durable(_verified(pairs, sets, percent)))
-        roots = connected_components(links)
+    roots = connected_components(_cluster_links(base, lists, classes, width, percent))
 
     named = classes.join(roots.withColumnRenamed("node", "set_key"), "set_key", "left").select("set_key", "first_id", F.coalesce("root", "set_key").alias("root"))
     smallest = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
@@ -333,18 +453,3 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     inside = member.join(by_set, "set_key").select("doc_id", "n_shingles", "component_id")
     outside = described.where("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return inside.unionAll(outside)
-
-
-def _still_apart(lists: DataFrame, roots: DataFrame) -> tuple[DataFrame, bool]:
-    """Of lists that span more than one component: one set of each component at least, with its component."""
-    placed = lists.join(roots.withColumnRenamed("node", "set_key"), "set_key", "left").select("list_key", "set_key", F.coalesce("root", "set_key").alias("root"))
-    spread = placed.groupBy("list_key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("list_key")
-    apart = durable(placed.join(spread, "list_key"))
-    return apart, not apart.isEmpty()
-
-
-def _cross_pairs(apart: DataFrame) -> DataFrame:
-    """Pairs of one list that lie in different components."""
-    x = apart.select("list_key", F.col("set_key").alias("x"), F.col("root").alias("rx"))
-    y = apart.select("list_key", F.col("set_key").alias("y"), F.col("root").alias("ry"))
-    return x.join(y, "list_key").where("x < y AND rx != ry").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()

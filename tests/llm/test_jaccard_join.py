@@ -70,9 +70,18 @@ def test_equals_brute_force(spark):
     assert run(spark, rows) == brute(rows)
 
 
-def test_equals_brute_force_without_pivots(spark):
-    rows = made_rows(2)
-    assert run(spark, rows, pivot_rounds=1) == brute(rows)
+def test_large_cluster_equals_brute_force(spark, monkeypatch):
+    """Clusters of several blocks: near copies that only partly link with one another."""
+    monkeypatch.setattr(jj, "_BLOCK_SETS", 8)
+    rnd = random.Random(3)
+    base = [f"b{i}" for i in range(90)]
+    rows = []
+    for n in range(70):
+        copy = list(base)
+        for _ in range(rnd.randint(0, 3)):
+            copy[rnd.randrange(len(copy))] = f"x{n}{rnd.randrange(99)}"
+        rows.append((n, " ".join(copy)))
+    assert run(spark, rows) == brute(rows)
 
 
 def test_edge_rows(spark):
