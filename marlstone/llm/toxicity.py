@@ -32,7 +32,7 @@ from marlstone.session import bound_batches, durable
 EXACT, FUZZY, STEM = 1, 2, 3
 _WINDOW = 20
 _QUOTES = "\"«»“”„"
-FEATURES = ("exact", "fuzzy", "stem", "quoted", "densest", "per_word")
+FEATURES = ("hits", "fuzzy", "stem", "quoted", "densest", "per_word")
 
 _tables: dict[str, np.ndarray] = {}
 
@@ -236,7 +236,8 @@ def features(texts: list[str], automaton: Automaton) -> np.ndarray:
     quoted = (before % 2 == 1) & (after > 0)
     r = row[hit]
     for j, k in enumerate((EXACT, FUZZY, STEM)):
-        out[:, j] = np.bincount(r[(kind[hit] == k) & ~quoted], minlength=len(texts))
+        # The first counts hits of all kinds, so that a misspelling weighs as its term until labels say otherwise.
+        out[:, j] = np.bincount(r[((kind[hit] == k) | (k == EXACT)) & ~quoted], minlength=len(texts))
     out[:, 3] = np.bincount(r[quoted], minlength=len(texts))
     # The most unquoted hits in a window of words: hits from each hit on, by binary search.
     plain = hit[~quoted]
@@ -244,7 +245,7 @@ def features(texts: list[str], automaton: Automaton) -> np.ndarray:
         order = plain + row[plain] * (2 * _WINDOW)  # words of different rows are never in one window
         near = np.searchsorted(order, order + _WINDOW, "left") - np.arange(len(order))
         np.maximum.at(out[:, 4], row[plain], near)
-    out[:, 5] = out[:, :3].sum(1) / np.maximum(1, n_words)
+    out[:, 5] = out[:, 0] / np.maximum(1, n_words)
     out[:, :5] = np.log1p(out[:, :5])
     out[:, 5] = np.sqrt(out[:, 5])
     return out
