@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.operators import graph, markdown, quality, retrieval, similarity, sparql
+from marlstone.operators import graph, inline, markdown, quality, retrieval, similarity, slicing, sparql
 from marlstone.plans import inputs
 from marlstone.sources import readers, sinks
 from marlstone.session import table
@@ -322,3 +322,36 @@ QUERIES = {
         md_code_blocks, md_fence_parity, md_blocks, md_chunks, md_concepts, document_chunks, page_windows, table_markdown, lexicon_merge, history_upsert, selection_totals,
     )
 }
+
+
+def ast_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inline.node_counts(inline.ast_nodes(inputs.markdown(spark, sf_dir)))
+
+
+def rendered_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inline.rendered(inputs.markdown(spark, sf_dir))
+
+
+def sliced_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return slicing.with_wikilinks(slicing.sliced_concepts(inputs.markdown(spark, sf_dir)))
+
+
+def asset_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = inputs.sql(spark, sf_dir, _IMAGES)
+    return slicing.asset_references(docs).select("doc_id", "text", F.size("assets").cast("long").alias("n_assets"), "saved_bytes")
+
+
+def skill_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return slicing.practice_audit(slicing.skill_packages(inputs.markdown(spark, sf_dir))[0])
+
+
+def container_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = slicing.container_text(slicing.typed_blocks(inputs.markdown(spark, sf_dir)))
+    return made.select("doc_id", slicing.container_score(F.col("text")).alias("score"))
+
+
+_IMAGES = "SELECT n_nationkey AS doc_id, 'a ![x](data:image/png;base64,AAAA) b' || CASE WHEN n_nationkey % 2 = 0 THEN ' ![y](data:image/jpeg;base64,BBBBBBBB)' ELSE '' END AS text FROM nation"
+ORACLES["asset_references"] = f"""
+    WITH t AS ({_IMAGES}) SELECT doc_id, 'a ![x](assets/' || doc_id || '-1.png) b' || CASE WHEN doc_id % 2 = 0 THEN ' ![y](assets/' || doc_id || '-2.jpg)' ELSE '' END AS text,
+      CAST(CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 1 END AS BIGINT) AS n_assets, CAST(CASE WHEN doc_id % 2 = 0 THEN 26 + 31 ELSE 26 END AS BIGINT) AS saved_bytes FROM t"""
+QUERIES |= {f.__name__: f for f in (ast_counts, rendered_html, sliced_concepts, asset_references, skill_packages, container_scores)}

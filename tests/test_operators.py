@@ -160,3 +160,29 @@ def test_streaming_upsert(spark, tmp_path):
     q.awaitTermination()
     assert sorted((r["doc_id"], r["text"]) for r in spark.read.parquet(out).collect()) == [(1, "new"), (2, "b"), (3, "c")]
     assert ingest.progress(q)["rows"] == 3
+
+
+def test_inline_tree(spark):
+    from marlstone.operators import inline
+
+    nodes = inline.parse_inline("a **b _c_** `x*y*` [l](javascript:x) [[T|see]] ![i](u)")
+    assert inline.inline_html(nodes) == 'a <strong>b <em>c</em></strong> <code>x*y*</code> <a href="#">l</a> <a class="wikilink" href="#T">see</a> <img src="u" alt="i">'
+    assert inline.plain_text(nodes) == "a b c x*y* l see i"
+    docs = spark.createDataFrame([(1, "# H\n- a\n- [x] b"), (2, None)], "doc_id long, text string")
+    rows = inline.ast_nodes(docs).where("doc_id = 1").orderBy("node_id").collect()
+    assert [r["kind"] for r in rows] == ["document", "heading", "text", "list", "list_item", "text", "list_item", "text"]
+    assert all(r["parent_id"] < r["node_id"] for r in rows)
+    assert inline.matching_nodes(inline.ast_nodes(docs), "head", "h").count() == 1
+
+
+def test_slicing(spark):
+    from marlstone.operators import slicing
+
+    text = "# Alpha Plan\nUses beta store, not `beta store`.\n```\nbeta store\n```\n# Beta Store\nkept by alpha plan."
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    body = {r["slug"]: r["body"] for r in slicing.with_wikilinks(slicing.sliced_concepts(docs)).collect()}
+    assert body["alpha-plan"].startswith("Uses [[beta-store|beta store]], not `beta store`.") and "```\nbeta store\n```" in body["alpha-plan"]
+    assert "[[alpha-plan|alpha plan]]" in body["beta-store"]
+    code = "\n".join(["```bash"] + ["run x"] * 9 + ["```"])
+    found = slicing.executable_scripts(markdown.blocks(spark.createDataFrame([(1, code)], "doc_id long, text string"))).first()
+    assert found["path"] == "scripts/1-1.sh"
