@@ -13,8 +13,9 @@ A document's set holds its distinct shingles of ``width`` words. Two sets link w
 * The boundary is the one with the lowest cost over the histogram of set sizes.
 
 Sets that are equal are one class from the start. Classes that lists connect form a cluster;
-clusters are packed in blocks of whole sets, and every two sets of a block are verified by a
-product of their incidence vectors over the shingles that they share. A cluster of several blocks
+it is cut by sizes and by parity sketches, which differ in no more bits than their sets differ in
+shingles. What stays together is packed in blocks of whole sets, and every two sets of a block are
+verified by a product of their incidence vectors over the shingles that they share. A cluster of several blocks
 is compared with its first block, and then block by block wherever sets are still in different
 components. Pairs never become rows, no list is capped, and no link between components is lost.
 
@@ -42,6 +43,8 @@ from marlstone.session import bound_batches, durable
 
 U64 = np.uint64
 _STEP = [U64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
+_MASK = 2**64 - 1
+_SKETCH_BITS, _SKETCH_SETS = 2048, 1024
 _EMPTY_LEVELS = 4
 _CLASS_RATIO = 0.75
 _MOST_SUBSETS = 400
@@ -71,18 +74,28 @@ def shingle_sets(column: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray
 
 def set_key(a: np.ndarray) -> int:
     """The 64-bit key of a set's class, as a signed long."""
-    total = tk.mix64(a ^ U64(0x5851F42D4C957F2D)).sum(dtype=U64) + U64(len(a)) * _STEP[3]
-    return int(tk.signed(tk.mix64(np.array([total], U64)))[0])
+    total = int(tk.mix64(a ^ U64(0x5851F42D4C957F2D)).sum(dtype=U64)) + len(a) * int(_STEP[3])
+    return int(tk.signed(tk.mix64(np.array([total & _MASK], U64)))[0])
+
+
+def sketch(a: np.ndarray) -> bytes:
+    """Parities of the shingles in each of ``_SKETCH_BITS`` hash classes.
+
+    Two sketches differ in no more bits than their sets differ in shingles.
+    """
+    return np.packbits((np.bincount((a & U64(_SKETCH_BITS - 1)).astype(np.int64), minlength=_SKETCH_BITS) & 1).astype(np.uint8)).tobytes()
 
 
 def _describe(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, key = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64)
+            parity: list[bytes] = [b""] * b.num_rows
             for r, a in shingle_sets(b.column(1), width):
                 n[r] = len(a)
-                key[r] = set_key(a) if len(a) else 0
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(key)], ["doc_id", "n_shingles", "set_key"])
+                if len(a):
+                    key[r], parity[r] = set_key(a), sketch(a)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(key), pa.array(parity, pa.binary())], ["doc_id", "n_shingles", "set_key", "sketch"])
 
     return run
 
@@ -168,7 +181,7 @@ def signatures(a: np.ndarray, plan: Plan) -> np.ndarray:
         whole = m.sum(dtype=U64)
         for c in plan.overlaps(n, plan.boundary):
             left_out = np.array([sum(int(m[i]) for i in x) & (2**64 - 1) for x in combinations(range(n), n - c)], U64)
-            found.append(tk.mix64((whole - left_out) + U64(c) * _STEP[1] + U64(7)))
+            found.append(tk.mix64((whole - left_out) + U64((c * int(_STEP[1]) + 7) & _MASK)))
     if n * 100 >= (plan.boundary + 1) * plan.percent:
         for i in plan.classes_of(n):
             blocks, spare = plan.blocks(i)
@@ -178,7 +191,7 @@ def signatures(a: np.ndarray, plan: Plan) -> np.ndarray:
                 sums = np.zeros(n + 1, U64)
                 np.cumsum(tk.mix64(b ^ U64(0x632BE59BD9B4E019)), out=sums[1:])
                 ends = np.append(starts[1:], n)
-                keys = tk.mix64(sums[ends] - sums[starts] + (np.arange(blocks, dtype=U64) + U64(1)) * _STEP[4] + U64(i * 8 + level) * _STEP[5])
+                keys = tk.mix64(sums[ends] - sums[starts] + (np.arange(blocks, dtype=U64) + U64(1)) * _STEP[4] + U64((i * 8 + level) * int(_STEP[5]) & _MASK))
                 full = ends > starts
                 empties = blocks - int(full.sum())
                 last = level == _EMPTY_LEVELS - 1
@@ -339,6 +352,85 @@ def _intersections(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int64)
 
 
+_SKETCHES = "cluster long, block long, keys binary, clusters binary, sizes binary, sketches binary"
+
+
+def _pack_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of (cluster, bucket, set_key, n, sketch) rows sorted by cluster and bucket; bucket 0 holds whole clusters."""
+    names = [x.split()[0] for x in _SKETCHES.split(", ")]
+    types = [pa.int64()] * 2 + [pa.binary()] * 4
+    held: list[tuple] = []
+    place: tuple | None = None
+
+    def close() -> pa.RecordBatch:
+        nonlocal held
+        clusters, keys, sizes = (np.array([h[i] for h in held], np.int64) for i in range(3))
+        row = [clusters[0], keys[0], keys.tobytes(), clusters.tobytes(), sizes.tobytes(), b"".join(h[3] for h in held)]
+        held = []
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names)
+
+    for b in batches:
+        for cluster, bucket, key, n, bits in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            now = (cluster, bucket)
+            if held and ((len(held) >= _SKETCH_SETS and (bucket or now != place)) or (now != place and (bucket or place[1]))):
+                yield close()
+            place = now
+            held.append((cluster, key, n, bits))
+    if held:
+        yield close()
+
+
+def _alike(x: tuple, y: tuple, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect the sets of two blocks whose sizes and sketches let them link."""
+    (xk, xc, xn, xs), (yk, yc, yn, ys) = ((np.frombuffer(p[0], np.int64), np.frombuffer(p[1], np.int64), np.frombuffer(p[2], np.int64), np.frombuffer(p[3], U64).reshape(-1, _SKETCH_BITS // 64)) for p in (x, y))
+    rows, columns = [], []
+    for lo in range(0, len(xk), 64):
+        n = xn[lo : lo + 64, None]
+        may = (xc[lo : lo + 64, None] == yc) & (xk[lo : lo + 64, None] != yk) & (100 * n >= percent * yn) & (100 * yn >= percent * n)
+        some = np.flatnonzero(may.any(0))
+        if len(some):
+            differ = np.bitwise_count(xs[lo : lo + 64, None, :] ^ ys[some]).sum(2, dtype=np.int64)
+            r, c = np.nonzero(may[:, some] & ((100 + percent) * differ <= (100 - percent) * (n + yn[some])))
+            rows.append(r + lo)
+            columns.append(some[c])
+    if not rows:
+        return xk[:0], xk[:0]
+    return forest(np.concatenate(rows), np.concatenate(columns), xk, yk)
+
+
+def _sketch_edges(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                a, r = _alike(row[:4], row[-4:], percent)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(r)], ["a", "b"])
+
+    return run
+
+
+def _refined(clusters: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Clusters cut to the sets that sizes and sketches still connect; no linked pair is parted."""
+    parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    crowd = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / _SKETCH_SETS).alias("buckets"))
+    bucket = F.when(F.col("buckets") > 1, 1 + F.pmod(F.xxhash64("set_key"), F.col("buckets"))).otherwise(0)
+    rows = clusters.join(crowd, "cluster").join(classes, "set_key").select("cluster", bucket.alias("bucket"), "set_key", "n", "sketch")
+    blocks = durable(rows.repartition(parts, "cluster", "bucket").sortWithinPartitions("cluster", "bucket", "set_key").mapInArrow(_pack_sketches, _SKETCHES))
+    columns = ("keys", "clusters", "sizes", "sketches")
+    within = blocks.select(*columns).mapInArrow(_sketch_edges(percent), "a long, b long")
+    several = blocks.groupBy("cluster").agg(F.least(F.lit(64), F.ceil(F.count("*") / 8)).alias("salts"), F.count("*").alias("k")).where("k > 1")
+    large = blocks.join(several, "cluster")
+    x = large.select("cluster", F.pmod(F.xxhash64("block"), F.col("salts")).alias("salt"), F.col("block").alias("x_block"), *(F.col(c).alias(f"x_{c}") for c in columns))
+    y = large.select("cluster", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.col("block").alias("y_block"), *(F.col(c).alias(f"y_{c}") for c in columns))
+    met = x.join(y, ["cluster", "salt"]).where("x_block < y_block").select(*(f"x_{c}" for c in columns), *(f"y_{c}" for c in columns))
+    return _with_roots(connected_components(within.unionAll(met.mapInArrow(_sketch_edges(percent), "a long, b long"))))
+
+
+def _with_roots(roots: DataFrame) -> DataFrame:
+    """(set_key, cluster) of all nodes, roots among them."""
+    clusters = roots.select(F.col("node").alias("set_key"), F.col("root").alias("cluster"))
+    return clusters.unionAll(clusters.select(F.col("cluster").alias("set_key"), "cluster").distinct())
+
+
 def _unpacked(keys: bytes, roots: bytes, clusters: bytes, sizes: bytes, shingles: bytes) -> tuple:
     size = np.frombuffer(sizes, np.int64)
     return np.frombuffer(keys, np.int64), np.frombuffer(roots, np.int64), np.frombuffer(clusters, np.int64), size, np.split(np.frombuffer(shingles, np.int64), np.cumsum(size)[:-1])
@@ -392,7 +484,7 @@ _PARTS = ("keys", "roots", "clusters", "sizes", "shingles")
 
 def _meeting(left: DataFrame, right: DataFrame, percent: int, only) -> DataFrame:
     """Links between the blocks of a cluster that ``only`` lets meet; crowded clusters are salted."""
-    crowds = right.groupBy("cluster").agg(F.least(F.lit(64), F.ceil(F.count("*") / 4)).alias("salts"))
+    crowds = right.groupBy("cluster").agg(F.least(F.lit(64), F.ceil(F.count("*") / 16)).alias("salts"))
     x = left.join(crowds, "cluster").select("cluster", F.pmod(F.xxhash64("block"), F.col("salts")).alias("salt"), *(F.col(c).alias(f"x_{c}") for c in ("block", "lo", "hi", *_PARTS)))
     y = right.join(crowds, "cluster").select("cluster", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), *(F.col(c).alias(f"y_{c}") for c in ("block", "lo", "hi", *_PARTS)))
     met = x.join(y, ["cluster", "salt"]).where(only)
@@ -404,8 +496,7 @@ def _cluster_links(base: DataFrame, lists: DataFrame, classes: DataFrame, width:
     spark = base.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     stars = lists.join(lists.groupBy("list_key").agg(F.min("set_key").alias("b")), "list_key").select(F.col("set_key").alias("a"), "b")
-    clusters = connected_components(stars).select(F.col("node").alias("set_key"), F.col("root").alias("cluster"))
-    clusters = clusters.unionAll(clusters.select(F.col("cluster").alias("set_key"), "cluster").distinct())
+    clusters = durable(_refined(_with_roots(connected_components(stars)), classes, percent))
     known = clusters.join(classes, "set_key")
     crowd = known.groupBy("cluster").agg(F.ceil(F.greatest(F.count("*") / _BLOCK_SETS, F.sum("n") / _BLOCK_SHINGLES)).alias("buckets"))
     placed = durable(known.join(crowd, "cluster").select("set_key", "cluster", F.when(F.col("buckets") > 1, 1 + F.pmod(F.xxhash64("set_key"), F.col("buckets"))).otherwise(0).alias("bucket"), F.col("first_id").alias("doc_id")))
@@ -423,10 +514,11 @@ def _cluster_links(base: DataFrame, lists: DataFrame, classes: DataFrame, width:
     links = inside.unionAll(met)
     roots = connected_components(links).withColumnRenamed("node", "set_key")
     again = large.select(*_PARTS).mapInArrow(_rows_of_blocks, "cluster long, set_key long, shingles array<long>")
-    rooted = again.join(roots, "set_key", "left").select("cluster", F.lit(1).cast("long").alias("bucket"), F.coalesce("root", "set_key").alias("root"), "set_key", "shingles")
-    apart = rooted.groupBy("cluster").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("cluster")
-    left = durable(rooted.join(apart, "cluster", "left_semi"))
-    packed = durable(left.repartitionByRange(parts, "cluster", "root", "set_key").sortWithinPartitions("cluster", "root", "set_key").mapInArrow(_pack_blocks, _BLOCK).where("cluster = last_cluster"))
+    near = placed.where("bucket > 0").join(roots, "set_key", "left").select("set_key", "cluster", F.coalesce("root", "set_key").alias("root"))
+    apart = near.groupBy("cluster").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("cluster")
+    moved = durable(near.join(apart, "cluster", "left_semi").select("set_key", "root"))
+    left = again.join(_bounded(moved), "set_key").select("cluster", F.lit(1).cast("long").alias("bucket"), "root", "set_key", "shingles")
+    packed = durable(left.repartitionByRange(parts, "cluster", "root", "set_key").sortWithinPartitions("cluster", "root", "set_key").mapInArrow(_pack_blocks, _BLOCK))
     differ = F.expr("x_block <= y_block AND NOT (x_lo = x_hi AND y_lo = y_hi AND x_lo = y_lo)")
     return links.unionAll(durable(_meeting(packed, packed, percent, differ)))
 
@@ -436,9 +528,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     bound_batches(spark)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    described = durable(base.mapInArrow(_describe(width), "doc_id long, n_shingles long, set_key long"))
+    described = durable(base.mapInArrow(_describe(width), "doc_id long, n_shingles long, set_key long, sketch binary"))
     member = described.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = durable(member.groupBy("set_key").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n")))
+    classes = durable(member.groupBy("set_key").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")))
     sizes = {int(r["n"]): int(r["k"]) for r in classes.where("n <= 32").groupBy("n").agg(F.count("*").alias("k")).collect()}  # 32 rows at most
     boundary = choose_boundary(sizes, percent)
 
