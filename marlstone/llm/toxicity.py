@@ -2,14 +2,15 @@
 
 Words whose presence marks toxic training texts make the lexicon; prefixes that several such
 words share make stems. A trie of the lexicon is intersected with the terms' Levenshtein
-automata (one edit from 5 characters, two from 9) and determinised to one table that all words
-of a batch step through together, so misspelled terms are caught at the cost of a table look-up
-per character. A window of words around each hit tells quoted terms from abuse: hits between
+automata (one edit from 5 characters, two from 9) and determinised, as words reach its states, to
+one table that all words of a batch step through together, so misspelled terms are caught at the
+cost of a table look-up per character. A window of words around each hit tells quoted terms from abuse: hits between
 quotation marks and hits outside count as separate features, as does the densest window. A
 logistic model on these features gives the score.
 
-Bounds: ``max_rows`` labelled rows are fitted on, ``max_terms`` lexicon entries are kept. Every
-text is scored whole. Nulls: a null text scores as an empty one; null labels are not learned
+Bounds: ``max_rows`` labelled rows are fitted on. Every word of up to 32 characters that passes the
+test is kept; each is in 4 of those rows, so there are at most a quarter as many as the rows have
+words. Every text is scored whole. Nulls: a null text scores as an empty one; null labels are not learned
 from; a null id keeps its row and is not held out. Without usable labels of both kinds, every
 score is the share of toxic training rows (0 without any). Other columns are ignored.
 """
@@ -31,6 +32,7 @@ from marlstone.session import bound_batches, durable
 
 EXACT, FUZZY, STEM = 1, 2, 3
 _WINDOW = 20
+_MOST_CELLS = 10_000_000
 _QUOTES = "\"«»“”„"
 FEATURES = ("hits", "fuzzy", "stem", "quoted", "densest", "per_word")
 
@@ -58,94 +60,122 @@ def edits_allowed(term: str) -> int:
 
 
 class Automaton:
-    """The trie of all terms intersected with their Levenshtein automata, determinised.
+    """The trie of all terms intersected with their Levenshtein automata, determinised as words need it.
 
-    ``step[state, symbol]`` is the next state (0: none), ``accepts[state]`` what a word ending
-    there is, ``longest`` the number of characters after which no state but a stem's is left.
+    ``step[state, symbol]`` is the next state (0: none, -1: not yet known), ``accepts[state]`` what
+    a word ending there is, ``longest`` the number of characters after which no state but a stem's
+    is left. States are made when a word first reaches them, so any number of terms can be held;
+    where a run of words starts with a table of more than ``_MOST_CELLS``, all are dropped and made anew.
     """
 
     def __init__(self, terms: list[str], stems: list[str]) -> None:
         self.alphabet = {c: i + 1 for i, c in enumerate(sorted({c for t in [*terms, *stems] for c in t}))}
-        child: list[dict[str, int]] = [{}]
-        ends = [-1]
-        reach = [0]
-        stem_end = [False]
-
-        def add(word: str, edits: int, is_stem: bool) -> None:
-            at = 0
-            reach[0] = max(reach[0], edits)
-            for c in word:
-                if c not in child[at]:
-                    child[at][c] = len(child)
-                    child.append({})
-                    ends.append(-1)
-                    reach.append(0)
-                    stem_end.append(False)
-                at = child[at][c]
-                reach[at] = max(reach[at], edits)
-            if is_stem:
-                stem_end[at] = True
-            else:
-                ends[at] = edits
-
+        self.child: list[dict[int, int]] = [{}]
+        self.ends = [-1]
+        self.reach = [0]
+        self.stem_end = [False]
         for t in terms:
-            add(t, edits_allowed(t), False)
+            self._add(t, edits_allowed(t), False)
         for t in stems:
-            add(t, 0, True)
-
-        def closed(state: dict[int, int]) -> tuple | str:
-            stack = list(state.items())
-            while stack:
-                node, e = stack.pop()
-                for to in child[node].values():
-                    if e + 1 <= reach[to] and state.get(to, 9) > e + 1:
-                        state[to] = e + 1
-                        stack.append((to, e + 1))
-            if any(stem_end[x] and e == 0 for x, e in state.items()):
-                return "stem"
-            return tuple(sorted(state.items()))
-
-        def kind(state: tuple | str) -> int:
-            if state == "stem":
-                return STEM
-            hits = [e for x, e in state if ends[x] >= e]
-            return 0 if not hits else EXACT if min(hits) == 0 else FUZZY
-
-        start = closed({0: 0})
-        ids: dict[tuple | str, int] = {(): 0, start: 1}
-        rows: list[list[int]] = [[0] * (len(self.alphabet) + 1), []]
-        queue = [start]
-        while queue:
-            state = queue.pop()
-            row = [0] * (len(self.alphabet) + 1)
-            for c, symbol in [("", 0), *self.alphabet.items()]:
-                if state == "stem":
-                    to: tuple | str = "stem"
-                else:
-                    after: dict[int, int] = {}
-                    for node, e in state:
-                        if e + 1 <= reach[node]:
-                            after[node] = min(after.get(node, 9), e + 1)
-                        for label, nxt in child[node].items():
-                            cost = e + (label != c)
-                            if cost <= reach[nxt]:
-                                after[nxt] = min(after.get(nxt, 9), cost)
-                    to = closed(after)
-                if to not in ids:
-                    ids[to] = len(rows)
-                    rows.append([])
-                    queue.append(to)
-                row[symbol] = ids[to]
-            rows[ids[state]] = row
-        self.step = np.array(rows, np.int32)
-        self.accepts = np.zeros(len(rows), np.int8)
-        for state, i in ids.items():
-            self.accepts[i] = kind(state)
+            self._add(t, 0, True)
         self.longest = max([len(t) + edits_allowed(t) for t in terms] + [len(t) for t in stems], default=0)
         self.symbols: np.ndarray | None = None
+        self._reset()
+
+    def _add(self, word: str, edits: int, is_stem: bool) -> None:
+        at = 0
+        self.reach[0] = max(self.reach[0], edits)
+        for c in word:
+            symbol = self.alphabet[c]
+            if symbol not in self.child[at]:
+                self.child[at][symbol] = len(self.child)
+                self.child.append({})
+                self.ends.append(-1)
+                self.reach.append(0)
+                self.stem_end.append(False)
+            at = self.child[at][symbol]
+            self.reach[at] = max(self.reach[at], edits)
+        if is_stem:
+            self.stem_end[at] = True
+        else:
+            self.ends[at] = edits
+
+    def _closed(self, state: dict[int, int]) -> tuple | str:
+        child, reach = self.child, self.reach
+        stack = list(state.items())
+        while stack:
+            node, e = stack.pop()
+            for to in child[node].values():
+                if e + 1 <= reach[to] and state.get(to, 9) > e + 1:
+                    state[to] = e + 1
+                    stack.append((to, e + 1))
+        if any(self.stem_end[x] and e == 0 for x, e in state.items()):
+            return "stem"
+        return tuple(sorted(state.items()))
+
+    def _kind(self, state: tuple | str) -> int:
+        if state == "stem":
+            return STEM
+        hits = [e for x, e in state if self.ends[x] >= e]
+        return 0 if not hits else EXACT if min(hits) == 0 else FUZZY
+
+    def _reset(self) -> None:
+        self.ids: dict[tuple | str, int] = {}
+        self.states: list[tuple | str] = []
+        self.step = np.zeros((0, len(self.alphabet) + 1), np.int32)
+        self.accepts = np.zeros(0, np.int8)
+        self._state(())
+        self.step[0] = 0
+        self._state(self._closed({0: 0}))
+
+    def _state(self, state: tuple | str) -> int:
+        if state not in self.ids:
+            i = self.ids[state] = len(self.states)
+            self.states.append(state)
+            if i >= len(self.step):
+                more = max(64, len(self.step))
+                self.step = np.concatenate([self.step, np.full((more, self.step.shape[1]), -1, np.int32)])
+                self.accepts = np.concatenate([self.accepts, np.zeros(more, np.int8)])
+            self.accepts[i] = self._kind(state)
+            if state == "stem":
+                self.step[i] = i
+        return self.ids[state]
+
+    def _next(self, state: tuple, symbol: int) -> tuple | str:
+        child, reach = self.child, self.reach
+        after: dict[int, int] = {}
+        for node, e in state:
+            if e + 1 <= reach[node]:
+                after[node] = min(after.get(node, 9), e + 1)
+                for label, to in child[node].items():
+                    cost = e + (label != symbol)
+                    if cost <= reach[to]:
+                        after[to] = min(after.get(to, 9), cost)
+            else:
+                # No edit is left for any term through this node.
+                to = child[node].get(symbol)
+                if to is not None and e <= reach[to]:
+                    after[to] = min(after.get(to, 9), e)
+        return self._closed(after)
+
+    def _stepped(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        to = self.step[state, symbol]
+        new = to < 0
+        if new.any():
+            width = self.step.shape[1]
+            for pair in np.unique(state[new].astype(np.int64) * width + symbol[new]).tolist():
+                s, c = divmod(pair, width)
+                found = self._state(self._next(self.states[s], c))
+                self.step[s, c] = found
+            to = self.step[state, symbol]
+        return to
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"symbols": None}
+        return {k: v for k, v in self.__dict__.items() if k not in ("symbols", "ids", "states", "step", "accepts")}
+
+    def __setstate__(self, kept: dict) -> None:
+        self.__dict__.update(kept, symbols=None)
+        self._reset()
 
     def symbol_table(self) -> np.ndarray:
         if self.symbols is None:
@@ -159,6 +189,8 @@ class Automaton:
         found = np.zeros(len(start), np.int8)
         if self.longest == 0:
             return found
+        if len(self.states) * self.step.shape[1] > _MOST_CELLS:
+            self._reset()
         at = np.arange(len(start))
         state = np.ones(len(start), np.int32)
         pos, end = start.copy(), end
@@ -169,7 +201,7 @@ class Automaton:
             at, state, pos = at[~over], state[~over], pos[~over]
             if len(at) == 0:
                 return found
-            state = self.step[state, table[points[pos]]]
+            state = self._stepped(state, table[points[pos]])
             live = state > 0
             at, state, pos = at[live], state[live], pos[live] + 1
         found[at[self.accepts[state] == STEM]] = STEM
@@ -272,34 +304,25 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _significant(toxic: float, clean: float, share: float, least: int) -> bool:
-    """Seen in enough toxic texts, and toxic far more often than a text at large."""
-    return toxic >= least and (toxic + share) / (toxic + clean + 1) >= max(0.5 * (1 + share), 0.75)
-
-
-def learn_lexicon(words: DataFrame, n_toxic: int, n_clean: int, max_terms: int = 64, least: int = 4) -> tuple[list[str], list[str]]:
-    """Terms and stems from (word, n_toxic, n_clean); at most 40 times max_terms rows reach the driver."""
+def learn_lexicon(words: DataFrame, n_toxic: int, n_clean: int, least: int = 4) -> tuple[list[str], list[str]]:
+    """All terms and stems from (word, n_toxic, n_clean). A term is in ``least`` of the counted texts, which bounds what the driver gets."""
     share = n_toxic / max(1, n_toxic + n_clean)
     bar = max(0.5 * (1 + share), 0.75)
-    likely = words.where(F.col("n_toxic") >= least).where((F.col("n_toxic") + share) / (F.col("n_toxic") + F.col("n_clean") + 1) >= bar)
-    top = [(r["word"], r["n_toxic"], r["n_clean"]) for r in likely.where("char_length(word) >= 3").orderBy(F.desc("n_toxic"), "word").limit(40 * max_terms).collect()]
-    shared: Counter = Counter()
-    weight: Counter = Counter()
-    for w, t, _ in top:
-        for k in range(4, len(w)):
-            shared[w[:k]] += 1
-            weight[w[:k]] += t
-    stems: list[str] = []
-    candidates = sorted((p for p in shared if shared[p] >= 4), key=lambda p: (-weight[p], len(p), p))[: 20 * max_terms]
-    if candidates:
-        counted = words.select(F.explode(F.transform(F.sequence(F.lit(4), F.greatest(F.lit(4), F.least(F.lit(16), F.char_length("word"))))  , lambda k: F.substring("word", F.lit(1), k))).alias("prefix"), "n_toxic", "n_clean")
-        known = {r["prefix"]: (r["t"], r["c"]) for r in counted.where(F.col("prefix").isin(candidates)).groupBy("prefix").agg(F.sum("n_toxic").alias("t"), F.sum("n_clean").alias("c")).collect()}
-        for p in sorted(candidates, key=lambda p: (len(p), p)):
-            t, c = known.get(p, (0, 0))
-            if _significant(t, c, share, 3 * least) and not any(p.startswith(s) for s in stems) and len(stems) < max_terms:
-                stems.append(p)
-    terms = [w for w, _, _ in top if not any(w.startswith(s) for s in stems)][:max_terms]
-    return terms, stems
+    # Seen in enough toxic texts, and toxic far more often than a text at large.
+    significant = lambda at_least: (F.col("n_toxic") >= at_least) & ((F.col("n_toxic") + share) / (F.col("n_toxic") + F.col("n_clean") + 1) >= bar)
+    marked = words.withColumn("size", F.char_length("word")).withColumn("likely", significant(least) & (F.col("size") >= 3))
+    terms = [r["word"] for r in marked.where("likely").orderBy(F.desc("n_toxic"), "word").select("word").collect()]
+    # A stem begins four terms at least, and all words that it begins are toxic together.
+    begun = marked.where("size >= 4").select("n_toxic", "n_clean", "likely", "size", F.explode(F.sequence(F.lit(4), "size")).alias("k"), "word")
+    counted = begun.groupBy(F.substring("word", F.lit(1), F.col("k")).alias("prefix")).agg(
+        F.sum("n_toxic").alias("n_toxic"), F.sum("n_clean").alias("n_clean"), F.count_if(F.col("likely") & (F.col("k") < F.col("size"))).alias("n_terms")
+    )
+    stems: set[str] = set()
+    starts = lambda w: any(w[:k] in stems for k in range(4, len(w) + 1))
+    for p in sorted((r["prefix"] for r in counted.where(significant(3 * least) & (F.col("n_terms") >= 4)).select("prefix").collect()), key=lambda p: (len(p), p)):
+        if not starts(p):
+            stems.add(p)
+    return [w for w in terms if not starts(w)], sorted(stems)
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50) -> np.ndarray:
@@ -346,7 +369,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, held_fold: int = 0, max_rows: int = 20_000, max_terms: int = 64) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, held_fold: int = 0, max_rows: int = 20_000) -> Model:
     """Learn the lexicon and the weights from at most ``max_rows`` labelled rows."""
     spark = docs.sparkSession
     train = training_rows(docs, labels, "toxic", held_fold, max_rows).select("text", "label")
@@ -357,7 +380,7 @@ def fit(docs: DataFrame, labels: DataFrame, held_fold: int = 0, max_rows: int =
         w = np.zeros(1 + len(FEATURES))
         w[0] = 35.0 if toxic else -35.0
         return Model(Automaton([], []), w, [], [])
-    terms, stems = learn_lexicon(words, toxic, clean, max_terms)
+    terms, stems = learn_lexicon(words, toxic, clean)
     automaton = Automaton(terms, stems)
     shared = spark.sparkContext.broadcast(automaton)
     columns = ", ".join(f"{f} double" for f in FEATURES) + ", label int"

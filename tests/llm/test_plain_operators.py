@@ -258,6 +258,31 @@ def test_toxicity(spark):
     assert {r["predicted"] for r in toxicity.score_documents(docs, labels.limit(0)).collect()} == {0}
 
 
+def test_toxicity_keeps_every_term(spark):
+    rnd = random.Random(11)
+    make = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(8))
+    fine, bad = [make() for _ in range(60)], [make() for _ in range(200)]
+    text = lambda more: " ".join(rnd.sample([*(rnd.choice(fine) for _ in range(12)), *more], 12 + len(more)))
+    rows = [(i, text([bad[i // 2 % 200]] if i % 2 else [])) for i in range(4800)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
+    got = toxicity.score_documents(docs, labels).collect()
+    assert len(got) == 4800 and all(r["predicted"] == r["doc_id"] % 2 for r in got if r["held_out"])
+    # As many stems: each begins four terms that no clean text has.
+    found = spark.createDataFrame([(w + e, 4, 0) for w in bad for e in ("qa", "rb", "sc", "td")], "word string, n_toxic long, n_clean long")
+    terms, stems = toxicity.learn_lexicon(found, 3200, 3200)
+    assert terms == [] and len(stems) == len({w[:4] for w in bad}) and all(any(w.startswith(s) for s in stems) for w in bad)
+
+
+def test_automaton_starts_anew(monkeypatch):
+    words = ["grumblefoot", "grumblefooot", "snarkwort", "river", "mudbran"]
+    points, _, start, end, _ = toxicity._words([" ".join(words)])
+    a = toxicity.Automaton(["grumblefoot", "snarkwort", "mudbrain"], [])
+    first = a.match(points, start, end).tolist()
+    monkeypatch.setattr(toxicity, "_MOST_CELLS", 0)
+    assert first == a.match(points, start, end).tolist() == [1, 2, 1, 0, 2]
+
+
 def test_automaton_equals_edit_distance():
     def distance(a, b):
         row = list(range(len(b) + 1))
