@@ -60,6 +60,21 @@ def test_redaction_keeps_columns(spark):
     assert out == {1: (1, "to [EMAIL] now", 14, "s"), 2: (2, None, None, None), 3: (3, "none", 4, "t")}
 
 
+def test_wide_generators_add_spans(spark):
+    texts = {
+        1: "write to jo.doe (at) mail [dot] example (dot) org or wait", 2: "host 2001:0db8:85a3:0000:0000:8a2e:0370:7334 is up", 3: "paid by 4111.1111.1111.1111 today", 4: "call us: (212) 555-0100 now",
+        5: "at 10:20:30:40:50:60:70:80", 6: "part 4111.1111.1111.1112 of", 7: "article 212 555 0101", 8: "meet (at) noon (dot) 5", 9: "tel +1 212 555 0100",
+    }
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in pii.pii_report(df).collect()}
+    assert got == {1: "email:9:49", 2: "ip:5:44", 3: "card:8:27", 4: "phone:9:23", 5: "", 6: "", 7: "", 8: "", 9: "phone:4:19"}
+    assert {r["doc_id"]: r["text"] for r in pii.redact(df).collect()}[1] == "write to [EMAIL] or wait"
+    # Numbers that stand in texts with an address, and no others of their form: the trees find the one without.
+    many = [(i, f"a@b.co {200 + i % 700} {300 + i % 600} {1000 + i}") for i in range(600)] + [(600, "see 212 555 0101")]
+    got = {r["doc_id"]: r["spans"] for r in pii.pii_report(spark.createDataFrame(many, "doc_id long, text string")).collect()}
+    assert got[600] == "phone:4:16" and got[0] == "email:0:6,phone:7:19"
+
+
 def test_boosting_learns_and_calibrates():
     rnd = random.Random(1)
     vectors = []
