@@ -32,18 +32,20 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes its words: whole copies, and the leading words of the rest.
+    """Each document as often as the mix takes its words: whole copies, and the picked passages of the rest.
 
-    The rows keep the columns of documents. A copy with part of the words holds the text up to
-    the end of that many words.
+    The rows keep the columns of documents. A copy with part of the words holds the passages that
+    the mix picked, in order, each word with the white space before it; adjacent ones join as they stood.
     """
     others = tuple(c for c in docs.columns if c not in ("doc_id",))
-    mixed = mixing.mix(docs, extra=others)
+    mixed = mixing.mix(docs, extra=others, passages=True)
     whole = F.floor(F.col("taken") / F.greatest(F.lit(1), F.col("size"))).cast("int")
     part = (F.col("taken") - whole * F.col("size")).cast("int")
-    parts = mixed.where("taken > 0").select("doc_id", *others, F.explode(F.concat(F.array_repeat(F.lit(-1), whole), F.when(part > 0, F.array(part)).otherwise(F.expr("cast(array() as array<int>)")))).alias("words"))
+    parts = mixed.where("taken > 0").select("doc_id", *others, "passages", F.explode(F.concat(F.array_repeat(F.lit(-1), whole), F.when(part > 0, F.array(part)).otherwise(F.expr("cast(array() as array<int>)")))).alias("words"))
     words = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++"), F.lit(0))
-    text = F.when(F.col("words") < 0, F.col("text")).otherwise(F.array_join(F.slice(words, F.lit(1), F.greatest(F.lit(0), F.col("words"))), ""))
+    # The array of one binds the words, so that each passage reads them ready.
+    cut = F.transform(F.array(words), lambda w: F.array_join(F.flatten(F.transform("passages", lambda p: F.slice(w, p["start"] + 1, p["words"]))), ""))
+    text = F.when(F.col("words") < 0, F.col("text")).otherwise(F.get(cut, F.lit(0)))
     out = parts.withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length("text").cast("long"))

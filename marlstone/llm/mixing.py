@@ -65,8 +65,12 @@ def _block_words(most: int) -> Column:
     return F.greatest(F.lit(8), F.least(F.lit(most), F.coalesce(F.floor(smallest / 1000), F.lit(most)))).cast("long")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), percent: int = 150, most_copies: int = 2, seed: int = 17, shard_docs: int = 20_000, block_words: int = 256, extra: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, size, source_size, target, taken (words that the mix takes) and ``extra`` of every document."""
+def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), percent: int = 150, most_copies: int = 2, seed: int = 17, shard_docs: int = 20_000, block_words: int = 256, extra: tuple[str, ...] = (), passages: bool = False) -> DataFrame:
+    """doc_id, size, source_size, target, taken (words that the mix takes) and ``extra`` of every document.
+
+    With ``passages`` also ``passages``: the blocks picked besides whole copies, as (start, words) of the
+    document's own words, in order.
+    """
     sized = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source").isNotNull().alias("has_source"),
@@ -96,9 +100,16 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), percent: int = 15
     edge = lambda b: F.floor(b * F.col("shard_size") / F.col("n_blocks")).cast("double")
     picked = lambda b: F.pmod(b * F.lit(_PRIME) + F.col("shift"), F.col("n_blocks")) < F.col("part")
     overlap = lambda b: F.greatest(F.lit(0.0), F.least(F.col("end").cast("double"), edge(b + 1)) - F.greatest(F.col("begin").cast("double"), edge(b)))
-    partial = F.aggregate(F.sequence(F.greatest(F.lit(0), first - 1), F.greatest(F.lit(0), last)), F.lit(0.0), lambda s, b: s + F.when(picked(b), overlap(b)).otherwise(0.0))
+    blocks = F.sequence(F.greatest(F.lit(0), first - 1), F.greatest(F.lit(0), last))
+    partial = F.aggregate(blocks, F.lit(0.0), lambda s, b: s + F.when(picked(b), overlap(b)).otherwise(0.0))
     taken = F.when(F.col("size") == 0, F.lit(0)).otherwise(F.col("whole") * F.col("size") + F.when(F.col("part") > 0, partial).otherwise(0.0)).cast("long")
-    return with_quota.select("doc_id", "size", "source_size", "target", taken.alias("taken"), *extra)
+    found = ["doc_id", "size", "source_size", "target", taken.alias("taken"), *extra]
+    if passages:
+        own = F.filter(blocks, lambda b: picked(b) & (overlap(b) > 0))
+        cut = F.transform(own, lambda b: F.struct((F.greatest(F.col("begin").cast("double"), edge(b)) - F.col("begin")).cast("int").alias("start"), overlap(b).cast("int").alias("words")))
+        none = F.expr("cast(array() as array<struct<start:int,words:int>>)")
+        found.append(F.when((F.col("size") > 0) & (F.col("part") > 0), cut).otherwise(none).alias("passages"))
+    return with_quota.select(*found)
 
 
 def _quotas(shards: DataFrame, key: list[str], most_copies: int, seed: int) -> DataFrame:

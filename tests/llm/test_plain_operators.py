@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from marlstone.llm import embedding_dedup, language_model, mixing, packing, pii, quality, secrets, topk, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -143,6 +144,31 @@ def test_mixing(spark):
     assert mixed(spark, []) == []
 
 
+def test_mix_emits_the_picked_words(spark):
+    rnd = random.Random(6)
+    # Source b is far above its target, so that most of its documents are taken in part.
+    rows = [(i, "\n ".join(f"{i}_{k}" for k in range(rnd.randint(200, 600))) + " ", "ab"[i % 9 > 0]) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    text = {i: t for i, t, _ in rows}
+    want, partial, firsts, lasts = Counter(), 0, 0, 0
+    for r in mixing.mix(docs, passages=True).collect():
+        words = WORD.findall(text[r["doc_id"]])
+        inside = [k for p in r["passages"] for k in range(p["start"], p["start"] + p["words"])]
+        assert inside == sorted(set(inside)) and all(0 <= k < len(words) for k in inside)
+        whole, part = divmod(r["taken"], r["size"])
+        assert part in (0, len(inside)) and len(inside) in (part, r["size"])
+        want.update(w for w in words for _ in range(whole))
+        if part:
+            partial += 1
+            firsts, lasts = firsts + (0 in inside), lasts + (len(words) - 1 in inside)
+            want.update(words[k] for k in inside)
+    out = corpus_pipeline.mix_sources(spark, docs, "").collect()
+    assert partial > 50 and firsts > 10 and lasts > 10
+    assert Counter(w for r in out for w in WORD.findall(r["text"])) == want
+    # Neighbours in a text stay as they stood.
+    assert all(w in text[r["doc_id"]] for r in out for w in re.findall(r"\S+\s+\S+", r["text"]) if len({int(x.split("_")[1]) for x in w.split()} ) == 2 and int(w.split()[1].split("_")[1]) - int(w.split()[0].split("_")[1]) == 1)
+
+
 def test_packing_round_trip(spark):
     rnd = random.Random(4)
     special = ["it's we're they'll I'd 'tis 's x's  's", "a  b\n\n c\t d \n", "", None, "   ", "\n", "café naïve 12ab34 ½ ²", "漢字 and text", "<|endoftext|> hi", "don't'sx 've", "'", "tab\t\tz  ", "nul\x00x", "a​b"]
