@@ -3,14 +3,17 @@
 Candidates are packed as they are read into blocks of about ``block_bytes``, queries into tiles.
 Blocks are dealt over shards; every tile is sent to every shard, and a task multiplies the tiles
 that reach it with its blocks. Of each product only every query's k best stay (partial
-selection). Lists of a query are then merged ``fan`` shards at a time, level by level.
+selection), and a task merges them with those of its tile's earlier products. Lists of a query
+are then merged ``fan`` shards at a time, level by level.
 
 Components are floor(scale * x). Products run in float32 or float64 where the largest component
 proves them exact, else in 64-bit integers, and beyond those in Python's.
 
 Nulls: vectors that are null, or hold null or non-finite components, take no part, nor do rows
 without an id. Only vectors of equal length are compared. A query is not its own candidate: rows
-with its id are left out. Repeated ids are candidates of their own; ties go to the smaller id.
+with its id are left out. Repeated ids are candidates of their own, and equal rows of a query are
+one query; rows of one id with different vectors share a list of the best of all. Ties go to the
+smaller id.
 Other columns are ignored. An empty table gives an empty result.
 """
 
@@ -23,7 +26,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.session import bound_batches
+from marlstone.session import bound_batches, durable
+
+_BATCH_TILES = 32
 
 
 def vectors(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -90,27 +95,59 @@ def _product(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.clip(exact, -(2**63), 2**63 - 1).astype(np.int64)
 
 
+def _kept(lists: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best (query, candidate, score) entries of each query."""
+    query, cand, score = (np.concatenate(x) for x in zip(*lists, strict=True))
+    order = np.lexsort((cand, -score, query))
+    query, cand, score = query[order], cand[order], score[order]
+    starts = np.flatnonzero(np.concatenate(([True], query[1:] != query[:-1]))) if len(query) else np.zeros(0, np.int64)
+    place = np.arange(len(query)) - np.repeat(starts, np.diff(np.append(starts, len(query))))
+    return query[place < k], cand[place < k], score[place < k]
+
+
+def _partial(query: np.ndarray, q: np.ndarray, cand: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, candidate, score) of each query's k best in one product; ``cand`` is sorted."""
+    s = _product(q, c)
+    own = query[:, None] == cand[None, :]
+    keep = min(len(cand), k + int(own.sum(1).max(initial=0)))
+    take = ~own
+    if keep < len(cand):
+        # Scores above the k-th best, and of those equal to it the first.
+        bar = np.partition(s, len(cand) - keep, axis=1)[:, len(cand) - keep][:, None]
+        above, equal = s > bar, s == bar
+        take &= above | (equal & (np.cumsum(equal, 1) <= (keep - above.sum(1))[:, None]))
+    r, col = np.nonzero(take)
+    return query[r], cand[col], s[r, col]
+
+
 def _best(k: int):
+    """Lists from rows (shard, batch, dim, side, ids, cells): a batch's tiles come first and are held, the blocks of the shard pass by."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for query, _, lists in held:
+                if lists:
+                    parts = _kept(lists, k)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(parts[0]), now[0], np.int64)), *(pa.array(x) for x in parts)], ["shard", "query_id", "vec_id", "score"])
+
         for b in batches:
-            for shard, dim, qi, qc, ci, cc in zip(*(b.column(j).to_pylist() for j in range(6)), strict=True):
-                query, cand = np.frombuffer(qi, np.int64), np.frombuffer(ci, np.int64)
-                order = np.argsort(cand, kind="stable")  # ties then go by position
-                cand = cand[order]
-                s = _product(np.frombuffer(qc).reshape(-1, dim), np.frombuffer(cc).reshape(-1, dim)[order])
-                own = query[:, None] == cand[None, :]
-                keep = min(len(cand), k + int(own.sum(1).max(initial=0)))
-                if keep < len(cand):
-                    # Scores above the k-th best, and of those equal to it the first.
-                    bar = np.partition(s, len(cand) - keep, axis=1)[:, len(cand) - keep][:, None]
-                    above = s > bar
-                    equal = s == bar
-                    take = above | (equal & (np.cumsum(equal, 1) <= (keep - above.sum(1))[:, None]))
-                else:
-                    take = np.ones_like(own)
-                take &= ~own
-                r, c = np.nonzero(take)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(r), shard, np.int64)), pa.array(query[r]), pa.array(cand[c]), pa.array(s[r, c])], ["shard", "query_id", "vec_id", "score"])
+            for shard, batch, dim, side, ids, cells in zip(*(b.column(j).to_pylist() for j in range(6)), strict=True):
+                if (shard, batch, dim) != now:
+                    yield from out()
+                    now, held = (shard, batch, dim), []
+                who, m = np.frombuffer(ids, np.int64), np.frombuffer(cells).reshape(-1, dim)
+                if side == 0:
+                    held.append((who, m, []))
+                    continue
+                order = np.argsort(who, kind="stable")  # ties then go by position
+                who, m = who[order], m[order]
+                for query, q, lists in held:
+                    lists.append(_partial(query, q, who, m, k))
+                    if sum(len(x[0]) for x in lists) > 4 * k * len(query):
+                        lists[:] = [_kept(lists, k)]
+        yield from out()
 
     return run
 
@@ -131,10 +168,15 @@ def top_k(candidates: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec
     def rows(df: DataFrame) -> DataFrame:
         return df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long"), F.col(vector_col).cast("array<double>"))
 
-    blocks = rows(candidates).mapInArrow(_pack(scale, block_bytes, False), packed).select((F.pmod(F.xxhash64("number", "ids"), F.lit(shards))).alias("shard"), "dim", F.col("ids").alias("c_ids"), F.col("cells").alias("c_cells"))
-    tiles = rows(queries).mapInArrow(_pack(scale, block_bytes // 8, True), packed).select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1)).cast("array<long>")).alias("shard"), "dim", F.col("ids").alias("q_ids"), F.col("cells").alias("q_cells"))
-    pairs = tiles.join(blocks, ["shard", "dim"]).select("shard", "dim", "q_ids", "q_cells", "c_ids", "c_cells")
-    lists = pairs.mapInArrow(_best(k), "shard long, query_id long, vec_id long, score long")
+    blocks = rows(candidates).mapInArrow(_pack(scale, block_bytes, False), packed).withColumn("shard", F.pmod(F.xxhash64("number", "ids"), F.lit(shards)))
+    tiles = durable(rows(queries).distinct().mapInArrow(_pack(scale, block_bytes // 8, True), packed))
+    # A task holds the tiles of one batch, about _BATCH_TILES, and each block is sent to every batch.
+    n_batches = max(1, -(-tiles.count() // _BATCH_TILES))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<long>"))
+    dealt = tiles.select(every(shards).alias("shard"), F.pmod(F.xxhash64("number", "ids"), F.lit(n_batches)).alias("batch"), "dim", F.lit(0).alias("side"), "ids", "cells")
+    dealt = dealt.unionAll(blocks.select("shard", every(n_batches).alias("batch"), "dim", F.lit(1).alias("side"), "ids", "cells"))
+    met = dealt.repartition(shards, "shard", "batch", "dim").sortWithinPartitions("shard", "batch", "dim", "side")
+    lists = met.mapInArrow(_best(k), "shard long, query_id long, vec_id long, score long")
     groups = shards
     while groups > 1:
         groups = -(-groups // fan)
