@@ -4,10 +4,10 @@ Rule-checked base patterns (assignments, access keys, long hexadecimal runs) are
 Beside them, every candidate string (a long run of key-like characters that mixes letters and
 digits) is scanned by a window. Counts of the window's characters are kept incrementally as it
 slides, one set of counts for each class (lower case, upper case, digits, marks), and the
-entropies of the classes follow from the counts. A candidate is a secret where a window reaches
-the bar of the classes it mixes, and no allow-list rule explains it: identifiers in UUID form,
-paths and addresses, repeated or sequential characters, dates and numbers, placeholder words, and
-candidates given by the caller.
+entropies of the classes follow from the counts. Allow-list rules suppress what they explain and
+no more: identifiers in UUID form, dates and numbers, path segments, placeholder words (each takes
+its own part out of the candidate), repeated or sequential characters, and candidates given by the
+caller. What is left is a secret where one of its windows reaches the bar of the classes it mixes.
 
 Scans whole texts, a row at a time, without a shuffle. Nulls: a null text is an empty one; null
 and repeated ids are rows of their own. An empty table gives an empty result. Other columns are
@@ -34,14 +34,14 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 _DIGIT = re.compile("[0-9]")
-#: Forms that are no secrets, and words that mark examples (fixed values).
+#: Forms that are no secrets: identifiers, dates, and segments of words with a short number (fixed values).
 _ALLOWED = [
     re.compile(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"),
-    re.compile(r"[0-9+/_=-]+"),
-    re.compile(r"(?:[A-Za-z]+[0-9]{0,4}[/_=-]+)*[A-Za-z]+[0-9]{0,4}"),
-    re.compile(r"(?:[a-z]{0,24}[/_=-])*[0-9]{4}-[0-9]{2}-[0-9]{2}(?:[/_=T-].*)?"),
-    re.compile(r".*(?:example|sample|placeholder|dummy|changeme|xxxx|your).*", re.IGNORECASE),
+    re.compile(r"(?<![0-9])[0-9]{4}-[0-9]{2}-[0-9]{2}(?:T[0-9]+)?(?![0-9])"),
+    re.compile(r"(?<![A-Za-z0-9])(?:[a-z]+|[A-Z]+|[A-Z][a-z]+)[0-9]{0,4}(?![A-Za-z0-9])"),
 ]
+#: Words that mark a segment as an example.
+_EXAMPLE = re.compile(r"example|sample|placeholder|dummy|changeme|xxxx|your", re.IGNORECASE)
 WINDOW = 20
 #: Bits of entropy that a window needs, by how many of lower, upper and digits it mixes.
 _BARS = {2: 3.4, 3: 3.6}
@@ -84,14 +84,24 @@ def _regular(s: str) -> bool:
     return 2 * steps > len(s)
 
 
+def _unexplained(s: str) -> list[str]:
+    """The parts of a candidate that no allow-list rule explains."""
+    for p in _ALLOWED:
+        s = p.sub("\n", s)
+    return [x for x in s.split("\n") if len(x) >= WINDOW and not all(_EXAMPLE.search(y) or len(y) < 8 for y in re.split(r"[/_=+-]", x))]
+
+
 def is_secret(s: str, allow: frozenset[str] = frozenset()) -> bool:
-    if s in allow or not _DIGIT.search(s) or any(p.fullmatch(s) for p in _ALLOWED) or _regular(s):
+    if s in allow or not _DIGIT.search(s):
         return False
-    for _, bits, by_class, sizes in window_entropies(s):
-        mixed = sum(n > 1 for n in sizes[:3])
-        # Digits spread through the window, letters of more than one value: not a word with a number.
-        if mixed >= 2 and sizes[2] >= 3 and bits >= _BARS[mixed] and max(by_class[0], by_class[1]) >= 1.5 and by_class[2] >= 1.0:
-            return True
+    for part in _unexplained(s):
+        if _regular(part):
+            continue
+        for _, bits, by_class, sizes in window_entropies(part):
+            mixed = sum(n > 0 for n in sizes[:3])
+            # Letters of several values with digits or the other case among them: not a word with a number.
+            if mixed >= 2 and sizes[2] and bits >= _BARS[mixed] and max(by_class[0], by_class[1]) >= 1.5:
+                return True
     return False
 
 
@@ -104,10 +114,13 @@ def scan(text: str, allow: frozenset[str] = frozenset()) -> tuple[list[tuple[int
         base += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 20]
     base += [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
     base.sort()
-    more = []
-    for m in _CANDIDATE.finditer(text):
+    more, at, reach = [], 0, 0
+    for m in _CANDIDATE.finditer(text):  # in the order of their starts, as the base spans are
         s, e = m.span()
-        if not any(x < e and s < y for x, _, y in base) and is_secret(m[0], allow):
+        while at < len(base) and base[at][0] < e:
+            reach = max(reach, base[at][2])
+            at += 1
+        if reach <= s and is_secret(m[0], allow):
             more.append((s, 3, e))
     return base, sorted(base + more)
 
@@ -117,17 +130,18 @@ def written(spans: list[tuple[int, int, int]]) -> str:
 
 
 def secret_report(docs: DataFrame, allow: frozenset[str] = frozenset()) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, n_entropy, base_sha256 and spans of every document."""
-    names = ["doc_id", "n_assign", "n_access", "n_hex", "n_entropy", "base_sha256", "spans"]
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans and n_entropy of every document."""
+    names = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_entropy"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [scan(x.as_py() or "", allow) for x in b.column(1)]
             n = [[sum(k == kind for _, k, _ in every) for _, every in found] for kind in range(4)]
             digest = [hashlib.sha256(written(base).encode()).hexdigest() for base, _ in found]
-            columns = [b.column(0), *(pa.array(c, pa.int64()) for c in n), pa.array(digest, pa.string()), pa.array([written(every) for _, every in found], pa.string())]
+            counts = [pa.array(c, pa.int64()) for c in n]
+            columns = [b.column(0), *counts[:3], pa.array(digest, pa.string()), pa.array([written(every) for _, every in found], pa.string()), counts[3]]
             yield pa.RecordBatch.from_arrays(columns, names)
 
     bound_batches(docs.sparkSession)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return base.mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, n_entropy long, base_sha256 string, spans string")
+    return base.mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_entropy long")
