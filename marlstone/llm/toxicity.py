@@ -4,13 +4,15 @@ Words whose presence marks toxic training texts make the lexicon; prefixes that
 words share make stems. A trie of the lexicon is intersected with the terms' Levenshtein
 automata (one edit from 5 characters, two from 9) and determinised, as words reach its states, to
 one table that all words of a batch step through together, so misspelled terms are caught at the
-cost of a table look-up per character. A window of words around each hit tells quoted terms from abuse: hits between
-quotation marks and hits outside count as separate features, as does the densest window. A
-logistic model on these features gives the score.
-
-Bounds: ``max_rows`` labelled rows are fitted on. Every word of up to 32 characters that passes the
-test is kept; each is in 4 of those rows, so there are at most a quarter as many as the rows have
-words. Every text is scored whole. Nulls: a null text scores as an empty one; null labels are not learned
+cost of a table look-up per character. Each hit has a score of the window of words around it, which
+separates quotation from abuse: hits outside quotation marks add to it, misspelled ones half, and
+quoted ones take from it; a hit between quotation marks scores nothing. The highest and the mean
+score of a text's windows are features beside its counts of hits, quoted and not. A logistic model
+on these features gives the score.
+
+Bounds: ``max_rows`` labelled rows are fitted on. Every word that passes the test is kept; each is
+in 4 of those rows, so there are at most a quarter as many as the rows have words. Stems have up to
+32 characters; longer words that begin alike are terms of their own. Every text is scored whole. Nulls: a null text scores as an empty one; null labels are not learned
 from; a null id keeps its row and is not held out. Without usable labels of both kinds, every
 score is the share of toxic training rows (0 without any). Other columns are ignored.
 """
@@ -34,7 +36,7 @@ EXACT, FUZZY, STEM = 1, 2, 3
 _WINDOW = 20
 _MOST_CELLS = 10_000_000
 _QUOTES = "\"«»“”„"
-FEATURES = ("hits", "fuzzy", "stem", "quoted", "densest", "per_word")
+FEATURES = ("hits", "fuzzy", "stem", "quoted", "worst", "per_word", "windows")
 
 _tables: dict[str, np.ndarray] = {}
 
@@ -251,6 +253,14 @@ def text_runs(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
         yield at, held
 
 
+def window_scores(place: np.ndarray, kind: np.ndarray, quoted: np.ndarray) -> np.ndarray:
+    """The score of the window around each hit; ``place`` is its word's number, rising."""
+    weight = np.where(quoted, -1.0, np.where(kind == FUZZY, 0.5, 1.0))
+    sums = np.concatenate(([0.0], np.cumsum(weight)))
+    around = sums[np.searchsorted(place, place + _WINDOW, "right")] - sums[np.searchsorted(place, place - _WINDOW, "left")]
+    return np.where(quoted, 0.0, np.maximum(0.0, around))
+
+
 def features(texts: list[str], automaton: Automaton) -> np.ndarray:
     """One row of FEATURES for each text."""
     out = np.zeros((len(texts), len(FEATURES)))
@@ -271,14 +281,11 @@ def features(texts: list[str], automaton: Automaton) -> np.ndarray:
         # The first counts hits of all kinds, so that a misspelling weighs as its term until labels say otherwise.
         out[:, j] = np.bincount(r[((kind[hit] == k) | (k == EXACT)) & ~quoted], minlength=len(texts))
     out[:, 3] = np.bincount(r[quoted], minlength=len(texts))
-    # The most unquoted hits in a window of words: hits from each hit on, by binary search.
-    plain = hit[~quoted]
-    if len(plain):
-        order = plain + row[plain] * (2 * _WINDOW)  # words of different rows are never in one window
-        near = np.searchsorted(order, order + _WINDOW, "left") - np.arange(len(order))
-        np.maximum.at(out[:, 4], row[plain], near)
+    window = window_scores(hit + r * (4 * _WINDOW), kind[hit], quoted)  # words of different rows are never in one window
+    np.maximum.at(out[:, 4], r, window)
     out[:, 5] = out[:, 0] / np.maximum(1, n_words)
-    out[:, :5] = np.log1p(out[:, :5])
+    out[:, 6] = np.bincount(r, window, len(texts)) / np.maximum(1, np.bincount(r, minlength=len(texts)))
+    out[:, [0, 1, 2, 3, 4, 6]] = np.log1p(out[:, [0, 1, 2, 3, 4, 6]])
     out[:, 5] = np.sqrt(out[:, 5])
     return out
 
@@ -289,8 +296,6 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         label = b.column(1).to_pylist()
         for at, texts in text_runs(b.column(0)):
             points, _, start, end, row = _words(texts)
-            keep = end - start <= 32
-            start, end, row = start[keep], end[keep], row[keep]
             raw = points.astype("<u4").tobytes()
             counts: tuple[Counter, Counter] = (Counter(), Counter())
             bounds = tk.row_slices(row, len(texts))
@@ -313,7 +318,7 @@ def learn_lexicon(words: DataFrame, n_toxic: int, n_clean: int, least: int = 4)
     marked = words.withColumn("size", F.char_length("word")).withColumn("likely", significant(least) & (F.col("size") >= 3))
     terms = [r["word"] for r in marked.where("likely").orderBy(F.desc("n_toxic"), "word").select("word").collect()]
     # A stem begins four terms at least, and all words that it begins are toxic together.
-    begun = marked.where("size >= 4").select("n_toxic", "n_clean", "likely", "size", F.explode(F.sequence(F.lit(4), "size")).alias("k"), "word")
+    begun = marked.where("size >= 4").select("n_toxic", "n_clean", "likely", "size", F.explode(F.sequence(F.lit(4), F.least(F.col("size"), F.lit(32)))).alias("k"), "word")
     counted = begun.groupBy(F.substring("word", F.lit(1), F.col("k")).alias("prefix")).agg(
         F.sum("n_toxic").alias("n_toxic"), F.sum("n_clean").alias("n_clean"), F.count_if(F.col("likely") & (F.col("k") < F.col("size"))).alias("n_terms")
     )
