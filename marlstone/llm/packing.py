@@ -1,21 +1,22 @@
 """Packing of tokenised documents into sequences by Karmarkar-Karp multiway differencing.
 
 Each document becomes its token ids and one end id. Whole windows are cut off long documents
-as sequences of their own; what remains of each document waits. When the waiting pieces fill
-``group_windows`` windows, they are split over that many windows: every piece starts as a
-partial partition with one filled part, and the two partial partitions with the widest spread
-are merged, largest parts against smallest, until one partition with near-equal sums is left.
-A window above capacity is cut (documents may be cut anywhere) and the overhang goes to the
-windows with room; where the sums together exceed the capacity, the window count rises first.
+as sequences of their own; what remains is cut in pieces of ``piece_tokens`` at most (documents may
+be cut anywhere) and waits. When the waiting pieces nearly fill ``group_windows`` windows, they are
+split over that many windows: every piece starts as a partial partition with one filled part, and
+the two partial partitions with the widest spread are merged, largest parts against smallest, until
+one partition with near-equal sums is left. It stands as it is. Where one of its windows exceeds the
+capacity, the pieces are split over one window more.
 
 A task packs the rows that it reads, in their order, so nothing is shuffled and the waiting
-pieces of a task are bounded by one group. Only the last group of a task has padding, and its
-last window is split off at powers of two, which need none.
+pieces of a task are bounded by one group. The last window of a task is split off at powers of two,
+which need no padding.
 
 Tokenising: pretokens are found in whole batches of code points (letters, digits, other marks,
 white space, with one leading space), and only distinct ones that the task has not met before
-are given to the tokenizer. Texts with characters outside Latin script, or with special-token
-strings or control characters, are given to the tokenizer whole.
+are given to the tokenizer. Texts with characters outside Latin script, control characters, strings
+of special tokens, or pretokens of over 64 characters (whose hashes could be made to meet) are given
+to the tokenizer whole.
 
 Nulls: a null text is an empty document (one end id); null and repeated ids are packed as any
 other. An empty table gives an empty result. Other columns are ignored.
@@ -40,6 +41,7 @@ from marlstone.session import bound_batches
 U64 = np.uint64
 _CACHE_SLOTS = 1 << 20
 _MOST_POOLED = 1 << 22
+_LONGEST = 64
 _LETTER, _DIGIT, _OTHER, _SPACE, _FOREIGN = 0, 1, 2, 3, 4
 #: Suffixes that split off after an apostrophe (fixed values of the vocabulary's pattern).
 _ONE, _TWO = "stmd", ("re", "ve", "ll")
@@ -73,7 +75,7 @@ class Tokenizer:
         from tokenizers import Tokenizer as File
 
         self.whole = File.from_file(path)
-        self.whole.encode_special_tokens = True
+        self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.end_id = end_id
         # A byte-level token has one character for each byte.
         self.id_bytes = np.zeros(self.whole.get_vocab_size(), np.int64)
@@ -140,6 +142,8 @@ class Tokenizer:
         start = self._starts(points, rows, kind)
         token_row = np.searchsorted(rows, start, "right") - 1
         end = np.append(start[1:], len(points))
+        special = [i for i, t in enumerate(texts) if any(s in t for s in self.special)]
+        odd = np.unique(np.concatenate([odd, token_row[end - start > _LONGEST], np.array(special, np.int64)]))
         if len(odd):
             keep = ~np.isin(token_row, odd)
             start, end, token_row = start[keep], end[keep], token_row[keep]
@@ -252,8 +256,11 @@ def differencing(sizes: np.ndarray, windows: int) -> np.ndarray:
 class _Packer:
     """Packs one task's documents; pieces leave as soon as their window is decided."""
 
-    def __init__(self, first_sequence: int, capacity: int, group_windows: int) -> None:
-        self.next_sequence, self.capacity, self.group = first_sequence, capacity, group_windows
+    def __init__(self, first_sequence: int, capacity: int, group_windows: int, piece_tokens: int) -> None:
+        self.next_sequence, self.capacity, self.piece = first_sequence, capacity, piece_tokens
+        # A few tokens a window are left free for the spread of the partition.
+        self.group = group_windows
+        self.fill = group_windows * (capacity - capacity // 128)
         self.waiting: list[tuple] = []  # (doc_id, start, ids, doc_tokens)
         self.waiting_tokens = 0
         self.rows: list[tuple] = []
@@ -268,76 +275,50 @@ class _Packer:
             self._emit(self.next_sequence, 0, (doc, at, ids[at : at + cap], total))
             self.next_sequence += 1
             at += cap
-        if at < total:
-            rest, room = ids[at:].copy(), self.group * cap - self.waiting_tokens
-            if len(rest) > room:
-                if room:
-                    self.waiting.append((doc, at, rest[:room], total))
-                self.waiting_tokens = self.group * cap
-                self.flush()
-                rest, at = rest[room:], at + room
-            self.waiting.append((doc, at, rest, total))
-            self.waiting_tokens += len(rest)
-            if self.waiting_tokens == self.group * cap:
-                self.flush()
+        while at < total:
+            size = min(self.piece, total - at, self.fill - self.waiting_tokens)
+            self.waiting.append((doc, at, ids[at : at + size].copy(), total))
+            self.waiting_tokens += size
+            at += size
+            if self.waiting_tokens == self.fill:
+                self._place(self.waiting, self.group)
+                self.waiting, self.waiting_tokens = [], 0
 
     def flush(self) -> None:
+        """Place what waits; what does not fill the last window is split at powers of two."""
         pieces, cap = self.waiting, self.capacity
-        if not pieces:
-            return
         self.waiting, tokens, self.waiting_tokens = [], self.waiting_tokens, 0
-        windows = -(-tokens // cap)  # rises with whatever exceeds the capacity so far
-        # What does not fill the last window of a task is kept apart and split at powers of two.
-        rest = tokens - (windows - 1) * cap
+        windows = tokens // (cap - cap // 128)
+        rest = tokens - windows * (cap - cap // 128)
         tail: list[tuple] = []
-        if rest < cap:
-            windows -= 1
-            while rest:
-                doc, start, ids, total = pieces.pop()
-                cut = max(0, len(ids) - rest)
-                tail.append((doc, start + cut, ids[cut:], total))
-                rest -= len(ids) - cut
-                if cut:
-                    pieces.append((doc, start, ids[:cut], total))
+        while rest:
+            doc, start, ids, total = pieces.pop()
+            cut = max(0, len(ids) - rest)
+            tail.append((doc, start + cut, ids[cut:], total))
+            rest -= len(ids) - cut
+            if cut:
+                pieces.append((doc, start, ids[:cut], total))
         if pieces:
             self._place(pieces, windows)
         self._powers(tail[::-1])
 
     def _place(self, pieces: list[tuple], windows: int) -> None:
-        cap = self.capacity
-        window = differencing(np.array([len(p[2]) for p in pieces]), windows)
+        """Split the pieces over ``windows``, or over as many more as keep each within the capacity."""
+        sizes = np.array([len(p[2]) for p in pieces])
+        while True:
+            window = differencing(sizes, windows)
+            if np.bincount(window, sizes, windows).max() <= self.capacity:
+                break
+            windows += 1
         held: list[list[tuple]] = [[] for _ in range(windows)]
         for p, w in zip(pieces, window.tolist(), strict=True):
             held[w].append(p)
-        sums = [sum(len(p[2]) for p in h) for h in held]
-        overhang = []
-        for w in range(windows):
-            over = sums[w] - cap
-            while over > 0:
-                doc, start, ids, total = held[w].pop()
-                cut = max(0, len(ids) - over)
-                overhang.append((doc, start + cut, ids[cut:], total))
-                if cut:
-                    held[w].append((doc, start, ids[:cut], total))
-                over -= len(ids) - cut
-            sums[w] = min(sums[w], cap)
-        room = [w for w in range(windows) if sums[w] < cap]
-        while overhang:
-            doc, start, ids, total = overhang.pop()
-            w = room[-1]
-            cut = min(len(ids), cap - sums[w])
-            held[w].append((doc, start, ids[:cut], total))
-            sums[w] += cut
-            if sums[w] == cap:
-                room.pop()
-            if cut < len(ids):
-                overhang.append((doc, start + cut, ids[cut:], total))
         for h in held:
             offset = 0
             for p in h:
                 self._emit(self.next_sequence, offset, p)
                 offset += len(p[2])
-            self.next_sequence += 1
+            self.next_sequence += len(h) > 0
 
     def _powers(self, pieces: list[tuple]) -> None:
         left = sum(len(p[2]) for p in pieces)
@@ -361,7 +342,7 @@ class _Packer:
 _SCHEMA = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
 
 
-def pack(docs: DataFrame, tokenizer_path: str | None = None, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024, group_windows: int = 128, end_id: int = 0) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str | None = None, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024, group_windows: int = 128, piece_tokens: int = 256, end_id: int = 0) -> DataFrame:
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     tokenizer_path: a byte-level BPE file; None takes the installed ``byte_bpe_50k.json`` of
@@ -375,7 +356,7 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, id_col: str = "doc_
 
             path = public_tokenizers.path("byte_bpe_50k.json")
         tokenizer = Tokenizer(path, end_id)
-        packer = _Packer(TaskContext.get().partitionId() << 36, capacity, group_windows)
+        packer = _Packer(TaskContext.get().partitionId() << 36, capacity, group_windows, min(piece_tokens, capacity))
         for b in batches:
             ids = b.column(0).to_pylist()
             at, texts, size = 0, [], 0
