@@ -62,6 +62,7 @@ class MultiIndex:
 
     def __init__(self, first: np.ndarray, second: np.ndarray, radius2: float) -> None:
         self.books, self.radius2 = (first, second), radius2
+        self.links, self.reached = 0, 0  # of the sample: by brute force, and those that the traversal meets
         self.gaps = []
         for c in self.books:
             d = np.sqrt(np.maximum(0, (c * c).sum(1)[:, None] - 2 * c @ c.T + (c * c).sum(1)))
@@ -102,20 +103,22 @@ class MultiIndex:
 
 def fit_index(sample: np.ndarray, labels: np.ndarray, per_label: float, threshold: float, target_recall: float, per_cell: int = 48) -> MultiIndex:
     """Codebooks of a size that puts about ``per_cell`` vectors of a label in a cell."""
-    k = int(np.clip(np.ceil(np.sqrt(per_label / per_cell)), 2, 256))
+    k = int(np.clip(np.ceil(np.sqrt(per_label / per_cell)), 2, max(2, len(sample) // 16)))
     half = sample.shape[1] // 2
     bound = 2 - 2 * threshold + 1e-9
     index = MultiIndex(kmeans(sample[:, :half], k), kmeans(sample[:, half:], k), bound)
-    if target_recall < 1:
-        needed = []
-        for v in np.unique(labels):
-            u = sample[labels == v][:2000]
-            r, c = np.nonzero(np.triu(u @ u.T >= threshold, 1))
-            if len(r):
-                (own_a, a), (own_b, b) = index.borders(u, 0), index.borders(u, 1)
-                needed.append(a[r, own_a[c]] + b[r, own_b[c]])
-        if needed:
-            index.radius2 = min(bound, float(np.quantile(np.concatenate(needed), target_recall)) + 1e-12)
+    needed = []
+    for v in np.unique(labels):
+        u = sample[labels == v][:2000]
+        r, c = np.nonzero(np.triu(u @ u.T >= threshold, 1))
+        if len(r):
+            (own_a, a), (own_b, b) = index.borders(u, 0), index.borders(u, 1)
+            needed.append(a[r, own_a[c]] + b[r, own_b[c]])
+    if needed:
+        every = np.concatenate(needed)
+        if target_recall < 1:
+            index.radius2 = min(bound, float(np.quantile(every, target_recall)) + 1e-12)
+        index.links, index.reached = len(every), int((every <= index.radius2).sum())
     return index
 
 
@@ -134,8 +137,9 @@ def _entries(shared, visit: bool):
                 index = shared.value.get(d)
                 u, ok = unit(m)
                 rows, u = rows[ok], u[ok]
-                for at in range(0, len(rows), 4096):
-                    part, r = u[at : at + 4096], rows[at : at + 4096]
+                step = 4096 if index is None else max(64, (1 << 20) // len(index.books[0]))
+                for at in range(0, len(rows), step):
+                    part, r = u[at : at + step], rows[at : at + step]
                     if index is None:
                         who, cell = np.arange(len(part)), np.zeros(len(part), np.int64)
                     elif visit:
@@ -207,10 +211,13 @@ def _verify(threshold: float):
     return run
 
 
-def near_duplicates(vecs: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.98, target_recall: float = 1.0, sample_rows: int = 20_000, block_rows: int = 512) -> DataFrame:
-    """vec_id, n_links, component_id and kept of every vector.
+def near_duplicates(vecs: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.98, target_recall: float = 0.9999, sample_rows: int = 20_000, block_rows: int = 512) -> DataFrame:
+    """vec_id, n_links, component_id, kept and sample_recall of every vector.
 
-    sample_rows: the most vectors that the codebooks are fitted on; every vector is indexed.
+    sample_rows: the most vectors that the codebooks are fitted on (16 for each centroid at least);
+    every vector is indexed. target_recall: the share of the sample's links, found by brute force,
+    that the traversal has to meet; at 1 it goes as far as any link can be. sample_recall: the share
+    that it did meet (null where the sample has no link).
     """
     spark = vecs.sparkSession
     bound_batches(spark)
@@ -228,7 +235,9 @@ def near_duplicates(vecs: DataFrame, id_col: str = "vec_id", vector_col: str = "
         if d >= 2:
             u, ok = unit(np.array([r["embedding"] for r in of]))
             indexes[d] = fit_index(u[ok], np.array([r["label"] for r in of])[ok], shape["n"] / max(1, shape["labels"]), threshold, target_recall)
-    shared = spark.sparkContext.broadcast(indexes)  # at most 2 * 256 centroids for each vector length
+    shared = spark.sparkContext.broadcast(indexes)  # at most a sixteenth of the sample as centroids, twice
+    links = sum(i.links for i in indexes.values())
+    recall = F.lit(sum(i.reached for i in indexes.values()) / links if links else None).cast("double")
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     source = classes.select("key", "label", "mult", "embedding")
@@ -239,7 +248,7 @@ def near_duplicates(vecs: DataFrame, id_col: str = "vec_id", vector_col: str = "
     place = ["label", "dim", "cell"]
     # Crowded cells: their visitors are salted, their members sent to each salt.
     blocks = durable(packed[False])
-    crowds = blocks.groupBy(*place).agg(F.least(F.lit(64), F.ceil(F.count("*") / 4)).alias("salts"))
+    crowds = blocks.groupBy(*place).agg(F.ceil(F.count("*") / 4).alias("salts"))
     held = blocks.join(crowds, place).select(*place, F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.col("keys").alias("m_keys"), "mults", F.col("cells").alias("m_cells"))
     coming = packed[True].join(crowds, place).select(*place, F.pmod(F.xxhash64("keys"), F.col("salts")).alias("salt"), F.col("keys").alias("v_keys"), F.col("cells").alias("v_cells"))
     met = coming.join(held, [*place, "salt"]).select("dim", "v_keys", "v_cells", "m_keys", "mults", "m_cells")
@@ -253,4 +262,4 @@ def near_duplicates(vecs: DataFrame, id_col: str = "vec_id", vector_col: str = "
     by_key = named.join(smallest, "root").select("key", "n_links", "component_id")
     inside = members.select("vec_id", "key").join(by_key, "key").select("vec_id", "n_links", "component_id")
     outside = keyed.where("key IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return inside.unionAll(outside).select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    return inside.unionAll(outside).select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"), recall.alias("sample_recall"))
