@@ -45,9 +45,11 @@ def run(args: argparse.Namespace, spark: SparkSession) -> DataFrame:
     if args.command == "lint":
         return quality.document_issues(found, args.as_of)
     if args.command == "skills":
-        return slicing.practice_audit(slicing.skill_packages(docs)[0])
+        skills, references = slicing.skill_packages(docs)
+        scripts = slicing.executable_scripts(markdown.blocks(docs)).select(F.substring(F.concat(F.lit("doc-"), "doc_id"), 1, 64).alias("name"), "language", F.col("code").alias("content"))
+        return slicing.practice_audit(skills, references, scripts)
     if args.command == "search":
-        return retrieval.keyword_search(found, args.query, args.limit)
+        return retrieval.keyword_search(found, args.query, args.limit or 20)
     if args.command == "sparql":
         return sparql.run(sparql.triples(found, links(docs, found)), args.query)
     return sinks.export(found, links(docs, found), args.kind)
@@ -60,11 +62,12 @@ def main() -> None:
     parser.add_argument("--query", default="")
     parser.add_argument("--kind", default="turtle")
     parser.add_argument("--tokens", type=int, default=512)
-    parser.add_argument("--limit", type=int, default=20)
+    parser.add_argument("--limit", type=int, help="rows to print; search prints 20 if it is not given")
     parser.add_argument("--as-of", default="2026-01-01")
     args = parser.parse_args()
     spark = build_session()
-    for row in run(args, spark).limit(args.limit if args.command == "search" else 1000).toLocalIterator():
+    found = run(args, spark)
+    for row in (found if args.limit is None else found.limit(args.limit)).toLocalIterator():
         print(json.dumps(row.asDict(recursive=True), default=str, ensure_ascii=False))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import text as T
 from marlstone.operators import graph, similarity
+from marlstone.session import durable
 
 
 def keyword_score(query: str, title: Column, description: Column, tags: Column, body: Column) -> Column:
@@ -101,6 +102,21 @@ def within_budget(found: DataFrame, order: list[Column], tokens: Column, budget:
     return held.select(F.explode(F.arrays_zip("all", flags.alias("full"))).alias("x")).select("x.all.r.*", "x.full")
 
 
+def global_rank(rows: DataFrame, order: list[Column]) -> DataFrame:
+    """``rows`` with their rank (from 1) in an order without ties, by ranges and not in one task.
+
+    Ranges are numbered within, and each starts where the ranges before it end.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = durable(rows.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id()))
+    sizes = dealt.groupBy("_range").agg(F.count("*").alias("n"))
+    # One row for each range.
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return dealt.withColumn("_place", place).join(F.broadcast(starts), "_range").withColumn("rank", F.col("_start") + F.col("_place")).drop("_range", "_start", "_place")
+
+
 def reciprocal_rank_fusion(lists: list[DataFrame], k: int = 60) -> DataFrame:
     """(id, score) from lists of (id, rank): the sum of 1 / (k + rank)."""
     every = lists[0].select("id", "rank")

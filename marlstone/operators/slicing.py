@@ -8,8 +8,15 @@ from pyspark.sql import functions as F
 from marlstone.functions import text as T
 from marlstone.operators import markdown, quality
 
-# Verbs that open the steps of a procedure, and scopes by words of a title.
-STEP_VERBS = "run execute install configure create deploy verify check build test open set add remove update start stop restart copy move download upload connect enable disable".split()
+# Verbs in titles of procedures, openings of such titles, marks of reference texts, and scopes by words of a title.
+ACTION_VERBS = (
+    "deploy", "install", "configure", "setup", "initialize", "migrate",
+    "build", "run", "execute", "verify", "validate", "test", "audit",
+    "troubleshoot", "rollback", "restore", "backup", "monitor", "scale",
+    "provision", "connect", "authenticate", "authorize", "clean", "format",
+)
+PROCEDURE_TITLE = r"(?i)^(step\s*\d+|phase\s*\d+|part\s*\d+|workflow|procedure|runbook|checklist|instructions|actions)"
+ERROR_CODES = r"(?i)error\s*code|status\s*code|http\s*\d{3}|err_|exception"
 _WEIGHTS = ((r"(?i)law|statut|regulation|compliance", 100), (r"(?i)policy|standard|agreement", 80), (r"(?i)guide|procedure|process", 50))
 
 
@@ -73,14 +80,16 @@ def executable_scripts(blocks: DataFrame, least_lines: int = 8) -> DataFrame:
 
 
 def is_procedural(title: Column, body: Column) -> Column:
-    """By the title, by lines that open with a verb of action, or by the logic score."""
-    verbs = F.regexp_count(body, F.lit(rf"(?im)^\s*(?:\d+\.|[-*])\s+(?:{'|'.join(STEP_VERBS)})\b"))
-    return title.rlike(r"(?i)\b(?:how to|steps?|procedure|workflow|setup|install(?:ation)?|guide|runbook)\b") | (verbs >= 2) | (quality.logic_class(body)["procedural"] >= 45)
+    """By the title's opening or a verb in it, or, of texts of over 20 characters, by the logic score."""
+    low = F.lower(title)
+    named = low.rlike(PROCEDURE_TITLE) | F.exists(F.array(*(F.lit(v) for v in ACTION_VERBS)), lambda v: low.contains(v))
+    return named | ((F.length(body) > 20) & (quality.logic_class(body)["procedural"] >= 45))
 
 
 def is_reference_heavy(body: Column) -> Column:
-    rows = F.regexp_count(body, F.lit(r"(?m)^\s*\|.*\|\s*$"))
-    return (T.word_count(body) > 400) & ((rows > 10) | body.rlike(r"\b(?:ERR|E)[_-]?\d{3,}\b"))
+    """Long texts with more than ten rows of tables, or with error codes."""
+    rows = F.regexp_count(body, F.lit(r"\|.*\|"))
+    return (F.size(F.split(body, r"\s+")) > 400) & ((rows > 10) | body.rlike(ERROR_CODES))
 
 
 def skill_packages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -120,11 +129,49 @@ def container_score(text: Column) -> Column:
     return F.greatest(F.lit(0), score).cast("long")
 
 
-def practice_audit(skills: DataFrame) -> DataFrame:
-    """(name, score, grade): the mean of ten checks of a skill's writing."""
-    b, d = F.col("body"), F.col("description")
-    checks = [
-        F.length("name").between(3, 64), F.length(d).between(40, 1024), d.rlike(r"(?i)\bwhen\b"), T.estimate_tokens(b) <= 5000, b.rlike(r"(?m)^#\s"), b.rlike(r"(?m)^\s*\d+\.\s"), b.rlike(r"```"), b.rlike(r"(?i)\b(?:error|fail|fallback)\b"), b.rlike(r"\]\(references/"), F.size(quality.secret_kinds(b)) == 0,
-    ]
-    score = sum((F.coalesce(c, F.lit(False)).cast("int") for c in checks), F.lit(0)) * 10
-    return skills.select("name", score.cast("long").alias("score"), F.when(score >= 90, "A").when(score >= 75, "B").when(score >= 60, "C").otherwise("D").alias("grade"))
+# The forms that the checks look for.
+TRIGGERS = r"(?i)use\s+when|when\s+instructed|when\s+handling|triggers:|trigger:|activate\s+when|applicable\s+when"
+NUMBERED = r"(?i)(?:###?\s*(?:Step\s*\d+|\d+\.|\d+\))\s+[A-Z]|(?:^|\n)\s*1\.\s+)"
+VERIFIES = r"(?i)(?:verification|verify|validation|validate|check|confirm|expected\s+output)"
+RECOVERS = r"(?i)(?:troubleshooting|error\s+recovery|rollback|fallback|failure|diagnostics)"
+REFERENCE_LINK = r"\[.*?\]\(\./(references/[a-zA-Z0-9_\-./]+\.md)\)"
+
+
+def practice_audit(skills: DataFrame, references: DataFrame, scripts: DataFrame) -> DataFrame:
+    """(name, score, grade, is_compliant, checks): the mean of ten checks of a skill, from 0 to 100.
+
+    skills: name, description, body; references: name, path, content; scripts: name, language,
+    content. Names are unique. Missing texts count as empty ones.
+    """
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    secret = lambda c: text(c).rlike(quality.SECRETS["generic_key"])
+    files = references.groupBy("name").agg(F.count("*").alias("n_refs"), F.sum(T.estimate_tokens(text("content"))).alias("ref_tokens"), F.max(secret("content")).alias("ref_secret"))
+    bash = F.col("language") == "bash"
+    headed = text("content").contains("#!/usr/bin/env bash") | text("content").contains("#!/bin/bash")
+    strict = text("content").contains("set -e")
+    runs = scripts.groupBy("name").agg(F.sum(T.estimate_tokens(text("content"))).alias("script_tokens"), F.max(secret("content")).alias("script_secret"), F.count_if(bash & ~(headed & strict)).alias("loose"))
+    links = skills.select("name", F.explode(F.regexp_extract_all("body", F.lit(REFERENCE_LINK), F.lit(1))).alias("path"))
+    broken = links.join(references.select("name", "path").distinct(), ["name", "path"], "left_anti").groupBy("name").agg(F.count("*").alias("n_broken"))
+    every = skills.select("name", text("description").alias("d"), text("body").alias("b")).join(files, "name", "left").join(runs, "name", "left").join(broken, "name", "left")
+    every = every.fillna(0, ["n_refs", "ref_tokens", "script_tokens", "loose", "n_broken"]).fillna(False, ["ref_secret", "script_secret"]).withColumn("tokens", T.estimate_tokens(F.col("b")))
+    c = F.col
+    total = c("tokens") + c("ref_tokens") + c("script_tokens")
+    named = c("name").rlike(r"^[a-z0-9]+(-[a-z0-9]+)*$") & (F.length("name") <= 64)
+    described, triggered = F.length("d").between(10, 1024), c("d").rlike(TRIGGERS)
+    clean = ~(c("b").rlike(quality.SECRETS["generic_key"]) | c("ref_secret") | c("script_secret"))
+    either = lambda ok, low: F.when(ok, 100).otherwise(low)
+    checks = {
+        "BP-NAME-FORMAT": (either(named, 0), named), "BP-DESC-TRIGGERS": (F.when(described, either(triggered, 65)).otherwise(30), described & triggered),
+        "BP-PROGRESSIVE-DISCLOSURE": (F.when(c("tokens") <= 3500, 100).when(c("tokens") <= 5000, 75).otherwise(20), c("tokens") <= 5000),
+        "BP-JIT-REFERENCES": (F.when(c("n_refs") > 0, 100).when(total < 1500, 90).otherwise(60), (c("n_refs") > 0) | (total < 1500)),
+        "BP-ACTIONABLE-STEPS": (either(c("b").rlike(NUMBERED), 50), c("b").rlike(NUMBERED)), "BP-VERIFICATION-CHECKS": (either(c("b").rlike(VERIFIES), 40), c("b").rlike(VERIFIES)),
+        "BP-ERROR-ROLLBACK": (either(c("b").rlike(RECOVERS), 50), c("b").rlike(RECOVERS)), "BP-SCRIPT-STANDARDS": (either(c("loose") == 0, 70), c("loose") == 0),
+        "BP-SECURITY-SECRETS": (either(clean, 0), clean), "BP-LINK-INTEGRITY": (either(c("n_broken") == 0, 0), c("n_broken") == 0),
+    }
+    rated = every.select("name", F.array(*(F.struct(F.lit(k).alias("id"), s.cast("long").alias("score"), ok.alias("passed")) for k, (s, ok) in checks.items())).alias("checks"))
+    score = T.half_up(F.aggregate("checks", F.lit(0).cast("long"), lambda s, x: s + x["score"]) / len(checks)).cast("long")
+    grade = F.when(score >= 95, "A+").when(score >= 85, "A").when(score >= 70, "B").when(score >= 55, "C").otherwise("F")
+    # What counts as an error where it fails.
+    errors = ("BP-NAME-FORMAT", "BP-PROGRESSIVE-DISCLOSURE", "BP-SECURITY-SECRETS", "BP-LINK-INTEGRITY")
+    fails = F.exists("checks", lambda x: ~x["passed"] & x["id"].isin(*errors))
+    return rated.select("name", score.alias("score"), grade.alias("grade"), ((score >= 80) & ~fails).alias("is_compliant"), "checks")

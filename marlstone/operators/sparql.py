@@ -253,8 +253,11 @@ def _condition(tokens: list[str], compat: bool) -> Column:
         name = words[0].lower()
         variables = [t for t in words if t[:1] in "?$"]
         literals = [_term(t)[1:] if t[:1] in "\"'" else t for t in words if t[:1] not in "?$" and t.lower() not in ("regex", "contains", "lcase", "str", "=", "!=")]
-        if not variables or not literals:
-            continue
+        known = name in ("regex", "contains") or "=" in words or "!=" in words
+        if not known or len(variables) != 1 or not literals or any(t in ("||", "<", ">", "<=", ">=", "!") for t in words):
+            if compat:
+                continue
+            raise ValueError(f"this FILTER is not known: {' '.join(p)}")
         v, value = F.col(variables[0][1:]), literals[0]
         if name == "regex":
             flags = "(?i)" if len(literals) > 1 and "i" in literals[1] else ""

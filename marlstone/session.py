@@ -42,14 +42,19 @@ def shared_dir(spark: SparkSession) -> str:
     return _scratch[0]
 
 
-def durable(df: DataFrame) -> DataFrame:
+#: Sizes are looked at after each row, and not after a hundred: rows of megabytes would make pages of hundreds.
+_WIDE = {"parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1", "parquet.block.size.row.check.min": "1", "parquet.block.size.row.check.max": "1", "compression": "none"}
+
+
+def durable(df: DataFrame, wide: bool = False) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet to the shared folder and read it back.
 
-    The files outlive lost executors, unlike a local checkpoint, and are read by column.
+    The files outlive lost executors, unlike a local checkpoint, and are read by column. ``wide``
+    is for rows of up to megabytes that do not compress, such as packed hashes.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/marlstone-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**(_WIDE if wide else {})).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -63,6 +63,32 @@ def property_graph(concepts: DataFrame, edges: DataFrame) -> tuple[DataFrame, Da
     return nodes, links
 
 
+def _cell(c: Column) -> Column:
+    """A value as a cell of a comma-separated file."""
+    text = F.coalesce(c.cast("string"), F.lit(""))
+    return F.when(text.rlike('[",\n\r]'), F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text)
+
+
+def edges_csv(edges: DataFrame) -> DataFrame:
+    """(line): source, target and kind of each edge, with cells quoted where they must be."""
+    return edges.select(F.concat_ws(",", _cell(F.col("src")), _cell(F.col("dst")), _cell(F.col("kind"))).alias("line"))
+
+
+def lexicon_csv(lexicon: DataFrame) -> DataFrame:
+    """(line): name, category, aliases (with | between) and salience of each entry of a lexicon."""
+    return lexicon.select(F.concat_ws(",", _cell(F.col("name")), _cell(F.col("category")), _cell(F.array_join("aliases", "|")), _cell(F.col("salience"))).alias("line"))
+
+
+def vector_payload(chunks: DataFrame, namespace: str) -> DataFrame:
+    """(id, json): an upsert record of each chunk for a vector store, without its vector.
+
+    chunks: doc_id, chunk_index, total_chunks, embedding_text, breadcrumb, tokens.
+    """
+    ident = F.concat_ws("-", F.lit(namespace), F.col("doc_id").cast("string"), F.col("chunk_index").cast("string"))
+    node = F.struct(ident.alias("id"), F.col("embedding_text").alias("text"), F.struct("doc_id", "chunk_index", "total_chunks", "breadcrumb", "tokens").alias("metadata"))
+    return chunks.select(ident.alias("id"), F.to_json(node).alias("json"))
+
+
 def vault_index(concepts: DataFrame) -> DataFrame:
     """(type, index): a list of links to the concepts of each type."""
     line = F.concat(F.lit("- [["), F.regexp_replace("path", r"\.md$", ""), F.lit("|"), F.col("title"), F.lit("]]"))
@@ -90,7 +116,7 @@ def write_bundle(concepts: DataFrame, edges: DataFrame, folder: str) -> None:
 
 
 def export(concepts: DataFrame, edges: DataFrame, kind: str) -> DataFrame:
-    """One column ``line``: turtle or ttl, jsonld, skos, mcp, csv; anything else gives the vault's index."""
+    """One column ``line``: turtle or ttl, jsonld, skos, mcp, csv, neo4j; index (the vault's), summary."""
     if kind in ("turtle", "ttl"):
         return turtle(concepts, edges).select(F.col("turtle").alias("line"))
     if kind in ("jsonld", "schema-org", "compacted"):
@@ -99,4 +125,13 @@ def export(concepts: DataFrame, edges: DataFrame, kind: str) -> DataFrame:
         return skos(concepts, edges).select(F.col("json").alias("line"))
     if kind == "mcp":
         return tool_resources(concepts).select(F.col("json").alias("line"))
-    return vault_index(concepts).select(F.col("index").alias("line"))
+    if kind == "csv":
+        return edges_csv(edges)
+    if kind == "neo4j":
+        nodes, links = property_graph(concepts, edges)
+        return nodes.select(F.col("statement").alias("line")).unionAll(links.select(F.col("statement").alias("line")))
+    if kind == "summary":
+        return summary_index(concepts).select(F.col("json").alias("line"))
+    if kind in ("index", "vault"):
+        return vault_index(concepts).select(F.col("index").alias("line"))
+    raise ValueError(f"no export of the kind {kind}")

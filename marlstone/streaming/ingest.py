@@ -13,8 +13,8 @@ def document_stream(spark: SparkSession, folder: str, schema: str = "doc_id long
 
 
 def latest(rows: DataFrame, key: str = "doc_id", order: str = "at") -> DataFrame:
-    """The last row of each key."""
-    n = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))
+    """The last row of each key; of equal times the one with the largest hash of all its columns."""
+    n = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order), F.desc(F.xxhash64(*sorted(rows.columns)))))
     return rows.withColumn("_n", n).where("_n = 1").drop("_n")
 
 
@@ -27,7 +27,10 @@ def upsert_into(stream: DataFrame, table: str, checkpoint: str, key: str = "doc_
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        new = latest(batch, key, order).withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)))
+        # The batch is read once, into a staged table, and everything else starts from there.
+        arrived = f"{table.rstrip('/')}_arrived/{number}"
+        latest(batch, key, order).withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets))).write.mode("overwrite").parquet(arrived)
+        new = spark.read.parquet(arrived)
         touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # ``buckets`` numbers at most
         if not touched:
             return
