@@ -52,10 +52,6 @@ def graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.graph_search(inputs.concepts(spark, sf_dir), inputs.edges(spark, sf_dir), "supplier of nation_1", k=3, hops=1).select("id", "hop", "score", "via")
 
 
-def cyclic_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.cyclic_nodes(inputs.edges(spark, sf_dir))
-
-
 def backlinks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.backlinks(inputs.edges(spark, sf_dir)).select("id", "n_sources", F.array_join("sources", ",").alias("sources"))
 
@@ -135,8 +131,7 @@ def document_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def validation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    some = inputs.concepts(spark, sf_dir).where("id IN ('c1', 'c2', 'c3')")
-    return quality.report(quality.document_issues(some, AS_OF))
+    return quality.report(quality.document_issues(inputs.concepts(spark, sf_dir), AS_OF))
 
 
 def bundle_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,23 +139,6 @@ def bundle_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.bundle_summary(c, quality.document_issues(c, AS_OF), AS_OF).drop("readability")
 
 
-def certificate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = inputs.concepts(spark, sf_dir)
-    summary = quality.bundle_summary(c, quality.document_issues(c, AS_OF), AS_OF)
-    return quality.certificate(summary, 0, 0, True, False, 3)
-
-
-def skill_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = inputs.concepts(spark, sf_dir)
-    skills = c.select(F.when(F.col("status") == "draft", F.col("title")).otherwise(F.col("id")).alias("name"), "description", F.concat("body", F.lit("\nSee [notes](references/"), "id", F.lit(".md).")).alias("body"), F.array(F.col("type")).alias("tools"))
-    held = c.where("type = 'table'").select(F.when(F.col("status") == "draft", F.col("title")).otherwise(F.col("id")).alias("name"), F.concat(F.lit("references/"), "id", F.lit(".md")).alias("path"))
-    return quality.skill_issues(skills, held)
-
-
-def export_turtle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sinks.turtle(inputs.concepts(spark, sf_dir), inputs.edges(spark, sf_dir))
-
-
 def export_jsonld(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.json_ld(inputs.concepts(spark, sf_dir), inputs.edges(spark, sf_dir))
 
@@ -281,7 +259,7 @@ ORACLES = {
     "sparql_construct": f"WITH {_T} SELECT DISTINCT o AS s, 'urn:okf:ontology#neededBy' AS p, s AS o FROM t WHERE p = 'urn:okf:ontology#dependsOn'",
     "sparql_describe": f"WITH {_T}, u AS (SELECT {_U} AS u FROM ({_C}) c WHERE id = 'c1') SELECT s, p, o FROM t WHERE s = (SELECT u FROM u) OR o = (SELECT u FROM u)",
     "document_issues": f"WITH {_ISSUES} SELECT * FROM j",
-    "validation_report": f"WITH {_ISSUES} SELECT count(*) FILTER (severity = 'error') AS n_error, count(*) FILTER (severity = 'warning') AS n_warning, count(*) FILTER (severity = 'info') AS n_info, CAST(greatest(0, 100 - 15 * count(*) FILTER (severity = 'error') - 5 * count(*) FILTER (severity = 'warning') - count(*) FILTER (severity = 'info')) AS BIGINT) AS score, count(*) FILTER (severity = 'error') = 0 AS is_valid FROM j WHERE id IN ('c1', 'c2', 'c3')",
+    "validation_report": f"WITH {_ISSUES} SELECT count(*) FILTER (severity = 'error') AS n_error, count(*) FILTER (severity = 'warning') AS n_warning, count(*) FILTER (severity = 'info') AS n_info, CAST(greatest(0, 100 - 15 * count(*) FILTER (severity = 'error') - 5 * count(*) FILTER (severity = 'warning') - count(*) FILTER (severity = 'info')) AS BIGINT) AS score, count(*) FILTER (severity = 'error') = 0 AS is_valid FROM j",
     "bundle_summary": f"""
         WITH {_ISSUES}, w AS (SELECT id, max(CASE severity WHEN 'error' THEN 2 WHEN 'warning' THEN 1 ELSE 0 END) AS worst FROM j GROUP BY id), x AS (SELECT c.*, coalesce(worst, 0) AS worst FROM ({_C}) c LEFT JOIN w USING (id))
         SELECT count(*) AS n_concepts, count(*) FILTER (worst = 2) AS with_errors, count(*) FILTER (worst = 1) AS with_warnings, count(*) FILTER (worst = 0) AS valid, count(*) FILTER (trust_tier = 'unverified') AS unverified, count(*) FILTER (trust_tier = 'machine-confirmed') AS machine_confirmed, count(*) FILTER (trust_tier = 'human-reviewed') AS human_reviewed,
@@ -317,8 +295,8 @@ ORACLES = {
 QUERIES = {
     f.__name__: f
     for f in (
-        resolved_edges, broken_links, dead_edges, degrees, graph_metrics, pagerank, reach_two_hops, graph_search, cyclic_nodes, backlinks, top_nodes, prerequisites, semantic_graph, triples, sparql_select, sparql_optional, sparql_chain,
-        sparql_distinct, sparql_ask, sparql_construct, sparql_describe, document_issues, validation_report, bundle_summary, certificate, skill_issues, export_turtle, export_jsonld, export_vault_index, md_sections, md_wikilinks, md_links,
+        resolved_edges, broken_links, dead_edges, degrees, graph_metrics, pagerank, reach_two_hops, graph_search, backlinks, top_nodes, prerequisites, semantic_graph, triples, sparql_select, sparql_optional, sparql_chain,
+        sparql_distinct, sparql_ask, sparql_construct, sparql_describe, document_issues, validation_report, bundle_summary, export_jsonld, export_vault_index, md_sections, md_wikilinks, md_links,
         md_code_blocks, md_fence_parity, md_blocks, md_chunks, md_concepts, document_chunks, page_windows, table_markdown, lexicon_merge, history_upsert, selection_totals,
     )
 }
@@ -342,7 +320,7 @@ def asset_references(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def skill_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return slicing.practice_audit(slicing.skill_packages(inputs.markdown(spark, sf_dir))[0])
+    return slicing.skill_packages(inputs.markdown(spark, sf_dir))[0]
 
 
 def container_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

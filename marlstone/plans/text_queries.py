@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.functions import text as T
-from marlstone.operators import entities, quality, retrieval, similarity
+from marlstone.operators import entities, retrieval, similarity
 from marlstone.plans import inputs
 from marlstone.session import table
 
@@ -49,8 +49,8 @@ def term_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def term_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir)
-    tf = similarity.term_frequencies(docs, "doc_id", F.col("text"))
-    return similarity.inverse_frequencies(tf, docs.count()).select("term", "df", F.round("idf", 8).alias("idf"))
+    held = docs.select(F.explode(F.array_distinct(T.tokenize(F.col("text")))).alias("term"))
+    return similarity.inverse_frequencies(held, docs.count()).select("term", "df", F.round("idf", 8).alias("idf"))
 
 
 def cosine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,7 +84,7 @@ def lexical_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rank_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    ranked = lambda c: docs.select(F.col("doc_id").alias("id"), c.alias("v")).orderBy(F.desc("v"), "id").limit(200).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("v"), "id")))  # noqa: E731  200 rows
+    ranked = lambda c: retrieval.global_rank(docs.select(F.col("doc_id").alias("id"), c.alias("v")), [F.desc("v"), F.col("id")]).select("id", "rank")
     return retrieval.reciprocal_rank_fusion([ranked(F.length("text")), ranked(T.word_count(F.col("text")))]).select(F.col("id").alias("doc_id"), F.round("score", 8).alias("score"))
 
 
@@ -94,24 +94,6 @@ def dense_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.dense_top_k(v, query, 10).select("vec_id", F.round("cosine", 6).alias("cosine"))
 
 
-def logic_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = inputs.concepts(spark, sf_dir)
-    return c.select("id", *(x.alias(n) for n, x in quality.logic_class(F.col("body")).items()))
-
-
-def deadlines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = inputs.sql(spark, sf_dir, _DEADLINES)
-    return quality.deadlines(texts)
-
-
-def text_complexity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).select("doc_id", *(x.alias(n) for n, x in quality.text_complexity(F.col("text"), F.lit(2)).items()))
-
-
-def secret_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).select("doc_id", F.explode(quality.secret_kinds(F.col("text"))).alias("kind"))
-
-
 def pattern_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = inputs.concepts(spark, sf_dir)
     return c.select("id", F.explode(entities.pattern_entities(F.col("body"))).alias("e")).select("id", "e.text", "e.category", "e.confidence")
@@ -135,7 +117,6 @@ def facets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inputs.concepts(spark, sf_dir).select(F.explode("tags").alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
 
 
-_DEADLINES = "SELECT n_nationkey AS doc_id, 'Pay within ' || CASE n_nationkey % 3 WHEN 0 THEN '30' WHEN 1 THEN 'thirty' ELSE 'two' END || CASE n_nationkey % 2 WHEN 0 THEN ' business days' ELSE ' months' END || ' of ' || CASE n_nationkey % 4 WHEN 0 THEN 'breach' ELSE 'delivery' END || ', reviewed quarterly.' AS text FROM nation"
 _SYLLABLES = r"CASE WHEN length(regexp_replace(lower(w), '[^a-z]', '', 'g')) <= 3 THEN 1 ELSE greatest(1, len(regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(lower(w), '[^a-z]', '', 'g'), '(?:[^laeiouy]|ed|es|e)$', ''), '^y', ''), '[aeiouy]{1,2}'))) END"
 _N = lambda p, c="text": f"CAST(len(regexp_extract_all({c}, '{p}')) AS BIGINT)"
 _HAS = lambda *w: "(" + " OR ".join(f"contains(lower({_TITLE}), '{x}')" for x in w) + ")"
@@ -219,20 +200,10 @@ ORACLES = {
         SELECT id, round(list_sum(list_transform(['supplier', 'region', 'install'], lambda w: CASE WHEN contains(t, w) THEN 5.0 WHEN contains(g, w) THEN 3.0 WHEN contains(d, w) THEN 2.0 WHEN contains(b, w) THEN 0.5 ELSE 0.0 END))::DOUBLE / 15.0::DOUBLE, 6) AS score FROM c""",
     "rank_fusion": r"""
         WITH a AS (SELECT doc_id, row_number() OVER (ORDER BY length(text) DESC, doc_id) AS rank FROM documents), b AS (SELECT doc_id, row_number() OVER (ORDER BY len(regexp_extract_all(text, '\S+')) DESC, doc_id) AS rank FROM documents)
-        SELECT doc_id, round(sum(1.0e0 / (60 + rank)), 8) AS score FROM (SELECT * FROM a WHERE rank <= 200 UNION ALL SELECT * FROM b WHERE rank <= 200) GROUP BY doc_id""",
+        SELECT doc_id, round(sum(1.0e0 / (60 + rank)), 8) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY doc_id""",
     "dense_top_k": """
         WITH q AS (SELECT embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id = 0)
         SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT e FROM q)), 6) AS cosine FROM embeddings ORDER BY list_cosine_similarity(embedding::DOUBLE[], (SELECT e FROM q)) DESC, vec_id LIMIT 10""",
-    "logic_class": f"""
-        WITH c AS ({inputs.CONCEPTS}) SELECT id, CAST(floor(100 * 2.5e0 / (2.5e0 + 0.1e0) + 0.5) AS BIGINT) AS procedural, CAST(100 - floor(100 * 2.5e0 / (2.5e0 + 0.1e0) + 0.5) AS BIGINT) AS declarative, 'skill' AS target FROM c""",
-    "deadlines": f"""
-        WITH t AS ({_DEADLINES}), m AS (SELECT doc_id, regexp_extract(text, '(within .*?), reviewed', 1) AS raw FROM t)
-        SELECT doc_id, 'relative_deadline' AS kind, raw, CAST(CASE doc_id % 3 WHEN 0 THEN 30 WHEN 1 THEN 30 ELSE 2 END AS BIGINT) AS amount, CASE doc_id % 2 WHEN 0 THEN 'business_days' ELSE 'months' END AS unit,
-          CASE doc_id % 4 WHEN 0 THEN 'breach' ELSE 'delivery' END AS trigger, CASE doc_id % 4 WHEN 0 THEN 'mandatory_breach' ELSE 'operational_sla' END AS force FROM m
-        UNION ALL SELECT doc_id, 'periodic_schedule', 'quarterly', NULL, NULL, NULL, 'operational_sla' FROM t""",
-    "secret_kinds": r"""
-        SELECT doc_id, kind FROM (SELECT doc_id, unnest([CASE WHEN regexp_matches(text, '(?i)(?:api[_-]?key|secret[_-]?key|access[_-]?token)\s*[:=]\s*[''"][a-zA-Z0-9_\-]{20,}[''"]') THEN 'generic_key' END, CASE WHEN regexp_matches(text, 'sk-[a-zA-Z0-9]{32,}') THEN 'sk_key' END,
-          CASE WHEN regexp_matches(text, 'gh[pousr]-[a-zA-Z0-9]{36}') THEN 'gh_token' END, CASE WHEN regexp_matches(text, 'AKIA[0-9A-Z]{16}') THEN 'access_id' END, CASE WHEN regexp_matches(text, '-----BEGIN (?:RSA )?PRIVATE KEY-----') THEN 'private_key' END]) AS kind FROM documents) WHERE kind IS NOT NULL""",
     "lexicon_matches": f"""
         WITH c AS ({inputs.CONCEPTS}), m AS (SELECT c.id AS doc_id, n_name AS name, len(regexp_extract_all(lower(body), '\\b' || lower(n_name) || '\\b')) AS occurrences FROM c JOIN nation ON contains(lower(body), lower(n_name)) WHERE n_nationkey <> 3)
         SELECT doc_id, name, CAST(occurrences AS BIGINT) AS occurrences, round(least(1.0e0, 0.5e0 + 0.05e0 * occurrences), 6) AS salience, lower(name) AS tag FROM m WHERE occurrences > 0""",
@@ -242,4 +213,4 @@ ORACLES = {
     "facets": f"SELECT tag, count(*) AS n FROM (SELECT unnest([tag_a, tag_b]) AS tag FROM ({inputs.CONCEPTS}) c) GROUP BY tag",
 }
 
-QUERIES = {f.__name__: f for f in (doc_stats, token_estimates, readability, content_quality, types_and_slugs, term_frequency, term_idf, cosine_pairs, jaccard_pairs, keyphrases, tfidf_search, keyword_search, lexical_scores, rank_fusion, dense_top_k, logic_class, deadlines, text_complexity, secret_kinds, pattern_entities, noun_phrases, lexicon_matches, tag_cooccurrence, facets)}
+QUERIES = {f.__name__: f for f in (doc_stats, token_estimates, readability, content_quality, types_and_slugs, term_frequency, term_idf, cosine_pairs, jaccard_pairs, keyphrases, tfidf_search, keyword_search, lexical_scores, rank_fusion, dense_top_k, pattern_entities, noun_phrases, lexicon_matches, tag_cooccurrence, facets)}

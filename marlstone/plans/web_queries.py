@@ -11,7 +11,7 @@ from marlstone.session import table
 
 def url_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = F.col("url")
-    return table(spark, sf_dir, "pages").select("page_id", web.host(u).alias("host"), web.path(u).alias("path"), web.is_page_url(u).alias("is_page"), web.without_tracking(F.regexp_replace(u, "#.*$", "")).alias("clean"), F.coalesce(web.unsafe_reason(u), F.lit("")).alias("unsafe"))
+    return table(spark, sf_dir, "pages").select("page_id", web.host(u).alias("host"), web.path(u).alias("path"), web.is_page_url(u).alias("is_page"), web.without_tracking(F.regexp_replace(u, "#.*$", "")).alias("clean"))
 
 
 def path_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,11 +26,6 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return web.articles(table(spark, sf_dir, "pages")).select("page_id", "title", "words", "reading_minutes", "markdown")
 
 
-def text_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("see ["), F.col("page_id"), F.lit("]("), "url", F.lit(") and "), "url", F.lit(".")).alias("text"))
-    return p.select("page_id", F.explode(web.web_links(F.col("text"))).alias("link"))
-
-
 def merged_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return web.merged_digest(table(spark, sf_dir, "conversations"), "conv_id", "turn", F.concat(F.lit("Turn "), F.col("turn"), F.lit(" by "), F.col("role")), F.col("text"))
 
@@ -47,7 +42,7 @@ _ENDINGS = "|".join(web.NOT_PAGES)
 ORACLES = {
     "url_checks": rf"""
         SELECT page_id, {_HOST} AS host, {_PATH} AS path, regexp_matches(url, '^(?i)https?://[^/?#\s]+') AND NOT regexp_matches(lower({_PATH}), '\.(?:{_ENDINGS})(?:/|$)') AS is_page,
-          regexp_replace(regexp_replace(regexp_replace(url, '#.*$', ''), '([?&])(?:(?:utm_source|utm_medium|utm_campaign|ref)=[^&#]*(?:&|$))+', '\1', 'g'), '[?&]$', '') AS clean, '' AS unsafe FROM pages""",
+          regexp_replace(regexp_replace(regexp_replace(url, '#.*$', ''), '([?&])(?:(?:utm_source|utm_medium|utm_campaign|ref)=[^&#]*(?:&|$))+', '\1', 'g'), '[?&]$', '') AS clean FROM pages""",
     "path_tree": rf"""
         WITH s AS (SELECT list_filter(string_split({_PATH}, '/'), lambda x: x <> '') AS g FROM pages), e AS (SELECT g, unnest(range(1, len(g) + 1)) AS depth FROM s WHERE len(g) > 0)
         SELECT '/' || array_to_string(g[1:depth], '/') AS path, CAST(depth AS INTEGER) AS depth, count(*) AS n_urls FROM e GROUP BY 1, 2""",
@@ -59,4 +54,4 @@ ORACLES = {
         WITH l AS (SELECT DISTINCT s_nationkey AS a, (s_nationkey * 2 + s_suppkey % 3) % 25 AS b FROM supplier), h1 AS (SELECT DISTINCT b AS k FROM l WHERE a = 1 AND b <> 1), h2 AS (SELECT DISTINCT b AS k FROM l WHERE a IN (SELECT k FROM h1) AND b <> 1 AND b NOT IN (SELECT k FROM h1))
         SELECT 'https://s' || k || '.example.com/' AS url, d AS depth FROM (SELECT 1 AS k, 0 AS d UNION ALL SELECT k, 1 FROM h1 UNION ALL SELECT k, 2 FROM h2)""",
 }
-QUERIES = {f.__name__: f for f in (url_checks, path_tree, page_links, articles, text_links, merged_digest, crawl)}
+QUERIES = {f.__name__: f for f in (url_checks, path_tree, page_links, articles, merged_digest, crawl)}
