@@ -136,7 +136,7 @@ def validation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bundle_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = inputs.concepts(spark, sf_dir)
-    return quality.bundle_summary(c, quality.document_issues(c, AS_OF), AS_OF).drop("readability")
+    return quality.bundle_summary(c, quality.document_issues(c, AS_OF), AS_OF)
 
 
 def export_jsonld(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -223,6 +223,12 @@ _ISSUES = f"""i AS (SELECT id, unnest([
     CASE WHEN try_cast(stale_after AS DATE) IS NULL THEN 'ERR_INVALID_DATE_FORMAT' END, CASE WHEN try_cast(stale_after AS DATE) < DATE '{AS_OF}' THEN 'WARN_CONCEPT_STALE' END,
     CASE WHEN status NOT IN ('draft', 'stable', 'deprecated') THEN 'WARN_UNKNOWN_STATUS' END, CASE WHEN computation <> '' AND runtime = '' THEN 'WARN_MISSING_COMPUTATION_RUNTIME' END]) AS code FROM ({_C}) c),
   j AS (SELECT id, code, CASE WHEN code LIKE 'ERR%' THEN 'error' WHEN code LIKE 'WARN%' THEN 'warning' ELSE 'info' END AS severity FROM i WHERE code IS NOT NULL)"""
+_ACTS = r"(regexp_matches(body, '(?im)^\s*(?:\d+\.|\*|-)\s+(?:install|run|configure|create|open|navigate|execute|add|set|build|deploy|verify)') OR regexp_matches(body, '(?is)```[a-z0-9]*\n.*?```') OR regexp_matches(body, '\|(?:\s*[-:]+\s*\|)+'))"
+_LOOSE = r"len(list_distinct(list_transform(regexp_extract_all(body, '(?i)\b(?:maybe|perhaps|probably|likely|somehow|somewhere|sometime|stuff|things?|etc\.?|and so on|kind of|sort of|as needed|appropriately|whatever|to be decided|tbd|in theory|usually|mostly|normally)\b'), lambda x: lower(x))))"
+_NW = r"greatest(1, len(regexp_extract_all(body, '\S+')))"
+_NS = r"greatest(1, len(list_filter(string_split_regex(body, '[.!?]+(?:\s+|$)'), lambda s: length(trim(s)) > 3)))"
+_LOW = "regexp_replace(lower(w), '[^a-z]', '', 'g')"
+_SY = rf"coalesce(list_sum(list_transform(regexp_extract_all(body, '\S+'), lambda w: CASE WHEN length({_LOW}) <= 3 THEN 1 ELSE greatest(1, len(regexp_extract_all(regexp_replace(regexp_replace({_LOW}, '(?:[^laeiouy]|ed|es|e)$', ''), '^y', ''), '[aeiouy]{{1,2}}'))) END)), 0)"
 _LINES = f"""l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_no FROM ({inputs.MARKDOWN}) m),
   p AS (SELECT doc_id, line_no, line, starts_with(ltrim(line), '```') AS is_fence, coalesce(sum(CAST(starts_with(ltrim(line), '```') AS INT)) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 2 = 1 AS in_fence FROM l)"""
 
@@ -247,6 +253,18 @@ ORACLES = {
         WITH e AS (SELECT src AS a, dst AS b FROM ({_E}) x UNION SELECT dst, src FROM ({_E}) y), h1 AS (SELECT DISTINCT b AS id FROM e WHERE a IN ('c1', 'c2') AND b NOT IN ('c1', 'c2')),
         h2 AS (SELECT DISTINCT b AS id FROM e WHERE a IN (SELECT id FROM h1) AND b NOT IN (SELECT id FROM h1) AND b NOT IN ('c1', 'c2'))
         SELECT 'c1' AS id, 0 AS hop UNION ALL SELECT 'c2', 0 UNION ALL SELECT id, 1 FROM h1 UNION ALL SELECT id, 2 FROM h2""",
+    "graph_search": f"""
+        WITH RECURSIVE n AS (SELECT id FROM ({_C}) c), k AS (SELECT count(*) AS k FROM n), e AS ({_E}), f AS (SELECT src, count(*) AS fan FROM e GROUP BY src),
+        r(it, id, rank) AS (
+          SELECT 0, id, 1.0e0 / k FROM n, k
+          UNION ALL
+          (WITH c AS (SELECT it, id, rank FROM r), g AS (SELECT e.dst AS id, sum(c.rank / f.fan) AS got FROM c JOIN e ON e.src = c.id JOIN f ON f.src = c.id GROUP BY e.dst), d AS (SELECT coalesce(sum(rank), 0) AS loose FROM c WHERE id NOT IN (SELECT src FROM f))
+           SELECT c.it + 1, c.id, 0.15e0 / k + 0.85e0 * (coalesce(g.got, 0) + d.loose / k) FROM c CROSS JOIN d CROSS JOIN k LEFT JOIN g ON g.id = c.id WHERE c.it < 15)),
+        x AS (SELECT id, trust_tier, list_sum(list_transform(['supplier', 'nation'], lambda w: CASE WHEN contains(lower(title), w) THEN 5.0e0 WHEN contains(lower(tag_a || ' ' || tag_b), w) THEN 3.0e0 WHEN contains(lower(description), w) THEN 2.0e0 WHEN contains(lower(body), w) THEN 0.5e0 ELSE 0.0e0 END)) / 10.0e0 AS lexical FROM ({_C}) c),
+        s AS (SELECT id, floor(score * 100 + 0.5) / 100 AS score, row_number() OVER (ORDER BY score DESC, id) AS ord FROM (SELECT x.id, (lexical * 0.5e0 + rank * 5.0e0 * 0.5e0) * CASE WHEN trust_tier = 'human-reviewed' THEN 1.25e0 ELSE 1.0e0 END AS score FROM x JOIN r ON r.id = x.id AND r.it = 15 WHERE lexical > 0.05) q ORDER BY q.score DESC, id LIMIT 3),
+        w AS (SELECT e.dst AS id, s.ord, 0 AS way, kind, floor(s.score * 0.75e0 * 100 + 0.5) / 100 AS score FROM s JOIN e ON e.src = s.id UNION ALL SELECT e.src, s.ord, 1, kind, floor(s.score * 0.85e0 * 100 + 0.5) / 100 FROM s JOIN e ON e.dst = s.id),
+        h AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ord, way, kind) AS place FROM w WHERE id NOT IN (SELECT id FROM s))
+        SELECT id, 0 AS hop, score, NULL AS via FROM s UNION ALL SELECT id, 1, score, kind FROM h WHERE place = 1""",
     "backlinks": f"SELECT dst AS id, count(DISTINCT src) AS n_sources, string_agg(DISTINCT src, ',' ORDER BY src) AS sources FROM ({_E}) e GROUP BY dst",
     "top_nodes": f"SELECT id FROM ({_C}) c WHERE id NOT IN (SELECT dst FROM ({_E}) e)",
     "prerequisites": f"SELECT id FROM ({_C}) c WHERE id IN ('c1', 'c2', 'c5') OR id IN (SELECT dst FROM ({_E}) e WHERE kind = 'depends_on' AND src IN ('c1', 'c2', 'c5'))",
@@ -264,7 +282,8 @@ ORACLES = {
         WITH {_ISSUES}, w AS (SELECT id, max(CASE severity WHEN 'error' THEN 2 WHEN 'warning' THEN 1 ELSE 0 END) AS worst FROM j GROUP BY id), x AS (SELECT c.*, coalesce(worst, 0) AS worst FROM ({_C}) c LEFT JOIN w USING (id))
         SELECT count(*) AS n_concepts, count(*) FILTER (worst = 2) AS with_errors, count(*) FILTER (worst = 1) AS with_warnings, count(*) FILTER (worst = 0) AS valid, count(*) FILTER (trust_tier = 'unverified') AS unverified, count(*) FILTER (trust_tier = 'machine-confirmed') AS machine_confirmed, count(*) FILTER (trust_tier = 'human-reviewed') AS human_reviewed,
           count(*) FILTER (status = 'stable') AS stable, count(*) FILTER (status = 'draft') AS draft, count(*) FILTER (status = 'deprecated') AS deprecated, count(*) FILTER (try_cast(stale_after AS DATE) < DATE '{AS_OF}') AS n_stale, count(*) FILTER (try_cast(stale_after AS DATE) >= DATE '{AS_OF}' OR try_cast(stale_after AS DATE) IS NULL) AS n_fresh,
-          CAST(floor(avg(CASE WHEN regexp_matches(body, '(?im)^\\s*1\\.\\s+install') THEN 90 ELSE 80 END) + 0.5) AS BIGINT) AS completeness FROM x""",
+          CAST(floor(avg(greatest(10, least(100, 70 + CASE WHEN length(body) > 200 THEN 10 ELSE 0 END + CASE WHEN {_ACTS} THEN 10 ELSE 0 END + CASE WHEN {_LOOSE} = 0 THEN 10 ELSE -least(25, {_LOOSE} * 5) END))) + 0.5) AS BIGINT) AS completeness,
+          CAST(floor(avg(greatest(0, least(100, floor(206.835e0 - 1.015e0 * ({_NW} / {_NS}) - 84.6e0 * ({_SY} / {_NW}) + 0.5)))) + 0.5) AS BIGINT) AS readability FROM x""",
     "md_fence_parity": f"WITH {_LINES} SELECT * FROM p",
     "md_sections": f"""
         WITH {_LINES}, h AS (SELECT *, regexp_matches(line, '^#{{1,6}}\\s+.+$') AND NOT is_fence AND NOT in_fence AS heads FROM p), s AS (SELECT *, CAST(sum(CAST(heads AS INT)) OVER (PARTITION BY doc_id ORDER BY line_no) AS BIGINT) AS section FROM h),
@@ -278,7 +297,7 @@ ORACLES = {
         SELECT doc_id, line_no, regexp_extract(m, '^\\[([^\\]]+)\\]', 1) AS label, regexp_extract(m, '\\]\\(([^)]+)\\)$', 1) AS url, NOT regexp_matches(m, '\\]\\((?:https?://|#|mailto:)') AS is_relative FROM m""",
     "md_code_blocks": f"""
         WITH {_LINES}, o AS (SELECT doc_id, min(line_no) AS a, max(line_no) AS b FROM p WHERE is_fence GROUP BY doc_id)
-        SELECT o.doc_id, CAST(1 AS BIGINT) AS block, 'sql' AS language, a AS start_line, b AS end_line, string_agg(line, chr(10) ORDER BY line_no) AS code FROM o JOIN p ON p.doc_id = o.doc_id AND line_no > a AND line_no < b GROUP BY ALL""",
+        SELECT o.doc_id, CAST(1 AS BIGINT) AS block, (SELECT regexp_extract(q.line, '^```([a-z]*)', 1) FROM p q WHERE q.doc_id = o.doc_id AND q.line_no = o.a) AS language, a AS start_line, b AS end_line, string_agg(line, chr(10) ORDER BY line_no) AS code FROM o JOIN p ON p.doc_id = o.doc_id AND line_no > a AND line_no < b GROUP BY ALL""",
     "page_windows": """
         WITH p AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations),
         w AS (SELECT *, CASE WHEN n <= 4 THEN 1 ELSE CAST(ceil((n - 4) / 3) AS BIGINT) + 1 END AS n_windows FROM p), x AS (SELECT w.*, g AS "window" FROM w, unnest(range(0, n_windows)) u(g) WHERE place >= g * 3 AND place < g * 3 + 4)
@@ -328,8 +347,9 @@ def container_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", slicing.container_score(F.col("text")).alias("score"))
 
 
-_IMAGES = "SELECT n_nationkey AS doc_id, 'a ![x](data:image/png;base64,AAAA) b' || CASE WHEN n_nationkey % 2 = 0 THEN ' ![y](data:image/jpeg;base64,BBBBBBBB)' ELSE '' END AS text FROM nation"
+_IMAGES = "SELECT n_nationkey AS doc_id, CASE WHEN n_nationkey % 5 = 4 THEN n_name ELSE 'a ![x](data:image/png;base64,' || repeat('AbC9', 1 + n_nationkey) || ') b' END || CASE WHEN n_nationkey % 2 = 0 THEN ' ![y](data:image/jpeg;base64,BB+/' || n_name || '==)' ELSE '' END || CASE WHEN n_nationkey % 3 = 0 THEN ' ![z](data:image/png;base64,zz)' ELSE '' END AS text FROM nation"
 ORACLES["asset_references"] = f"""
-    WITH t AS ({_IMAGES}) SELECT doc_id, 'a ![x](assets/' || doc_id || '-1.png) b' || CASE WHEN doc_id % 2 = 0 THEN ' ![y](assets/' || doc_id || '-2.jpg)' ELSE '' END AS text,
-      CAST(CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 1 END AS BIGINT) AS n_assets, CAST(CASE WHEN doc_id % 2 = 0 THEN 26 + 31 ELSE 26 END AS BIGINT) AS saved_bytes FROM t"""
+    WITH t AS ({_IMAGES}), m AS (SELECT doc_id, text, regexp_extract_all(text, 'data:image/[a-zA-Z0-9.+-]+;base64,[A-Za-z0-9+/=]+') AS ms FROM t),
+      n AS (SELECT *, regexp_replace(regexp_replace(text, 'data:image/(png);base64,[A-Za-z0-9+/=]+', 'assets/' || doc_id || '-#.\\1', 'g'), 'data:image/jpeg;base64,[A-Za-z0-9+/=]+', 'assets/' || doc_id || '-#.jpg', 'g') AS t2 FROM m)
+      SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(t2, '-#', '-1'), '-#', '-2'), '-#', '-3') AS text, CAST(len(ms) AS BIGINT) AS n_assets, CAST(coalesce(list_sum(list_transform(ms, lambda x: length(x))), 0) AS BIGINT) AS saved_bytes FROM n"""
 QUERIES |= {f.__name__: f for f in (ast_counts, rendered_html, sliced_concepts, asset_references, skill_packages, container_scores)}
