@@ -12,6 +12,9 @@ from marlstone.operators import graph, similarity
 from marlstone.session import durable
 
 
+_MOST_TERMS = 500_000  # terms with a count and two weights: some tens of megabytes
+
+
 def keyword_score(query: str, title: Column, description: Column, tags: Column, body: Column) -> Column:
     """10 for the title, 5 for the description, 4 for any tag, 2 for the whole text."""
     q = query.lower()
@@ -48,14 +51,15 @@ def by_id_or_path(concepts: DataFrame, name: str) -> DataFrame:
 def tfidf_scores(docs: DataFrame, id_col: str, text: Column, query: str) -> DataFrame:
     """(id, cosine) of documents against a query that counts as a document of the collection."""
     spark = docs.sparkSession
-    tf = similarity.term_frequencies(docs, id_col, text)
+    # Written once: the counts of terms and the vectors both start from it.
+    tf = durable(similarity.term_frequencies(docs, id_col, text))
     n = docs.count() + 1
     asked = spark.createDataFrame([(query,)], "q string").select(F.explode(T.tokenize(F.col("q"))).alias("term"))
     total = asked.count()
     q = asked.groupBy("term").agg((F.count("*") / max(1, total)).alias("qtf"))
     # The query is one more document that holds its terms.
-    idf = tf.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(q), "term", "left").withColumn("idf", F.log(F.lit(n + 1) / (F.col("df") + F.when(F.col("qtf").isNull(), 0).otherwise(1) + 1)) + 1)
-    v = tf.join(idf, "term").select("id", "term", (F.col("tf") * F.col("idf")).alias("w"), (F.col("qtf") * F.col("idf")).alias("qw"))
+    idf = durable(tf.groupBy("term").agg(F.count("*").alias("df"))).join(F.broadcast(q), "term", "left").withColumn("idf", F.log(F.lit(n + 1) / (F.col("df") + F.when(F.col("qtf").isNull(), 0).otherwise(1) + 1)) + 1)
+    v = tf.join(F.broadcast(idf) if idf.count() <= _MOST_TERMS else idf, "term").select("id", "term", (F.col("tf") * F.col("idf")).alias("w"), (F.col("qtf") * F.col("idf")).alias("qw"))
     unseen = q.join(idf.select("term"), "term", "left_anti").select((F.col("qtf") * (F.log(F.lit(n + 1) / 2) + 1)).alias("qw"))
     seen = idf.where("qtf IS NOT NULL").select((F.col("qtf") * F.col("idf")).alias("qw"))
     norm = seen.unionAll(unseen).agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qn"))

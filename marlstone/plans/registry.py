@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.plans import graph_queries, rule_queries, text_queries, web_queries
+from marlstone.plans import catalog_queries, graph_queries, rule_queries, text_queries, web_queries
 
-_MODULES = (text_queries, graph_queries, web_queries, rule_queries)
+_MODULES = (text_queries, graph_queries, web_queries, rule_queries, catalog_queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
