@@ -80,13 +80,22 @@ def syllables(word: Column) -> Column:
     return F.when(F.length(letters) <= 3, 1).otherwise(F.greatest(F.lit(1), F.regexp_count(stem, F.lit(r"[aeiouy]{1,2}"))))
 
 
+def all_syllables(text: Column, n_words: Column) -> Column:
+    """The sum of ``syllables`` over the words of a text, by patterns over the whole text instead of word by word."""
+    letters = F.regexp_replace(F.lower(text), r"[^a-z\s]", "")
+    found = F.regexp_extract_all(letters, F.lit(r"([a-z]{4,})"), F.lit(1))
+    stems = F.regexp_replace(F.regexp_replace(F.array_join(found, " "), r"(?:[^laeiouy ]|ed|es|e)(?= |$)", ""), r"(^| )y", "$1")
+    # Words of up to three letters count one, as do longer ones whose stem has no vowel.
+    return n_words - F.size(found) + F.regexp_count(stems, F.lit(r"[aeiouy]{1,2}")) + F.regexp_count(stems, F.lit(r"(?:^| )[^aeiouy ]+(?= |$)"))
+
+
 def readability(text: Column) -> dict[str, Column]:
     """word_count, sentence_count, flesch, grade and label."""
     clean = F.regexp_replace(F.regexp_replace(text, FENCED, ""), r"`[^`]+`", "")
     w = words(clean)
     n_words = F.greatest(F.lit(1), F.size(w))
     n_sentences = F.greatest(F.lit(1), F.size(F.filter(F.split(clean, r"[.!?]+(?:\s+|$)"), lambda s: F.length(F.trim(F.regexp_replace(s, r"^\s+|\s+$", ""))) > 3)))
-    total = F.aggregate(w, F.lit(0), lambda acc, x: acc + syllables(x))
+    total = all_syllables(clean, F.size(w))
     per_sentence, per_word = n_words / n_sentences, total / n_words
     flesch = F.greatest(F.lit(0), F.least(F.lit(100), half_up(206.835 - 1.015 * per_sentence - 84.6 * per_word)))
     grade = F.greatest(F.lit(1), half_up(0.39 * per_sentence + 11.8 * per_word - 15.59))
