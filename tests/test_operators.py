@@ -3,8 +3,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from marlstone.functions import text as T
-from marlstone.operators import entities, graph, markdown, quality, retrieval, sparql, web
-from marlstone.sources import readers
+from marlstone.operators import catalog, entities, graph, markdown, quality, retrieval, sparql, web
+from marlstone.sources import readers, sinks
 from marlstone.streaming import ingest
 
 
@@ -186,3 +186,47 @@ def test_slicing(spark):
     code = "\n".join(["```bash"] + ["run x"] * 9 + ["```"])
     found = slicing.executable_scripts(markdown.blocks(spark.createDataFrame([(1, code)], "doc_id long, text string"))).first()
     assert found["path"] == "scripts/1-1.sh"
+
+
+def test_strong_components(spark):
+    """Two cycles joined by a path: the nodes between are on none; a loop is a component, a chain is not."""
+    pairs = [("a", "b"), ("b", "a"), ("b", "m"), ("m", "n"), ("n", "x"), ("x", "y"), ("y", "z"), ("z", "x"), ("l", "l"), ("p", "q"), ("q", "r")]
+    edges = spark.createDataFrame([(a, b, "k") for a, b in pairs], "src string, dst string, kind string")
+    assert {tuple(r) for r in graph.strong_components(edges).collect()} == {("a", "b"), ("b", "b"), ("x", "z"), ("y", "z"), ("z", "z"), ("l", "l")}
+    assert graph.cyclic_nodes(edges.limit(0)).collect() == []
+
+
+def test_unknown_filters_are_errors(spark):
+    store = spark.createDataFrame([("a", "p", "1", False), ("b", "p", "2", False)], "s string, p string, o string, is_uri boolean")
+    for condition in ("?x = ?y", '?x = "1" || ?x = "2"', '?x < "2"'):
+        with pytest.raises(ValueError):
+            sparql.run(store, f"SELECT ?x WHERE {{ ?s p ?x FILTER({condition}) }}").count()
+    assert sparql.run(store, 'SELECT ?x WHERE { ?s p ?x FILTER(?x != "1") }').count() == 1
+
+
+def test_ranks_over_ranges(spark):
+    df = spark.range(1000).selectExpr("id", "(id * 37) % 101 AS v")
+    ranked = {r["id"]: r["rank"] for r in retrieval.global_rank(df, [F.desc("v"), F.col("id")]).collect()}
+    assert ranked == {i: n for n, (_, i) in enumerate(sorted((-((i * 37) % 101), i) for i in range(1000)), 1)}
+
+
+def test_manifest_does_not_depend_on_order(spark):
+    rows = [(f"p{i}", f"body {i}") for i in range(20)]
+    digest = lambda r: quality.manifest_hash(spark.createDataFrame(r, "path string, body string")).first()[0]
+    assert digest(rows) == digest(rows[::-1]) != digest([*rows[1:], ("p0", "other")])
+
+
+def test_export_kinds(spark):
+    concepts = spark.createDataFrame([("a", "a.md", "A", "idea", "d", "b", "t", "stable", ["x"])], "id string, path string, title string, type string, description string, body string, trust_tier string, status string, tags array<string>")
+    edges = spark.createDataFrame([("a", "b,c", "references")], "src string, dst string, kind string")
+    assert [r[0] for r in sinks.export(concepts, edges, "csv").collect()] == ['a,"b,c",references']
+    assert len({tuple(sinks.export(concepts, edges, k).collect()) for k in ("turtle", "jsonld", "skos", "mcp", "csv", "neo4j", "index", "summary")}) == 8
+    with pytest.raises(ValueError):
+        sinks.export(concepts, edges, "pdf")
+
+
+def test_bundle_of_documents(spark):
+    docs = spark.createDataFrame([(1, "# One\ntext\n## Two\nmore"), (2, "# One\nother"), (3, None)], "doc_id long, text string")
+    files = {r["path"]: r["text"] for r in catalog.bundle_files(docs).collect()}
+    assert len([p for p in files if p.startswith("doc-1/")]) == 2 and len([p for p in files if p.startswith("doc-2/")]) == 1
+    assert "log/1.md" in files and all(p.endswith(".md") for p in files) and any(t.startswith("---\ntype: ") for t in files.values())
