@@ -34,11 +34,12 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 _DIGIT = re.compile("[0-9]")
-#: Forms that are no secrets: identifiers, dates, and segments of words with a short number (fixed values).
+#: Forms that are no secrets: identifiers, dates, and segments of words, also joined by capitals, with a short number.
 _ALLOWED = [
     re.compile(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"),
     re.compile(r"(?<![0-9])[0-9]{4}-[0-9]{2}-[0-9]{2}(?:T[0-9]+)?(?![0-9])"),
     re.compile(r"(?<![A-Za-z0-9])(?:[a-z]+|[A-Z]+|[A-Z][a-z]+)[0-9]{0,4}(?![A-Za-z0-9])"),
+    re.compile(r"(?<![A-Za-z0-9])[A-Za-z]?[a-z]+(?:[A-Z][a-z]{2,})+[0-9]{0,4}(?![A-Za-z0-9])"),
 ]
 #: Words that mark a segment as an example.
 _EXAMPLE = re.compile(r"example|sample|placeholder|dummy|changeme|xxxx|your", re.IGNORECASE)
