@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -33,10 +34,12 @@ _scratch: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where the session names none."""
+    """The folder that all executors share, which the session names; a temporary one only on a local master."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir is not set: name a folder there that all executors share")
     if not _scratch:
         _scratch.append(tempfile.mkdtemp(prefix="marlstone-"))
     return _scratch[0]

@@ -230,3 +230,19 @@ def test_bundle_of_documents(spark):
     files = {r["path"]: r["text"] for r in catalog.bundle_files(docs).collect()}
     assert len([p for p in files if p.startswith("doc-1/")]) == 2 and len([p for p in files if p.startswith("doc-2/")]) == 1
     assert "log/1.md" in files and all(p.endswith(".md") for p in files) and any(t.startswith("---\ntype: ") for t in files.values())
+
+
+def test_shared_folder_is_named_or_local(spark):
+    from marlstone import session
+
+    assert session.shared_dir(spark)
+
+    class Elsewhere:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda name, default=None: default)
+
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+
+    with pytest.raises(RuntimeError):
+        session.shared_dir(Elsewhere)
