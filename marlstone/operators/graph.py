@@ -100,8 +100,10 @@ def _spread(labels: DataFrame, steps: DataFrame) -> DataFrame:
     total = lambda df: df.agg(F.sum(F.xxhash64("id", "label").cast("decimal(38,0)"))).first()[0]
     now, before = labels, total(labels)
     while True:
-        sent = now.join(steps, now["id"] == steps["from"]).select(F.col("to").alias("id"), "label")
-        now = durable(now.unionAll(sent).groupBy("id").agg(F.max("label").alias("label")))
+        for _ in range(2):  # two steps for each table written
+            sent = now.join(steps, now["id"] == steps["from"]).select(F.col("to").alias("id"), "label")
+            now = now.unionAll(sent).groupBy("id").agg(F.max("label").alias("label"))
+        now = durable(now)
         after = total(now)
         if after == before:
             return now
