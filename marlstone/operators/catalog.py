@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions import text as T
-from marlstone.operators import markdown
+from marlstone.operators import graph, markdown, quality
 from marlstone.sources import sinks
 
 
@@ -78,6 +78,83 @@ def carried_tails(pages: DataFrame, group: str, order: str, text: Column, chars:
     return pages.withColumn("context", F.coalesce(F.right(before, F.lit(chars)), F.lit("")))
 
 
+def carried_lines(pages: DataFrame, group: str, order: str, text: Column, lines: int = 15) -> DataFrame:
+    """Pages with ``context``: the last lines of the page before."""
+    before = F.split(F.lag(text).over(Window.partitionBy(group).orderBy(order)), "\n")
+    return pages.withColumn("context", F.coalesce(F.array_join(F.slice(before, F.greatest(F.lit(1), F.size(before) - lines + 1), F.lit(lines)), "\n"), F.lit("")))
+
+
+def unselected(docs: DataFrame, chosen: DataFrame, id_col: str = "id") -> DataFrame:
+    """The documents whose ids are not chosen."""
+    return docs.join(chosen.select(id_col), id_col, "left_anti")
+
+
+def tag_union(one: Column, two: Column, most: int = 8) -> Column:
+    """The distinct tags of both, in order, ``most`` at most; null lists count as empty."""
+    none = F.expr("cast(array() as array<string>)")
+    return F.slice(F.array_union(F.coalesce(one, none), F.coalesce(two, none)), 1, most)
+
+
+def provenance_total(sources: Column) -> Column:
+    """The sum of sources over concepts; one without a source counts one."""
+    return F.sum(F.when(F.size(sources) > 0, F.size(sources)).otherwise(1)).cast("long")
+
+
+def edge_titles(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(src, dst, kind, src_title, dst_title): titles of both ends, or the id where there is none."""
+    named = lambda end: nodes.select(F.col("id").alias(end), F.col("title").alias(f"{end}_title"))
+    both = edges.join(named("src"), "src", "left").join(named("dst"), "dst", "left")
+    return both.select("src", "dst", "kind", F.coalesce("src_title", "src").alias("src_title"), F.coalesce("dst_title", "dst").alias("dst_title"))
+
+
+def shown_edges(edges: DataFrame, nodes: DataFrame, kinds: tuple[str, ...] = (), types: tuple[str, ...] = ()) -> DataFrame:
+    """Edges of the given kinds between nodes of the given types (none given: any); both ends must exist."""
+    kept = nodes.where(F.col("type").isin(*types)) if types else nodes
+    some = edges.where(F.col("kind").isin(*kinds)) if kinds else edges
+    return some.join(kept.select(F.col("id").alias("src")), "src", "left_semi").join(kept.select(F.col("id").alias("dst")), "dst", "left_semi")
+
+
+def neighbours(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, prerequisites, related): what each node depends on, and what other edges lead to, in order of id."""
+    needs = F.array_sort(F.collect_set(F.when(F.col("kind") == "depends_on", F.col("dst")))).alias("prerequisites")
+    others = F.array_sort(F.collect_set(F.when(F.col("kind") != "depends_on", F.col("dst")))).alias("related")
+    none = F.expr("cast(array() as array<string>)")
+    found = edges.groupBy(F.col("src").alias("id")).agg(needs, others)
+    return nodes.select("id").join(found, "id", "left").select("id", F.coalesce("prerequisites", none).alias("prerequisites"), F.coalesce("related", none).alias("related"))
+
+
+def top_concepts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Nodes that no edge ends in; the first by id where there are none."""
+    top = nodes.join(edges.select(F.col("dst").alias("id")), "id", "left_anti").select("id")
+    first = nodes.orderBy("id").limit(1).select("id").join(F.broadcast(top.limit(1).agg((F.count("*") == 0).alias("empty")))).where("empty").select("id")
+    return top.unionAll(first)
+
+
+def bundle_issues(concepts: DataFrame, links: DataFrame, as_of: str) -> DataFrame:
+    """(id, code, severity) of a whole bundle: those of its documents, links to nothing, cycles of needs, and repeated paths."""
+    own = quality.document_issues(concepts, as_of)
+    issue = lambda df, code, severity: df.select("id", F.lit(code).alias("code"), F.lit(severity).alias("severity"))
+    ids = concepts.select(F.col("id").alias("dst"))
+    broken = links.join(ids, "dst", "left_anti").select(F.col("src").alias("id"))
+    alive = links.join(ids, "dst", "left_semi").where("kind = 'depends_on'")
+    again = concepts.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
+    twice = concepts.join(again, "path", "left_semi").select("id")
+    return own.unionAll(issue(broken, "WARN_BROKEN_LINK", "warning")).unionAll(issue(graph.cyclic_nodes(alive), "ERR_DEPENDENCY_CYCLE", "error")).unionAll(issue(twice, "ERR_DUPLICATE_PATH", "error"))
+
+
+def analysed(docs: DataFrame, id_col: str = "doc_id", title: str = "title", text_col: str = "text") -> DataFrame:
+    """(doc_id, type, flesch, ambiguity, completeness, procedural, target, tags): the analysis of each concept in one row.
+
+    Tags are the subject's and then the type, eight at most.
+    """
+    t, name = F.col(text_col), F.col(title)
+    q = T.content_quality(t)
+    logic = quality.logic_class(t)
+    kind = T.concept_type(name, t)
+    tags = tag_union(T.subject_tags(name, t), F.array(kind))
+    return docs.select(F.col(id_col).alias("doc_id"), kind.alias("type"), T.readability(t)["flesch"].alias("flesch"), q["ambiguity"].alias("ambiguity"), q["completeness"].alias("completeness"), logic["procedural"].alias("procedural"), logic["target"].alias("target"), tags.alias("tags"))
+
+
 def bundle_files(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", as_of: str = "2026-01-01") -> DataFrame:
     """(path, text): the files of a bundle of many documents.
 

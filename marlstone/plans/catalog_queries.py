@@ -69,8 +69,81 @@ def export_resources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.tool_resources(inputs.concepts(spark, sf_dir))
 
 
-_C = inputs.CONCEPTS
+def carried_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "documents").select("source", "doc_id", "text")
+    return catalog.carried_lines(pages, "source", "doc_id", F.col("text"), 3).select("doc_id", "context")
+
+
+def unselected_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = inputs.concepts(spark, sf_dir)
+    return catalog.unselected(c, c.where("type = 'procedure'").select("id")).select("id")
+
+
+def tag_unions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = inputs.concepts(spark, sf_dir)
+    return c.select("id", F.array_join(catalog.tag_union(F.col("tags"), F.array("type", "tag_a", "status"), 4), ",").alias("tags"))
+
+
+def provenance_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = inputs.concepts(spark, sf_dir).select(F.when(F.col("verified") != "", F.array("verified", "title", "status")).otherwise(F.expr("cast(array() as array<string>)")).alias("sources"))
+    return c.agg(catalog.provenance_total(F.col("sources")).alias("n_sources"))
+
+
+def edge_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.edge_titles(inputs.sql(spark, sf_dir, inputs.LINKS), inputs.concepts(spark, sf_dir))
+
+
+def shown_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.shown_edges(inputs.sql(spark, sf_dir, inputs.LINKS), inputs.concepts(spark, sf_dir), ("depends_on",), ("procedure", "guideline", "table"))
+
+
+def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = catalog.neighbours(inputs.concepts(spark, sf_dir), inputs.edges(spark, sf_dir))
+    return found.select("id", F.array_join("prerequisites", ",").alias("prerequisites"), F.array_join("related", ",").alias("related"))
+
+
+def top_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, e = inputs.concepts(spark, sf_dir), inputs.edges(spark, sf_dir)
+    every = c.select(F.col("id").alias("src"), F.col("id").alias("dst"))
+    return catalog.top_concepts(c, e).withColumn("way", F.lit("own")).unionAll(catalog.top_concepts(c, every).withColumn("way", F.lit("fallback")))
+
+
+def bundle_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.bundle_issues(inputs.concepts(spark, sf_dir), inputs.sql(spark, sf_dir, inputs.LINKS), "2026-01-01").groupBy("id", "code", "severity").agg(F.count("*").alias("n"))
+
+
+def analysed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 40).alias("title"), "text")
+    return catalog.analysed(d).withColumn("tags", F.array_join("tags", ","))
+
+
+def type_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inputs.concepts(spark, sf_dir).groupBy("type", "status").agg(F.count("*").alias("n"))
+
+
+def export_skos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sinks.skos(inputs.concepts(spark, sf_dir), inputs.edges(spark, sf_dir))
+
+
+_C, _E, _L = inputs.CONCEPTS, inputs.EDGES, inputs.LINKS
 ORACLES = {
+    "carried_lines": "SELECT doc_id, coalesce(array_to_string(list_reverse(list_reverse(string_split(lag(text) OVER (PARTITION BY source ORDER BY doc_id), chr(10)))[1:3]), chr(10)), '') AS context FROM documents",
+    "unselected_concepts": f"SELECT id FROM ({_C}) c WHERE type <> 'procedure'",
+    "tag_unions": f"SELECT id, array_to_string(list_filter([tag_a, CASE WHEN tag_b <> tag_a THEN tag_b END, CASE WHEN type NOT IN (tag_a, tag_b) THEN type END, CASE WHEN status NOT IN (tag_a, tag_b, type) THEN status END], lambda x: x IS NOT NULL), ',') AS tags FROM ({_C}) c",
+    "provenance_total": f"SELECT CAST(sum(CASE WHEN verified <> '' THEN 3 ELSE 1 END) AS BIGINT) AS n_sources FROM ({_C}) c",
+    "edge_titles": f"SELECT l.src, l.dst, l.kind, coalesce(a.title, l.src) AS src_title, coalesce(b.title, l.dst) AS dst_title FROM ({_L}) l LEFT JOIN ({_C}) a ON a.id = l.src LEFT JOIN ({_C}) b ON b.id = l.dst",
+    "shown_edges": f"SELECT l.src, l.dst, l.kind FROM ({_L}) l JOIN ({_C}) a ON a.id = l.src JOIN ({_C}) b ON b.id = l.dst WHERE l.kind = 'depends_on' AND a.type IN ('procedure', 'guideline', 'table') AND b.type IN ('procedure', 'guideline', 'table')",
+    "neighbours": f"SELECT c.id, coalesce((SELECT string_agg(DISTINCT dst, ',' ORDER BY dst) FROM ({_E}) e WHERE e.src = c.id AND kind = 'depends_on'), '') AS prerequisites, coalesce((SELECT string_agg(DISTINCT dst, ',' ORDER BY dst) FROM ({_E}) e WHERE e.src = c.id AND kind <> 'depends_on'), '') AS related FROM ({_C}) c",
+    "top_concepts": f"WITH o AS (SELECT id FROM ({_C}) c WHERE id NOT IN (SELECT dst FROM ({_E}) e)) SELECT id, 'own' AS way FROM o UNION ALL SELECT min(id), 'own' FROM ({_C}) c WHERE NOT EXISTS (SELECT 1 FROM o) HAVING min(id) IS NOT NULL UNION ALL SELECT min(id), 'fallback' FROM ({_C}) c",
+    "bundle_issues": f"""
+        WITH RECURSIVE c AS ({_C}), l AS ({_L}), i AS (SELECT id, unnest([
+            CASE WHEN lower(type) NOT IN ('concept', 'procedure', 'table', 'metric', 'guideline', 'reference', 'architecture', 'model') THEN 'WARN_UNKNOWN_TYPE' END, CASE WHEN length(trim(description)) < 10 THEN 'INFO_SHORT_DESCRIPTION' END, CASE WHEN type = 'procedure' AND NOT regexp_matches(body, '(?m)^\\s*1\\.\\s+') THEN 'WARN_PROCEDURE_WITHOUT_STEPS' END,
+            CASE WHEN trust_tier = 'human-reviewed' AND verified = '' THEN 'WARN_UNVERIFIED_HUMAN_CLAIM' END, CASE WHEN try_cast(stale_after AS DATE) IS NULL THEN 'ERR_INVALID_DATE_FORMAT' END, CASE WHEN try_cast(stale_after AS DATE) < DATE '2026-01-01' THEN 'WARN_CONCEPT_STALE' END,
+            CASE WHEN status NOT IN ('draft', 'stable', 'deprecated') THEN 'WARN_UNKNOWN_STATUS' END, CASE WHEN computation <> '' AND runtime = '' THEN 'WARN_MISSING_COMPUTATION_RUNTIME' END]) AS code FROM c),
+          d AS (SELECT DISTINCT src, dst FROM l WHERE kind = 'depends_on' AND dst IN (SELECT id FROM c)), r(a, b) AS (SELECT src, dst FROM d UNION SELECT r.a, d.dst FROM r JOIN d ON d.src = r.b),
+          j AS (SELECT id, code FROM i WHERE code IS NOT NULL UNION ALL SELECT src, 'WARN_BROKEN_LINK' FROM l WHERE dst NOT IN (SELECT id FROM c) UNION ALL SELECT DISTINCT a, 'ERR_DEPENDENCY_CYCLE' FROM r WHERE a = b UNION ALL SELECT id, 'ERR_DUPLICATE_PATH' FROM c WHERE path IN (SELECT path FROM c GROUP BY path HAVING count(*) > 1))
+        SELECT id, code, CASE WHEN code LIKE 'ERR%' THEN 'error' WHEN code LIKE 'WARN%' THEN 'warning' ELSE 'info' END AS severity, count(*) AS n FROM j GROUP BY id, code""",
+    "type_facets": f"SELECT type, status, count(*) AS n FROM ({_C}) c GROUP BY type, status",
     "filtered_concepts": f"SELECT id, status FROM ({_C}) c WHERE status = 'stable' AND (contains(lower(title), 'nation_1') OR contains(lower(description), 'nation_1') OR contains(lower(body), 'nation_1') OR contains(lower(tag_a), 'nation_1') OR contains(lower(tag_b), 'nation_1'))",
     "selected_concepts": f"SELECT id, type, 'some' AS way FROM ({_C}) c WHERE type = 'procedure' OR NOT EXISTS (SELECT 1 FROM ({_C}) d WHERE type = 'procedure') UNION ALL SELECT id, type, 'none left' FROM ({_C}) c",
     "queue_status": """
@@ -92,4 +165,4 @@ ORACLES = {
         SELECT doc_id, name, category, salience, CAST(occurrences AS BIGINT) AS occurrences, trim(regexp_replace(lower(name), '[^a-z0-9_]+', '-', 'g'), '-') AS tag, row_number() OVER (PARTITION BY doc_id ORDER BY salience DESC, pass, name) AS rank FROM e""",
 }
 
-QUERIES = {f.__name__: f for f in (filtered_concepts, selected_concepts, queue_status, crawl_totals, skill_activation, carried_tails, extracted_entities, bundle_files, vector_payload, lexicon_csv, export_resources)}
+QUERIES = {f.__name__: f for f in (filtered_concepts, selected_concepts, queue_status, crawl_totals, skill_activation, carried_tails, extracted_entities, bundle_files, vector_payload, lexicon_csv, export_resources, carried_lines, unselected_concepts, tag_unions, provenance_total, edge_titles, shown_edges, neighbours, top_concepts, bundle_issues, analysed_documents, type_facets, export_skos)}
