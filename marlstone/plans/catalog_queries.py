@@ -143,6 +143,9 @@ ORACLES = {
           d AS (SELECT DISTINCT src, dst FROM l WHERE kind = 'depends_on' AND dst IN (SELECT id FROM c)), r(a, b) AS (SELECT src, dst FROM d UNION SELECT r.a, d.dst FROM r JOIN d ON d.src = r.b),
           j AS (SELECT id, code FROM i WHERE code IS NOT NULL UNION ALL SELECT src, 'WARN_BROKEN_LINK' FROM l WHERE dst NOT IN (SELECT id FROM c) UNION ALL SELECT DISTINCT a, 'ERR_DEPENDENCY_CYCLE' FROM r WHERE a = b UNION ALL SELECT id, 'ERR_DUPLICATE_PATH' FROM c WHERE path IN (SELECT path FROM c GROUP BY path HAVING count(*) > 1))
         SELECT id, code, CASE WHEN code LIKE 'ERR%' THEN 'error' WHEN code LIKE 'WARN%' THEN 'warning' ELSE 'info' END AS severity, count(*) AS n FROM j GROUP BY id, code""",
+    "export_skos": f"""
+        WITH c AS ({_C}), e AS ({_E}), u AS (SELECT c.*, (SELECT string_agg('"urn:okf:concept:' || dst || '"', ',' ORDER BY dst) FROM e WHERE src = id AND kind = 'depends_on') AS needs, (SELECT string_agg('"urn:okf:concept:' || dst || '"', ',' ORDER BY dst) FROM e WHERE src = id AND kind = 'references') AS refs FROM c)
+        SELECT id, '{{"@type":"skos:Concept","@id":"urn:okf:concept:' || id || '","skos:prefLabel":"' || title || '","skos:definition":"' || description || '"' || CASE WHEN needs IS NULL AND refs IS NULL THEN '' ELSE ',"skos:broader":[' || coalesce(needs, '') || '],"skos:related":[' || coalesce(refs, '') || ']' END || '}}' AS json FROM u""",
     "type_facets": f"SELECT type, status, count(*) AS n FROM ({_C}) c GROUP BY type, status",
     "filtered_concepts": f"SELECT id, status FROM ({_C}) c WHERE status = 'stable' AND (contains(lower(title), 'nation_1') OR contains(lower(description), 'nation_1') OR contains(lower(body), 'nation_1') OR contains(lower(tag_a), 'nation_1') OR contains(lower(tag_b), 'nation_1'))",
     "selected_concepts": f"SELECT id, type, 'some' AS way FROM ({_C}) c WHERE type = 'procedure' OR NOT EXISTS (SELECT 1 FROM ({_C}) d WHERE type = 'procedure') UNION ALL SELECT id, type, 'none left' FROM ({_C}) c",

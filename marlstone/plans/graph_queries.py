@@ -308,6 +308,10 @@ ORACLES = {
         SELECT coalesce(n.name, o.name) AS name, coalesce(n.category, CASE WHEN o.name IS NOT NULL THEN 'old' END) AS category, CASE WHEN n.name IS NOT NULL THEN 0.7e0 ELSE 0.5e0 END AS salience, CASE WHEN o.name IS NULL THEN 'added' WHEN n.name IS NULL THEN 'kept' ELSE 'updated' END AS state FROM o FULL JOIN n ON o.name = lower(n.name)""",
     "history_upsert": "SELECT user_id AS id, max(event_id) AS \"at\", arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id ORDER BY max(event_id) DESC, user_id LIMIT 50",
     "selection_totals": r"SELECT count(*) AS n_docs, CAST(sum(len(regexp_extract_all(text, '\S+'))) AS BIGINT) AS words, CAST(sum(length(text)) AS BIGINT) AS chars, CAST(sum(strlen(text)) AS BIGINT) AS bytes, CAST(sum(floor(len(regexp_extract_all(text, '\S+')) * 1.33e0 + 0.5)) AS BIGINT) AS tokens FROM documents",
+    "export_jsonld": f"""
+        WITH c AS ({_C}), e AS ({_E}), u AS (SELECT c.*, (SELECT string_agg('"urn:okf:concept:' || dst || '"', ',' ORDER BY dst) FROM e WHERE src = id AND kind = 'depends_on') AS needs, (SELECT string_agg('"urn:okf:concept:' || dst || '"', ',' ORDER BY dst) FROM e WHERE src = id AND kind = 'references') AS refs FROM c)
+        SELECT id, '{{"@type":"' || CASE type WHEN 'procedure' THEN 'HowTo' WHEN 'table' THEN 'Table' WHEN 'metric' THEN 'QuantitativeValue' WHEN 'guideline' THEN 'Policy' ELSE 'TechArticle' END || '","@id":"urn:okf:concept:' || id || '","headline":"' || title || '","name":"' || title || '","description":"' || description || '","articleBody":"' || replace(body, chr(10), '\\n') ||
+          '","keywords":"' || tag_a || ', ' || tag_b || '"' || coalesce(',"dependencies":[' || needs || ']', '') || coalesce(',"citation":[' || refs || ']', '') || '}}' AS json FROM u""",
     "export_vault_index": f"SELECT type, '## ' || type || chr(10) || string_agg('- [[' || replace(path, '.md', '') || '|' || title || ']]', chr(10) ORDER BY '- [[' || replace(path, '.md', '') || '|' || title || ']]') AS index FROM ({_C}) c GROUP BY type",
 }
 
