@@ -186,6 +186,13 @@ ORACLES = {
         WITH e AS (SELECT DISTINCT item_id AS id, unnest({_TOKENS.format('text')}) AS item FROM benchmark), n AS (SELECT id, count(*) AS n FROM e GROUP BY id),
         p AS (SELECT x.id AS a, y.id AS b, count(*) AS shared FROM e x JOIN e y ON x.item = y.item AND x.id < y.id GROUP BY 1, 2)
         SELECT a, b, shared, round(shared / (na.n + nb.n - shared), 6) AS jaccard FROM p JOIN n na ON na.id = a JOIN n nb ON nb.id = b""",
+    "keyphrases": rf"""
+        WITH c AS (SELECT doc_id, regexp_replace(regexp_replace(text, '(?s)```.*?```', ' ', 'g'), '`[^`\n]+`', ' ', 'g') AS clean FROM documents),
+        w AS (SELECT doc_id, {_TOKENS.format('clean')} AS one, list_filter(list_transform(string_split_regex(clean, '\s+'), lambda x: regexp_replace(lower(x), '[^\w-]', '', 'g')), lambda x: x <> '') AS bare, {_TOKENS.format(r"array_to_string(regexp_extract_all(clean, '\*\*[^*]+\*\*'), ' ')")} AS bold FROM c),
+        p AS (SELECT doc_id, bare[i] AS a, bare[i + 1] AS b FROM (SELECT doc_id, bare, unnest(range(1, len(bare))) AS i FROM w)),
+        e AS (SELECT doc_id, unnest(one) AS phrase, 1.0e0 AS x FROM w UNION ALL SELECT doc_id, a || '-' || b, 2.5e0 FROM p WHERE length(a) > 2 AND length(b) > 2 AND a NOT IN ({_WORDS}) AND b NOT IN ({_WORDS}) UNION ALL SELECT doc_id, unnest(list_distinct(list_filter(bold, lambda y: list_contains(one, y)))), 3.0e0 FROM w),
+        s AS (SELECT doc_id, phrase, sum(x) AS weight FROM e WHERE length(phrase) >= 3 GROUP BY doc_id, phrase), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, phrase) AS rank FROM s)
+        SELECT doc_id, rank, phrase, weight FROM r WHERE rank <= 8""",
     "tfidf_search": f"""
         WITH t AS (SELECT doc_id, {_TOKENS.format('text')} AS ts FROM documents), e AS (SELECT doc_id, len(ts) AS total, unnest(ts) AS term FROM t),
         f AS (SELECT doc_id, term, count(*) / total AS tf FROM e GROUP BY doc_id, term, total), q AS (SELECT term, count(*) / sum(count(*)) OVER () AS qtf FROM (SELECT unnest({_TOKENS.format(f"'{QUERY}'")}) AS term) GROUP BY term),
