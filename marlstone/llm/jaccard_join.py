@@ -34,7 +34,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.llm import textkernel as tk
@@ -44,7 +44,8 @@ from marlstone.session import bound_batches, durable
 U64 = np.uint64
 _STEP = [U64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
 _MASK = 2**64 - 1
-_SKETCH_BITS, _SKETCH_SETS = 2048, 1024
+_SKETCH_SETS, _SKETCH_BYTES = 1024, 1 << 20
+_FEWEST_BITS, _MOST_BITS = 256, 1 << 16
 _EMPTY_LEVELS = 4
 _CLASS_RATIO = 0.75
 _MOST_SUBSETS = 400
@@ -78,12 +79,19 @@ def set_key(a: np.ndarray) -> int:
     return int(tk.signed(tk.mix64(np.array([total & _MASK], U64)))[0])
 
 
+def sketch_bits(n: int) -> int:
+    """Bits of the sketch of a set of n shingles: about two for each, so that unlike sets show it at any size."""
+    return min(_MOST_BITS, max(_FEWEST_BITS, 1 << max(0, 2 * n - 1).bit_length()))
+
+
 def sketch(a: np.ndarray) -> bytes:
-    """Parities of the shingles in each of ``_SKETCH_BITS`` hash classes.
+    """Parities of the shingles in each of ``sketch_bits`` hash classes.
 
-    Two sketches differ in no more bits than their sets differ in shingles.
+    Two sketches differ in no more bits than their sets differ in shingles, also after the longer
+    one's halves were added up to the shorter one's length.
     """
-    return np.packbits((np.bincount((a & U64(_SKETCH_BITS - 1)).astype(np.int64), minlength=_SKETCH_BITS) & 1).astype(np.uint8)).tobytes()
+    bits = sketch_bits(len(a))
+    return np.packbits((np.bincount((a & U64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
 
 
 def _describe(width: int):
@@ -282,9 +290,9 @@ def _packed(keys: list, sets: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets)))], ["set_key", "shingles"])
 
 
-_BLOCK_SETS, _BLOCK_SHINGLES = 256, 1 << 18
+_BLOCK_SETS, _BLOCK_SHINGLES = 256, 1 << 17
 _SMALL = 1_000_000
-_BLOCK = "cluster long, last_cluster long, block long, lo long, hi long, keys binary, roots binary, clusters binary, sizes binary, shingles binary"
+_BLOCK = "cluster long, last_cluster long, block long, lo long, hi long, least long, most long, keys binary, roots binary, clusters binary, sizes binary, shingles binary"
 
 
 def _bounded(df: DataFrame) -> DataFrame:
@@ -292,43 +300,48 @@ def _bounded(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= _SMALL else df
 
 
-def _pack_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks from rows (cluster, bucket, root, set_key, shingles) sorted by cluster and bucket.
+def _pack_blocks(most_sets: int, most_shingles: int):
+    """Blocks from rows (cluster, bucket, root, set_key, shingles) sorted by cluster, and by size in large ones.
 
     Bucket 0 holds whole clusters, which stay together; a block ends where a new one does not
-    fit. Larger clusters have buckets from 1, and blocks of their own.
+    fit. Larger clusters have bucket 1, and blocks of their own.
     """
-    place: tuple | None = None
-    held: list[tuple] = []  # (cluster, root, set_key, shingles)
-    size = 0
-    names = [x.split()[0] for x in _BLOCK.split(", ")]
-    types = [pa.int64()] * 5 + [pa.binary()] * 5
-
-    def close() -> pa.RecordBatch:
-        nonlocal held, size
-        clusters, roots, keys = (np.array([h[i] for h in held], np.int64) for i in range(3))
-        sets = [h[3] for h in held]
-        row = [clusters[0], clusters[-1], int(keys[0]), roots.min(), roots.max(), keys.tobytes(), roots.tobytes(), clusters.tobytes(), np.array([len(x) for x in sets], np.int64).tobytes(), np.concatenate(sets).tobytes()]
-        held, size = [], 0
-        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names)
 
-    for b in batches:
-        cluster, bucket, root, key = (b.column(i).to_pylist() for i in range(4))
-        lists = b.column(4)
-        offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
-        for i in range(b.num_rows):
-            now = (cluster[i], bucket[i])
-            if held and held[-1][2] == key[i] and held[-1][0] == cluster[i]:  # a repeated id
-                continue
-            a = flat[offsets[i] : offsets[i + 1]]
-            full = len(held) >= _BLOCK_SETS or size + len(a) > _BLOCK_SHINGLES
-            if held and ((full and (bucket[i] or now != place)) or (now != place and (bucket[i] or place[1]))):
-                yield close()
-            place = now
-            held.append((cluster[i], root[i], key[i], a.copy()))
-            size += len(a)
-    if held:
-        yield close()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place: tuple | None = None
+        held: list[tuple] = []  # (cluster, root, set_key, shingles)
+        size = 0
+        names = [x.split()[0] for x in _BLOCK.split(", ")]
+        types = [pa.int64()] * 7 + [pa.binary()] * 5
+
+        def close() -> pa.RecordBatch:
+            nonlocal held, size
+            clusters, roots, keys = (np.array([h[i] for h in held], np.int64) for i in range(3))
+            sets = [h[3] for h in held]
+            sizes = np.array([len(x) for x in sets], np.int64)
+            row = [clusters[0], clusters[-1], int(keys[0]), roots.min(), roots.max(), sizes.min(), sizes.max(), keys.tobytes(), roots.tobytes(), clusters.tobytes(), sizes.tobytes(), np.concatenate(sets).tobytes()]
+            held, size = [], 0
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names)
+
+        for b in batches:
+            cluster, bucket, root, key = (b.column(i).to_pylist() for i in range(4))
+            lists = b.column(4)
+            offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+            for i in range(b.num_rows):
+                now = (cluster[i], bucket[i])
+                if held and held[-1][2] == key[i] and held[-1][0] == cluster[i]:  # a repeated id
+                    continue
+                a = flat[offsets[i] : offsets[i + 1]]
+                full = len(held) >= most_sets or size + len(a) > most_shingles
+                if held and ((full and (bucket[i] or now != place)) or (now != place and (bucket[i] or place[1]))):
+                    yield close()
+                place = now
+                held.append((cluster[i], root[i], key[i], a.copy()))
+                size += len(a)
+        if held:
+            yield close()
+
+    return run
 
 
 def _intersections(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -352,77 +365,188 @@ def _intersections(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int64)
 
 
-_SKETCHES = "cluster long, block long, keys binary, clusters binary, sizes binary, sketches binary"
+_SKETCHES = "cluster long, block long, least long, most long, keys binary, clusters binary, sizes binary, sketches binary"
 
 
-def _pack_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of (cluster, bucket, set_key, n, sketch) rows sorted by cluster and bucket; bucket 0 holds whole clusters."""
-    names = [x.split()[0] for x in _SKETCHES.split(", ")]
-    types = [pa.int64()] * 2 + [pa.binary()] * 4
-    held: list[tuple] = []
-    place: tuple | None = None
+def _pack_sketches(most_sets: int, most_bytes: int):
+    """Blocks of (cluster, bucket, set_key, n, sketch) rows, in the order of ``_pack_blocks``; bucket 0 holds whole clusters."""
 
-    def close() -> pa.RecordBatch:
-        nonlocal held
-        clusters, keys, sizes = (np.array([h[i] for h in held], np.int64) for i in range(3))
-        row = [clusters[0], keys[0], keys.tobytes(), clusters.tobytes(), sizes.tobytes(), b"".join(h[3] for h in held)]
-        held = []
-        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [x.split()[0] for x in _SKETCHES.split(", ")]
+        types = [pa.int64()] * 4 + [pa.binary()] * 4
+        held: list[tuple] = []
+        place: tuple | None = None
+        size = 0
+
+        def close() -> pa.RecordBatch:
+            nonlocal held, size
+            clusters, keys, sizes = (np.array([h[i] for h in held], np.int64) for i in range(3))
+            row = [clusters[0], keys[0], sizes.min(), sizes.max(), keys.tobytes(), clusters.tobytes(), sizes.tobytes(), b"".join(h[3] for h in held)]
+            held, size = [], 0
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names)
+
+        for b in batches:
+            for cluster, bucket, key, n, bits in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                now = (cluster, bucket)
+                full = len(held) >= most_sets or size + len(bits) > most_bytes
+                if held and ((full and (bucket or now != place)) or (now != place and (bucket or place[1]))):
+                    yield close()
+                place = now
+                held.append((cluster, key, n, bits))
+                size += len(bits)
+        if held:
+            yield close()
+
+    return run
 
-    for b in batches:
-        for cluster, bucket, key, n, bits in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            now = (cluster, bucket)
-            if held and ((len(held) >= _SKETCH_SETS and (bucket or now != place)) or (now != place and (bucket or place[1]))):
-                yield close()
-            place = now
-            held.append((cluster, key, n, bits))
-    if held:
-        yield close()
+
+def _by_length(sizes: np.ndarray, sketches: bytes) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """The rows whose sketches have a length, and the sketches as words of 64 bits, by length."""
+    bits = np.array([sketch_bits(n) for n in sizes.tolist()], np.int64)
+    starts = np.concatenate(([0], np.cumsum(bits // 64)))
+    flat = np.frombuffer(sketches, U64)
+    return {int(k): (rows := np.flatnonzero(bits == k), flat[starts[rows][:, None] + np.arange(k // 64)]) for k in np.unique(bits)}
+
+
+def _folded(s: np.ndarray, words: int) -> np.ndarray:
+    while s.shape[1] > words:
+        s = s[:, : s.shape[1] // 2] ^ s[:, s.shape[1] // 2 :]
+    return s
 
 
 def _alike(x: tuple, y: tuple, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Edges that connect the sets of two blocks whose sizes and sketches let them link."""
-    (xk, xc, xn, xs), (yk, yc, yn, ys) = ((np.frombuffer(p[0], np.int64), np.frombuffer(p[1], np.int64), np.frombuffer(p[2], np.int64), np.frombuffer(p[3], U64).reshape(-1, _SKETCH_BITS // 64)) for p in (x, y))
+    (xk, xc, xn), (yk, yc, yn) = ([np.frombuffer(p[i], np.int64) for i in range(3)] for p in (x, y))
     rows, columns = [], []
-    for lo in range(0, len(xk), 64):
-        n = xn[lo : lo + 64, None]
-        may = (xc[lo : lo + 64, None] == yc) & (xk[lo : lo + 64, None] != yk) & (100 * n >= percent * yn) & (100 * yn >= percent * n)
-        some = np.flatnonzero(may.any(0))
-        if len(some):
-            differ = np.bitwise_count(xs[lo : lo + 64, None, :] ^ ys[some]).sum(2, dtype=np.int64)
-            r, c = np.nonzero(may[:, some] & ((100 + percent) * differ <= (100 - percent) * (n + yn[some])))
-            rows.append(r + lo)
-            columns.append(some[c])
+    for xi, xs in _by_length(xn, x[3]).values():
+        for yi, ys in _by_length(yn, y[3]).values():
+            words = min(xs.shape[1], ys.shape[1])
+            if 100 * min(xn[xi].max(), yn[yi].max()) < percent * max(xn[xi].min(), yn[yi].min()):
+                continue
+            a, b = _folded(xs, words), _folded(ys, words)
+            step = max(1, (1 << 22) // (words * len(yi)))
+            for lo in range(0, len(xi), step):
+                i = xi[lo : lo + step]
+                n = xn[i][:, None]
+                may = (xc[i][:, None] == yc[yi]) & (xk[i][:, None] != yk[yi]) & (100 * n >= percent * yn[yi]) & (100 * yn[yi] >= percent * n)
+                r, c = np.nonzero(may)
+                if 4 * len(r) < may.size:  # few pairs: compare these alone
+                    differ = np.concatenate([np.bitwise_count(a[lo + r[k : k + step * 8]] ^ b[c[k : k + step * 8]]).sum(1, dtype=np.int64) for k in range(0, len(r), step * 8)]) if len(r) else r
+                else:
+                    differ = np.bitwise_count(a[lo : lo + step, None, :] ^ b).sum(2, dtype=np.int64)[r, c]
+                near = (100 + percent) * differ <= (100 - percent) * (xn[i[r]] + yn[yi[c]])
+                rows.append(i[r[near]])
+                columns.append(yi[c[near]])
     if not rows:
         return xk[:0], xk[:0]
     return forest(np.concatenate(rows), np.concatenate(columns), xk, yk)
 
 
-def _sketch_edges(percent: int):
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """The rows of Arrow batches one by one; binary cells are views of the batch."""
+    for b in batches:
+        for i in range(b.num_rows):
+            yield tuple(c[i].as_buffer() if pa.types.is_binary(c.type) else c[i].as_py() for c in b.columns)
+
+
+def _edges(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+
+def _alone(compare):
+    """Edges within each block."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                a, r = _alike(row[:4], row[-4:], percent)
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(r)], ["a", "b"])
+        for block in _each(batches):
+            a, r = compare(block, block)
+            if len(a):
+                yield _edges(a, r)
 
     return run
 
 
+def _in_tiles(compare):
+    """Edges between the blocks of a tile: those of side 0 come first and are held, those of side 1 pass by."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, held = None, []
+        for cluster, row, column, side, number, *block in _each(batches):
+            if (cluster, row, column) != place:
+                place, held = (cluster, row, column), []
+            if side == 0:
+                held.append((number, [bytes(x) for x in block]))
+                continue
+            for other, parts in held:
+                a, r = compare(parts, block) if row != column or other < number else ((), ())
+                if len(a):
+                    yield _edges(a, r)
+
+    return run
+
+
+_TILE_BLOCKS = 16
+
+
+def _dealt(blocks: DataFrame, columns: tuple[str, ...], compare) -> DataFrame:
+    """Edges of tiles: rows (cluster, row, column, side, block, *columns), one block each."""
+    parts = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    place = ["cluster", "row", "column"]
+    tiles = blocks.select(*place, "side", "block", *columns).repartition(parts, *place).sortWithinPartitions(*place, "side", "block")
+    return tiles.mapInArrow(_in_tiles(compare), "a long, b long")
+
+
+def _all_pairs(blocks: DataFrame, columns: tuple[str, ...], compare, percent: int) -> DataFrame:
+    """Edges between every two blocks of a cluster whose sizes let sets link.
+
+    A cluster's blocks, in the order of their sizes, form stripes of ``_TILE_BLOCKS``. Every two
+    stripes with sizes that may link, but not all in one component, meet in one task, which holds
+    the blocks of one and reads those of the other one at a time. Which stripes a block goes to
+    follows from numbers alone; the blocks' contents are shuffled once.
+    """
+    ranges = ("lo", "hi", "least", "most")
+    light = blocks.select("cluster", "block", *((F.col(c) if c in blocks.columns else F.lit(i).cast("long").alias(c)) for i, c in enumerate(ranges)))
+    each = Window.partitionBy("cluster")
+    numbered = light.withColumn("k", F.count("*").over(each)).where("k > 1").withColumn("stripe", F.floor((F.row_number().over(each.orderBy("least", "block")) - 1) / _TILE_BLOCKS))
+    stripes = numbered.groupBy("cluster", "stripe").agg(*(f(c).alias(c) for f, c in zip((F.min, F.max, F.min, F.max), ranges, strict=True)))
+    x, y = (stripes.select("cluster", *(F.col(c).alias(f"{side}_{c}") for c in ("stripe", *ranges))) for side in "xy")
+    met = x.join(y, "cluster").where("x_stripe <= y_stripe AND NOT (x_lo = x_hi AND y_lo = y_hi AND x_lo = y_lo)").where(f"100 * x_most >= {percent} * y_least AND 100 * y_most >= {percent} * x_least")
+    at = lambda side: F.struct(F.col("x_stripe").alias("row"), F.col("y_stripe").alias("column"), F.lit(side).alias("side"))
+    goes = met.select("cluster", F.explode(F.array(F.struct(F.col("x_stripe").alias("stripe"), at(0).alias("at")), F.struct(F.col("y_stripe").alias("stripe"), at(1).alias("at")))).alias("g")).select("cluster", "g.stripe", "g.at")
+    targets = durable(numbered.select("cluster", "block", "stripe").join(goes, ["cluster", "stripe"]).groupBy("cluster", "block").agg(F.collect_list("at").alias("ats")))
+    sent = blocks.select("cluster", "block", *columns).join(_bounded(targets), ["cluster", "block"])
+    return _dealt(sent.withColumn("at", F.explode("ats")).select("cluster", "at.*", "block", *columns), columns, compare)
+
+
+def _with_first(blocks: DataFrame, columns: tuple[str, ...], compare) -> DataFrame:
+    """Edges between the first block of each cluster and its others."""
+    crowd = blocks.groupBy("cluster").agg(F.count("*").alias("k"), F.min("block").alias("first")).where("k > 1").select("cluster", "first", F.ceil(F.col("k") / _TILE_BLOCKS).alias("stripes"))
+    known = blocks.join(crowd, "cluster")
+    leads = F.col("block") == F.col("first")
+    stripe = F.when(leads, F.sequence(F.lit(0).cast("long"), F.col("stripes") - 1)).otherwise(F.array(F.pmod(F.xxhash64("block"), F.col("stripes"))))
+    met = known.select("cluster", F.explode(stripe).alias("row"), F.lit(-1).cast("long").alias("column"), F.when(leads, 0).otherwise(1).alias("side"), "block", *columns)
+    return _dealt(met, columns, compare)
+
+
+def _ordered(rows: DataFrame, parts: int) -> DataFrame:
+    """Rows (cluster, bucket, n, set_key, ..) dealt and sorted for packing: whole small clusters, large ones by size."""
+    key = ["cluster", F.when(F.col("bucket") > 0, F.col("n")), F.when(F.col("bucket") > 0, F.col("set_key"))]
+    return rows.repartitionByRange(parts, *key).sortWithinPartitions("cluster", key[1], "set_key")
+
+
 def _refined(clusters: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Clusters cut to the sets that sizes and sketches still connect; no linked pair is parted."""
     parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    crowd = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / _SKETCH_SETS).alias("buckets"))
-    bucket = F.when(F.col("buckets") > 1, 1 + F.pmod(F.xxhash64("set_key"), F.col("buckets"))).otherwise(0)
-    rows = clusters.join(crowd, "cluster").join(classes, "set_key").select("cluster", bucket.alias("bucket"), "set_key", "n", "sketch")
-    blocks = durable(rows.repartition(parts, "cluster", "bucket").sortWithinPartitions("cluster", "bucket", "set_key").mapInArrow(_pack_sketches, _SKETCHES))
+    known = clusters.join(classes, "set_key")
+    crowd = known.groupBy("cluster").agg(F.greatest(F.count("*") / _SKETCH_SETS, F.sum(F.length("sketch")) / _SKETCH_BYTES).alias("blocks"))
+    rows = known.join(crowd, "cluster").select("cluster", (F.col("blocks") > 1).cast("long").alias("bucket"), "set_key", "n", "sketch")
+    blocks = durable(_ordered(rows, parts).mapInArrow(_pack_sketches(_SKETCH_SETS, _SKETCH_BYTES), _SKETCHES), wide=True)
     columns = ("keys", "clusters", "sizes", "sketches")
-    within = blocks.select(*columns).mapInArrow(_sketch_edges(percent), "a long, b long")
-    several = blocks.groupBy("cluster").agg(F.least(F.lit(64), F.ceil(F.count("*") / 8)).alias("salts"), F.count("*").alias("k")).where("k > 1")
-    large = blocks.join(several, "cluster")
-    x = large.select("cluster", F.pmod(F.xxhash64("block"), F.col("salts")).alias("salt"), F.col("block").alias("x_block"), *(F.col(c).alias(f"x_{c}") for c in columns))
-    y = large.select("cluster", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.col("block").alias("y_block"), *(F.col(c).alias(f"y_{c}") for c in columns))
-    met = x.join(y, ["cluster", "salt"]).where("x_block < y_block").select(*(f"x_{c}" for c in columns), *(f"y_{c}" for c in columns))
-    return _with_roots(connected_components(within.unionAll(met.mapInArrow(_sketch_edges(percent), "a long, b long"))))
+
+    def alike(x: tuple, y: tuple) -> tuple[np.ndarray, np.ndarray]:
+        return _alike(x, y, percent)
+
+    within = blocks.select(*columns).mapInArrow(_alone(alike), "a long, b long")
+    return _with_roots(connected_components(within.unionAll(_all_pairs(blocks, columns, alike, percent))))
 
 
 def _with_roots(roots: DataFrame) -> DataFrame:
@@ -449,48 +573,17 @@ def _linked(x: tuple, y: tuple, percent: int) -> tuple[np.ndarray, np.ndarray]:
     return forest(r, c, x[0][i], y[0][j])
 
 
-def _within(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                x = _unpacked(*row)
-                a, r = _linked(x, x, percent)
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(r)], ["a", "b"])
-
-    return run
-
-
-def _between(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                a, r = _linked(_unpacked(*row[:5]), _unpacked(*row[5:]), percent)
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(r)], ["a", "b"])
-
-    return run
-
-
 def _rows_of_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            keys, _, clusters, size, _ = _unpacked(*row)
-            offsets = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
-            sets = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(row[4], np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(clusters), pa.array(keys), sets], ["cluster", "set_key", "shingles"])
+    for row in _each(batches):
+        keys, _, clusters, size, _ = _unpacked(*row)
+        offsets = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
+        sets = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(row[4], np.int64)))
+        yield pa.RecordBatch.from_arrays([pa.array(clusters), pa.array(keys), sets], ["cluster", "set_key", "shingles"])
 
 
 _PARTS = ("keys", "roots", "clusters", "sizes", "shingles")
 
 
-def _meeting(left: DataFrame, right: DataFrame, percent: int, only) -> DataFrame:
-    """Links between the blocks of a cluster that ``only`` lets meet; crowded clusters are salted."""
-    crowds = right.groupBy("cluster").agg(F.least(F.lit(64), F.ceil(F.count("*") / 16)).alias("salts"))
-    x = left.join(crowds, "cluster").select("cluster", F.pmod(F.xxhash64("block"), F.col("salts")).alias("salt"), *(F.col(c).alias(f"x_{c}") for c in ("block", "lo", "hi", *_PARTS)))
-    y = right.join(crowds, "cluster").select("cluster", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), *(F.col(c).alias(f"y_{c}") for c in ("block", "lo", "hi", *_PARTS)))
-    met = x.join(y, ["cluster", "salt"]).where(only)
-    return met.select(*(f"x_{c}" for c in _PARTS), *(f"y_{c}" for c in _PARTS)).mapInArrow(_between(percent), "a long, b long")
-
-
 def _cluster_links(base: DataFrame, lists: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
     """Edges that connect all linked classes."""
     spark = base.sparkSession
@@ -498,29 +591,29 @@ def _cluster_links(base: DataFrame, lists: DataFrame, classes: DataFrame, width:
     stars = lists.join(lists.groupBy("list_key").agg(F.min("set_key").alias("b")), "list_key").select(F.col("set_key").alias("a"), "b")
     clusters = durable(_refined(_with_roots(connected_components(stars)), classes, percent))
     known = clusters.join(classes, "set_key")
-    crowd = known.groupBy("cluster").agg(F.ceil(F.greatest(F.count("*") / _BLOCK_SETS, F.sum("n") / _BLOCK_SHINGLES)).alias("buckets"))
-    placed = durable(known.join(crowd, "cluster").select("set_key", "cluster", F.when(F.col("buckets") > 1, 1 + F.pmod(F.xxhash64("set_key"), F.col("buckets"))).otherwise(0).alias("bucket"), F.col("first_id").alias("doc_id")))
+    crowd = known.groupBy("cluster").agg(F.greatest(F.count("*") / _BLOCK_SETS, F.sum("n") / _BLOCK_SHINGLES).alias("blocks"))
+    placed = durable(known.join(crowd, "cluster").select("set_key", "cluster", (F.col("blocks") > 1).cast("long").alias("bucket"), "n", F.col("first_id").alias("doc_id")))
     texts = base.join(_bounded(placed.select("doc_id").distinct()), "doc_id", "left_semi").select("doc_id", "text")
     sets = texts.mapInArrow(_set_rows(width), "set_key long, shingles array<long>")
-    rows = sets.join(_bounded(placed.select("set_key", "cluster", "bucket")), "set_key").select("cluster", "bucket", F.col("set_key").alias("root"), "set_key", "shingles")
-    blocks = durable(rows.repartition(parts, "cluster", "bucket").sortWithinPartitions("cluster", "bucket", "set_key").mapInArrow(_pack_blocks, _BLOCK))
-
-    inside = durable(blocks.select(*_PARTS).mapInArrow(_within(percent), "a long, b long"))
-    # Clusters of several blocks: all blocks with the first one, then what is still apart.
-    several = blocks.groupBy("cluster").agg(F.count("*").alias("n"), F.min("block").alias("first")).where("n > 1")
-    large = blocks.join(several, "cluster")
-    first = large.where("block = first")
-    met = durable(_meeting(large.where("block != first"), first, percent, F.lit(True)))
-    links = inside.unionAll(met)
+    packing = ("cluster", "bucket", "root", "set_key", "shingles")
+    rows = sets.join(_bounded(placed.select("set_key", "cluster", "bucket", "n")), "set_key").withColumn("root", F.col("set_key"))
+    blocks = durable(_ordered(rows, parts).select(*packing).mapInArrow(_pack_blocks(_BLOCK_SETS, _BLOCK_SHINGLES), _BLOCK), wide=True)
+
+    def linked(x: tuple, y: tuple) -> tuple[np.ndarray, np.ndarray]:
+        return _linked(_unpacked(*x), _unpacked(*y), percent)
+
+    # Within blocks, then all blocks of a cluster with the first one, then what is still apart.
+    links = durable(blocks.select(*_PARTS).mapInArrow(_alone(linked), "a long, b long").unionAll(_with_first(blocks, _PARTS, linked)))
     roots = connected_components(links).withColumnRenamed("node", "set_key")
-    again = large.select(*_PARTS).mapInArrow(_rows_of_blocks, "cluster long, set_key long, shingles array<long>")
     near = placed.where("bucket > 0").join(roots, "set_key", "left").select("set_key", "cluster", F.coalesce("root", "set_key").alias("root"))
     apart = near.groupBy("cluster").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("cluster")
     moved = durable(near.join(apart, "cluster", "left_semi").select("set_key", "root"))
-    left = again.join(_bounded(moved), "set_key").select("cluster", F.lit(1).cast("long").alias("bucket"), "root", "set_key", "shingles")
-    packed = durable(left.repartitionByRange(parts, "cluster", "root", "set_key").sortWithinPartitions("cluster", "root", "set_key").mapInArrow(_pack_blocks, _BLOCK))
-    differ = F.expr("x_block <= y_block AND NOT (x_lo = x_hi AND y_lo = y_hi AND x_lo = y_lo)")
-    return links.unionAll(durable(_meeting(packed, packed, percent, differ)))
+    again = blocks.join(apart, "cluster", "left_semi").select(*_PARTS).mapInArrow(_rows_of_blocks, "cluster long, set_key long, shingles array<long>")
+    left = again.join(_bounded(moved), "set_key").withColumn("bucket", F.lit(1).cast("long")).withColumn("n", F.size("shingles"))
+    packed = durable(_ordered(left, parts).select(*packing).mapInArrow(_pack_blocks(_BLOCK_SETS, _BLOCK_SHINGLES), _BLOCK), wide=True)
+    # A block of one root has nothing to find within; blocks of several have.
+    mixed = packed.where("lo < hi").select(*_PARTS).mapInArrow(_alone(linked), "a long, b long")
+    return links.unionAll(durable(mixed.unionAll(_all_pairs(packed, _PARTS, linked, percent))))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 85) -> DataFrame:

@@ -72,7 +72,8 @@ def test_equals_brute_force(spark):
 
 def test_large_cluster_equals_brute_force(spark, monkeypatch):
     """Clusters of several blocks: near copies that only partly link with one another."""
-    monkeypatch.setattr(jj, "_BLOCK_SETS", 8)
+    for name, few in (("_BLOCK_SETS", 8), ("_SKETCH_SETS", 16), ("_TILE_BLOCKS", 2)):
+        monkeypatch.setattr(jj, name, few)
     rnd = random.Random(3)
     base = [f"b{i}" for i in range(90)]
     rows = []
@@ -106,3 +107,24 @@ def test_signature_guarantee():
                 o = len(np.intersect1d(a, b))
                 if 100 * o >= 85 * (len(a) + len(b) - o):
                     assert np.intersect1d(jj.signatures(a, plan), jj.signatures(b, plan)).size
+
+
+def test_sketches_bound_the_difference():
+    """No linked pair is parted, whatever the lengths of the two sketches."""
+    import numpy as np
+
+    rnd = np.random.default_rng(9)
+    sets = []
+    for n in (1, 3, 60, 130, 255, 300, 513, 2000):
+        for _ in range(4):
+            a = rnd.integers(0, 2**63, n).astype(np.uint64)
+            sets += [np.unique(a), np.unique(a[n // 12 :]), np.unique(np.concatenate([a, rnd.integers(0, 2**63, n // 9).astype(np.uint64)]))]
+    sets.sort(key=len)
+    keys, sizes = np.arange(len(sets)), np.array([len(x) for x in sets])
+    block = (keys.tobytes(), np.zeros(len(sets), np.int64).tobytes(), sizes.tobytes(), b"".join(jj.sketch(x) for x in sets))
+    node, root = jj._alike(block, block, 85)
+    near = dict(zip(node.tolist(), root.tolist(), strict=True))
+    linked = [(i, j) for i in range(len(sets)) for j in range(i) if 100 * (o := len(np.intersect1d(sets[i], sets[j]))) >= 85 * (len(sets[i]) + len(sets[j]) - o)]
+    assert linked and all(near.get(i, i) == near.get(j, j) for i, j in linked)
+    # Sets of other contents stay apart.
+    assert len({near.get(i, i) for i in range(len(sets))}) >= 20
