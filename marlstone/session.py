@@ -61,6 +61,6 @@ def durable(df: DataFrame, wide: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bound_batches(spark: SparkSession, size: str = "16m") -> None:
-    """Bound the bytes of an Arrow batch, so that wide rows do not fill a Python worker."""
+def bound_batches(spark: SparkSession, size: str = "4m") -> None:
+    """Bound the bytes of an Arrow batch, which both the executor and its Python workers hold outside the heap."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
