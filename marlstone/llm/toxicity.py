@@ -34,11 +34,12 @@ from marlstone.session import bound_batches, durable
 
 EXACT, FUZZY, STEM = 1, 2, 3
 _WINDOW = 20
-_MOST_CELLS = 10_000_000
+_MOST_CELLS = 4_000_000
 _QUOTES = "\"«»“”„"
 FEATURES = ("hits", "fuzzy", "stem", "quoted", "worst", "per_word", "windows")
 
 _tables: dict[str, np.ndarray] = {}
+_in_use: list = []
 
 
 def _unicode_tables() -> dict[str, np.ndarray]:
@@ -191,6 +192,10 @@ class Automaton:
         found = np.zeros(len(start), np.int8)
         if self.longest == 0:
             return found
+        # A worker outlives its tasks and keeps what was broadcast to it: only the automaton in use keeps states.
+        if _in_use and _in_use[0] is not self:
+            _in_use[0]._reset()
+        _in_use[:] = [self]
         if len(self.states) * self.step.shape[1] > _MOST_CELLS:
             self._reset()
         at = np.arange(len(start))
@@ -377,6 +382,7 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, held_fold: int = 0, max_rows: int = 20_000) -> Model:
     """Learn the lexicon and the weights from at most ``max_rows`` labelled rows."""
     spark = docs.sparkSession
+    bound_batches(spark)
     train = training_rows(docs, labels, "toxic", held_fold, max_rows).select("text", "label")
     words = durable(train.mapInArrow(_word_counts, "word string, n_toxic long, n_clean long").groupBy("word").agg(F.sum("n_toxic").alias("n_toxic"), F.sum("n_clean").alias("n_clean")))
     totals = {int(r["label"] != 0): r["k"] for r in train.groupBy((F.col("label") != 0).cast("int").alias("label")).agg(F.count("*").alias("k")).collect()}
@@ -402,6 +408,7 @@ def _train_features_shared(shared):
 
 def score(docs: DataFrame, model: Model, extra: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, score and the columns named in ``extra`` of every row."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = ["doc_id", "score", *extra]
 
@@ -418,7 +425,6 @@ def score(docs: DataFrame, model: Model, extra: tuple[str, ...] = ()) -> DataFra
 
 def score_documents(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> DataFrame:
     """doc_id, held_out, score and predicted (score >= 0.5) of every document."""
-    bound_batches(docs.sparkSession)
     scored = score(docs, fit(docs, labels, 0, max_rows))
     held = F.coalesce(fold() == 0, F.lit(False))
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -99,6 +99,23 @@ def test_secrets(spark):
     assert secrets.scan(f"key {key}", frozenset([key]))[1] == []
 
 
+def test_secret_recall_and_precision(spark):
+    """Random keys of several kinds, alone and in paths, against names, dates, identifiers and prose."""
+    rnd = random.Random(21)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    alnum = letters + letters.upper() + "0123456789"
+    key = lambda n, chars: "".join(rnd.choice(chars) for _ in range(n))
+    word = lambda: "".join(rnd.choice(letters) for _ in range(rnd.randint(3, 9)))
+    keys = [(rnd.choice(["", "src/your/sample/", "2024-01-31-"]), key(rnd.randint(22, 44), rnd.choice([alnum, alnum + "+/", letters + "0123456789"]))) for _ in range(400)]
+    texts = [f"{word()} {before}{k} {word()}" for before, k in keys]
+    fine = ["/".join(word() for _ in range(6)) for _ in range(100)] + ["_".join(word() + str(rnd.randint(0, 99)) for _ in range(5)) for _ in range(100)]
+    fine += [word() + "".join(word().capitalize() for _ in range(4)) + "2" for _ in range(100)] + [f"2024-01-{d:02}T120000_{word()}_{d}" for d in range(1, 29)] + [" ".join(word() for _ in range(30)) for _ in range(50)]
+    df = spark.createDataFrame(list(enumerate(texts + fine)), "doc_id long, text string")
+    found = {r["doc_id"]: r["n_entropy"] for r in secrets.secret_report(df).where("n_entropy > 0").collect()}
+    caught = sum(i in found for i in range(len(texts)))
+    assert caught >= 0.95 * len(texts) and len(found) - caught <= 0.02 * len(fine)
+
+
 def test_window_entropy_is_incremental():
     s = "aA1aB2zzZ9QqW8eR7tY6uI5oP4"
     for at, bits, by_class, sizes in secrets.window_entropies(s):
@@ -171,18 +188,18 @@ def test_mix_emits_the_picked_words(spark):
 
 def test_packing_round_trip(spark):
     rnd = random.Random(4)
-    special = ["it's we're they'll I'd 'tis 's x's  's", "a  b\n\n c\t d \n", "", None, "   ", "\n", "café naïve 12ab34 ½ ²", "漢字 and text", "<|endoftext|> hi", "don't'sx 've", "'", "tab\t\tz  ", "nul\x00x", "a​b"]
+    special = ["it's we're they'll I'd 'tis 's x's  's", "a  b\n\n c\t d \n", "", None, "   ", "\n", "café naïve 12ab34 ½ ²", "漢字 and text", "<|endoftext|> hi", "don't'sx 've", "'", "ab" * 90 + " end", "a<|endoftext|>b <|endoftext", "tab\t\tz  ", "nul\x00x", "a​b"]
     texts = special + [" ".join(rnd.choice(["the", "Winter", "of", "ξ", "12", "—", "longerword"]) for _ in range(rnd.choice([3, 50, 900, 4000]))) for _ in range(60)]
     rows = [(i, t, "c") for i, t in enumerate(texts)] + [(None, "x", "c")]
     pieces = packing.pack(spark.createDataFrame(rows, "doc_id long, text string, start string").repartition(3)).collect()
-    whole = packing.Tokenizer(__import__("public_tokenizers").path("byte_bpe_50k.json"))
+    whole = __import__("tokenizers").Tokenizer.from_file(__import__("public_tokenizers").path("byte_bpe_50k.json"))
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
     for p in pieces:
         by_doc[p["doc_id"]].append(p)
         by_sequence[p["sequence_id"]].append(p)
     assert set(by_doc) == {i for i, _, _ in rows}
     for i, t, _ in rows:
-        ids = [*whole._ids([t or ""])[0], 0]
+        ids = [*whole.encode(t or "", add_special_tokens=False).ids, 0]
         at = 0
         for p in sorted(by_doc[i], key=lambda p: p["start"]):
             assert p["start"] == at and p["length"] > 0 and p["doc_tokens"] == len(ids)
@@ -197,10 +214,22 @@ def test_packing_round_trip(spark):
             at += p["length"]
         assert at <= 1024
         padding += 0 if at & (at - 1) == 0 else 1024 - at
-    assert padding == 0
+    # Windows stand as the partition leaves them: near-equal, a few tokens below the capacity.
+    assert padding <= 0.01 * sum(p["length"] for p in pieces)
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
+def test_window_count_rises_above_capacity():
+    packer = packing._Packer(0, 8, 4, 8)
+    # Pieces of 5 do not fit two by two in windows of 8.
+    pieces = [(i, 0, np.arange(5, dtype=np.uint32), 5) for i in range(6)]
+    packer._place(pieces, 4)
+    filled = Counter()
+    for r in packer.rows:
+        filled[r[5]] += r[2]
+    assert sorted(filled.values()) == [5] * 6
+
+
 def test_differencing_is_near_equal():
     rnd = np.random.default_rng(3)
     for n, k in ((1, 1), (5, 8), (300, 10), (900, 64)):
@@ -222,7 +251,7 @@ def test_topk_equals_brute_force(spark):
         got[r["query_id"]].append((r["rank"], -r["score"], r["vec_id"]))
     good = [(i, [math.floor(64 * x) for x in v]) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
     for q, e in good:
-        if q % 20 == 0 and q != 40:
+        if q % 20 == 0:
             want = sorted((-sum(a * b for a, b in zip(e, c, strict=True)), i) for i, c in good if i != q)[:7]
             assert [(s, i) for _, s, i in sorted(got[q])] == want and [r for r, _, _ in sorted(got[q])] == list(range(1, 8))
     assert topk.top_k(df.limit(0), df.limit(0)).collect() == []
@@ -234,7 +263,7 @@ def test_near_duplicates_equal_brute_force(spark):
     rows = [(i, (base[i % 25] + rnd.normal(size=16) * rnd.choice([0.0, 0.02, 0.06, 0.12])).tolist(), int(i % 2)) for i in range(420)]
     rows += [(420, None, 1), (421, [0.0] * 16, 1), (422, [float("inf")] * 16, 1), (423, base[0].tolist(), None), (None, base[0].tolist(), 0), (3, rows[3][1], rows[3][2])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumn("root", F.lit(1))
-    got = sorted(((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in embedding_dedup.near_duplicates(df, block_rows=16).collect()), key=str)
+    got = sorted(((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in embedding_dedup.near_duplicates(df, block_rows=16, target_recall=1.0).collect()), key=str)
     good = [j for j, (i, v, y) in enumerate(rows) if i is not None and y is not None and v and np.isfinite(v).all() and np.any(v)]
     u = np.array([rows[j][1] for j in good])
     u /= np.linalg.norm(u, axis=1)[:, None]
@@ -251,6 +280,11 @@ def test_near_duplicates_equal_brute_force(spark):
     expect = sorted(((i, *want.get(j, (0, i)), i is not None and i == want.get(j, (0, i))[1]) for j, (i, _, _) in enumerate(rows)), key=str)
     assert got == expect
     assert embedding_dedup.near_duplicates(df.limit(0)).collect() == []
+    # By the measured target: no link that is none, and hardly one lost.
+    found = embedding_dedup.near_duplicates(df, block_rows=16).collect()
+    links = {(r["vec_id"], r["component_id"]): r["n_links"] for r in found}
+    assert sum(links.values()) >= 0.99 * sum(n for _, n, _, _ in expect) and all(r["sample_recall"] >= 0.99 for r in found)
+    assert all(r["n_links"] <= n for r, (_, n, _, _) in zip(sorted(found, key=lambda r: str((r["vec_id"],))), sorted(expect, key=lambda e: str((e[0],))), strict=True) if r["vec_id"] not in (None, 3))
 
 
 def test_language_model(spark):
@@ -273,6 +307,56 @@ def test_language_model(spark):
     assert language_model.score_documents(df.limit(0)).collect() == []
 
 
+def test_language_model_sums_to_one(spark):
+    """After any words, the probabilities of all words, of unseen words and of the end add up to one."""
+    rnd = random.Random(8)
+    words = [f"{rnd.choice(['', 'ü', 'é'])}{'x' * rnd.randint(0, 9)}{i}{rnd.choice(['', '.', 'a'])}" for i in range(300)]
+    follow = {w: rnd.sample(words, 2) for w in words}
+    texts = []
+    for _ in range(400):
+        text = [rnd.choice(words)]
+        while len(text) < 40:
+            text.append(rnd.choice(follow[text[-1]]) if rnd.random() < 0.8 else words[min(299, int(rnd.expovariate(0.02)))])
+        texts.append(" ".join(text))
+    train = spark.createDataFrame(list(enumerate(texts)), "text_key long, text string")
+    model, table, n_train, n_distinct = language_model.fit(train, slots=1 << 12)
+    assert n_train == 400 * 41 and n_distinct == table.count() + 1
+    seen = sorted({w.lower() for t in texts for w in t.split()})
+    assert len(model.vocabulary.sorted) == len(seen)
+
+    def parts(before):
+        """log10 probability of each seen word after ``before``, and of all unseen ones and the end together."""
+        lines = [" ".join([*before, w]) for w in seen]
+        raw = np.frombuffer("".join(lines).encode(), np.uint8)
+        rows = np.cumsum([0, *(len(x.encode()) for x in lines)])
+        t = language_model.Tokens(raw, rows, model.vocabulary)
+        in_class, in_digits, leaf = model.factors(t)
+        logs = {}
+        inner = np.flatnonzero(t.all_class != language_model.END)
+        for j, i in enumerate(inner):
+            if j + 1 == len(t.h) or t.row[j + 1] != t.row[j]:  # the last word of its line
+                k = np.searchsorted(t.shaped, j)
+                own = k == len(t.shaped) or t.shaped[k] != j
+                logs[seen[t.row[j]]] = in_class[i] + (0 if own else in_digits[k] - leaf[k] + math.log10(model.vocabulary.counts[t.place[j]] + 0.5))
+        context = t.context[inner[len(before)]]
+        one, two = (t.h[len(before) - 1 : len(before)], t.h[len(before) - 2 : len(before) - 1]) if len(before) > 1 else (t.h[:1], np.zeros(1, np.uint64))
+        rest = 10 ** float(model.table[context, language_model.END])
+        for shape in range(64):
+            first = np.exp(model.digits.log_probabilities(np.array([shape]), model.digits.slots(np.array([shape]), one, two)))[0]
+            rest += 10 ** float(model.table[context, 64 + shape]) * (first * 0.5 / model.digits.leaf[shape]).sum()
+        # A class of one word has all of its class's share; classes without a word have what is left.
+        unused = sum(10 ** float(model.table[context, c]) for c in range(1 + len(model.vocabulary.own), 64))
+        return logs, rest + unused
+
+    for before in ([seen[5]], [seen[7], seen[70]], ["nowhere", seen[3]]):
+        logs, rest = parts(before)
+        assert sum(10**x for x in logs.values()) + rest == pytest.approx(1, abs=1e-4)
+    # What followed a word in training is likelier after it than after others.
+    w = max((w for w in words), key=lambda w: sum(t.split().count(w) for t in texts[:50]))
+    after, other = parts([w.lower()])[0], parts([seen[0] if seen[0] != w.lower() else seen[1]])[0]
+    assert sum(after[x.lower()] for x in follow[w]) > sum(other[x.lower()] for x in follow[w])
+
+
 def labelled(spark, kind):
     rnd = random.Random(8)
     rows, marks = [], []
@@ -315,6 +399,20 @@ def test_toxicity_keeps_every_term(spark):
     assert terms == [] and len(stems) == len({w[:4] for w in bad}) and all(any(w.startswith(s) for s in stems) for w in bad)
 
 
+def test_windows_tell_quotation_from_abuse():
+    a = toxicity.Automaton(["grumblefoot", "snarkwort"], [])
+    abuse = "you grumblefoot and you snarkwort, go away"
+    quoted = 'he said "you grumblefoot and you snarkwort" and left'
+    far = "grumblefoot " + "word " * 60 + "snarkwort"
+    x = toxicity.features([abuse, quoted, far, "nothing here", ""], a)
+    worst, mean = (x[:, toxicity.FEATURES.index(n)] for n in ("worst", "windows"))
+    assert worst[0] == pytest.approx(math.log1p(2)) and worst[1] == 0 and worst[2] == pytest.approx(math.log1p(1)) and not worst[3:].any()
+    assert mean[0] == pytest.approx(math.log1p(2)) and mean[1] == 0
+    place, kind, inside = np.array([0, 3, 25, 26]), np.array([1, 2, 1, 1]), np.array([False, False, False, True])
+    want = [max(0.0, sum((-1.0 if inside[j] else 0.5 if kind[j] == toxicity.FUZZY else 1.0) for j in range(4) if abs(place[i] - place[j]) <= 20)) if not inside[i] else 0.0 for i in range(4)]
+    assert toxicity.window_scores(place, kind, inside).tolist() == want
+
+
 def test_automaton_starts_anew(monkeypatch):
     words = ["grumblefoot", "grumblefooot", "snarkwort", "river", "mudbran"]
     points, _, start, end, _ = toxicity._words([" ".join(words)])
@@ -352,6 +450,45 @@ def test_quality(spark):
     assert {r["score"] for r in quality.score_documents(docs, labels.limit(0)).collect()} == {0.5}
 
 
+def test_quality_statistics_equal_plain():
+    texts = ["", None, "One TWO, three.\nOne TWO, three.\n", "a|b $$ x!! ÜBER1 " + "y" * 30, "same same same same", "\n\n \t", "x" * 3000]
+    got = quality.statistics(__import__("pyarrow").array(texts))
+    name = {n: j for j, n in enumerate(quality.STATISTICS)}
+    repeated = lambda xs: 1 - len(set(xs)) / len(xs) if xs else 0.0
+    for x, t in zip(got, texts, strict=True):
+        raw = (t or "").encode()
+        words = [w.encode() for w in WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))]
+        cased = [w.encode() for w in WORD.findall(t or "")]
+        lines = re.findall(rb"[^\n]*\n|[^\n]+$", raw)
+        some, visible = max(1, len(words)), max(1, sum(c not in b" \t\n\r\x0b\x0c" for c in raw))
+        want = {
+            "chars": math.log1p(len(raw)), "words": math.log1p(len(words)), "word_length": sum(map(len, words)) / some, "long_words": sum(len(w) > 24 for w in words) / some,
+            "upper": sum(65 <= c <= 90 for c in raw) / visible, "digits": sum(48 <= c <= 57 for c in raw) / visible, "bars": raw.count(b"|") / visible, "outside_ascii": sum(c > 127 for c in raw) / visible,
+            "shouted": sum((n := sum(65 <= c <= 90 for c in w)) > 1 and 2 * n >= len(w) for w in cased) / some, "distinct": len(set(words)) / len(words) if words else 1.0,
+            "top_share": max(Counter(words).values()) / len(words) if words else 0.0, "repeated_pairs": repeated(list(zip(words, words[1:], strict=False))), "lines": math.log1p(len(lines)), "repeated_lines": repeated(lines),
+        }
+        for k, v in want.items():
+            assert x[name[k]] == pytest.approx(v, abs=1e-9), (k, t)
+
+
+def test_quality_features_and_ridge():
+    rng = np.random.default_rng(4)
+    model = quality.Model(np.zeros(5), np.ones(5), 4096, 3, 2.0)
+    x = rng.normal(size=(40, 5))
+    z = model.expand(x)
+    near = z[:, 1:] @ z[:, 1:].T
+    exact = np.exp(-((x[:, None] - x[None]) ** 2).sum(2) / (2 * 2.0**2))
+    assert np.abs(near - exact).max() < 0.1
+    # Sums over parts give the ridge solution of the whole.
+    y = rng.normal(size=40)
+    a = sum(z[i : i + 7].T @ z[i : i + 7] for i in range(0, 40, 7))
+    v = sum(z[i : i + 7].T @ y[i : i + 7] for i in range(0, 40, 7))
+    penalty = 0.04
+    w = np.linalg.solve(a + penalty * np.eye(len(a)), v)
+    stacked = np.linalg.lstsq(np.vstack([z, np.sqrt(penalty) * np.eye(len(a))]), np.concatenate([y, np.zeros(len(a))]), rcond=None)[0]
+    assert np.allclose(w, stacked, atol=1e-6)
+
+
 def test_isotonic():
     knots, values = quality.isotonic(np.array([3.0, 1.0, 2.0, 2.0]), np.array([1, 0, 1, 0]))
     assert list(values) == [0.0, 0.5, 1.0] and list(knots) == [1.0, 2.0, 3.0]
