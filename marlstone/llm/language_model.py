@@ -45,7 +45,7 @@ _N_FEATURES = 1 + 2 * N_CLASSES + _BUCKETS
 _CONTEXTS = N_CLASSES * N_CLASSES
 _SHAPES = N_CLASSES - N_OWN - 1
 _RUN_WORDS = 1 << 20
-_PIECE = 1 << 12  # slots in a row of summed moments
+_PIECE = 1 << 9  # slots in a row of summed moments
 
 _ENDING = np.full(256, 3, np.uint8)  # 0: letter, 1: digit, 2: sentence mark, 3: other mark
 _ENDING[[*range(97, 123), *range(65, 91), *range(128, 256)]] = 0
@@ -343,7 +343,7 @@ def train_digits(train: DataFrame, vocabulary, model: Digits, steps: int, rate:
         shared = spark.sparkContext.broadcast(model)
         some = train.where(F.pmod(F.xxhash64("text_key", F.lit(29)), F.lit(steps)) == i).select("text")
         # One row for each piece: as many bytes as the weights have, twice.
-        sums = some.mapInArrow(_digit_moments(vocabulary, shared), schema).repartition(4, "piece").mapInArrow(_added_pieces, schema).toArrow()
+        sums = some.mapInArrow(_digit_moments(vocabulary, shared), schema).repartition(max(1, len(model.weights) // _PIECE), "piece").mapInArrow(_added_pieces, schema).toArrow()
         observed, expected = np.zeros_like(model.weights), np.zeros_like(model.weights)
         for r in range(sums.num_rows):
             at = sums.column(0)[r].as_py() * _PIECE
