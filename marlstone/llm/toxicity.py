@@ -20,6 +20,7 @@ score is the share of toxic training rows (0 without any). Other columns are ign
 from __future__ import annotations
 
 import unicodedata
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -62,6 +63,11 @@ def edits_allowed(term: str) -> int:
     return 0 if len(term) < 5 else 1 if len(term) < 9 else 2
 
 
+def _places(state: bytes) -> list[tuple[int, int]]:
+    """The trie's nodes of a state with the edits made so far; packed, as there are tens of thousands of states."""
+    return [divmod(x, 4) for x in array("i", state)]
+
+
 class Automaton:
     """The trie of all terms intersected with their Levenshtein automata, determinised as words need it.
 
@@ -103,7 +109,7 @@ class Automaton:
         else:
             self.ends[at] = edits
 
-    def _closed(self, state: dict[int, int]) -> tuple | str:
+    def _closed(self, state: dict[int, int]) -> bytes | str:
         child, reach = self.child, self.reach
         stack = list(state.items())
         while stack:
@@ -114,24 +120,24 @@ class Automaton:
                     stack.append((to, e + 1))
         if any(self.stem_end[x] and e == 0 for x, e in state.items()):
             return "stem"
-        return tuple(sorted(state.items()))
+        return array("i", [4 * x + e for x, e in sorted(state.items())]).tobytes()
 
-    def _kind(self, state: tuple | str) -> int:
+    def _kind(self, state: bytes | str) -> int:
         if state == "stem":
             return STEM
-        hits = [e for x, e in state if self.ends[x] >= e]
+        hits = [e for x, e in _places(state) if self.ends[x] >= e]
         return 0 if not hits else EXACT if min(hits) == 0 else FUZZY
 
     def _reset(self) -> None:
-        self.ids: dict[tuple | str, int] = {}
-        self.states: list[tuple | str] = []
+        self.ids: dict[bytes | str, int] = {}
+        self.states: list[bytes | str] = []
         self.step = np.zeros((0, len(self.alphabet) + 1), np.int32)
         self.accepts = np.zeros(0, np.int8)
-        self._state(())
+        self._state(b"")
         self.step[0] = 0
         self._state(self._closed({0: 0}))
 
-    def _state(self, state: tuple | str) -> int:
+    def _state(self, state: bytes | str) -> int:
         if state not in self.ids:
             i = self.ids[state] = len(self.states)
             self.states.append(state)
@@ -144,10 +150,10 @@ class Automaton:
                 self.step[i] = i
         return self.ids[state]
 
-    def _next(self, state: tuple, symbol: int) -> tuple | str:
+    def _next(self, state: bytes, symbol: int) -> bytes | str:
         child, reach = self.child, self.reach
         after: dict[int, int] = {}
-        for node, e in state:
+        for node, e in _places(state):
             if e + 1 <= reach[node]:
                 after[node] = min(after.get(node, 9), e + 1)
                 for label, to in child[node].items():
