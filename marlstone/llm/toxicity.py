@@ -423,6 +423,7 @@ def score(docs: DataFrame, model: Model, extra: tuple[str, ...] = ()) -> DataFra
             parts = [shared.value.score(texts) for _, texts in text_runs(b.column(1))]
             s = np.concatenate(parts) if parts else np.zeros(0)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s), *(b.column(2 + i) for i in range(len(extra)))], names)
+        pa.default_memory_pool().release_unused()  # the worker stays for later stages
 
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("__text"), *extra)
     types = dict(docs.dtypes)
