@@ -58,7 +58,16 @@ def durable(df: DataFrame, wide: bool = False) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/marlstone-{uuid.uuid4().hex}"
     df.write.options(**(_WIDE if wide else {})).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.durable_path = path
+    return back
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a ``durable`` table after its last reader."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.durable_path)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def bound_batches(spark: SparkSession, size: str = "4m") -> None:
