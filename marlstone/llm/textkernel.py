@@ -73,13 +73,13 @@ def chunks(column: pa.Array, size: int = CHUNK_BYTES) -> Iterator[tuple[int, int
         at = to
 
 
-def word_bounds(raw: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and row of every maximal run of non-space bytes."""
+def word_bounds(raw: np.ndarray, rows: np.ndarray, separator: np.ndarray = SEPARATOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and row of every maximal run of non-space bytes (of bytes that are no ``separator``)."""
     n = len(raw)
     if n == 0:
         none = np.zeros(0, np.int64)
         return none, none, none
-    inside = ~SEPARATOR[raw]
+    inside = ~separator[raw]
     edge = np.zeros(n + 1, bool)
     edge[rows] = True
     opens, closes = inside.copy(), inside.copy()
