@@ -164,7 +164,7 @@ def crawl(links: DataFrame, seeds: DataFrame, depth: int = 2, most_pages: int |
     return found if most_pages is None else found.orderBy("depth", "url").limit(most_pages)
 
 
-# Elements that reader mode leaves out, and classes and roles that mark them.
+# The plain conversion's own choice of elements to leave out, and of classes that mark them (reader.py has the fixed selectors).
 _DROPPED = {"script", "style", "noscript", "template", "iframe", "svg", "nav", "footer", "header", "aside", "form", "button", "canvas"}
 _NOISE = re.compile(r"(?:^|[\s_-])(?:nav|navbar|menu|sidebar|footer|header|cookie|banner|advert|ads|share|social|comments?|related|breadcrumbs?|popup|modal|newsletter)(?:$|[\s_-])")
 _BLOCKS = {"p", "div", "section", "article", "main", "ul", "ol", "table", "tr", "blockquote", "figure", "dl", "dt", "dd"}

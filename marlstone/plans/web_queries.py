@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.operators import web
+from marlstone.operators import reader, web
 from marlstone.session import table
 
 
@@ -26,6 +26,33 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return web.articles(table(spark, sf_dir, "pages")).select("page_id", "title", "words", "reading_minutes", "markdown")
 
 
+#: Pages with clutter put before the article, by page number; Spark and DuckDB share the statement.
+CLUTTERED = """
+SELECT page_id, url, replace(html, '<article>',
+  CASE WHEN page_id % 2 = 0 THEN '<div id="Cookie-Notice"><p class="consent">c</p></div>' ELSE '' END ||
+  CASE WHEN page_id % 3 = 0 THEN '<div class="top modal">m</div><div class="modal article-x">kept</div>' ELSE '' END ||
+  CASE WHEN page_id % 5 = 0 THEN '<aside class="pullquote">q</aside><aside>z</aside>' ELSE '' END ||
+  CASE WHEN page_id % 7 = 0 THEN '<div class="Big-Sponsor"><span data-ad="1">s</span></div><i data-ad></i>' ELSE '' END ||
+  CASE WHEN page_id % 11 = 0 THEN '<img src="/spacer.gif"><img src="a.png" width="1"><img src="b.png" width="10">' ELSE '' END || '<article>') AS html
+FROM pages
+"""
+
+
+def reader_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reader.reader_articles(table(spark, sf_dir, "pages")).drop("html")
+
+
+def reader_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    pages.createOrReplaceTempView("pages")
+    found = reader.reader_articles(spark.sql(CLUTTERED))
+    # Short pages are read with rules given up; what is left of them is no matter of counting tags.
+    long = pages.select("page_id", (F.length(F.regexp_extract("html", "(?s)<article>(.*)</article>", 1)) > 1000).alias("long"))
+    counts = found.join(long, "page_id")
+    if_long = lambda c: F.when(F.col("long"), c.cast("long"))
+    return counts.select("page_id", "site_name", "pruned", "ads_removed", "is_article", if_long(F.size(F.split("html", "<p[ >]")) - 1).alias("paragraphs"), if_long(F.regexp_count("html", F.lit("<img "))).alias("images"))
+
+
 def merged_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return web.merged_digest(table(spark, sf_dir, "conversations"), "conv_id", "turn", F.concat(F.lit("Turn "), F.col("turn"), F.lit(" by "), F.col("role")), F.col("text"))
 
@@ -46,6 +73,20 @@ ORACLES = {
     "path_tree": rf"""
         WITH s AS (SELECT list_filter(string_split({_PATH}, '/'), lambda x: x <> '') AS g FROM pages), e AS (SELECT g, unnest(range(1, len(g) + 1)) AS depth FROM s WHERE len(g) > 0)
         SELECT '/' || array_to_string(g[1:depth], '/') AS path, CAST(depth AS INTEGER) AS depth, count(*) AS n_urls FROM e GROUP BY 1, 2""",
+    # Clutter by the rules, paragraphs of the article and the advertisement before it (a box of text alone is a
+    # paragraph, kept if it is a sentence of under 80 characters or longer than that); images before the article are left out.
+    "reader_counts": r"""
+        WITH p AS (
+          SELECT page_id, url, html, regexp_extract(html, '(?s)<article>(.*)</article>', 1) AS body,
+            trim(regexp_replace(regexp_extract(html, '(?s)<div class="ad">(.*?)</div>', 1), '\s+', ' ', 'g')) AS ad FROM pages
+        )
+        SELECT page_id, regexp_replace(regexp_extract(url, '^https?://([^/:?#]+)', 1), '^www\.', '') AS site_name,
+          len(regexp_extract_all(html, '<(script|style|nav|footer)[ >]')) + CASE WHEN page_id % 2 = 0 THEN 1 ELSE 0 END + CASE WHEN page_id % 3 = 0 THEN 1 ELSE 0 END
+            + CASE WHEN page_id % 5 = 0 THEN 1 ELSE 0 END + CASE WHEN page_id % 7 = 0 THEN 2 ELSE 0 END + CASE WHEN page_id % 11 = 0 THEN 2 ELSE 0 END AS pruned,
+          CASE WHEN page_id % 7 = 0 THEN 2 ELSE 0 END AS ads_removed, true AS is_article,
+          CASE WHEN length(body) > 1000 THEN len(regexp_extract_all(body, '<p>')) + CASE WHEN length(ad) > 80 OR (length(ad) BETWEEN 1 AND 79 AND regexp_matches(ad, '\.( |$)')) THEN 1 ELSE 0 END END AS paragraphs,
+          CASE WHEN length(body) > 1000 THEN 0 END AS images
+        FROM p""",
     "merged_digest": """
         WITH n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, 'Turn ' || turn || ' by ' || role, text) AS i FROM conversations)
         SELECT conv_id, count(*) AS n_items, '# Table of Contents' || chr(10) || string_agg(i || '. Turn ' || turn || ' by ' || role, chr(10) ORDER BY i) || chr(10) || chr(10) ||
@@ -54,4 +95,4 @@ ORACLES = {
         WITH l AS (SELECT DISTINCT s_nationkey AS a, (s_nationkey * 2 + s_suppkey % 3) % 25 AS b FROM supplier), h1 AS (SELECT DISTINCT b AS k FROM l WHERE a = 1 AND b <> 1), h2 AS (SELECT DISTINCT b AS k FROM l WHERE a IN (SELECT k FROM h1) AND b <> 1 AND b NOT IN (SELECT k FROM h1))
         SELECT 'https://s' || k || '.example.com/' AS url, d AS depth FROM (SELECT 1 AS k, 0 AS d UNION ALL SELECT k, 1 FROM h1 UNION ALL SELECT k, 2 FROM h2)""",
 }
-QUERIES = {f.__name__: f for f in (url_checks, path_tree, page_links, articles, merged_digest, crawl)}
+QUERIES = {f.__name__: f for f in (url_checks, path_tree, page_links, articles, reader_articles, reader_counts, merged_digest, crawl)}
