@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions import text as T
+from marlstone.operators.cycles import strong_components
 from marlstone.session import durable
 
 
@@ -95,56 +96,6 @@ def expand(seeds: DataFrame, edges: DataFrame, hops: int = 1, direction: str = "
     return all_.drop("order")
 
 
-def _spread(labels: DataFrame, steps: DataFrame) -> DataFrame:
-    """Labels (id, label) that travel along steps (from, to) until each node has the largest that reaches it."""
-    total = lambda df: df.agg(F.sum(F.xxhash64("id", "label").cast("decimal(38,0)"))).first()[0]
-    now, before = labels, total(labels)
-    while True:
-        for _ in range(2):  # two steps for each table written
-            sent = now.join(steps, now["id"] == steps["from"]).select(F.col("to").alias("id"), "label")
-            now = now.unionAll(sent).groupBy("id").agg(F.max("label").alias("label"))
-        now = durable(now)
-        after = total(now)
-        if after == before:
-            return now
-        before = after
-
-
-def strong_components(edges: DataFrame) -> DataFrame:
-    """(id, component) of the nodes on cycles; a component is known by its largest id.
-
-    Nodes without in- or out-edges are dropped repeatedly. Of the others, each takes the largest id
-    that reaches it; the nodes of one label that reach the node of that id are a component, and what
-    is left goes on. A node alone is a component only if an edge leads from it to itself.
-    """
-    left = durable(edges.select("src", "dst").distinct())
-    own = left.where("src = dst").select(F.col("src").alias("id"), F.col("src").alias("component"))
-    parts = []
-    while True:
-        n = left.count()
-        while n:
-            peeled = durable(left.join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst"))
-            m = peeled.count()
-            left, n = peeled, m if m < n else 0
-        if not left.count():
-            break
-        nodes = left.select(F.col("src").alias("id")).union(left.select("dst")).distinct()
-        reached = _spread(durable(nodes.select("id", F.col("id").alias("label"))), left.select(F.col("src").alias("from"), F.col("dst").alias("to")))
-        x, y = reached.toDF("src", "x"), reached.toDF("dst", "y")
-        inner = durable(left.join(x, "src").join(y, "dst").where("x = y").select("src", "dst", F.col("x").alias("label")))
-        # Back from the node that gave the label, along edges of one label: nodes it reaches and that reach it.
-        back = _spread(durable(nodes.join(reached.where("id = label").select("id"), "id", "left_semi").select("id", F.col("id").alias("label"))), inner.select(F.col("dst").alias("from"), F.col("src").alias("to")))
-        found = durable(back.select("id", F.col("label").alias("component")))
-        sizes = found.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component")
-        parts.append(found.join(sizes, "component", "left_semi").select("id", "component"))
-        gone = found.select("id")
-        left = durable(left.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti").select("src", "dst"))
-    every = own
-    for p in parts:
-        every = every.unionAll(p)
-    return every.groupBy("id").agg(F.max("component").alias("component"))
-
-
 def cyclic_nodes(edges: DataFrame) -> DataFrame:
     """Nodes that lie on a cycle."""
     return strong_components(edges).select("id")

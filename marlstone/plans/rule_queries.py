@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.operators import graph, quality, slicing, web
+from marlstone.operators import cycles, graph, quality, slicing, web
 from marlstone.plans import inputs
 from marlstone.sources import sinks
 from marlstone.session import table
@@ -112,6 +112,13 @@ def strong_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.strong_components(inputs.edges(spark, sf_dir))
 
 
+def cycle_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    number = F.substring("id", 2, 20).cast("long")
+    nodes = inputs.concepts(spark, sf_dir).select("id", number.alias("ord"))
+    links = inputs.edges(spark, sf_dir).select("src", "dst", F.substring("dst", 2, 20).cast("long").alias("ord")).distinct()
+    return cycles.cycle_report(links, nodes).select("component", "number", F.array_join("cycle", " -> ").alias("cycle"))
+
+
 def skill_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     skills = _sql(spark, sf_dir, SKILLS, "supplier", "nation").withColumns({"tools": F.when(F.length("description") > 20, F.array(F.lit("bash"))).otherwise(F.expr("cast(array() as array<string>)")), "body": F.replace("body", F.lit("./references"), F.lit("references"))})
     return quality.skill_issues(skills, _sql(spark, sf_dir, REFERENCES, "supplier"))
@@ -190,6 +197,23 @@ ORACLES = {
         r AS (SELECT unnest(['SPEC-001', 'SPEC-002', 'SPEC-003', 'SPEC-004', 'SPEC-005', 'SPEC-006']) AS rule, unnest([CASE WHEN untitled > 0 THEN 'failed' ELSE 'passed' END, CASE WHEN idx = 0 THEN 'warning' ELSE 'passed' END, CASE WHEN log = 0 THEN 'warning' ELSE 'passed' END, CASE WHEN dead > 0 THEN 'failed' ELSE 'passed' END, CASE WHEN completeness < 80 THEN 'warning' ELSE 'passed' END, CASE WHEN unsourced > 0 THEN 'warning' ELSE 'passed' END]) AS status, reviewed FROM b),
         n AS (SELECT count(*) FILTER (status = 'failed') AS f, count(*) FILTER (status = 'warning') AS w FROM r)
         SELECT rule, status, CAST(greatest(0, 100 - 30 * f - 10 * w) AS BIGINT) AS score, CASE WHEN f > 0 THEN 'NON_COMPLIANT' WHEN w > 0 OR reviewed = 0 THEN 'CERTIFIED_SILVER' ELSE 'CERTIFIED_GOLD' END AS level FROM r, n""",
+    # Components by the closure; then each is searched step by step: a row holds the path, the place of each of its nodes
+    # among its links, the nodes met, and the cycle that the step closed.
+    "cycle_report": f"""
+        WITH RECURSIVE e AS ({_E}), r(a, b) AS (SELECT src, dst FROM e UNION SELECT r.a, e.dst FROM r JOIN e ON e.src = r.b),
+        c AS (SELECT x.a AS id, max(x.b) AS component FROM r x JOIN r y ON y.a = x.b AND y.b = x.a GROUP BY x.a),
+        adj AS (SELECT a.id, a.component, list(DISTINCT e.dst ORDER BY CAST(substr(e.dst, 2) AS BIGINT)) AS dsts FROM e JOIN c a ON a.id = e.src JOIN c b ON b.id = e.dst AND b.component = a.component GROUP BY ALL),
+        w(component, path, pos, met, closed, step) AS (
+          SELECT component, [arg_min(id, CAST(substr(id, 2) AS BIGINT))], [1], [arg_min(id, CAST(substr(id, 2) AS BIGINT))], CAST(NULL AS VARCHAR[]), 0 FROM c GROUP BY component
+          UNION ALL
+          SELECT w.component,
+            CASE WHEN d.dst IS NULL THEN path[:-2] WHEN list_contains(met, d.dst) THEN path ELSE list_append(path, d.dst) END,
+            CASE WHEN d.dst IS NULL THEN pos[:-2] WHEN list_contains(met, d.dst) THEN list_append(pos[:-2], pos[-1] + 1) ELSE list_append(list_append(pos[:-2], pos[-1] + 1), 1) END,
+            CASE WHEN d.dst IS NULL OR list_contains(met, d.dst) THEN met ELSE list_append(met, d.dst) END,
+            CASE WHEN list_contains(path, d.dst) THEN list_append(path[list_position(path, d.dst):], d.dst) END, step + 1
+          FROM w JOIN adj ON adj.id = w.path[-1] CROSS JOIN LATERAL (SELECT adj.dsts[w.pos[-1]] AS dst) d WHERE len(path) > 0
+        )
+        SELECT component, row_number() OVER (PARTITION BY component ORDER BY step) AS number, array_to_string(closed, ' -> ') AS cycle FROM w WHERE closed IS NOT NULL""",
     "cyclic_nodes": f"WITH RECURSIVE e AS ({_E}), r(a, b) AS (SELECT src, dst FROM e UNION SELECT r.a, e.dst FROM r JOIN e ON e.src = r.b) SELECT DISTINCT a AS id FROM r WHERE a = b",
     "strong_components": f"WITH RECURSIVE e AS ({_E}), r(a, b) AS (SELECT src, dst FROM e UNION SELECT r.a, e.dst FROM r JOIN e ON e.src = r.b) SELECT x.a AS id, max(x.b) AS component FROM r x JOIN r y ON y.a = x.b AND y.b = x.a GROUP BY x.a",
     "skill_issues": rf"""
@@ -214,4 +238,4 @@ ORACLES = {
         SELECT doc_id, CAST(per AS BIGINT) AS chars_per_page, scanned, short > 0.32 AS columns, CAST(math AS BIGINT) AS math, CAST(tabs AS BIGINT) AS tables, CAST(least(100, 40 * CAST(scanned AS INT) + 30 * CAST(short > 0.32 AS INT) + 25 * CAST(math >= 5 AS INT) + 20 * CAST(tabs >= 3 AS INT) + 25 * CAST(bad > 0.005 AS INT)) AS BIGINT) AS score, CASE WHEN scanned OR math >= 5 OR bad > 0.005 THEN 'visual' ELSE 'fast' END AS route FROM f""",
 }
 
-QUERIES = {f.__name__: f for f in (logic_class, deadlines, precedence_rules, legal_metadata, secret_kinds, unsafe_addresses, skill_audit, certificate, cyclic_nodes, strong_components, skill_issues, export_turtle, export_csv, export_statements, text_links, text_complexity)}
+QUERIES = {f.__name__: f for f in (logic_class, deadlines, precedence_rules, legal_metadata, secret_kinds, unsafe_addresses, skill_audit, certificate, cyclic_nodes, strong_components, cycle_report, skill_issues, export_turtle, export_csv, export_statements, text_links, text_complexity)}
