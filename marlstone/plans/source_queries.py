@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from marlstone.session import shared_dir, table
 from marlstone.sources import archives, bundles
+from marlstone.streaming import queue
 
 
 def _folder(spark: SparkSession) -> str:
@@ -34,7 +35,27 @@ def archive_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.groupBy("extension").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.sum(F.conv(F.substring(F.sha2("content", 256), 1, 8), 16, 10).cast("long")).alias("checksum"), F.count("error").alias("errors"))
 
 
+def queued_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document through the conversion queue, one attempt each; texts of one line fail."""
+
+    def convert(text: str) -> str:
+        if "\n" not in text:
+            raise ValueError("one line")
+        return "# " + text
+
+    folder = _folder(spark)
+    path = f"{sf_dir.rstrip('/')}/documents.parquet"
+    docs = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path[:-1] + "[t]")  # a pattern, as a stream takes no path of a single file
+    events = docs.select("doc_id", F.lit("document").alias("kind"), "text", F.lit(0).alias("ord"))
+    queue.run_queue(events, f"{folder}/log", f"{folder}/checkpoint", convert, max_attempts=1, interval=None).awaitTermination()
+    return queue.queue_table(spark, f"{folder}/log").select("doc_id", "status", "attempts", "error", F.length("markdown").cast("long").alias("n_chars"))
+
+
 ORACLES = {
+    "queued_documents": """
+        SELECT doc_id, CASE WHEN contains(text, chr(10)) THEN 'success' ELSE 'error' END AS status, 1 AS attempts,
+          CASE WHEN contains(text, chr(10)) THEN NULL ELSE 'one line' END AS error, CASE WHEN contains(text, chr(10)) THEN length(text) + 2 END AS n_chars
+        FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)""",
     "bundle_round_trip": """
         SELECT lang || '/' || doc_id || '.md' AS path, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS size, sha256(coalesce(text, '')) AS sha256, 'ok' AS state FROM documents""",
     "archive_members": """
@@ -42,4 +63,4 @@ ORACLES = {
           CAST(sum(CAST('0x' || substr(sha256(text), 1, 8) AS BIGINT)) AS BIGINT) AS checksum, 0 AS errors
         FROM conversations WHERE role IN ('user', 'assistant') AND turn % 5 <> 4 GROUP BY 1""",
 }
-QUERIES = {f.__name__: f for f in (bundle_round_trip, archive_members)}
+QUERIES = {f.__name__: f for f in (bundle_round_trip, archive_members, queued_documents)}

@@ -63,11 +63,15 @@ def durable(df: DataFrame, wide: bool = False) -> DataFrame:
     return back
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder by any path that Spark opens."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
 def discard(df: DataFrame) -> None:
     """Delete a ``durable`` table after its last reader."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df.durable_path)
-    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    delete(df.sparkSession, df.durable_path)
 
 
 def bound_batches(spark: SparkSession, size: str = "4m") -> None:

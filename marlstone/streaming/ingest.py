@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import threading
+import time as clock
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
+
+from marlstone.session import delete
 
 
 def document_stream(spark: SparkSession, folder: str, schema: str = "doc_id long, text string, at timestamp", files_per_batch: int = 16) -> DataFrame:
@@ -43,8 +48,12 @@ def upsert_into(stream: DataFrame, table: str, checkpoint: str, key: str = "doc_
             merged = new
         staged = f"{table.rstrip('/')}_staged/{number}"
         merged.write.mode("overwrite").parquet(staged)
+        # The staged copies of a batch are read by no other batch.
         spark.read.parquet(staged).repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(table)
+        delete(spark, staged)
+        delete(spark, arrived)
 
+    totals(stream.sparkSession)
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
@@ -53,7 +62,67 @@ def windowed_counts(events: DataFrame, time: str, key: str, window: str = "10 mi
     return events.withWatermark(time, lateness).groupBy(F.window(time, window), key).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), key, "n")
 
 
-def progress(query: StreamingQuery) -> dict[str, float]:
-    """Rows read so far and rows a second of a query."""
-    seen = query.recentProgress
-    return {"batches": len(seen), "rows": sum(p["numInputRows"] for p in seen), "rows_per_second": max([p.get("processedRowsPerSecond") or 0.0 for p in seen], default=0.0)}
+class Totals(StreamingQueryListener):
+    """Batches, rows and rates of every query of a session, summed as batches end: a query itself keeps its last hundred.
+
+    A batch that is repeated after a restart counts once, by its number.
+    """
+
+    def __init__(self) -> None:
+        self.seen: dict[str, dict] = {}
+        self.changed = threading.Condition()
+
+    def onQueryStarted(self, event) -> None:
+        with self.changed:
+            self.seen.setdefault(str(event.id), {"batch": -1, "batches": 0, "rows": 0, "seconds": 0.0, "rows_per_second": 0.0})
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        with self.changed:
+            t = self.seen.setdefault(str(p.id), {"batch": -1, "batches": 0, "rows": 0, "seconds": 0.0, "rows_per_second": 0.0})
+            if p.batchId > t["batch"]:
+                t["batch"] = p.batchId
+                t["batches"] += 1
+                t["rows"] += p.numInputRows
+                t["seconds"] += p.batchDuration / 1000
+                t["rows_per_second"] = max(t["rows_per_second"], p.processedRowsPerSecond or 0.0)
+            self.changed.notify_all()
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+
+_listeners: dict[str, Totals] = {}
+
+
+def totals(spark: SparkSession) -> Totals:
+    """The session's totals; the first call begins to count."""
+    key = spark.sparkContext.applicationId
+    if key not in _listeners:
+        _listeners[key] = Totals()
+        spark.streams.addListener(_listeners[key])
+    return _listeners[key]
+
+
+def progress(query: StreamingQuery, wait: float = 5.0) -> dict[str, float]:
+    """Batches and rows read so far by a query, over restarts too, the best rate of a batch, and rows a second of the
+    time that batches took (0.1 s at least).
+
+    Events come a little after their batches: up to ``wait`` seconds are given to the last one. Queries that
+    began before ``totals`` counted are summed over what they keep, their last hundred batches.
+    """
+    last = query.lastProgress
+    listener = next(iter(_listeners.values()), None)
+    if listener is None or query.id not in listener.seen:
+        seen = query.recentProgress
+        rows, seconds = sum(p["numInputRows"] for p in seen), sum(p["batchDuration"] for p in seen) / 1000
+        return {"batches": len(seen), "rows": rows, "rows_per_second": max([p.get("processedRowsPerSecond") or 0.0 for p in seen], default=0.0), "mean_rate": rows / max(seconds, 0.1)}
+    end = clock.monotonic() + wait
+    with listener.changed:
+        while last and listener.seen[query.id]["batch"] < last["batchId"] and clock.monotonic() < end:
+            listener.changed.wait(0.1)
+        t = dict(listener.seen[query.id])
+    return {"batches": t["batches"], "rows": t["rows"], "rows_per_second": t["rows_per_second"], "mean_rate": t["rows"] / max(t["seconds"], 0.1)}
