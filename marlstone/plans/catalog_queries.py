@@ -61,8 +61,12 @@ def vector_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lexicon_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = table(spark, sf_dir, "nation")
-    return sinks.lexicon_csv(n.select("n_name", F.concat(F.lit("land, "), "n_name").alias("category"), F.array(F.lower("n_name"), F.lit("a")).alias("aliases"), F.lit("0.5").alias("salience")).withColumnRenamed("n_name", "name"))
+    n, k = table(spark, sf_dir, "nation"), F.col("n_nationkey")
+    entries = n.select(
+        F.col("n_name").alias("name"), F.concat(F.lit("land, "), "n_name").alias("category"), F.array(F.lower("n_name"), F.lit("a")).alias("aliases"), F.when(k % 3 == 1, 0.5).when(k % 3 == 2, 1.0).alias("salience"),
+        F.when(k % 2 == 0, F.concat(F.lit('a "'), "n_name", F.lit('"'))).alias("description"), F.when(k % 5 == 0, False).when(k % 5 == 1, True).alias("enabled"),
+    )
+    return sinks.lexicon_csv(entries)
 
 
 def export_resources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,7 +161,10 @@ ORACLES = {
         WITH s AS ({rule_queries.SKILLS}), h AS (SELECT name, lower(description) AS d, list_sum(list_transform(['shipping', 'orders', 'from', 'nation_1', 'now'], lambda w: CASE WHEN contains(lower(description), w) OR contains(lower(name), w) THEN 1 ELSE 0 END)) / 5 AS share FROM s)
         SELECT name, share > 0.3 AS activates, CAST(least(100, floor(100 * share + 0.5)) AS BIGINT) AS confidence FROM h""",
     "carried_tails": "SELECT conv_id, turn, coalesce(right(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), 40), '') AS context FROM conversations",
-    "lexicon_csv": "SELECT n_name || ',\"land, ' || n_name || '\",' || lower(n_name) || '|a,0.5' AS line FROM nation",
+    "lexicon_csv": """
+        SELECT 'canonicalName,category,aliases,baseSalience,description,enabled' AS line UNION ALL
+        SELECT n_name || ',"land, ' || n_name || '",' || lower(n_name) || '; a,' || CASE n_nationkey % 3 WHEN 1 THEN '0.5' WHEN 2 THEN '1' ELSE '0.85' END || ',' ||
+          CASE WHEN n_nationkey % 2 = 0 THEN '"a ""' || n_name || '""' || '"' ELSE '' END || ',' || CASE WHEN n_nationkey % 5 = 0 THEN 'false' ELSE 'true' END FROM nation""",
     "export_resources": f"SELECT id, '{{\"uri\":\"okf://concepts/' || path || '\",\"name\":\"' || title || '\",\"description\":\"' || description || '\",\"mimeType\":\"text/markdown\"}}' AS json FROM ({_C}) c",
     "extracted_entities": f"""
         WITH t AS ({_ENTITY_TEXT}), e AS (

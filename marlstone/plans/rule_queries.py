@@ -142,9 +142,26 @@ def text_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("page_id", F.explode(web.web_links(F.col("text"))).alias("link"))
 
 
+#: Documents with signs of formulas, venues and tables put behind them by number; Spark and DuckDB share the statement.
+SIGNED = r"""
+SELECT doc_id, coalesce(text, '') ||
+  CASE doc_id % 7 WHEN 0 THEN ' a ≤ b ≥ c ± d ∑ e √ f' WHEN 1 THEN ' x ∞ y ∆ z' ELSE '' END ||
+  CASE WHEN doc_id % 11 = 3 THEN ' In: IEEE Transactions' ELSE '' END ||
+  CASE WHEN doc_id % 5 = 2 THEN chr(10) || '12   34   56' || chr(10) || '| a | b |' || chr(10) || '+---' || chr(10) || '-----' ELSE '' END ||
+  CASE WHEN doc_id % 13 = 4 THEN repeat(chr(7), 600) ELSE '' END AS text
+FROM documents
+"""
+
+
 def text_complexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = (F.col("doc_id") % 4).cast("long")
-    return table(spark, sf_dir, "documents").select("doc_id", *(x.alias(n) for n, x in quality.text_complexity(F.col("text"), pages).items()))
+    found = _sql(spark, sf_dir, SIGNED, "documents")
+    return found.select("doc_id", *(x.alias(n) for n, x in quality.text_complexity(F.col("text"), pages).items())).withColumn("reasons", F.array_join("reasons", "; "))
+
+
+def file_checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = inputs.concepts(spark, sf_dir)
+    return quality.file_checksums(c, c.where("id = 'c2'"), c.where("id = 'c1'"))
 
 
 _C, _E, _L = inputs.CONCEPTS, inputs.EDGES, inputs.LINKS
@@ -192,8 +209,8 @@ ORACLES = {
           CASE WHEN contains(b, 'api_key = "abc') THEN 0 ELSE 100 END, CASE WHEN link = '' OR EXISTS (SELECT 1 FROM r WHERE r.name = e.name AND r.path = e.link) THEN 100 ELSE 0 END] AS c FROM e), x AS (SELECT name, c, CAST(floor(list_sum(c) / 10 + 0.5) AS BIGINT) AS score FROM c)
         SELECT name, score, CASE WHEN score >= 95 THEN 'A+' WHEN score >= 85 THEN 'A' WHEN score >= 70 THEN 'B' WHEN score >= 55 THEN 'C' ELSE 'F' END AS grade, score >= 80 AND c[1] > 0 AND c[3] > 20 AND c[9] > 0 AND c[10] > 0 AS is_compliant, array_to_string(c, ',') AS checks FROM x""",
     "certificate": f"""
-        WITH c AS ({_C}), b AS (SELECT (SELECT count(*) FROM c WHERE trim(title) = '' OR trim(type) = '') AS untitled, (SELECT count(*) FROM c WHERE path = 'index.md') AS idx, (SELECT count(*) FROM c WHERE id = 'c1') AS log,
-          (SELECT count(*) FROM ({_L}) l WHERE dst NOT IN (SELECT id FROM c)) AS dead, (SELECT avg(CASE WHEN regexp_matches(body, '(?im)^\\s*1\\.\\s+install') THEN 90 ELSE 80 END) FROM c) AS completeness, (SELECT count(*) FROM c WHERE verified = '') AS unsourced, (SELECT count(*) FROM c WHERE trust_tier = 'human-reviewed') AS reviewed),
+        WITH c AS ({_C}), b AS (SELECT (SELECT count(*) FROM c WHERE title = '') AS untitled, (SELECT count(*) FROM c WHERE path = 'index.md') AS idx, (SELECT count(*) FROM c WHERE id = 'c1') AS log,
+          (SELECT count(*) FROM ({_L}) l WHERE dst NOT IN (SELECT id FROM c) OR src NOT IN (SELECT id FROM c)) AS dead, (SELECT floor(avg(CASE WHEN regexp_matches(body, '(?im)^\\s*1\\.\\s+install') THEN 90 ELSE 80 END) + 0.5) FROM c) AS completeness, (SELECT count(*) FROM c WHERE verified = '' OR status NOT IN ('stable', 'draft', 'deprecated')) AS unsourced, (SELECT count(*) FROM c WHERE trust_tier = 'human-reviewed') AS reviewed),
         r AS (SELECT unnest(['SPEC-001', 'SPEC-002', 'SPEC-003', 'SPEC-004', 'SPEC-005', 'SPEC-006']) AS rule, unnest([CASE WHEN untitled > 0 THEN 'failed' ELSE 'passed' END, CASE WHEN idx = 0 THEN 'warning' ELSE 'passed' END, CASE WHEN log = 0 THEN 'warning' ELSE 'passed' END, CASE WHEN dead > 0 THEN 'failed' ELSE 'passed' END, CASE WHEN completeness < 80 THEN 'warning' ELSE 'passed' END, CASE WHEN unsourced > 0 THEN 'warning' ELSE 'passed' END]) AS status, reviewed FROM b),
         n AS (SELECT count(*) FILTER (status = 'failed') AS f, count(*) FILTER (status = 'warning') AS w FROM r)
         SELECT rule, status, CAST(greatest(0, 100 - 30 * f - 10 * w) AS BIGINT) AS score, CASE WHEN f > 0 THEN 'NON_COMPLIANT' WHEN w > 0 OR reviewed = 0 THEN 'CERTIFIED_SILVER' ELSE 'CERTIFIED_GOLD' END AS level FROM r, n""",
@@ -230,12 +247,29 @@ ORACLES = {
         SELECT 'MERGE (c:Concept {{id: "' || id || '"}}) SET c.title = "' || title || '", c.type = "' || type || '";' AS line FROM ({_C}) c
         UNION ALL SELECT 'MATCH (a:Concept {{id: "' || src || '"}}), (b:Concept {{id: "' || dst || '"}}) MERGE (a)-[:' || upper(kind) || ']->(b);' FROM ({_E}) e""",
     "text_links": "SELECT page_id, link FROM (SELECT page_id, unnest(list_distinct([url, 'https://example.com/b'])) AS link FROM pages) WHERE regexp_matches(link, '^https?://[^/?#]+') AND NOT regexp_matches(lower(link), '^[^?#]*\\.(?:pdf|zip|jpg|jpeg|png|gif|css|js|xml|json|svg|ico|mp4|mp3)(?:/|$)')",
+    # The patterns are the reference's, written for RE2.
     "text_complexity": r"""
-        WITH d AS (SELECT doc_id, text, doc_id % 4 AS pages, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '') AS ls FROM documents),
-        m AS (SELECT doc_id, pages, text, CASE WHEN pages > 0 THEN floor(length(text) / pages + 0.5) ELSE 0 END AS per, CASE WHEN len(ls) > 0 THEN len(list_filter(ls, lambda x: length(x) BETWEEN 5 AND 37 AND NOT starts_with(x, '#') AND NOT starts_with(x, '-'))) / len(ls) ELSE 0 END AS short,
-          len(regexp_extract_all(text, '\\[(\[]|\\(?:sum|int|partial|alpha|beta|gamma|delta|theta|lambda|approx|frac)')) AS math, len(regexp_extract_all(text, '(?m)\|[^\n]+\||^\s*[+\-]{3,}\s*$')) AS tabs, len(regexp_extract_all(text, '[\x{FFFD}\x00-\x08\x0B\x0C\x0E-\x1F]')) / greatest(1, length(text)) AS bad FROM d),
-        f AS (SELECT *, pages = 0 OR per < 60 AS scanned FROM m)
-        SELECT doc_id, CAST(per AS BIGINT) AS chars_per_page, scanned, short > 0.32 AS columns, CAST(math AS BIGINT) AS math, CAST(tabs AS BIGINT) AS tables, CAST(least(100, 40 * CAST(scanned AS INT) + 30 * CAST(short > 0.32 AS INT) + 25 * CAST(math >= 5 AS INT) + 20 * CAST(tabs >= 3 AS INT) + 25 * CAST(bad > 0.005 AS INT)) AS BIGINT) AS score, CASE WHEN scanned OR math >= 5 OR bad > 0.005 THEN 'visual' ELSE 'fast' END AS route FROM f""",
+        WITH d AS (SELECT doc_id, text, doc_id % 4 AS pages, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '') AS ls FROM ("""
+    + SIGNED
+    + r""") x),
+        m AS (SELECT doc_id, pages, text, CASE WHEN pages > 0 THEN floor(length(text) / pages + 0.5) ELSE 0 END AS per,
+          (CASE WHEN len(ls) > 0 THEN len(list_filter(ls, lambda x: length(x) > 4 AND length(x) < 38 AND NOT starts_with(x, '#') AND NOT starts_with(x, '-'))) / len(ls) ELSE 0 END) > 0.32
+            OR regexp_matches(text, '(?i)cacm|acm|draft v\d|journal|conference|ieee|arxiv|col-2|two-column') AS cols,
+          len(regexp_extract_all(text, '(\\\(|\\\[|\\sum|\\int|\\partial|\\alpha|\\beta|\\gamma|\\delta|\\theta|\\lambda|\\approx|\\frac|\\le|\\ge|\\neq|\\in|\\forall|\\exists|\\rightarrow|√|∫|∑|∏|∞|≤|≥|≠|≈|∂|∆|±)')) AS math,
+          len(regexp_extract_all(text, '(?m)(\|[^\n]+\||^\s*[\+\-]{3,}\s*$|^\s*\d+[\t\s]{2,}\d+[\t\s]{2,}\d+)')) AS tabs, len(regexp_extract_all(text, '[\x{FFFD}\x00-\x08\x0B\x0C\x0E-\x1F]')) / greatest(1, length(text)) AS bad FROM d),
+        f AS (SELECT *, pages = 0 OR per < 60 AS scanned FROM m),
+        g AS (SELECT *, least(100, 40 * CAST(scanned AS INT) + 30 * CAST(cols AS INT) + 25 * CAST(math >= 5 AS INT) + 20 * CAST(tabs >= 3 AS INT) + 25 * CAST(bad > 0.005 AS INT)) AS score FROM f)
+        SELECT doc_id, CAST(per AS BIGINT) AS chars_per_page, scanned, cols AS columns, CAST(math AS BIGINT) AS math, CAST(tabs AS BIGINT) AS tables, CAST(score AS BIGINT) AS score,
+          CASE WHEN scanned OR math >= 5 OR bad > 0.005 OR score >= 40 THEN 'visual' ELSE 'fast' END AS route,
+          CASE WHEN score = 0 THEN 'Standard single-column text structure with clean embedded fonts' ELSE array_to_string(list_filter([
+            CASE WHEN scanned THEN 'Low text density (<60 chars/page) - scanned/image document requiring visual OCR' END, CASE WHEN cols THEN 'Multi-column / side-by-side text layout structure detected' END,
+            CASE WHEN math >= 5 THEN 'High math & LaTeX formula density (' || math || ' math symbols)' END, CASE WHEN tabs >= 3 THEN 'Complex tabular layout grid detected (' || tabs || ' table markers)' END,
+            CASE WHEN bad > 0.005 THEN 'Corrupted embedded font encoding detected (' || printf('%.1f', bad * 100) || '% garbled glyphs)' END], lambda x: x IS NOT NULL), '; ') END AS reasons FROM g""",
+    "file_checksums": f"""
+        WITH c AS ({_C}), f AS (
+          SELECT path, type, '---' || chr(10) || 'type: ' || type || chr(10) || 'title: "' || title || '"' || chr(10) || 'status: ' || status || chr(10) || 'tags: [' || tag_a || ', ' || tag_b || ']' || chr(10) || '---' || chr(10) || chr(10) || body AS text FROM c
+          UNION ALL SELECT 'INDEX.md', 'reserved/index', body FROM c WHERE id = 'c2' UNION ALL SELECT 'logs/CONVERSION.md', 'reserved/log', body FROM c WHERE id = 'c1')
+        SELECT path, CAST(octet_length(encode(text)) AS BIGINT) AS size, sha256(text) AS sha256, type FROM f""",
 }
 
-QUERIES = {f.__name__: f for f in (logic_class, deadlines, precedence_rules, legal_metadata, secret_kinds, unsafe_addresses, skill_audit, certificate, cyclic_nodes, strong_components, cycle_report, skill_issues, export_turtle, export_csv, export_statements, text_links, text_complexity)}
+QUERIES = {f.__name__: f for f in (logic_class, deadlines, precedence_rules, legal_metadata, secret_kinds, unsafe_addresses, skill_audit, certificate, cyclic_nodes, strong_components, cycle_report, skill_issues, export_turtle, export_csv, export_statements, text_links, text_complexity, file_checksums)}

@@ -94,9 +94,19 @@ def dense_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.dense_top_k(v, query, 10).select("vec_id", F.round("cosine", 6).alias("cosine"))
 
 
+#: Texts with names of every kind; Spark and DuckDB share the statement.
+PATTERNED = r"""
+SELECT s_suppkey AS id, 'Use getUser' || CAST(s_suppkey % 3 AS STRING) || ' and API_KEY via ' ||
+  CASE s_suppkey % 6 WHEN 0 THEN 'REST' WHEN 1 THEN 'restful' WHEN 2 THEN 'OAuth 2.0' WHEN 3 THEN 'oauth' WHEN 4 THEN 'HTTPS' ELSE 'kubernetes' END || ' at ' || CAST(s_suppkey AS STRING) || ' ms or 99.9% of 5 Tokens. THE ABC is AND, `tick ' || CAST(s_suppkey AS STRING) || '` `the` ` ABC ` `' ||
+  s_name || '` with snake_case_' || CAST(s_suppkey % 5 AS STRING) || ' MyClassName go C++x SDKs ABCDEF XYZ' ||
+  CASE WHEN s_suppkey % 4 = 0 THEN ' a_1 a_2 a_3 a_4 a_5 a_6 a_7 a_8 a_9' ELSE '' END AS text
+FROM supplier
+"""
+
+
 def pattern_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = inputs.concepts(spark, sf_dir)
-    return c.select("id", F.explode(entities.pattern_entities(F.col("body"))).alias("e")).select("id", "e.text", "e.category", "e.confidence")
+    c = inputs.sql(spark, sf_dir, PATTERNED)
+    return c.select("id", F.posexplode(entities.pattern_entities(F.col("text"))).alias("at", "e")).select("id", (F.col("at") + 1).cast("long").alias("place"), "e.text", "e.category", "e.confidence")
 
 
 def noun_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,6 +137,21 @@ _CODE = r"regexp_matches(text, '(?is)```[a-z0-9]*\n.*?```')"
 _TABLE = rf"regexp_matches(text, '{T.TABLE_RULE}')"
 
 ORACLES = {
+    # A later kind takes a name over and leaves it its place; an acronym takes none over. Patterns and the stop words that occur are written out.
+    "pattern_entities": rf"""
+        WITH d AS ({PATTERNED}), k AS (
+          SELECT id, 1 AS kind, generate_subscripts(m, 1) AS pos, unnest(m) AS name FROM (SELECT id, regexp_extract_all(text, '\b([a-z]+[A-Z][a-zA-Z0-9]*|[A-Z][a-zA-Z0-9]+[A-Z][a-zA-Z0-9]*|[a-zA-Z0-9]+_[a-zA-Z0-9_]+|[A-Z]{{2,}}_[A-Z0-9_]+)\b', 1) AS m FROM d)
+          UNION ALL SELECT id, 2, generate_subscripts(m, 1), unnest(m) FROM (SELECT id, regexp_extract_all(text, '(?i)\b(OAuth(?:\s*2\.0)?|JWT|REST(?:ful)?|GraphQL|gRPC|HTTP[S]?|SQL|PostgreSQL|MySQL|SQLite|NoSQL|JSON|YAML|XML|API|SDK|SDKs|CLI|TCP|UDP|IP|DNS|SSL|TLS|Docker|Kubernetes|HTML|CSS|TypeScript|JavaScript|Python|Rust|Go|C\+\+|AWS|GCP|Azure|Firebase|Firestore|Markdown|OKF)\b', 1) AS m FROM d)
+          UNION ALL SELECT id, 3, generate_subscripts(m, 1), unnest(m) FROM (SELECT id, regexp_extract_all(text, '\b([A-Z]{{3,5}})\b', 1) AS m FROM d)
+          UNION ALL SELECT id, 4, generate_subscripts(m, 1), unnest(m) FROM (SELECT id, regexp_extract_all(text, '(?i)\b(\d+(?:\.\d+)?\s*(?:%|ms|seconds?|mins?|hours?|req/s|rps|KB|MB|GB|TB|kps|fps|tokens?))\b', 1) AS m FROM d)
+          UNION ALL SELECT id, 5, generate_subscripts(m, 1), trim(unnest(m)) FROM (SELECT id, regexp_extract_all(text, '`([^`\n]+)`', 1) AS m FROM d)
+        ), f AS (
+          SELECT *, kind * 100000 + pos AS ord FROM k WHERE CASE kind WHEN 1 THEN length(name) >= 3 AND lower(name) NOT IN ('the', 'and') WHEN 3 THEN lower(name) NOT IN ('the', 'and') WHEN 5 THEN length(name) BETWEEN 2 AND 40 AND lower(name) NOT IN ('the', 'and') ELSE true END
+        ), g AS (
+          SELECT id, name, min(ord) AS ord, max(CASE kind WHEN 3 THEN 0 ELSE kind END) AS kind FROM f GROUP BY id, name
+        ), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ord) AS place FROM g)
+        SELECT id, place, name AS text, CASE kind WHEN 0 THEN 'technical' WHEN 2 THEN 'protocol' WHEN 4 THEN 'metric' ELSE 'code' END AS category,
+          CASE kind WHEN 0 THEN 0.85 WHEN 1 THEN 0.95 WHEN 2 THEN 0.98 ELSE 0.9 END::DOUBLE AS confidence FROM r WHERE place <= 20""",
     "doc_stats": rf"""
         SELECT doc_id, CAST(length(text) AS BIGINT) AS chars, {_N('\\S+').replace(chr(92) * 2, chr(92))} AS words,
           CAST(greatest(1, ceil(len(regexp_extract_all(text, '\S+')) / 200)) AS BIGINT) AS reading_minutes,

@@ -75,8 +75,14 @@ def edges_csv(edges: DataFrame) -> DataFrame:
 
 
 def lexicon_csv(lexicon: DataFrame) -> DataFrame:
-    """(line): name, category, aliases (with | between) and salience of each entry of a lexicon."""
-    return lexicon.select(F.concat_ws(",", _cell(F.col("name")), _cell(F.col("category")), _cell(F.array_join("aliases", "|")), _cell(F.col("salience"))).alias("line"))
+    """(line): the header and each entry of a lexicon (name, category, aliases, salience, description, enabled).
+
+    Lines are for a text file with "\\r\\n" between them. A missing salience is 0.85, a missing switch true.
+    """
+    salience = F.regexp_replace(F.coalesce(F.col("salience").cast("double"), F.lit(0.85)).cast("string"), r"\.0$", "")
+    cells = [F.col("name"), F.col("category"), F.array_join("aliases", "; "), salience, F.col("description"), F.when(F.coalesce(F.col("enabled"), F.lit(True)), "true").otherwise("false")]
+    header = lexicon.sparkSession.createDataFrame([("canonicalName,category,aliases,baseSalience,description,enabled",)], "line string")
+    return header.unionAll(lexicon.select(F.concat_ws(",", *map(_cell, cells)).alias("line")))
 
 
 def vector_payload(chunks: DataFrame, namespace: str) -> DataFrame:
