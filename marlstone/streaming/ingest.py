@@ -63,10 +63,7 @@ def windowed_counts(events: DataFrame, time: str, key: str, window: str = "10 mi
 
 
 class Totals(StreamingQueryListener):
-    """Batches, rows and rates of every query of a session, summed as batches end: a query itself keeps its last hundred.
-
-    A batch that is repeated after a restart counts once, by its number.
-    """
+    """Batches, rows and rates of every run of a query, summed as batches end: a query itself keeps its last hundred."""
 
     def __init__(self) -> None:
         self.seen: dict[str, dict] = {}
@@ -74,12 +71,12 @@ class Totals(StreamingQueryListener):
 
     def onQueryStarted(self, event) -> None:
         with self.changed:
-            self.seen.setdefault(str(event.id), {"batch": -1, "batches": 0, "rows": 0, "seconds": 0.0, "rows_per_second": 0.0})
+            self.seen.setdefault(str(event.runId), {"batch": -1, "batches": 0, "rows": 0, "seconds": 0.0, "rows_per_second": 0.0})
 
     def onQueryProgress(self, event) -> None:
         p = event.progress
         with self.changed:
-            t = self.seen.setdefault(str(p.id), {"batch": -1, "batches": 0, "rows": 0, "seconds": 0.0, "rows_per_second": 0.0})
+            t = self.seen.setdefault(str(p.runId), {"batch": -1, "batches": 0, "rows": 0, "seconds": 0.0, "rows_per_second": 0.0})
             if p.batchId > t["batch"]:
                 t["batch"] = p.batchId
                 t["batches"] += 1
@@ -108,21 +105,21 @@ def totals(spark: SparkSession) -> Totals:
 
 
 def progress(query: StreamingQuery, wait: float = 5.0) -> dict[str, float]:
-    """Batches and rows read so far by a query, over restarts too, the best rate of a batch, and rows a second of the
-    time that batches took (0.1 s at least).
+    """Batches and rows read so far by this run of a query, the best rate of a batch, and rows a second of the time
+    that batches took (0.1 s at least).
 
     Events come a little after their batches: up to ``wait`` seconds are given to the last one. Queries that
     began before ``totals`` counted are summed over what they keep, their last hundred batches.
     """
     last = query.lastProgress
     listener = next(iter(_listeners.values()), None)
-    if listener is None or query.id not in listener.seen:
+    if listener is None or query.runId not in listener.seen:
         seen = query.recentProgress
         rows, seconds = sum(p["numInputRows"] for p in seen), sum(p["batchDuration"] for p in seen) / 1000
         return {"batches": len(seen), "rows": rows, "rows_per_second": max([p.get("processedRowsPerSecond") or 0.0 for p in seen], default=0.0), "mean_rate": rows / max(seconds, 0.1)}
     end = clock.monotonic() + wait
     with listener.changed:
-        while last and listener.seen[query.id]["batch"] < last["batchId"] and clock.monotonic() < end:
+        while last and listener.seen[query.runId]["batch"] < last["batchId"] and clock.monotonic() < end:
             listener.changed.wait(0.1)
-        t = dict(listener.seen[query.id])
+        t = dict(listener.seen[query.runId])
     return {"batches": t["batches"], "rows": t["rows"], "rows_per_second": t["rows_per_second"], "mean_rate": t["rows"] / max(t["seconds"], 0.1)}
