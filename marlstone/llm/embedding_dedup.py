@@ -6,14 +6,18 @@ every vector is indexed in the cell of its nearest centroids. A vector then visi
 multi-sequence traversal: both halves' centroids are sorted by how far the vector is from the
 border to their region, and the frontier of the two sequences advances through pairs of them,
 nearest first, until the wanted recall. At ``target_recall`` 1 the radius is the largest distance
-of two linked unit vectors, beyond which no cell can hold a partner; below 1 it is the quantile
-of that many linked pairs of the sample. Every vector of a visited cell is verified by its cosine
-in double precision.
+of two linked unit vectors, beyond which no cell can hold a partner. Below 1 it is measured: a drawn
+set of vectors meets all rows of its labels by brute force, each of its links tells the radius at which one
+of the two vectors visits the other, and the smallest radius is taken that reaches the wanted share.
+Where these vectors have no link, the radius is the geometric one. Every vector of a visited cell is
+verified by its cosine in double precision.
 
 Equal vectors are one class from the start. Visitors and members of a cell are packed in blocks
 by a range partitioning on cell and key, which cuts through crowded cells, and blocks meet in
-matrix products. A product gives each vector's number of links and a spanning forest of its
-links, so a crowded cell costs arithmetic but never rows for its pairs.
+matrix products. A product gives the links of each visitor, the links of each member that does not
+visit the visitor in its turn (so every link counts once at both ends), and a spanning forest of
+the links. A crowded cell costs arithmetic but never rows for its pairs. Distances to borders
+are summed vector by vector, so that both ends of a link decide alike.
 
 Nulls: vectors that are null, zero, or hold null or non-finite components, null labels and null
 ids link with nothing (a null id also has no component). Halves are split at half the length;
@@ -62,7 +66,7 @@ class MultiIndex:
 
     def __init__(self, first: np.ndarray, second: np.ndarray, radius2: float) -> None:
         self.books, self.radius2 = (first, second), radius2
-        self.links, self.reached = 0, 0  # of the sample: by brute force, and those that the traversal meets
+        self.links, self.reached = 0, 0  # of the measured vectors: by brute force, and those that the traversal meets
         self.gaps = []
         for c in self.books:
             d = np.sqrt(np.maximum(0, (c * c).sum(1)[:, None] - 2 * c @ c.T + (c * c).sum(1)))
@@ -73,7 +77,9 @@ class MultiIndex:
         """The nearest centroid, and for each centroid the squared distance to the border of its region."""
         c = self.books[half]
         part = u[:, : u.shape[1] // 2] if half == 0 else u[:, u.shape[1] // 2 :]
-        d = (part * part).sum(1)[:, None] - 2 * part @ c.T + (c * c).sum(1)
+        d = np.empty((len(part), len(c)))
+        for j in range(len(c)):  # a product of matrices would round by the number of rows
+            d[:, j] = ((part - c[j]) ** 2).sum(1)
         own = d.argmin(1)
         over = np.maximum(0, d - d[np.arange(len(d)), own][:, None]) / (2 * self.gaps[half][own])
         return own, over * over
@@ -101,25 +107,85 @@ class MultiIndex:
         return np.concatenate(rows), np.concatenate(cells)
 
 
-def fit_index(sample: np.ndarray, labels: np.ndarray, per_label: float, threshold: float, target_recall: float, per_cell: int = 48) -> MultiIndex:
-    """Codebooks of a size that puts about ``per_cell`` vectors of a label in a cell."""
+def fit_index(sample: np.ndarray, per_label: float, threshold: float, per_cell: int = 48) -> MultiIndex:
+    """Codebooks of a size that puts about ``per_cell`` vectors of a label in a cell; the radius is the geometric one."""
     k = int(np.clip(np.ceil(np.sqrt(per_label / per_cell)), 2, max(2, len(sample) // 16)))
     half = sample.shape[1] // 2
-    bound = 2 - 2 * threshold + 1e-9
-    index = MultiIndex(kmeans(sample[:, :half], k), kmeans(sample[:, half:], k), bound)
-    needed = []
-    for v in np.unique(labels):
-        u = sample[labels == v][:2000]
-        r, c = np.nonzero(np.triu(u @ u.T >= threshold, 1))
-        if len(r):
-            (own_a, a), (own_b, b) = index.borders(u, 0), index.borders(u, 1)
-            needed.append(a[r, own_a[c]] + b[r, own_b[c]])
-    if needed:
-        every = np.concatenate(needed)
-        if target_recall < 1:
-            index.radius2 = min(bound, float(np.quantile(every, target_recall)) + 1e-12)
-        index.links, index.reached = len(every), int((every <= index.radius2).sum())
-    return index
+    return MultiIndex(kmeans(sample[:, :half], k), kmeans(sample[:, half:], k), 2 - 2 * threshold + 1e-9)
+
+
+_BINS = 1 << 14
+
+
+def _gaps(shared, queries, threshold: float):
+    """(dim, bin, n): links between the measured vectors and a task's rows, by the radius that finds them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[int, np.ndarray] = {}
+        asked: dict[int, dict] = {}
+        for d, index in shared.value.items():
+            asked[d] = {}
+            counts[d] = np.zeros(_BINS + 1, np.int64)
+            for label, (keys, u) in queries.value.get(d, {}).items():
+                asked[d][label] = (keys, u, index.borders(u, 0), index.borders(u, 1))
+        for b in batches:
+            key, label = b.column(0).to_numpy(), b.column(1).to_numpy()
+            for rows, m in vectors(b.column(2)):
+                d = m.shape[1]
+                if d not in asked:
+                    continue
+                index = shared.value[d]
+                u, ok = unit(m)
+                rows, u = rows[ok], u[ok]
+                for of in np.unique(label[rows]).tolist():
+                    if of not in asked[d]:
+                        continue
+                    here = np.flatnonzero(label[rows] == of)
+                    keys, q, (own_a, a), (own_b, b_) = asked[d][of]
+                    linked = q @ u[here].T >= threshold
+                    linked &= keys[:, None] != key[rows[here]][None, :]
+                    r, c = np.nonzero(linked)
+                    if not len(r):
+                        continue
+                    met, back = np.unique(c, return_inverse=True)
+                    (m_own_a, m_a), (m_own_b, m_b) = index.borders(u[here[met]], 0), index.borders(u[here[met]], 1)
+                    there = a[r, m_own_a[back]] + b_[r, m_own_b[back]]
+                    home = m_a[back, own_a[r]] + m_b[back, own_b[r]]
+                    share = np.minimum(there, home) / index.radius2
+                    counts[d] += np.bincount(np.clip(np.ceil(share * _BINS), 0, _BINS).astype(np.int64), minlength=_BINS + 1)
+        for d, n in counts.items():
+            some = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), d, np.int32)), pa.array(some), pa.array(n[some])], ["dim", "bin", "n"])
+
+    return run
+
+
+def _measured(classes: DataFrame, shared, indexes: dict[int, MultiIndex], threshold: float, target_recall: float, recall_queries: int) -> None:
+    """Set each index's radius by the links of drawn vectors to all rows."""
+    spark = classes.sparkSession
+    drawn = classes.orderBy(F.xxhash64("key", F.lit("recall"))).limit(recall_queries).select("key", "label", "embedding").collect()
+    held: dict[int, dict[int, tuple]] = {}
+    for r in drawn:
+        held.setdefault(len(r["embedding"]), {}).setdefault(r["label"], []).append((r["key"], r["embedding"]))
+    asked = {}
+    for d, by in held.items():
+        asked[d] = {label: (np.array([k for k, _ in rows], np.int64), unit(np.array([e for _, e in rows]))[0]) for label, rows in by.items()}
+    queries = spark.sparkContext.broadcast(asked)
+    found = classes.select("key", "label", "embedding").mapInArrow(_gaps(shared, queries, threshold), "dim int, bin long, n long").groupBy("dim", "bin").agg(F.sum("n").alias("n")).collect()
+    queries.destroy()
+    for d, index in indexes.items():
+        n = np.zeros(_BINS + 1, np.int64)
+        for r in found:
+            if r["dim"] == d:
+                n[r["bin"]] += r["n"]
+        met = np.cumsum(n)
+        index.links = index.reached = int(met[-1])
+        if index.links:
+            # The first bin whose links and those before reach the share: the order statistic, rounded up.
+            at = int(np.searchsorted(met, int(np.ceil(target_recall * index.links))))
+            index.reached = int(met[at])
+            if at < _BINS:
+                index.radius2 *= at / _BINS
 
 
 _ENTRY = "label long, dim int, cell long, key long, mult long, cells binary"
@@ -191,33 +257,43 @@ def _as_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["label", "dim", "cell", "keys", "mults", "cells"])
 
 
-def _verify(threshold: float):
+def _verify(shared, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for dim, vk, vc, mk, mm, mc in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                who, members, mult = np.frombuffer(vk, np.int64), np.frombuffer(mk, np.int64), np.frombuffer(mm, np.int64)
-                linked = np.frombuffer(vc).reshape(-1, dim) @ np.frombuffer(mc).reshape(-1, dim).T >= threshold
+            for dim, vk, vm, vc, mk, mm, mc in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                who, members, weight, mult = (np.frombuffer(x, np.int64) for x in (vk, mk, vm, mm))
+                u, v = np.frombuffer(vc).reshape(-1, dim), np.frombuffer(mc).reshape(-1, dim)
+                linked = u @ v.T >= threshold
                 linked &= who[:, None] != members[None, :]
-                n = linked @ mult
-                some = np.flatnonzero(n)
-                if len(some) == 0:
-                    continue
                 r, c = np.nonzero(linked)
+                if len(r) == 0:
+                    continue
+                index = shared.value.get(dim)
+                counts = [(who, linked @ mult)]
+                if index is not None:
+                    # Members that do not visit the visitor's cell hear of the link here.
+                    met, back = np.unique(c, return_inverse=True)
+                    seen, at = np.unique(r, return_inverse=True)
+                    reach = sum(index.borders(v[met], h)[1][back, index.borders(u[seen], h)[0][at]] for h in (0, 1))
+                    one_way = reach > index.radius2
+                    counts.append((members, np.bincount(c[one_way], weight[r[one_way]], len(members)).astype(np.int64)))
+                for ends, n in counts:
+                    some = np.flatnonzero(n)
+                    yield pa.RecordBatch.from_arrays([pa.array(ends[some]), pa.nulls(len(some), pa.int64()), pa.array(n[some])], ["a", "b", "n"])
                 x, y = forest(r, c, who, members)
-                none = pa.nulls(len(some), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(who[some]), none, pa.array(n[some])], ["a", "b", "n"])
                 yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(np.zeros(len(x), np.int64))], ["a", "b", "n"])
 
     return run
 
 
-def near_duplicates(vecs: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.98, target_recall: float = 0.9999, sample_rows: int = 20_000, block_rows: int = 512) -> DataFrame:
+def near_duplicates(vecs: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.98, target_recall: float = 0.9999, sample_rows: int = 20_000, recall_queries: int = 1000, block_rows: int = 512) -> DataFrame:
     """vec_id, n_links, component_id, kept and sample_recall of every vector.
 
     sample_rows: the most vectors that the codebooks are fitted on (16 for each centroid at least);
-    every vector is indexed. target_recall: the share of the sample's links, found by brute force,
-    that the traversal has to meet; at 1 it goes as far as any link can be. sample_recall: the share
-    that it did meet (null where the sample has no link).
+    every vector is indexed. target_recall: the share of the links between ``recall_queries`` drawn
+    vectors and all rows, counted by brute force, that the traversal has to meet; at 1 it goes as far
+    as any link can be. sample_recall: the share that it meets (1 where these vectors have no link, as
+    the traversal then goes that far too).
     """
     spark = vecs.sparkSession
     bound_batches(spark)
@@ -234,10 +310,14 @@ def near_duplicates(vecs: DataFrame, id_col: str = "vec_id", vector_col: str = "
         of = [r for r in sample if len(r["embedding"]) == d]
         if d >= 2:
             u, ok = unit(np.array([r["embedding"] for r in of]))
-            indexes[d] = fit_index(u[ok], np.array([r["label"] for r in of])[ok], shape["n"] / max(1, shape["labels"]), threshold, target_recall)
+            indexes[d] = fit_index(u[ok], shape["n"] / max(1, shape["labels"]), threshold)
+    if target_recall < 1:
+        fitted = spark.sparkContext.broadcast(indexes)
+        _measured(classes, fitted, indexes, threshold, target_recall, recall_queries)
+        fitted.destroy()
     shared = spark.sparkContext.broadcast(indexes)  # at most a sixteenth of the sample as centroids, twice
     links = sum(i.links for i in indexes.values())
-    recall = F.lit(sum(i.reached for i in indexes.values()) / links if links else None).cast("double")
+    recall = F.lit(sum(i.reached for i in indexes.values()) / links if links else 1.0)
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     source = classes.select("key", "label", "mult", "embedding")
@@ -250,9 +330,9 @@ def near_duplicates(vecs: DataFrame, id_col: str = "vec_id", vector_col: str = "
     blocks = durable(packed[False])
     crowds = blocks.groupBy(*place).agg(F.ceil(F.count("*") / 4).alias("salts"))
     held = blocks.join(crowds, place).select(*place, F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.col("keys").alias("m_keys"), "mults", F.col("cells").alias("m_cells"))
-    coming = packed[True].join(crowds, place).select(*place, F.pmod(F.xxhash64("keys"), F.col("salts")).alias("salt"), F.col("keys").alias("v_keys"), F.col("cells").alias("v_cells"))
-    met = coming.join(held, [*place, "salt"]).select("dim", "v_keys", "v_cells", "m_keys", "mults", "m_cells")
-    found = durable(met.mapInArrow(_verify(threshold), "a long, b long, n long"))
+    coming = packed[True].join(crowds, place).select(*place, F.pmod(F.xxhash64("keys"), F.col("salts")).alias("salt"), F.col("keys").alias("v_keys"), F.col("mults").alias("v_mults"), F.col("cells").alias("v_cells"))
+    met = coming.join(held, [*place, "salt"]).select("dim", "v_keys", "v_mults", "v_cells", "m_keys", "mults", "m_cells")
+    found = durable(met.mapInArrow(_verify(shared, threshold), "a long, b long, n long"))
 
     counts = found.where("b IS NULL").groupBy(F.col("a").alias("key")).agg(F.sum("n").alias("others"))
     roots = connected_components(found.where("b IS NOT NULL").select("a", "b"))
