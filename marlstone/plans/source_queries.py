@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marlstone.functions import json_schema
 from marlstone.session import shared_dir, table
 from marlstone.sources import archives, bundles
 from marlstone.streaming import queue
@@ -51,7 +52,45 @@ def queued_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return queue.queue_table(spark, f"{folder}/log").select("doc_id", "status", "attempts", "error", F.length("markdown").cast("long").alias("n_chars"))
 
 
+#: A record of each preset for every supplier, with faults by number; Spark and DuckDB share the statement.
+RECORDS = """
+SELECT s_suppkey AS k, 'api_reference' AS preset, '{"apiName": "' || s_name || '", "endpoints": [{"method": "' || CASE WHEN s_suppkey % 3 = 0 THEN 'FETCH' ELSE 'GET' END || '", "path": "/s", "summary": "x"}, {"method": "POST", "path": "/t", ' ||
+  CASE WHEN s_suppkey % 4 = 0 THEN '' ELSE '"summary": "y", ' END || '"parameters": [{"name": "q", "in": "' || CASE WHEN s_suppkey % 5 = 0 THEN 'cookie' ELSE 'query' END || '", "required": true, "type": "string"}]}]}' AS text FROM supplier
+UNION ALL SELECT s_suppkey, 'pricing_tiers', '{"productName": "' || s_name || '", "plans": ' || CASE WHEN s_suppkey % 3 = 0 THEN '"none"' ELSE '[{"name": "Free", "featuresIncluded": ["a", "b"], "isPopular": ' || CASE WHEN s_suppkey % 4 = 0 THEN '"yes"' ELSE 'true' END || '}]' END || '}' FROM supplier
+UNION ALL SELECT s_suppkey, 'faq_qna', CASE WHEN s_suppkey % 2 = 0 THEN '```json' || chr(10) ELSE '' END || '{"topic": null, "items": [{"question": "q", "answer": ' || CASE WHEN s_suppkey % 3 = 0 THEN 'null' ELSE '"a"' END || '}], "page": 1}' || CASE WHEN s_suppkey % 2 = 0 THEN chr(10) || '```' ELSE '' END FROM supplier
+UNION ALL SELECT s_suppkey, 'product_specs', '{"productTitle": "' || s_name || '"' || CASE WHEN s_suppkey % 5 = 0 THEN '' ELSE ', "technicalSpecs": []' END || ', "keyFeatures": [' || CASE WHEN s_suppkey % 2 = 0 THEN '1' ELSE '"1"' END || ', "x"]}' FROM supplier
+UNION ALL SELECT s_suppkey, 'entities_relations', '{"entities": [{"id": "a", "name": "A", "type": "' || CASE WHEN s_suppkey % 7 = 0 THEN 'Thing' ELSE 'Person' END || '"}, 5]' || CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE ', "relations": [{"sourceId": "a", "predicate": "is", "targetId": "a"}]' END || '}' FROM supplier
+UNION ALL SELECT s_suppkey, 'course_syllabus', CASE WHEN s_suppkey % 6 = 0 THEN '{"courseTitle": ' ELSE '{"courseTitle": "C", "modules": [{"moduleNumber": ' || CASE WHEN s_suppkey % 4 = 0 THEN '"1"' ELSE '1.5' END || ', "title": "T", "topics": ["t"]}]}' END FROM supplier
+"""
+
+
+def json_presets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A record of each preset for every supplier: is it valid, what is wrong, and a value of its typed data."""
+    table(spark, sf_dir, "supplier").createOrReplaceTempView("supplier")
+    records = spark.sql(RECORDS)
+    shown = {
+        "api_reference": "data.endpoints[1].parameters[0].name", "pricing_tiers": "cast(size(data.plans) as string)", "faq_qna": "data.items[0].question", "product_specs": "data.keyFeatures[1]",
+        "entities_relations": "data.relations[0].predicate", "course_syllabus": "cast(data.modules[0].moduleNumber as string)",
+    }
+    parts = [json_schema.extracted(records.where(F.col("preset") == name), "text", name).selectExpr("preset", "k", "valid", "array_join(issues, '; ') AS issues", "array_join(extra, ',') AS extra", f"{value} AS value") for name, value in shown.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionAll(p)
+    return out
+
+
 ORACLES = {
+    # By the schemas of the presets, read by hand: the faults of RECORDS and what is said of each.
+    "json_presets": """
+        WITH r AS (SELECT s_suppkey AS k FROM supplier), f AS (
+          SELECT k, 'api_reference' AS preset, [CASE WHEN k % 3 = 0 THEN 'endpoints[0].method: not one of GET|POST|PUT|DELETE|PATCH|HEAD|OPTIONS' END, CASE WHEN k % 4 = 0 THEN 'endpoints[1].summary: required' END, CASE WHEN k % 5 = 0 THEN 'endpoints[1].parameters[0].in: not one of query|header|path|body' END] AS said, '' AS extra, 'q' AS value FROM r
+          UNION ALL SELECT k, 'pricing_tiers', [CASE WHEN k % 3 = 0 THEN 'plans: expected array' WHEN k % 4 = 0 THEN 'plans[0].isPopular: expected boolean' END], '', CASE WHEN k % 3 = 0 THEN NULL ELSE '1' END FROM r
+          UNION ALL SELECT k, 'faq_qna', [CASE WHEN k % 3 = 0 THEN 'items[0].answer: required' END], 'page', 'q' FROM r
+          UNION ALL SELECT k, 'product_specs', [CASE WHEN k % 5 = 0 THEN 'technicalSpecs: required' END, CASE WHEN k % 2 = 0 THEN 'keyFeatures[0]: expected string' END], '', 'x' FROM r
+          UNION ALL SELECT k, 'entities_relations', [CASE WHEN k % 7 = 0 THEN 'entities[0].type: not one of Person|Organization|Concept|Location|Technology|Event|Metric' END, 'entities[1]: expected object', CASE WHEN k % 3 = 0 THEN 'relations: required' END], '', CASE WHEN k % 3 = 0 THEN NULL ELSE 'is' END FROM r
+          UNION ALL SELECT k, 'course_syllabus', [CASE WHEN k % 6 = 0 THEN 'not JSON' WHEN k % 4 = 0 THEN 'modules[0].moduleNumber: expected number' END], CASE WHEN k % 6 = 0 THEN NULL ELSE '' END, CASE WHEN k % 6 = 0 OR k % 4 = 0 THEN NULL ELSE '1.5' END FROM r
+        ), g AS (SELECT *, list_filter(said, lambda x: x IS NOT NULL) AS faults FROM f)
+        SELECT preset, k, len(faults) = 0 AS valid, array_to_string(faults, '; ') AS issues, extra, value FROM g""",
     "queued_documents": """
         SELECT doc_id, CASE WHEN contains(text, chr(10)) THEN 'success' ELSE 'error' END AS status, 1 AS attempts,
           CASE WHEN contains(text, chr(10)) THEN NULL ELSE 'one line' END AS error, CASE WHEN contains(text, chr(10)) THEN length(text) + 2 END AS n_chars
@@ -63,4 +102,4 @@ ORACLES = {
           CAST(sum(CAST('0x' || substr(sha256(text), 1, 8) AS BIGINT)) AS BIGINT) AS checksum, 0 AS errors
         FROM conversations WHERE role IN ('user', 'assistant') AND turn % 5 <> 4 GROUP BY 1""",
 }
-QUERIES = {f.__name__: f for f in (bundle_round_trip, archive_members, queued_documents)}
+QUERIES = {f.__name__: f for f in (bundle_round_trip, archive_members, queued_documents, json_presets)}
