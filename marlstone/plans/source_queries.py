@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import json_schema
 from marlstone.session import shared_dir, table
-from marlstone.sources import archives, bundles
+from marlstone.sources import archives, bundles, readers
 from marlstone.streaming import queue
 
 
@@ -52,6 +52,14 @@ def queued_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return queue.queue_table(spark, f"{folder}/log").select("doc_id", "status", "attempts", "error", F.length("markdown").cast("long").alias("n_chars"))
 
 
+def paged_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positions of orders as glyph runs on two pages, put together as lines."""
+    runs = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("doc_id"), (F.col("l_linenumber") % 2 + 1).alias("page"), (F.col("l_suppkey") % 5).alias("x"), (F.col("l_partkey") % 24 / 2).alias("y"), F.concat("l_returnflag", F.col("l_linenumber")).alias("text")
+    )
+    return readers.paged_text(runs)
+
+
 #: A record of each preset for every supplier, with faults by number; Spark and DuckDB share the statement.
 RECORDS = """
 SELECT s_suppkey AS k, 'api_reference' AS preset, '{"apiName": "' || s_name || '", "endpoints": [{"method": "' || CASE WHEN s_suppkey % 3 = 0 THEN 'FETCH' ELSE 'GET' END || '", "path": "/s", "summary": "x"}, {"method": "POST", "path": "/t", ' ||
@@ -80,6 +88,17 @@ def json_presets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES = {
+    # Heights from the top, one a step: each keeps the anchor or becomes one.
+    "paged_lines": """
+        WITH RECURSIVE r AS (SELECT l_orderkey AS doc_id, l_linenumber % 2 + 1 AS page, l_suppkey % 5 AS x, l_partkey % 24 / 2 AS y, l_returnflag || l_linenumber AS text FROM lineitem),
+        h AS (SELECT doc_id, page, y, row_number() OVER (PARTITION BY doc_id, page ORDER BY y DESC) AS n FROM (SELECT DISTINCT doc_id, page, y FROM r)),
+        a(doc_id, page, n, y, anchor) AS (
+          SELECT doc_id, page, n, y, y FROM h WHERE n = 1
+          UNION ALL SELECT h.doc_id, h.page, h.n, h.y, CASE WHEN a.anchor - h.y > 3 THEN h.y ELSE a.anchor END FROM a JOIN h ON h.doc_id = a.doc_id AND h.page = a.page AND h.n = a.n + 1
+        ),
+        l AS (SELECT r.doc_id, r.page, anchor, string_agg(text, ' ' ORDER BY x, text) AS line FROM r JOIN a ON a.doc_id = r.doc_id AND a.page = r.page AND a.y = r.y GROUP BY ALL),
+        p AS (SELECT doc_id, page, '--- PAGE ' || page || ' ---' || chr(10) || chr(10) || string_agg(line, chr(10) ORDER BY anchor DESC) AS text FROM l GROUP BY doc_id, page)
+        SELECT doc_id, count(*) AS n_pages, string_agg(text, chr(10) || chr(10) ORDER BY page) AS text FROM p GROUP BY doc_id""",
     # By the schemas of the presets, read by hand: the faults of RECORDS and what is said of each.
     "json_presets": """
         WITH r AS (SELECT s_suppkey AS k FROM supplier), f AS (
@@ -102,4 +121,4 @@ ORACLES = {
           CAST(sum(CAST('0x' || substr(sha256(text), 1, 8) AS BIGINT)) AS BIGINT) AS checksum, 0 AS errors
         FROM conversations WHERE role IN ('user', 'assistant') AND turn % 5 <> 4 GROUP BY 1""",
 }
-QUERIES = {f.__name__: f for f in (bundle_round_trip, archive_members, queued_documents, json_presets)}
+QUERIES = {f.__name__: f for f in (bundle_round_trip, archive_members, queued_documents, json_presets, paged_lines)}

@@ -152,10 +152,27 @@ def lines_to_markdown(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 
 def page_text(items: DataFrame, tolerance: float = 3.0) -> DataFrame:
-    """(doc_id, page, text) of glyph runs (doc_id, page, x, y, text): lines from top to bottom, runs from left to right."""
-    row = F.round(F.col("y") / tolerance)
-    lines = items.withColumn("row", row).groupBy("doc_id", "page", "row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "text"))), lambda r: r["text"]), " ").alias("line"))
-    return lines.groupBy("doc_id", "page").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("row", "line")), asc=False), lambda r: r["line"]), "\n").alias("text"))
+    """(doc_id, page, text) of glyph runs (doc_id, page, x, y, text): lines from top to bottom, runs from left to right.
+
+    Heights are folded from the top: a run opens a line where it lies more than ``tolerance`` below the run
+    that opened the line before it, whatever the distance to its neighbour. Runs of one place go by their text.
+    Empty runs are left out; runs without a place stand at 0. A page's runs meet in one row.
+    """
+    placed = items.where("text IS NOT NULL AND text <> ''").select("doc_id", "page", F.coalesce(F.col("x").cast("double"), F.lit(0.0)).alias("x"), F.coalesce(F.col("y").cast("double"), F.lit(0.0)).alias("y"), F.trim("text").alias("text"))
+    pages = placed.groupBy("doc_id", "page").agg(F.collect_list(F.struct("y", "x", "text")).alias("runs"), F.sort_array(F.collect_set("y"), asc=False).alias("heights"))
+    opens = lambda anchors, y: (F.size(anchors) == 0) | (F.element_at(anchors, -1) - y > tolerance)
+    anchors = F.aggregate("heights", F.expr("cast(array() as array<double>)"), lambda acc, y: F.when(opens(acc, y), F.concat(acc, F.array(y))).otherwise(acc))
+    line = lambda r: F.size(F.filter("anchors", lambda a: a >= r["y"]))
+    sorted_runs = F.array_sort(F.transform("runs", lambda r: F.struct(line(r).alias("line"), r["x"].alias("x"), r["text"].alias("text"))))
+    joined = F.array_join(F.transform(F.sequence(F.lit(1), F.size("anchors")), lambda n: F.array_join(F.transform(F.filter("placed", lambda r: r["line"] == n), lambda r: r["text"]), " ")), "\n")
+    return pages.withColumn("anchors", anchors).withColumn("placed", sorted_runs).select("doc_id", "page", joined.alias("text"))
+
+
+def paged_text(items: DataFrame, tolerance: float = 3.0) -> DataFrame:
+    """(doc_id, n_pages, text): the pages of each document under marks with their numbers."""
+    part = F.struct("page", F.concat(F.lit("--- PAGE "), F.col("page").cast("string"), F.lit(" ---\n\n"), "text").alias("text"))
+    pages = page_text(items, tolerance).groupBy("doc_id").agg(F.array_sort(F.collect_list(part)).alias("parts"))
+    return pages.select("doc_id", F.size("parts").cast("long").alias("n_pages"), F.trim(F.array_join(F.transform("parts", lambda p: p["text"]), "\n\n")).alias("text"))
 
 
 def two_columns(items: DataFrame, width: float) -> DataFrame:
