@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.functions import text as T
-from marlstone.operators import entities, retrieval, similarity
+from marlstone.operators import entities, retrieval, similarity, tagger
 from marlstone.plans import inputs
 from marlstone.session import table
 
@@ -113,6 +113,27 @@ def noun_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entities.noun_phrases(entities.tagged_tokens(table(spark, sf_dir, "benchmark"), "item_id", "text"))
 
 
+#: Documents behind sentences that every rule of neighbours meets, by number; Spark and DuckDB share the statement.
+TAGGED = """
+SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'Dr. Lamport met Prof Knuth at the Linux Foundation. The practical fault is a VectorIndex, in 250ms and 99.9% of cases!' WHEN 1 THEN 'President of it: the BM25 score of `a b` and GraphQL. a natural thing; A viable Thing Labs' ELSE 'MyDB engines, running quickly? 12 MB of PostgreSQL - this final MCP' END ||
+  CASE WHEN doc_id % 3 = 0 THEN chr(10) ELSE ' ' END || text AS text
+FROM documents
+"""
+
+
+def contextual_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many tokens of each document have each tag."""
+    table(spark, sf_dir, "documents").createOrReplaceTempView("documents")
+    found = tagger.tagged_sentences(spark.sql(TAGGED))
+    return found.select("doc_id", F.explode(F.flatten(F.transform("tokens", lambda t: t["tags"]))).alias("tag")).groupBy("doc_id", "tag").agg(F.count("*").alias("n"))
+
+
+def tagged_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each run of salient tokens stands in a document."""
+    table(spark, sf_dir, "documents").createOrReplaceTempView("documents")
+    return tagger.tagged_phrases(spark.sql(TAGGED)).groupBy("doc_id", "phrase").agg(F.count("*").alias("n"))
+
+
 def lexicon_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     lexicon = table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), F.array(F.concat(F.lit("land "), "n_name")).alias("aliases"), F.lit("place").alias("category"), F.lit(0.5).alias("salience"), (F.col("n_nationkey") != 3).alias("enabled"))
     return entities.lexicon_matches(inputs.concepts(spark, sf_dir), lexicon, "id", "body").select("doc_id", "name", "occurrences", F.round("salience", 6).alias("salience"), "tag")
@@ -136,7 +157,40 @@ _STEPS = r"regexp_matches(text, '(?im)^\s*(?:\d+\.|\*|-)\s+(?:install|run|config
 _CODE = r"regexp_matches(text, '(?is)```[a-z0-9]*\n.*?```')"
 _TABLE = rf"regexp_matches(text, '{T.TABLE_RULE}')"
 
+_TOKENS_TAGGED = rf"""WITH d AS ({TAGGED}), """ + r"""s AS (
+          SELECT doc_id, generate_subscripts(l, 1) AS sentence, trim(unnest(l), chr(32) || chr(9) || chr(13)) AS s FROM (
+            SELECT doc_id, string_split(regexp_replace(regexp_replace(text, '([.?!])\s+([A-Z0-9`"''])', '\1' || chr(1) || '\2', 'g'), '\n+', chr(1), 'g'), chr(1)) AS l FROM d)
+        ), k AS (
+          SELECT doc_id, sentence, generate_subscripts(m, 1) AS i, unnest(m) AS raw FROM (SELECT doc_id, sentence, regexp_extract_all(s, '`[^`]+`|[0-9A-Za-z_''-]+') AS m FROM s)
+        ), t AS (
+          SELECT doc_id, sentence, i, raw[1] = '`' AS ticked, regexp_replace(raw, '^`|`$', '', 'g') AS token, regexp_replace(lower(regexp_replace(raw, '^`|`$', '', 'g')), '[^0-9A-Za-z_-]', '', 'g') AS normal FROM k
+        ), f AS (
+          SELECT *, regexp_matches(token, '^[A-Z][a-z0-9]') AS capital, normal IN ('a', 'about', 'above', 'after', 'again', 'against', 'all', 'am', 'an', 'and', 'any', 'are', 'as', 'at', 'be', 'because', 'been', 'before', 'being', 'below', 'between', 'both', 'but', 'by', 'can', 'could', 'did', 'do', 'does', 'doing', 'down', 'during', 'each', 'few', 'for', 'from', 'further', 'had', 'has', 'have', 'having', 'he', 'her', 'here', 'hers', 'herself', 'him', 'himself', 'his', 'how', 'i', 'if', 'in', 'into', 'is', 'it', 'its', 'itself', 'just', 'me', 'more', 'most', 'my', 'myself', 'no', 'nor', 'not', 'now', 'of', 'off', 'on', 'once', 'only', 'or', 'other', 'our', 'ours', 'ourselves', 'out', 'over', 'own', 'same', 'she', 'should', 'so', 'some', 'such', 'than', 'that', 'the', 'their', 'theirs', 'them', 'themselves', 'then', 'there', 'these', 'they', 'this', 'those', 'through', 'to', 'too', 'under', 'until', 'up', 'very', 'was', 'we', 'were', 'what', 'when', 'where', 'which', 'while', 'who', 'whom', 'why', 'with', 'would', 'you', 'your', 'yours', 'yourself', 'yourselves', 'also', 'e.g', 'i.e', 'etc', 'note', 'see', 'example', 'page', 'doc', 'docs', 'using', 'used', 'file', 'files', 'true', 'false', 'null', 'undefined', 'return', 'const', 'let', 'var', 'function', 'class', 'import', 'export', 'from') AS stop,
+            regexp_matches(normal, '^.{3,}(db|ql|sql|js|ts|py|engine|protocol|algorithm|network|cluster)$') AS tech,
+            CASE WHEN regexp_matches(normal, '(ing|ed)$') THEN 'Verb' WHEN regexp_matches(normal, 'ly$') THEN 'Adverb' WHEN regexp_matches(normal, '(able|ible|al|ive)$') THEN 'Adjective' WHEN regexp_matches(normal, '(tion|sion|ment|ity)$') THEN 'Noun' END AS ending
+          FROM t
+        ), g AS (
+          SELECT *, CASE WHEN ticked THEN ['TechnicalTerm', 'ProperNoun', 'Noun']
+              WHEN regexp_matches(token, '(?i)^\d+(\.\d+)?(%|ms|s|kb|mb|gb|tb|hz|ghz|k|m|b)?$') THEN CASE WHEN regexp_matches(token, '(?i)[a-z%]') THEN ['Value', 'Unit'] ELSE ['Value'] END
+              WHEN regexp_matches(token, '^[A-Z0-9_-]{2,}$') AND regexp_matches(token, '[A-Z]') AND length(normal) BETWEEN 2 AND 7 THEN ['Acronym', 'TechnicalTerm', 'ProperNoun', 'Noun']
+              ELSE list_filter([CASE WHEN tech THEN 'TechnicalTerm' END, CASE WHEN tech THEN 'Noun' END, ending, CASE WHEN capital AND NOT stop THEN 'ProperNoun' END, CASE WHEN (capital AND NOT stop) OR (NOT tech AND ending IS NULL) THEN 'Noun' END], lambda x: x IS NOT NULL) END AS first
+          FROM f
+        ), c AS (
+          SELECT doc_id, sentence, i, token, stop, list_distinct(first || list_filter([
+              CASE WHEN lag(normal, 2) OVER w IN ('the', 'a', 'an', 'this') AND list_contains(lag(first) OVER w, 'Adjective') THEN 'Noun' END,
+              CASE WHEN lag(normal) OVER w IN ('dr', 'prof', 'mr', 'mrs', 'ms', 'sir', 'president', 'author', 'creator', 'founder', 'ceo', 'cto') AND capital THEN 'Person' END,
+              CASE WHEN lag(normal) OVER w IN ('dr', 'prof', 'mr', 'mrs', 'ms', 'sir', 'president', 'author', 'creator', 'founder', 'ceo', 'cto') AND capital THEN 'ProperNoun' END,
+              CASE WHEN capital AND lead(normal) OVER w IN ('inc', 'corp', 'llc', 'ltd', 'foundation', 'group', 'lab', 'labs', 'team', 'institute', 'consortium', 'association', 'dao') THEN 'Organization' END,
+              CASE WHEN capital AND lead(normal) OVER w IN ('inc', 'corp', 'llc', 'ltd', 'foundation', 'group', 'lab', 'labs', 'team', 'institute', 'consortium', 'association', 'dao') THEN 'ProperNoun' END,
+              CASE WHEN regexp_matches(token, '^[A-Z][a-z0-9]+[A-Z][a-zA-Z0-9]+$') THEN 'TechnicalTerm' END, CASE WHEN regexp_matches(token, '^[A-Z][a-z0-9]+[A-Z][a-zA-Z0-9]+$') THEN 'ProperNoun' END], lambda x: x IS NOT NULL)) AS tags
+          FROM g WINDOW w AS (PARTITION BY doc_id, sentence ORDER BY i)
+        )"""
 ORACLES = {
+    "contextual_tags": f"{_TOKENS_TAGGED} SELECT doc_id, tag, count(*) AS n FROM (SELECT doc_id, unnest(tags) AS tag FROM c) GROUP BY doc_id, tag",
+    "tagged_phrases": f"""{_TOKENS_TAGGED}, v AS (SELECT *, len(list_intersect(tags, ['ProperNoun', 'TechnicalTerm', 'Noun', 'Acronym'])) > 0 AND NOT stop AS salient FROM c),
+        r AS (SELECT doc_id, sentence, i, token, i - row_number() OVER (PARTITION BY doc_id, sentence ORDER BY i) AS run FROM v WHERE salient),
+        p AS (SELECT doc_id, sentence, run, string_agg(token, ' ' ORDER BY i) AS phrase FROM r GROUP BY ALL HAVING count(*) >= 2)
+        SELECT doc_id, phrase, count(*) AS n FROM p GROUP BY doc_id, phrase""",
     # A later kind takes a name over and leaves it its place; an acronym takes none over. Patterns and the stop words that occur are written out.
     "pattern_entities": rf"""
         WITH d AS ({PATTERNED}), k AS (
@@ -245,4 +299,4 @@ ORACLES = {
     "facets": f"SELECT tag, count(*) AS n FROM (SELECT unnest([tag_a, tag_b]) AS tag FROM ({inputs.CONCEPTS}) c) GROUP BY tag",
 }
 
-QUERIES = {f.__name__: f for f in (doc_stats, token_estimates, readability, content_quality, types_and_slugs, term_frequency, term_idf, cosine_pairs, jaccard_pairs, keyphrases, tfidf_search, keyword_search, lexical_scores, rank_fusion, dense_top_k, pattern_entities, noun_phrases, lexicon_matches, tag_cooccurrence, facets)}
+QUERIES = {f.__name__: f for f in (doc_stats, token_estimates, readability, content_quality, types_and_slugs, term_frequency, term_idf, cosine_pairs, jaccard_pairs, keyphrases, tfidf_search, keyword_search, lexical_scores, rank_fusion, dense_top_k, pattern_entities, noun_phrases, contextual_tags, tagged_phrases, lexicon_matches, tag_cooccurrence, facets)}
