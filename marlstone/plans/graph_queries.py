@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.operators import graph, inline, markdown, quality, retrieval, similarity, slicing, sparql
+from marlstone.operators import graph, headers, inline, markdown, quality, retrieval, similarity, slicing, sparql
 from marlstone.plans import inputs
 from marlstone.sources import readers, sinks
 from marlstone.session import table
@@ -159,6 +159,24 @@ def md_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markdown.markdown_links(inputs.markdown(spark, sf_dir))
 
 
+#: Documents of nations under a nested header, with faults and aliases by number; Spark and DuckDB share the statement.
+HEADED = f"""
+SELECT doc_id, CASE doc_id % 5 WHEN 4 THEN '' ELSE '---' || chr(10) || 'type: ' || CASE WHEN doc_id % 2 = 0 THEN 'procedure' ELSE '"guide # 1"' END || chr(10) || 'title: T ' || CAST(doc_id AS STRING) || '  # note' || chr(10) ||
+  CASE doc_id % 3 WHEN 0 THEN 'depends-on:' || chr(10) || '- a' || chr(10) || '- b ' || CAST(doc_id AS STRING) || chr(10) WHEN 1 THEN 'depends_on: [x, "y, z"]' || chr(10) ELSE '' END ||
+  CASE WHEN doc_id % 4 = 1 THEN 'verified:' || chr(10) || '  - by: ann' || chr(10) || '    at: 2024-01-31' || chr(10) || '    score: ' || CAST(doc_id AS STRING) || chr(10) ELSE '' END ||
+  CASE WHEN doc_id % 7 = 6 THEN 'open: [1, 2' || chr(10) ELSE '' END || '---' || chr(10) END || text AS text
+FROM ({inputs.MARKDOWN}) m
+"""
+
+
+def parsed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents parsed whole, with a value deep in their headers."""
+    docs = inputs.sql(spark, sf_dir, HEADED).withColumn("path", F.when(F.col("doc_id") % 2 == 1, F.concat(F.lit("./n/"), F.col("doc_id"), F.lit(".md"))))
+    found = headers.parse_documents(docs, path_col="path")
+    score = F.try_variant_get("header", "$.verified[0].score", "int").cast("long")
+    return found.withColumn("score", score).withColumn("depends_on", F.array_join("depends_on", "|")).drop("header")
+
+
 def md_code_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markdown.code_blocks(inputs.markdown(spark, sf_dir))
 
@@ -289,6 +307,16 @@ ORACLES = {
         WITH {_LINES}, h AS (SELECT *, regexp_matches(line, '^#{{1,6}}\\s+.+$') AND NOT is_fence AND NOT in_fence AS heads FROM p), s AS (SELECT *, CAST(sum(CAST(heads AS INT)) OVER (PARTITION BY doc_id ORDER BY line_no) AS BIGINT) AS section FROM h),
         g AS (SELECT doc_id, section, max(length(regexp_extract(line, '^(#+)', 1))) FILTER (heads) AS level, max(trim(regexp_extract(line, '^#+\\s+(.+)$', 1))) FILTER (heads) AS title, max(line_no) FILTER (heads) AS start_line, coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (NOT heads), '') AS content FROM s GROUP BY doc_id, section)
         SELECT doc_id, section, coalesce(level, 1) AS level, coalesce(title, 'Introduction') AS title, regexp_replace(lower(coalesce(title, 'Introduction')), '[^a-z0-9]+', '-', 'g') AS slug, coalesce(start_line, 1) AS start_line, content FROM g""",
+    # What HEADED puts into the headers, and the links of MARKDOWN: a heading or two more, one link each way, one fence.
+    "parsed_documents": f"""
+        WITH t AS ({HEADED}), d AS (SELECT doc_id, text, doc_id % 5 <> 4 AS headed, doc_id % 5 <> 4 AND doc_id % 7 <> 6 AS good, CASE WHEN doc_id % 5 = 4 THEN text ELSE regexp_replace(text, '(?s)^---.*?\n---', '') END AS body FROM t)
+        SELECT doc_id, CASE WHEN doc_id % 2 = 1 THEN 'n/' || doc_id WHEN good THEN 't-' || doc_id ELSE 'unnamed' END AS id,
+          CASE WHEN NOT good THEN 'concept' WHEN doc_id % 2 = 0 THEN 'procedure' ELSE 'guide # 1' END AS type, CASE WHEN good THEN 'T ' || doc_id END AS title, NULL AS status,
+          CASE WHEN good AND doc_id % 4 = 1 THEN 'human-reviewed' ELSE 'machine-confirmed' END AS trust_tier,
+          CASE WHEN NOT good OR doc_id % 3 = 2 THEN '' WHEN doc_id % 3 = 0 THEN 'a|b ' || doc_id ELSE 'x|y, z' END AS depends_on,
+          CAST(len(string_split(text, chr(10))) AS BIGINT) AS n_lines, CAST(len(regexp_extract_all(body, '\S+')) AS BIGINT) AS n_words,
+          CAST(4 + CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END AS BIGINT) AS n_sections, CAST(2 AS BIGINT) AS n_wikilinks, CAST(2 AS BIGINT) AS n_links, CAST(0 AS BIGINT) AS n_directives, CAST(1 AS BIGINT) AS n_code_blocks,
+          CASE WHEN good AND doc_id % 4 = 1 THEN doc_id END AS score FROM d""",
     "md_wikilinks": f"""
         WITH {_LINES}, m AS (SELECT doc_id, line_no, unnest(regexp_extract_all(regexp_replace(line, '`[^`]+`', ' ', 'g'), '\\[\\[[^\\]|]+(?:\\|[^\\]]+)?\\]\\]')) AS m FROM p WHERE NOT is_fence AND NOT in_fence)
         SELECT doc_id, line_no, trim(regexp_extract(m, '\\[\\[([^\\]|]+)', 1)) AS target, nullif(trim(regexp_extract(m, '\\|([^\\]]+)\\]\\]', 1)), '') AS alias FROM m""",
@@ -319,7 +347,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         resolved_edges, broken_links, dead_edges, degrees, graph_metrics, pagerank, reach_two_hops, graph_search, backlinks, top_nodes, prerequisites, semantic_graph, triples, sparql_select, sparql_optional, sparql_chain,
-        sparql_distinct, sparql_ask, sparql_construct, sparql_describe, document_issues, validation_report, bundle_summary, export_jsonld, export_vault_index, md_sections, md_wikilinks, md_links,
+        sparql_distinct, sparql_ask, sparql_construct, sparql_describe, document_issues, validation_report, bundle_summary, export_jsonld, export_vault_index, md_sections, parsed_documents, md_wikilinks, md_links,
         md_code_blocks, md_fence_parity, md_blocks, md_chunks, md_concepts, document_chunks, page_windows, table_markdown, lexicon_merge, history_upsert, selection_totals,
     )
 }
