@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import mixing, packing, pii, toxicity
+from marlstone.llm import mixing, packing, pii, textkernel, toxicity
 from marlstone.llm.jaccard_join import jaccard_components
 from marlstone.session import durable, table
 
@@ -13,6 +18,27 @@ from marlstone.session import durable, table
 _MOST_BROADCAST = 1_000_000  # rows of two longs
 
 
+def _give_back(spark: SparkSession) -> None:
+    """Have the Python workers, which outlive stages, drop what the last stage kept in them and return freed memory.
+
+    A worker that the job misses keeps some memory, and nothing else changes.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        toxicity._in_use.clear()
+        textkernel._powers.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+        yield from batches
+
+    n = 2 * spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).mapInArrow(run, "id long").write.format("noop").mode("overwrite").save()
+
+
 def _renamed(docs: DataFrame, *needed: str) -> tuple[DataFrame, tuple[str, ...]]:
     """The columns ``needed`` by name, and all columns under names that no operator uses."""
     kept = tuple(f"__c_{i}" for i in range(len(docs.columns)))
@@ -30,6 +56,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null or empty text scores as an empty one; rows with null or repeated ids are judged each by
     its text; columns of any name are kept; an empty table gives an empty one.
     """
+    _give_back(spark)
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     named, kept = _renamed(docs, "doc_id", "text")
     return _restored(toxicity.score(named, model, kept).where("score < 0.5"), docs)
@@ -43,6 +70,7 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     one. Null and empty texts link with nothing and stay. Columns of any name are kept; an empty
     table gives an empty one.
     """
+    _give_back(spark)
     named, _ = _renamed(docs, "doc_id", "text")
     keyed = named.withColumn("__row", F.xxhash64(*(F.coalesce(F.col(f"__c_{i}").cast("string"), F.lit("\x00")) for i in range(len(docs.columns))))).drop("text")
     texts = keyed.select("__row", F.col(f"__c_{docs.columns.index('text')}").alias("text"))
@@ -64,6 +92,7 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null texts stay null; rows with null or repeated ids are rows of their own; columns of any name
     are kept, and ``n_chars`` follows the text; an empty table gives an empty one.
     """
+    _give_back(spark)
     return pii.redact(docs)
 
 
@@ -77,6 +106,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     source; null or repeated ids are rows of their own; columns of any name are kept; an empty table
     gives an empty one.
     """
+    _give_back(spark)
     named, others = _renamed(docs, "doc_id", "source", "text")
     body = f"__c_{docs.columns.index('text')}"
     mixed = mixing.mix(named, extra=others, passages=True)
@@ -96,6 +126,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     Null texts are empty documents of one end id; null or repeated ids are packed as any other;
     other columns are left; an empty table gives an empty one.
     """
+    _give_back(spark)
     return packing.pack(docs)
 
 
