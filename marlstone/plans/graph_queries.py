@@ -314,7 +314,7 @@ ORACLES = {
           CASE WHEN NOT good THEN 'concept' WHEN doc_id % 2 = 0 THEN 'procedure' ELSE 'guide # 1' END AS type, CASE WHEN good THEN 'T ' || doc_id END AS title, NULL AS status,
           CASE WHEN good AND doc_id % 4 = 1 THEN 'human-reviewed' ELSE 'machine-confirmed' END AS trust_tier,
           CASE WHEN NOT good OR doc_id % 3 = 2 THEN '' WHEN doc_id % 3 = 0 THEN 'a|b ' || doc_id ELSE 'x|y, z' END AS depends_on,
-          CAST(len(string_split(text, chr(10))) AS BIGINT) AS n_lines, CAST(len(regexp_extract_all(body, '\S+')) AS BIGINT) AS n_words,
+          CAST(len(string_split(text, chr(10))) AS BIGINT) AS n_lines, CAST(len(regexp_extract_all(body, '\\S+')) AS BIGINT) AS n_words,
           CAST(4 + CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END AS BIGINT) AS n_sections, CAST(2 AS BIGINT) AS n_wikilinks, CAST(2 AS BIGINT) AS n_links, CAST(0 AS BIGINT) AS n_directives, CAST(1 AS BIGINT) AS n_code_blocks,
           CASE WHEN good AND doc_id % 4 = 1 THEN doc_id END AS score FROM d""",
     "md_wikilinks": f"""
