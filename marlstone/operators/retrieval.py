@@ -94,16 +94,27 @@ def graph_search(concepts: DataFrame, edges: DataFrame, query: str, k: int = 3,
 
 
 def within_budget(found: DataFrame, order: list[Column], tokens: Column, budget: int = 4000) -> DataFrame:
-    """Rows in order with ``full``: whether the text fits the budget that is left; others take 50 tokens."""
-    held = found.select(F.struct(*order).alias("o"), F.struct(*found.columns).alias("r"), tokens.cast("long").alias("t")).agg(F.array_sort(F.collect_list(F.struct("o", "r", "t"))).alias("all"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.expr("cast(array() as array<boolean>)").alias("full"))
+    """Rows in order with ``full``: whether the text fits the budget that is left; others take 50 tokens.
 
-    def step(acc: Column, x: Column) -> Column:
-        fits = acc["used"] + x["t"] <= budget
-        return F.struct((acc["used"] + F.when(fits, x["t"]).otherwise(50)).alias("used"), F.concat(acc["full"], F.array(fits)).alias("full"))
+    Every row with tokens takes one at least, so after ``budget + 1`` of them nothing fits: only these meet
+    in one row, whatever the table's size. Rows without tokens fit until the budget is passed. The order has no ties.
+    """
+    rows = found.withColumn("_o", F.struct(*order)).withColumn("_t", F.greatest(F.coalesce(tokens.cast("long"), F.lit(0)), F.lit(0)))
+    taking = global_rank(rows.where("_t > 0"), [F.col("_o")])
+    head = taking.where(F.col("rank") <= budget + 1).agg(F.array_sort(F.collect_list(F.struct("rank", "_t", "_o"))).alias("head"))
+    kind = taking.schema["_o"].dataType.simpleString()
+    start = F.struct(F.lit(0).cast("long").alias("used"), F.expr(f"cast(array() as array<struct<rank: bigint, full: boolean, used: bigint, _o: {kind}>>)").alias("steps"))
 
-    flags = F.aggregate("all", start, step, lambda acc: acc["full"])
-    return held.select(F.explode(F.arrays_zip("all", flags.alias("full"))).alias("x")).select("x.all.r.*", "x.full")
+    def step(acc: Column, x: Column) -> Column:
+        fits = acc["used"] + x["_t"] <= budget
+        used = acc["used"] + F.when(fits, x["_t"]).otherwise(F.lit(50).cast("long"))
+        return F.struct(used.alias("used"), F.concat(acc["steps"], F.array(F.struct(x["rank"].cast("long").alias("rank"), fits.alias("full"), used.alias("used"), x["_o"].alias("_o")))).alias("steps"))
+
+    steps = head.select(F.explode(F.aggregate("head", start, step, lambda acc: acc["steps"])).alias("s")).select("s.*")
+    passed = steps.where(F.col("used") > budget).agg(F.min("_o").alias("_passed"))
+    with_tokens = taking.join(F.broadcast(steps.select("rank", "full")), "rank", "left").select(*found.columns, F.coalesce("full", F.lit(False)).alias("full"))
+    without = rows.where("_t = 0").join(F.broadcast(passed)).select(*found.columns, (F.col("_passed").isNull() | (F.col("_o") < F.col("_passed"))).alias("full"))
+    return with_tokens.unionAll(without)
 
 
 def global_rank(rows: DataFrame, order: list[Column]) -> DataFrame:

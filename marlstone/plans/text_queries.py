@@ -104,6 +104,13 @@ FROM supplier
 """
 
 
+def budgeted_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in order within a budget of tokens, some without any."""
+    docs = table(spark, sf_dir, "documents")
+    tokens = F.when(F.col("doc_id") % 7 == 3, 0).otherwise(F.floor(F.length("text") / 40))
+    return retrieval.within_budget(docs.select("doc_id", tokens.alias("tokens")), [F.col("doc_id")], F.col("tokens"), 3000)
+
+
 def pattern_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = inputs.sql(spark, sf_dir, PATTERNED)
     return c.select("id", F.posexplode(entities.pattern_entities(F.col("text"))).alias("at", "e")).select("id", (F.col("at") + 1).cast("long").alias("place"), "e.text", "e.category", "e.confidence")
@@ -186,6 +193,13 @@ _TOKENS_TAGGED = rf"""WITH d AS ({TAGGED}), """ + r"""s AS (
           FROM g WINDOW w AS (PARTITION BY doc_id, sentence ORDER BY i)
         )"""
 ORACLES = {
+    # Row by row: what is used so far decides whether the next text fits.
+    "budgeted_texts": """
+        WITH RECURSIVE d AS (SELECT doc_id, CASE WHEN doc_id % 7 = 3 THEN 0 ELSE length(coalesce(text, '')) // 40 END AS tokens, row_number() OVER (ORDER BY doc_id) AS n FROM documents),
+        w(n, doc_id, tokens, is_full, used) AS (
+          SELECT n, doc_id, tokens, tokens <= 3000, CASE WHEN tokens <= 3000 THEN tokens ELSE 50 END FROM d WHERE n = 1
+          UNION ALL SELECT d.n, d.doc_id, d.tokens, w.used + d.tokens <= 3000, w.used + CASE WHEN w.used + d.tokens <= 3000 THEN d.tokens WHEN d.tokens = 0 THEN 0 ELSE 50 END FROM w JOIN d ON d.n = w.n + 1
+        ) SELECT doc_id, tokens, is_full AS "full" FROM w""",
     "contextual_tags": f"{_TOKENS_TAGGED} SELECT doc_id, tag, count(*) AS n FROM (SELECT doc_id, unnest(tags) AS tag FROM c) GROUP BY doc_id, tag",
     "tagged_phrases": f"""{_TOKENS_TAGGED}, v AS (SELECT *, len(list_intersect(tags, ['ProperNoun', 'TechnicalTerm', 'Noun', 'Acronym'])) > 0 AND NOT stop AS salient FROM c),
         r AS (SELECT doc_id, sentence, i, token, i - row_number() OVER (PARTITION BY doc_id, sentence ORDER BY i) AS run FROM v WHERE salient),
@@ -299,4 +313,4 @@ ORACLES = {
     "facets": f"SELECT tag, count(*) AS n FROM (SELECT unnest([tag_a, tag_b]) AS tag FROM ({inputs.CONCEPTS}) c) GROUP BY tag",
 }
 
-QUERIES = {f.__name__: f for f in (doc_stats, token_estimates, readability, content_quality, types_and_slugs, term_frequency, term_idf, cosine_pairs, jaccard_pairs, keyphrases, tfidf_search, keyword_search, lexical_scores, rank_fusion, dense_top_k, pattern_entities, noun_phrases, contextual_tags, tagged_phrases, lexicon_matches, tag_cooccurrence, facets)}
+QUERIES = {f.__name__: f for f in (doc_stats, token_estimates, readability, content_quality, types_and_slugs, term_frequency, term_idf, cosine_pairs, jaccard_pairs, keyphrases, tfidf_search, keyword_search, lexical_scores, rank_fusion, dense_top_k, budgeted_texts, pattern_entities, noun_phrases, contextual_tags, tagged_phrases, lexicon_matches, tag_cooccurrence, facets)}
