@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.plans import catalog_queries, graph_queries, rule_queries, source_queries, text_queries, web_queries
+from marlstone.plans import catalog_queries, container_queries, graph_queries, rule_queries, source_queries, text_queries, web_queries
 
-_MODULES = (text_queries, graph_queries, web_queries, rule_queries, catalog_queries, source_queries)
+_MODULES = (text_queries, graph_queries, web_queries, rule_queries, catalog_queries, source_queries, container_queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
