@@ -52,6 +52,13 @@ def graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.graph_search(inputs.concepts(spark, sf_dir), inputs.edges(spark, sf_dir), "supplier of nation_1", k=3, hops=1).select("id", "hop", "score", "via")
 
 
+def allowed_graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seeds only from the guidelines; what they lead to may be anything."""
+    concepts = inputs.concepts(spark, sf_dir)
+    found = retrieval.graph_search(concepts, inputs.edges(spark, sf_dir), "supplier of nation_1", k=3, hops=1, allowed=concepts.where("type = 'guideline'"))
+    return found.select("id", "hop", "score", "via")
+
+
 def backlinks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.backlinks(inputs.edges(spark, sf_dir)).select("id", "n_sources", F.array_join("sources", ",").alias("sources"))
 
@@ -343,10 +350,11 @@ ORACLES = {
     "export_vault_index": f"SELECT type, '## ' || type || chr(10) || string_agg('- [[' || replace(path, '.md', '') || '|' || title || ']]', chr(10) ORDER BY '- [[' || replace(path, '.md', '') || '|' || title || ']]') AS index FROM ({_C}) c GROUP BY type",
 }
 
+ORACLES["allowed_graph_search"] = ORACLES["graph_search"].replace("WHERE lexical > 0.05", f"WHERE lexical > 0.05 AND x.id IN (SELECT id FROM ({_C}) c WHERE type = 'guideline')")
 QUERIES = {
     f.__name__: f
     for f in (
-        resolved_edges, broken_links, dead_edges, degrees, graph_metrics, pagerank, reach_two_hops, graph_search, backlinks, top_nodes, prerequisites, semantic_graph, triples, sparql_select, sparql_optional, sparql_chain,
+        resolved_edges, broken_links, dead_edges, degrees, graph_metrics, pagerank, reach_two_hops, graph_search, allowed_graph_search, backlinks, top_nodes, prerequisites, semantic_graph, triples, sparql_select, sparql_optional, sparql_chain,
         sparql_distinct, sparql_ask, sparql_construct, sparql_describe, document_issues, validation_report, bundle_summary, export_jsonld, export_vault_index, md_sections, parsed_documents, md_wikilinks, md_links,
         md_code_blocks, md_fence_parity, md_blocks, md_chunks, md_concepts, document_chunks, page_windows, table_markdown, lexicon_merge, history_upsert, selection_totals,
     )

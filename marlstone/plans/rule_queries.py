@@ -61,6 +61,37 @@ SELECT page_id, CASE page_id % 10 WHEN 0 THEN 'http://10.0.0.' || CAST(page_id %
 """
 
 
+#: Every document with instructions, definitions and shell fences after its text.
+GUIDES = """
+SELECT doc_id, coalesce(text, '') || chr(10) || CASE doc_id % 11
+  WHEN 0 THEN 'You must wait. On failure call someone.' WHEN 1 THEN 'You must not go, you shall stay; it may optionally rest.'
+  WHEN 2 THEN 'It refers to a stone and stands for one.' WHEN 3 THEN '# Title' || chr(10) || 'Do step 1 now, subsequently step 2. Poll every day, keep retrying.'
+  WHEN 4 THEN 'It refers to a shell and stands for one.' || chr(10) || '```bash' || chr(10) || 'ls' || chr(10) || '```' WHEN 5 THEN repeat('must ', 12) || 'lookup lookup. It refers to a, stands for, conceptually, historically.'
+  WHEN 6 THEN 'For each file, scan until done; given a list of names, verify that it is so and check if the checksum fits.' WHEN 7 THEN 'If it rains then stop, unless otherwise told; in the event of rain rollback to noon. It is a protocol.'
+  WHEN 8 THEN repeat('ensure that ', 11) || repeat('must not ', 3) || 'It represents the end.' WHEN 9 THEN '```sh' || chr(10) || 'a' || chr(10) || '```' || chr(10) || '```zsh' || chr(10) || 'b' || chr(10) || '```' ELSE '' END AS text
+FROM documents
+"""
+# The families with their weights, and the definitions.
+_FAMILIES = (
+    (2.5, (r"\b(?:must\s+not|never\s+execute|strictly\s+prohibit(?:ed)?|do\s+not\s+(?:run|execute|modify))\b", r"\b(?:must|shall|is\s+required\s+to|ensure\s+that|mandatory\s+to|always\s+execute|strictly\s+require)\b", r"\b(?:may\s+optionally|can\s+optionally|is\s+permitted\s+to|eligible\s+to|at\s+operator'?s\s+discretion)\b")),
+    (2.8, (r"\b(?:search\s+(?:for|within)|locate\s+(?:the|any)|find\s+(?:the\s+first|matching|all)|scan\s+until|lookup|grep\s+for|query\s+for)\b", r"\b(?:for\s+each|for\s+every\s+(?:item|node|element|file|record)|iterate\s+(?:through|over)|across\s+each\s+instance|repeat\s+across)\b", r"\b(?:given\s+a\s+list\s+of|where\s+target\s+matches|for\s+any\s+given)\b")),
+    (3.0, (r"\b(?:if\s+.+?\s+then|in\s+the\s+event\s+(?:that|of)|provided\s+that|unless\s+otherwise|else\s+if|otherwise\s+(?:abort|fallback|retry))\b", r"\b(?:on\s+failure|on\s+exception|when\s+status\s+is|if\s+verification\s+fails)\b")),
+    (3.2, (r"\b(?:while\s+(?:running|status\s+is|true)|until\s+(?:the\s+status|healthy|resolved)|poll\s+every|retry\s+until|keep\s+retrying)\b", r"\b(?:first\s*,.*?next\s*,|subsequently|prior\s+to\s+(?:running|executing)|step\s+\d+|phase\s+\d+)\b")),
+    (2.6, (r"\b(?:evaluate\s+(?:whether|if)|verify\s+(?:that|the)|validate\s+(?:the|output)|assert\s+(?:that|equality)|check\s+if\s+the\s+checksum)\b", r"\b(?:filter\s+(?:out|invalid)|transform\s+each|aggregate\s+the\s+results|rollback\s+to|fallback\s+strategy)\b")),
+)
+_DEFINED = (
+    r"\b(?:is\s+defined\s+as|refers\s+to\s+a|is\s+an?\s+(?:framework|architecture|protocol|concept|paradigm|model|abstraction|component))\b",
+    r"\b(?:characterized\s+by|the\s+purpose\s+of\s+.+?\s+is|historically|in\s+theory|mathematically|consists\s+of\s+(?:the\s+following\s+concepts)?)\b",
+    r"\b(?:represents\s+the|conceptually|stands\s+for|has\s+the\s+property\s+of)\b",
+)
+
+
+def _family(patterns: tuple[str, ...]) -> str:
+    """Matches of a family in SQL: up to ten, then one for each further pattern that is found."""
+    counts = ", ".join("len(regexp_extract_all(text, '(?i)" + p.replace("'", "''") + "'))" for p in patterns)
+    return f"list_reduce([0, {counts}], lambda t, n: CASE WHEN t >= 10 THEN t + least(1, n) ELSE t + least(n, 10 - t) END)"
+
+
 def _sql(spark: SparkSession, sf_dir: str, statement: str, *names: str) -> DataFrame:
     for name in names:
         table(spark, sf_dir, name).createOrReplaceTempView(name)
@@ -72,6 +103,11 @@ def logic_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.select("id", *(x.alias(n) for n, x in quality.logic_class(F.col("text")).items()))
 
 
+def document_logic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = _sql(spark, sf_dir, GUIDES, "documents").withColumn("score", quality.procedural_score(F.col("text")))
+    return scored.select("doc_id", *(x.alias(n) for n, x in quality.logic_class(F.col("text"), F.col("score")).items()))
+
+
 def deadlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.deadlines(_sql(spark, sf_dir, LAW, "nation"))
 
@@ -176,6 +212,11 @@ _S, _R, _P = SKILLS, REFERENCES, SCRIPTS
 
 ORACLES = {
     "logic_class": "SELECT CAST(id AS BIGINT) AS id, CAST(p AS BIGINT) AS procedural, CAST(100 - p AS BIGINT) AS declarative, t AS target FROM (VALUES " + ", ".join(f"({i}, {p}, '{t}')" for i, _, p, t in LOGIC) + ") v(id, p, t)",
+    "document_logic": rf"""
+        WITH t AS ({GUIDES}), c AS (SELECT doc_id, text, {_family(_DEFINED)} AS d, len(regexp_extract_all(text, '(?is)```(?:bash|sh|shell|zsh).*?```')) AS shell, {" + ".join(f"{w}e0 * {_family(p)}" for w, p in _FAMILIES)} AS found FROM t),
+        w AS (SELECT *, found + 3.5e0 * shell AS weight, 4.0e0 * d + CASE WHEN contains(text, '# ') THEN 1 ELSE 0 END AS other FROM c), s AS (SELECT *, floor(100 * weight / (weight + other + 0.1e0) + 0.5) AS s FROM w),
+        u AS (SELECT *, CASE WHEN shell > 0 AND s < 70 THEN least(95, s + 20) ELSE s END AS v FROM s), x AS (SELECT doc_id, text, CASE WHEN trim(text) = '' THEN 50 WHEN d > 3 AND v > 60 THEN greatest(30, v - 20) ELSE v END AS p FROM u)
+        SELECT doc_id, CAST(p AS BIGINT) AS procedural, CAST(100 - p AS BIGINT) AS declarative, CASE WHEN trim(text) <> '' AND p >= 50 THEN 'skill' ELSE 'concept' END AS target FROM x""",
     "deadlines": rf"""
         WITH t AS ({LAW}), m AS (SELECT doc_id, unnest(regexp_extract_all(text, '{_DUE}')) AS raw FROM t), s AS (SELECT doc_id, unnest(regexp_extract_all(text, '{_SET}')) AS raw FROM t),
         g AS (SELECT doc_id, raw, lower(regexp_extract(raw, '{_DUE}', 1)) AS n, lower(regexp_extract(raw, '{_DUE}', 2)) AS u, trim(regexp_extract(raw, '{_DUE}', 3)) AS w FROM m)
@@ -272,4 +313,4 @@ ORACLES = {
         SELECT path, CAST(octet_length(encode(text)) AS BIGINT) AS size, sha256(text) AS sha256, type FROM f""",
 }
 
-QUERIES = {f.__name__: f for f in (logic_class, deadlines, precedence_rules, legal_metadata, secret_kinds, unsafe_addresses, skill_audit, certificate, cyclic_nodes, strong_components, cycle_report, skill_issues, export_turtle, export_csv, export_statements, text_links, text_complexity, file_checksums)}
+QUERIES = {f.__name__: f for f in (logic_class, document_logic, deadlines, precedence_rules, legal_metadata, secret_kinds, unsafe_addresses, skill_audit, certificate, cyclic_nodes, strong_components, cycle_report, skill_issues, export_turtle, export_csv, export_statements, text_links, text_complexity, file_checksums)}

@@ -73,6 +73,15 @@ def tfidf_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.round("cosine", 6).alias("cosine")).orderBy(F.desc("cosine"), "doc_id").limit(20)
 
 
+#: Names the first supplier, so that its title is boosted; the entities boost what names them.
+ASKED = "compare supplier#000000001 with others that ship from nation_1"
+
+
+def boosted_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = retrieval.tfidf_search(inputs.concepts(spark, sf_dir), ASKED, 1000, "human-reviewed", ("nation_1", "procedure", "region_2"))
+    return found.select("id", F.round("score", 6).alias("score"))
+
+
 def keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.keyword_search(inputs.concepts(spark, sf_dir), "nation_1", 10)
 
@@ -292,6 +301,15 @@ ORACLES = {
         b AS (SELECT term FROM f UNION ALL SELECT term FROM q), d AS (SELECT term, ln(((SELECT count(*) FROM documents) + 2) / (count(*) + 1)) + 1 AS idf FROM b GROUP BY term),
         qn AS (SELECT sqrt(sum((qtf * idf) ** 2)) AS qn FROM q JOIN d USING (term)), v AS (SELECT doc_id, tf * idf AS w, qtf * idf AS qw FROM f JOIN d USING (term) LEFT JOIN q USING (term))
         SELECT doc_id, round(sum(w * qw) / (sqrt(sum(w * w)) * (SELECT qn FROM qn)), 6) AS cosine FROM v GROUP BY doc_id HAVING sum(w * qw) > 0 ORDER BY cosine DESC, doc_id LIMIT 20""",
+    "boosted_search": f"""
+        WITH c AS (SELECT * FROM ({inputs.CONCEPTS}) x WHERE trust_tier = 'human-reviewed'), t AS (SELECT id, {_TOKENS.format("(title || ' ' || description || ' ' || body)")} AS ts FROM c), e AS (SELECT id, len(ts) AS total, unnest(ts) AS term FROM t),
+        f AS (SELECT id, term, count(*) / total AS tf FROM e GROUP BY id, term, total), q AS (SELECT term, count(*) / sum(count(*)) OVER () AS qtf FROM (SELECT unnest({_TOKENS.format(f"'{ASKED}'")}) AS term) GROUP BY term),
+        b AS (SELECT term FROM f UNION ALL SELECT term FROM q), d AS (SELECT term, ln(((SELECT count(*) FROM c) + 2) / (count(*) + 1)) + 1 AS idf FROM b GROUP BY term),
+        qn AS (SELECT sqrt(sum((qtf * idf) ** 2)) AS qn FROM q JOIN d USING (term)), v AS (SELECT id, tf * idf AS w, qtf * idf AS qw FROM f JOIN d USING (term) LEFT JOIN q USING (term)),
+        s AS (SELECT id, coalesce(sum(w * qw), 0) / (sqrt(sum(w * w)) * (SELECT qn FROM qn)) AS cosine FROM v GROUP BY id),
+        z AS (SELECT id, coalesce(cosine, 0) AS cosine, CASE WHEN contains('{ASKED}', lower(title)) THEN 0.35e0 ELSE 0 END
+          + list_sum(list_transform(['nation_1', 'procedure', 'region_2'], lambda w: CASE WHEN contains(lower(body), w) OR tag_a = w OR tag_b = w THEN 0.15e0 ELSE 0 END)) AS boost FROM c LEFT JOIN s USING (id))
+        SELECT id, round(least(1.0e0, cosine + boost), 6) AS score FROM z WHERE least(1.0e0, cosine + boost) > 0.08 OR boost > 0 ORDER BY score DESC, id LIMIT 1000""",
     "keyword_search": f"""
         WITH c AS ({inputs.CONCEPTS}), s AS (SELECT id, 10 * CAST(contains(lower(title), 'nation_1') AS INT) + 5 * CAST(contains(lower(description), 'nation_1') AS INT) + 4 * CAST(contains(lower(tag_a), 'nation_1') OR contains(lower(tag_b), 'nation_1') AS INT) + 2 * CAST(contains(lower(concat_ws(' ', title, description, tag_a, tag_b, body)), 'nation_1') AS INT) AS score FROM c)
         SELECT id, CAST(score AS BIGINT) AS score FROM s WHERE score > 0 ORDER BY score DESC, id LIMIT 10""",
@@ -313,4 +331,4 @@ ORACLES = {
     "facets": f"SELECT tag, count(*) AS n FROM (SELECT unnest([tag_a, tag_b]) AS tag FROM ({inputs.CONCEPTS}) c) GROUP BY tag",
 }
 
-QUERIES = {f.__name__: f for f in (doc_stats, token_estimates, readability, content_quality, types_and_slugs, term_frequency, term_idf, cosine_pairs, jaccard_pairs, keyphrases, tfidf_search, keyword_search, lexical_scores, rank_fusion, dense_top_k, budgeted_texts, pattern_entities, noun_phrases, contextual_tags, tagged_phrases, lexicon_matches, tag_cooccurrence, facets)}
+QUERIES = {f.__name__: f for f in (doc_stats, token_estimates, readability, content_quality, types_and_slugs, term_frequency, term_idf, cosine_pairs, jaccard_pairs, keyphrases, tfidf_search, boosted_search, keyword_search, lexical_scores, rank_fusion, dense_top_k, budgeted_texts, pattern_entities, noun_phrases, contextual_tags, tagged_phrases, lexicon_matches, tag_cooccurrence, facets)}
