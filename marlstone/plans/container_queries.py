@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.operators import containers
+from marlstone.plans import inputs
 from marlstone.session import durable, table
+from marlstone.sources import provenance
 
 #: Every document under headings, some with a header, with a fence and a table after its text.
 ARTICLES = """
@@ -40,6 +42,19 @@ def container_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("style", "doc_id", "ord", "block_id", "type", "title", F.md5("content").alias("content"), "language")
 
 
+def export_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of the suppliers' bundle, by what their JSON says."""
+    c = inputs.concepts(spark, sf_dir)
+    sources = F.when(F.col("computation") != "", F.array(F.concat("tag_a", F.lit(" atlas (1)")), F.lit("x/y")))
+    nodes = provenance.provenance_nodes(c.withColumn("attester", F.col("verified")).withColumn("sources", sources), inputs.edges(spark, sf_dir), "Suppliers Q1", "2026-01-31T00:00:00Z")
+    at = lambda path: F.get_json_object("json", path)
+    says = {
+        "label": "$.prefLabel", "definition": "$.definition", "tier": "$.trustTier", "tags": "$.altLabel", "broader": "$.broader", "related": "$.related", "top_of": "$.topConceptOf", "top": "$.hasTopConcept", "made_by": "$.wasGeneratedBy",
+        "made_at": "$.generatedAtTime", "agent": "$['prov:wasAssociatedWith']['@id']", "used": "$['prov:used']", "titled": "$['dc:title']", "version": "$['owl:versionInfo']",
+    }
+    return nodes.select("node", "kind", *(at(p).alias(n) for n, p in says.items()))
+
+
 # The body below the header, and fields of the header, for both statements.
 _HEAD = r"""h AS (SELECT doc_id, regexp_extract(text, '(?s)^---\n(.*?\n)---\n', 1) AS head, regexp_replace(text, '(?s)^---\n.*?\n---\n', '') AS body FROM a),
         b AS (SELECT *, list_filter(string_split(body, chr(10)), lambda x: regexp_matches(x, '^[A-Z0-9].{20,180}\.') AND NOT regexp_matches(x, '^\d+\.'))[1] AS line FROM h),
@@ -67,5 +82,16 @@ ORACLES = {
           UNION ALL SELECT doc_id, 0, 'summary', 'Executive Summary', description, NULL FROM d),
         o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY at_) AS ord FROM f)
         SELECT style, doc_id, ord, 'block-' || ord AS block_id, type, title, md5(content) AS content, language FROM o, (VALUES ('container'), ('comment'), ('attribute')) v(style)""",
+    "export_provenance": f"""
+        WITH c AS ({inputs.CONCEPTS}), e AS ({inputs.EDGES}), u AS (SELECT src, kind, 'urn:okf:concept:' || dst AS uri FROM e),
+        l AS (SELECT src, '["' || string_agg(uri, '","' ORDER BY uri) FILTER (kind = 'depends_on') || '"]' AS broader, '["' || string_agg(uri, '","' ORDER BY uri) FILTER (kind = 'references') || '"]' AS related FROM u GROUP BY src),
+        t AS (SELECT id FROM c WHERE id NOT IN (SELECT dst FROM e)),
+        m AS (SELECT *, 'urn:okf:activity:' || id || ':generation' AS activity FROM c WHERE verified <> '' OR computation <> '')
+        SELECT 'urn:okf:scheme:suppliers-q1' AS node, 'scheme' AS kind, NULL AS label, NULL AS definition, NULL AS tier, NULL AS tags, NULL AS broader, NULL AS related, NULL AS top_of, NULL AS top, NULL AS made_by, NULL AS made_at, NULL AS agent, NULL AS used, 'Suppliers Q1' AS titled, '0.2.0' AS version
+        UNION ALL SELECT 'urn:okf:scheme:suppliers-q1', 'top', NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'urn:okf:concept:' || id, NULL, NULL, NULL, NULL, NULL, NULL FROM t
+        UNION ALL SELECT 'urn:okf:concept:' || c.id, 'concept', c.title, c.description, c.trust_tier, '["' || c.tag_a || '","' || c.tag_b || '"]', broader, related, CASE WHEN t.id IS NOT NULL THEN 'urn:okf:scheme:suppliers-q1' END, NULL, activity, NULL, NULL, NULL, NULL, NULL
+          FROM c LEFT JOIN l ON l.src = c.id LEFT JOIN t ON t.id = c.id LEFT JOIN m ON m.id = c.id
+        UNION ALL SELECT activity, 'activity', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, '2026-01-31T00:00:00Z', CASE WHEN verified <> '' THEN 'urn:okf:attester:reviewer' ELSE 'urn:okf:agent:okf-engine' END,
+          CASE WHEN computation <> '' THEN '["urn:okf:source:' || tag_a || '%20atlas%20(1)","urn:okf:source:x%2Fy"]' END, NULL, NULL FROM m""",
 }
-QUERIES = {f.__name__: f for f in (okf_metadata, container_blocks)}
+QUERIES = {f.__name__: f for f in (okf_metadata, container_blocks, export_provenance)}
