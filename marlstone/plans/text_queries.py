@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.functions import text as T
-from marlstone.operators import entities, retrieval, similarity, tagger
+from marlstone.operators import analysis, entities, retrieval, similarity, tagger
 from marlstone.plans import inputs
 from marlstone.session import table
 
@@ -73,6 +73,15 @@ def tfidf_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.round("cosine", 6).alias("cosine")).orderBy(F.desc("cosine"), "doc_id").limit(20)
 
 
+def reading_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = analysis.reading_figures(table(spark, sf_dir, "documents"))
+    return found.select(*(F.round(c, 6).alias(c) if c in ("reading_ease", "grade_level", "smog_index") else c for c in found.columns))
+
+
+def keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analysis.keywords(table(spark, sf_dir, "documents")).select("doc_id", F.array_join("keywords", " ").alias("keywords"))
+
+
 #: Names the first supplier, so that its title is boosted; the entities boost what names them.
 ASKED = "compare supplier#000000001 with others that ship from nation_1"
 
@@ -301,6 +310,17 @@ ORACLES = {
         b AS (SELECT term FROM f UNION ALL SELECT term FROM q), d AS (SELECT term, ln(((SELECT count(*) FROM documents) + 2) / (count(*) + 1)) + 1 AS idf FROM b GROUP BY term),
         qn AS (SELECT sqrt(sum((qtf * idf) ** 2)) AS qn FROM q JOIN d USING (term)), v AS (SELECT doc_id, tf * idf AS w, qtf * idf AS qw FROM f JOIN d USING (term) LEFT JOIN q USING (term))
         SELECT doc_id, round(sum(w * qw) / (sqrt(sum(w * w)) * (SELECT qn FROM qn)), 6) AS cosine FROM v GROUP BY doc_id HAVING sum(w * qw) > 0 ORDER BY cosine DESC, doc_id LIMIT 20""",
+    "reading_figures": rf"""
+        WITH w AS (SELECT doc_id, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda x: x <> '') AS ws FROM documents),
+        n AS (SELECT doc_id, len(ws) AS word_count, CASE WHEN len(ws) > 0 THEN greatest(1, len(regexp_extract_all(text, '[.!?]+(?:\s|$)'))) ELSE 0 END AS sentence_count, list_transform(ws, lambda w: {_SYLLABLES}) AS sy FROM w),
+        c AS (SELECT doc_id, word_count, sentence_count, CAST(coalesce(list_sum(sy), 0) AS BIGINT) AS syllable_count, len(list_filter(sy, lambda x: x >= 3)) AS polysyllable_count FROM n),
+        r AS (SELECT *, CASE WHEN word_count > 0 THEN 206.835e0 - 1.015e0 * (word_count / sentence_count) - 84.6e0 * (syllable_count / word_count) ELSE 0 END AS ease FROM c)
+        SELECT doc_id, word_count, CAST(sentence_count AS BIGINT) AS sentence_count, syllable_count, CAST(polysyllable_count AS BIGINT) AS polysyllable_count, round(ease, 6) AS reading_ease,
+          round(CASE WHEN word_count > 0 THEN 0.39e0 * (word_count / sentence_count) + 11.8e0 * (syllable_count / word_count) - 15.59e0 ELSE 0 END, 6) AS grade_level, round(CASE WHEN word_count > 0 THEN 1.043e0 * sqrt(polysyllable_count * 30e0 / sentence_count) + 3.1291e0 ELSE 0 END, 6) AS smog_index,
+          CASE WHEN word_count = 0 THEN NULL WHEN ease >= 90 THEN 'very easy' WHEN ease >= 80 THEN 'easy' WHEN ease >= 70 THEN 'fairly easy' WHEN ease >= 60 THEN 'standard' WHEN ease >= 50 THEN 'fairly difficult' WHEN ease >= 30 THEN 'difficult' ELSE 'very difficult' END AS complexity FROM r""",
+    "keywords": f"""
+        WITH e AS (SELECT doc_id, unnest({_TOKENS.format('text')}) AS term FROM documents), n AS (SELECT doc_id, term, count(*) AS n FROM e GROUP BY ALL), p AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, encode(term)) AS place FROM n)
+        SELECT doc_id, string_agg(term, ' ' ORDER BY place) AS keywords FROM p WHERE place <= 12 GROUP BY doc_id""",
     "boosted_search": f"""
         WITH c AS (SELECT * FROM ({inputs.CONCEPTS}) x WHERE trust_tier = 'human-reviewed'), t AS (SELECT id, {_TOKENS.format("(title || ' ' || description || ' ' || body)")} AS ts FROM c), e AS (SELECT id, len(ts) AS total, unnest(ts) AS term FROM t),
         f AS (SELECT id, term, count(*) / total AS tf FROM e GROUP BY id, term, total), q AS (SELECT term, count(*) / sum(count(*)) OVER () AS qtf FROM (SELECT unnest({_TOKENS.format(f"'{ASKED}'")}) AS term) GROUP BY term),
@@ -331,4 +351,4 @@ ORACLES = {
     "facets": f"SELECT tag, count(*) AS n FROM (SELECT unnest([tag_a, tag_b]) AS tag FROM ({inputs.CONCEPTS}) c) GROUP BY tag",
 }
 
-QUERIES = {f.__name__: f for f in (doc_stats, token_estimates, readability, content_quality, types_and_slugs, term_frequency, term_idf, cosine_pairs, jaccard_pairs, keyphrases, tfidf_search, boosted_search, keyword_search, lexical_scores, rank_fusion, dense_top_k, budgeted_texts, pattern_entities, noun_phrases, contextual_tags, tagged_phrases, lexicon_matches, tag_cooccurrence, facets)}
+QUERIES = {f.__name__: f for f in (doc_stats, token_estimates, readability, content_quality, types_and_slugs, term_frequency, term_idf, cosine_pairs, jaccard_pairs, keyphrases, tfidf_search, reading_figures, keywords, boosted_search, keyword_search, lexical_scores, rank_fusion, dense_top_k, budgeted_texts, pattern_entities, noun_phrases, contextual_tags, tagged_phrases, lexicon_matches, tag_cooccurrence, facets)}
