@@ -35,6 +35,19 @@ def half_up(x: Column, digits: int = 0) -> Column:
     return F.floor(x * scale + 0.5) / scale if digits else F.floor(x + 0.5)
 
 
+def one_digit(x: Column) -> Column:
+    """A number from 0.5 to a million with one digit, as C prints it: the exact value, halves to the even digit.
+
+    ``format_string`` rounds halves of the shortest decimal up.
+    """
+    unit = 1 << 53
+    whole = F.floor(x)
+    tenths = 10 * ((x - whole) * float(unit)).cast("long")  # exact: ten times the fraction in units of 2^-53
+    digit, rest = F.shiftright(tenths, 53), tenths.bitwiseAND(F.lit(unit - 1))
+    rounded = 10 * whole + digit + F.when((rest > unit // 2) | ((rest == unit // 2) & (digit % 2 == 1)), 1).otherwise(0)
+    return F.concat(F.floor(rounded / 10), F.lit("."), rounded % 10)
+
+
 def words(text: Column) -> Column:
     return F.filter(F.split(text, r"\s+"), lambda w: w != "")
 
