@@ -195,10 +195,13 @@ def strong_components(edges: DataFrame, local_edges: int = 500_000, rounds: list
     return named.where("NOT lone").select("id", "component").unionAll(named.where("lone").join(looped.select("id"), "id", "left_semi").select("id", "component"))
 
 
-def _closed(nodes: list, after: dict) -> list[list]:
-    """The cycles that a depth-first search of one component closes, entered at its first node."""
+_NAMES = 200_000  # names of nodes in a batch of cycles
+
+
+def _closed(nodes: list, after: dict) -> Iterator[list]:
+    """The cycles that a depth-first search of one component closes, entered at its first node, one at a time."""
     place: dict = {}
-    done, out = set(), []
+    done = set()
     for root in nodes:
         if root in done:
             continue
@@ -212,12 +215,11 @@ def _closed(nodes: list, after: dict) -> list[list]:
                 done.add(node)
                 stack.pop()
             elif nxt in place:
-                out.append([*path[place[nxt] :], nxt])
+                yield [*path[place[nxt] :], nxt]
             elif nxt not in done:
                 place[nxt] = len(path)
                 path.append(nxt)
                 stack.append(iter(after.get(nxt, ())))
-    return out
 
 
 def cycle_report(edges: DataFrame, nodes: DataFrame, local_edges: int = 500_000) -> DataFrame:
@@ -227,7 +229,8 @@ def cycle_report(edges: DataFrame, nodes: DataFrame, local_edges: int = 500_000)
     the search. Links to unknown nodes are ignored; a link that is given twice closes its cycle twice, as
     the search meets it twice. A back edge never leaves a component, so every component is searched by
     itself, entered at its first node: a search of the whole graph may come in at another node from outside
-    and then names the same component's cycles from there. One task holds one component's links.
+    and then names the same component's cycles from there. One task holds one component's links
+    and some cycles: these are written as they are found, as the cycles of a component may take the square of its size.
     """
     bound_batches(edges.sparkSession)
     known = edges.join(nodes.select(F.col("id").alias("src"), F.col("ord").alias("src_ord")), "src").join(nodes.select(F.col("id").alias("dst"), F.col("ord").alias("dst_ord")), "dst").select("src", "dst", "ord", "src_ord", "dst_ord")
@@ -236,14 +239,35 @@ def cycle_report(edges: DataFrame, nodes: DataFrame, local_edges: int = 500_000)
     inner = known.join(of.toDF("src", "component"), "src").join(of.toDF("dst", "other"), "dst").where("component = other").select("component", F.col("src").cast("string"), F.col("dst").cast("string"), F.col("ord").cast("long"), F.col("src_ord").cast("long"))
     kind = of.schema["component"].dataType.simpleString()
 
-    def search(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("src_ord", "ascending"), ("ord", "ascending")])
-        after: dict[str, list[str]] = {}
-        for a, b in zip(table["src"].to_pylist(), table["dst"].to_pylist(), strict=True):
-            after.setdefault(a, []).append(b)
-        found = _closed(list(after), after)
-        joined = [" -> ".join(c) for c in found]
-        component = pa.array([table["component"][0].as_py()] * len(found), table["component"].type)
-        return pa.table({"component": component, "number": pa.array(range(1, len(found) + 1), pa.int64()), "cycle": pa.array(found, pa.list_(pa.string())), "message": pa.array([f"Cyclic dependency detected: {j}" for j in joined], pa.string())})
-
-    return inner.groupBy("component").applyInArrow(search, f"component {kind}, number long, cycle array<string>, message string")
+    # Components lie together in a task, their links in the order of the search.
+    dealt = inner.repartition("component").sortWithinPartitions("component", F.asc_nulls_last("src_ord"), F.asc_nulls_last("ord")).select("component", "src", "dst")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def closed(component: object, after: dict[str, list[str]]) -> Iterator[pa.RecordBatch]:
+            held, size, number = [], 0, 0
+            for c in _closed(list(after), after):
+                held.append(c)
+                size += len(c)
+                if size >= _NAMES:
+                    yield batch(component, number, held)
+                    held, size, number = [], 0, number + len(held)
+            if held:
+                yield batch(component, number, held)
+
+        def batch(component: object, number: int, held: list[list[str]]) -> pa.RecordBatch:
+            n = len(held)
+            return pa.RecordBatch.from_arrays([pa.array([component] * n, type_of[0]), pa.array(range(number + 1, number + n + 1), pa.int64()), pa.array(held, pa.list_(pa.string()))], ["component", "number", "cycle"])
+
+        type_of: list = [None]
+        now, after = None, {}
+        for b in batches:
+            type_of[0] = b.schema.field("component").type
+            for component, src, dst in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                if component != now:
+                    yield from closed(now, after)
+                    now, after = component, {}
+                after.setdefault(src, []).append(dst)
+        yield from closed(now, after)
+
+    found = dealt.mapInArrow(search, f"component {kind}, number long, cycle array<string>")
+    return found.withColumn("message", F.concat(F.lit("Cyclic dependency detected: "), F.array_join("cycle", " -> ")))
