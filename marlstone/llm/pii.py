@@ -11,7 +11,7 @@ in the same text. A threshold for each kind is calibrated on held-out candidates
 precision, and where a kind cannot reach it the trees add nothing. Base spans always stay.
 
 All features have few values, so the fit sees at most ``_MOST_VECTORS`` distinct vectors with
-counts, gathered by one grouped aggregation over at most about ``fit_docs`` documents. The trees
+counts, gathered by one grouped aggregation over all documents. The trees
 are compiled to CASE expressions; a document is read once, in one narrow projection, without a
 shuffle, and its spans follow from the lengths of what the pattern splits off.
 
@@ -260,12 +260,9 @@ def _meets_any(c: Column) -> Column:
     return reduce(or_, (_meets(c, F.col(f"base_{k}")) for k in KINDS))
 
 
-def fit(docs: DataFrame, fit_docs: int = 20_000) -> Model:
-    """Fit on at most about ``fit_docs`` documents, chosen by a hash of the id."""
-    total = docs.count()
-    every = max(1, -(-total // fit_docs))
-    some = docs.where(F.pmod(F.xxhash64("__id"), F.lit(every)) == 0)
-    seen = _with_candidates(some, ["__id"])
+def fit(docs: DataFrame) -> Model:
+    """Fit on all documents: two of three by a hash of the id give the trees, the others the thresholds."""
+    seen = _with_candidates(docs, ["__id"])
     held = F.pmod(F.xxhash64("__id", F.lit(1)), F.lit(3)) == 0
     none = F.expr("cast(array() as array<struct<kind:int,length:int,digits:int,separators:int,before:int,after:int,hint:int,hit:boolean>>)")
 
@@ -321,19 +318,19 @@ def _count(kind: int) -> Column:
     return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
 
 
-def pii_report(docs: DataFrame, fit_docs: int = 20_000) -> DataFrame:
+def pii_report(docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans and n_spans (all of them) of every document."""
     base = _prepared(docs)
-    found = find(base, fit(base, fit_docs), ["__id"])
+    found = find(base, fit(base), ["__id"])
     counts = [_count(i).alias(f"n_{k}") for i, k in enumerate(KINDS)]
     return found.select(F.col("__id").alias("doc_id"), *counts, F.sha2(_written(F.col("base")), 256).alias("base_sha256"), _written(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
-def redact(docs: DataFrame, fit_docs: int = 20_000) -> DataFrame:
+def redact(docs: DataFrame) -> DataFrame:
     """The documents with each span replaced by its kind in brackets; n_chars follows where there is one."""
     base = _prepared(docs, [F.col(c).alias(f"__c_{i}") for i, c in enumerate(docs.columns)])
     kept = [f"__c_{i}" for i in range(len(docs.columns))]
-    found = find(base, fit(base, fit_docs), [*kept, "__text"])
+    found = find(base, fit(base), [*kept, "__text"])
     marks = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
     start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
 
