@@ -93,13 +93,25 @@ def syllables(word: Column) -> Column:
     return F.when(F.length(letters) <= 3, 1).otherwise(F.greatest(F.lit(1), F.regexp_count(stem, F.lit(r"[aeiouy]{1,2}"))))
 
 
+def longer_words(text: Column) -> Column:
+    """The words of four letters and more."""
+    return F.regexp_extract_all(F.regexp_replace(F.lower(text), r"[^a-z\s]", ""), F.lit(r"([a-z]{4,})"), F.lit(1))
+
+
+def word_stems(found: Column) -> Column:
+    """Words without the endings that do not sound, joined by blanks."""
+    return F.regexp_replace(F.regexp_replace(F.array_join(found, " "), r"(?:[^laeiouy ]|ed|es|e)(?= |$)", ""), r"(^| )y", "$1")
+
+
+def stem_syllables(stems: Column, n_words: Column, n_found: Column) -> Column:
+    # Words of up to three letters count one, as do longer ones whose stem has no vowel.
+    return n_words - n_found + F.regexp_count(stems, F.lit(r"[aeiouy]{1,2}")) + F.regexp_count(stems, F.lit(r"(?:^| )[^aeiouy ]+(?= |$)"))
+
+
 def all_syllables(text: Column, n_words: Column) -> Column:
     """The sum of ``syllables`` over the words of a text, by patterns over the whole text instead of word by word."""
-    letters = F.regexp_replace(F.lower(text), r"[^a-z\s]", "")
-    found = F.regexp_extract_all(letters, F.lit(r"([a-z]{4,})"), F.lit(1))
-    stems = F.regexp_replace(F.regexp_replace(F.array_join(found, " "), r"(?:[^laeiouy ]|ed|es|e)(?= |$)", ""), r"(^| )y", "$1")
-    # Words of up to three letters count one, as do longer ones whose stem has no vowel.
-    return n_words - F.size(found) + F.regexp_count(stems, F.lit(r"[aeiouy]{1,2}")) + F.regexp_count(stems, F.lit(r"(?:^| )[^aeiouy ]+(?= |$)"))
+    found = longer_words(text)
+    return stem_syllables(word_stems(found), n_words, F.size(found))
 
 
 def readability(text: Column) -> dict[str, Column]:

@@ -11,10 +11,9 @@ from marlstone.functions import text as T
 BANDS = ((90, "very easy"), (80, "easy"), (70, "fairly easy"), (60, "standard"), (50, "fairly difficult"), (30, "difficult"))
 
 
-def polysyllables(text: Column) -> Column:
-    """The number of words with three or more syllables; they have five letters at least."""
-    letters = F.regexp_replace(F.lower(text), r"[^a-z\s]", "")
-    return F.size(F.filter(F.regexp_extract_all(letters, F.lit(r"([a-z]{5,})"), F.lit(1)), lambda w: T.syllables(w) >= 3)).cast("long")
+def polysyllables(stems: Column) -> Column:
+    """The number of words with three or more syllables, from the stems of the longer words: these have five letters at least."""
+    return F.regexp_count(stems, F.lit(r"(?<![^ ])(?:[^aeiouy ]*+[aeiouy]{1,2}+){3}")).cast("long")
 
 
 def reading_figures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -23,10 +22,13 @@ def reading_figures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Words are what blanks part, sentences end with . ! or ? before a blank or the end, one at
     least. A text without words, or a missing one, has zeros and no complexity.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    n_words = T.word_count(text)
+    text, n_words = F.col("_text"), F.col("word_count")
     ends = F.greatest(F.lit(1), F.regexp_count(text, F.lit(r"[.!?]+(?:\s|$)"))).cast("long")
-    counted = docs.select(F.col(id_col).alias("doc_id"), n_words.alias("word_count"), F.when(n_words > 0, ends).otherwise(0).alias("sentence_count"), F.when(n_words > 0, T.all_syllables(text, n_words)).otherwise(0).cast("long").alias("syllable_count"), polysyllables(text).alias("polysyllable_count"))
+    read = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    cut = read.select("doc_id", "_text", T.word_count(text).alias("word_count"), T.longer_words(text).alias("_found"))
+    stemmed = cut.select("doc_id", "_text", "word_count", F.size("_found").alias("_longer"), T.word_stems(F.col("_found")).alias("_stems"))
+    total = T.stem_syllables(F.col("_stems"), n_words, F.col("_longer"))
+    counted = stemmed.select("doc_id", "word_count", F.when(n_words > 0, ends).otherwise(0).alias("sentence_count"), F.when(n_words > 0, total).otherwise(0).cast("long").alias("syllable_count"), polysyllables(F.col("_stems")).alias("polysyllable_count"))
     some = F.col("word_count") > 0
     per_sentence, per_word = F.col("word_count") / F.col("sentence_count"), F.col("syllable_count") / F.col("word_count")
     zero = lambda c: F.when(some, c).otherwise(0.0)
