@@ -148,11 +148,13 @@ def analysed(docs: DataFrame, id_col: str = "doc_id", title: str = "title", text
     Tags are the subject's and then the type, eight at most.
     """
     t, name = F.col(text_col), F.col(title)
+    # Each of these is read more than once below: a column of its own is worked out once.
+    known = docs.select(F.col(id_col).alias("doc_id"), t.alias("_t"), name.alias("_name"), T.concept_type(name, t).alias("type"), quality.procedural_score(t).alias("_score"))
+    t, name = F.col("_t"), F.col("_name")
     q = T.content_quality(t)
-    logic = quality.logic_class(t)
-    kind = T.concept_type(name, t)
-    tags = tag_union(T.subject_tags(name, t), F.array(kind))
-    return docs.select(F.col(id_col).alias("doc_id"), kind.alias("type"), T.readability(t)["flesch"].alias("flesch"), q["ambiguity"].alias("ambiguity"), q["completeness"].alias("completeness"), logic["procedural"].alias("procedural"), logic["target"].alias("target"), tags.alias("tags"))
+    logic = quality.logic_class(t, F.col("_score"))
+    tags = tag_union(T.subject_tags(name, t), F.array("type"))
+    return known.select("doc_id", "type", T.readability(t)["flesch"].alias("flesch"), q["ambiguity"].alias("ambiguity"), q["completeness"].alias("completeness"), logic["procedural"].alias("procedural"), logic["target"].alias("target"), tags.alias("tags"))
 
 
 def bundle_files(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", as_of: str = "2026-01-01") -> DataFrame:
