@@ -46,37 +46,46 @@ def _tags(*names: str) -> Column:
 
 
 def _form(raw: Column) -> Column:
-    """A token's text, normal form and looks."""
+    """A token's text, normal form and looks. Patterns are only tried where the first character admits them."""
     ticked = raw.startswith("`")
     text = F.when(ticked, F.regexp_replace(raw, "^`|`$", "")).otherwise(raw)
+    # Outside ticks a token has ASCII letters, digits, "_", "-" and "'" only.
+    normal = F.when(ticked, F.regexp_replace(F.lower(F.regexp_replace(raw, "^`|`$", "")), r"[^\w-]", "")).otherwise(F.replace(F.lower(raw), F.lit("'"), F.lit("")))
     return F.struct(
-        text.alias("token"), F.regexp_replace(F.lower(text), r"[^\w-]", "").alias("normal"), ticked.alias("ticked"), text.rlike(r"^[A-Z][a-z0-9]").alias("capital"),
-        (text.rlike(r"^[A-Z0-9_-]{2,}$") & text.rlike("[A-Z]")).alias("upper"),
+        text.alias("token"), normal.alias("normal"), ticked.alias("ticked"), ((text < "[") & text.rlike(r"^[A-Z][a-z0-9]")).alias("capital"),
+        ((text < "`") & text.rlike(r"^[A-Z0-9_-]{2,}$") & text.rlike("[A-Z]")).alias("upper"),
     )
 
 
 def _first_tags(t: Column) -> Column:
-    """Tags by form: code in ticks, values, acronyms, suffixes, endings, capitals."""
-    normal, none = t["normal"], _tags()
+    """Tags by form, each once: code in ticks, values, acronyms, suffixes, endings, capitals."""
+    normal = t["normal"]
     technical = reduce(lambda a, b: a | b, (normal.endswith(s) & (F.length(normal) > len(s) + 2) for s in TECH_SUFFIXES))
     ends = lambda *suffixes: reduce(lambda a, b: a | b, (normal.endswith(s) for s in suffixes))
-    ending = F.when(ends("ing", "ed"), _tags("Verb")).when(ends("ly"), _tags("Adverb")).when(ends("able", "ible", "al", "ive"), _tags("Adjective")).when(ends("tion", "sion", "ment", "ity"), _tags("Noun")).otherwise(none)
-    own = F.concat(F.when(technical, _tags("TechnicalTerm", "Noun")).otherwise(none), ending)
-    plain = F.when(t["capital"] & ~normal.isin(*STOPWORDS), F.concat(own, _tags("ProperNoun", "Noun"))).when(F.size(own) == 0, _tags("Noun")).otherwise(own)
+
+    def by_ending(before: tuple[str, ...], after: tuple[str, ...]) -> Column:
+        # Every case is a constant, so that a token's tests are made once.
+        given = lambda *tag: _tags(*dict.fromkeys((*before, *tag, *after) or ("Noun",)))
+        return F.when(ends("ing", "ed"), given("Verb")).when(ends("ly"), given("Adverb")).when(ends("able", "ible", "al", "ive"), given("Adjective")).when(ends("tion", "sion", "ment", "ity"), given("Noun")).otherwise(given())
+
+    by_suffix = lambda *after: F.when(technical, by_ending(("TechnicalTerm", "Noun"), after)).otherwise(by_ending((), after))
+    plain = F.when(t["capital"] & ~normal.isin(*STOPWORDS), by_suffix("ProperNoun", "Noun")).otherwise(by_suffix())
     value = F.when(t["token"].rlike("(?i)[a-z%]"), _tags("Value", "Unit")).otherwise(_tags("Value"))
-    return F.when(t["ticked"], _tags("TechnicalTerm", "ProperNoun", "Noun")).when(t["token"].rlike(_VALUE), value).when(t["upper"] & F.length(normal).between(2, 7), _tags("Acronym", "TechnicalTerm", "ProperNoun", "Noun")).otherwise(plain)
+    is_value = (t["token"] < ":") & t["token"].rlike(_VALUE)
+    return F.when(t["ticked"], _tags("TechnicalTerm", "ProperNoun", "Noun")).when(is_value, value).when(t["upper"] & F.length(normal).between(2, 7), _tags("Acronym", "TechnicalTerm", "ProperNoun", "Noun")).otherwise(plain)
 
 
 def _in_context(t: Column, i: Column, all_: Column) -> Column:
     """First tags and those by neighbours: a noun behind determiner and adjective, persons by title, organisations by suffix, compound names."""
     at = lambda k: F.get(all_, i + k)  # noqa: E731  null outside the sentence
     yes = lambda c: F.coalesce(c, F.lit(False))
-    when = lambda c, *names: F.when(yes(c), _tags(*names)).otherwise(_tags())
-    described = at(-2)["normal"].isin("the", "a", "an", "this") & F.array_contains(at(-1)["first"], "Adjective")
-    return F.array_distinct(F.concat(
-        t["first"], when(described, "Noun"), when(at(-1)["normal"].isin(*PERSON_TITLES) & t["capital"], "Person", "ProperNoun"),
-        when(t["capital"] & at(1)["normal"].isin(*ORG_SUFFIXES), "Organization", "ProperNoun"), when(t["token"].rlike(r"^[A-Z][a-z0-9]+[A-Z][a-zA-Z0-9]+$"), "TechnicalTerm", "ProperNoun"),
-    ))
+    when = lambda c, *names: F.when(c, _tags(*names)).otherwise(_tags())
+    described = yes(at(-2)["normal"].isin("the", "a", "an", "this") & F.array_contains(at(-1)["first"], "Adjective"))
+    titled = t["capital"] & yes(at(-1)["normal"].isin(*PERSON_TITLES))
+    suffixed = t["capital"] & yes(at(1)["normal"].isin(*ORG_SUFFIXES))
+    compound = t["capital"] & t["token"].rlike(r"^[A-Z][a-z0-9]+[A-Z][a-zA-Z0-9]+$")
+    more = F.concat(t["first"], when(described, "Noun"), when(titled, "Person", "ProperNoun"), when(suffixed, "Organization", "ProperNoun"), when(compound, "TechnicalTerm", "ProperNoun"))
+    return F.when(described | titled | suffixed | compound, F.array_distinct(more)).otherwise(t["first"])
 
 
 def tagged_sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
