@@ -56,10 +56,18 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"\S+")).cast("long")
 
 
+def pieces(text: Column) -> Column:
+    """What ``tokenize`` chooses from: lower-case text, cut at white space and all but word characters."""
+    return F.split(F.regexp_replace(F.lower(text), r"[^\w\s-]", " "), r"\s+")
+
+
+def is_token(word: Column) -> Column:
+    return (F.length(word) > 2) & ~word.isin(*STOPWORDS)
+
+
 def tokenize(text: Column) -> Column:
     """Lower-case words of three or more characters that are no stopwords."""
-    plain = F.regexp_replace(F.lower(text), r"[^\w\s-]", " ")
-    return F.filter(F.split(plain, r"\s+"), lambda w: (F.length(w) > 2) & ~w.isin(*STOPWORDS))
+    return F.filter(pieces(text), is_token)
 
 
 def tokens_by_chars_up(text: Column) -> Column:

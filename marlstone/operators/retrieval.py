@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions import text as T
-from marlstone.operators import graph, similarity
+from marlstone.operators import graph
 from marlstone.session import durable
 
 
@@ -51,16 +53,36 @@ def by_id_or_path(concepts: DataFrame, name: str) -> DataFrame:
 def tfidf_scores(docs: DataFrame, id_col: str, text: Column, query: str) -> DataFrame:
     """(id, cosine) of documents against a query that counts as a document of the collection."""
     spark = docs.sparkSession
-    # Written once: the counts of terms and the vectors both start from it.
-    tf = durable(similarity.term_frequencies(docs, id_col, text))
+    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"))
     n = docs.count() + 1
     asked = spark.createDataFrame([(query,)], "q string").select(F.explode(T.tokenize(F.col("q"))).alias("term"))
     total = asked.count()
     q = asked.groupBy("term").agg((F.count("*") / max(1, total)).alias("qtf"))
+    # Rows of one id are one document; most ids stand once, and their terms are told apart in the row without a shuffle.
+    several = durable(rows.groupBy("id").agg(F.count("*").alias("rows")).where("rows > 1").select(F.col("id").alias("_id")))
+    n_several = several.count()
+    several = F.broadcast(several) if n_several <= _MOST_TERMS else several
+    same = F.col("id").eqNullSafe(F.col("_id"))
+    single = rows.join(several, same, "left_anti") if n_several else rows
+    shared = rows.join(several, same, "left_semi") if n_several else rows.limit(0)
+    of_rows = lambda df: df.withColumn("tokens", T.tokenize(F.col("text"))).select("id", F.size("tokens").alias("total"), F.explode("tokens").alias("term"))
+    # Exploded before they are chosen from, as Spark compiles no function over arrays.
+    held = single.select(F.explode(F.array_distinct(T.pieces(F.col("text")))).alias("term")).where(T.is_token(F.col("term")))
+    if n_several:
+        held = held.unionAll(of_rows(shared).distinct().select("term"))
+    counts = durable(held.groupBy("term").agg(F.count("*").alias("df")))
     # The query is one more document that holds its terms.
-    idf = durable(tf.groupBy("term").agg(F.count("*").alias("df"))).join(F.broadcast(q), "term", "left").withColumn("idf", F.log(F.lit(n + 1) / (F.col("df") + F.when(F.col("qtf").isNull(), 0).otherwise(1) + 1)) + 1)
-    v = tf.join(F.broadcast(idf) if idf.count() <= _MOST_TERMS else idf, "term").select("id", "term", (F.col("tf") * F.col("idf")).alias("w"), (F.col("qtf") * F.col("idf")).alias("qw"))
-    unseen = q.join(idf.select("term"), "term", "left_anti").select((F.col("qtf") * (F.log(F.lit(n + 1) / 2) + 1)).alias("qw"))
+    idf = counts.join(F.broadcast(q), "term", "left").withColumn("idf", F.log(F.lit(n + 1) / (F.col("df") + F.when(F.col("qtf").isNull(), 0).otherwise(1) + 1)) + 1)
+    # A document without any term of the query has no cosine: only the terms of the others are weighed.
+    words = [r["term"] for r in q.select("term").collect()]  # of the query
+    low = F.lower("text")
+    hit = single.where(reduce(or_, (low.contains(w) for w in words), F.lit(False)))
+    # The number of tokens divides all terms of a row alike, which a cosine does not see; rows of one id differ in it.
+    tf = hit.select("id", F.explode(T.pieces(F.col("text"))).alias("term")).where(T.is_token(F.col("term"))).groupBy("id", "term").agg(F.count("*").cast("double").alias("tf"))
+    if n_several:
+        tf = tf.unionAll(of_rows(shared).groupBy("id", "term", "total").agg(F.count("*").alias("n")).select("id", "term", (F.col("n") / F.col("total")).alias("tf")))
+    v = tf.join(F.broadcast(idf) if counts.count() <= _MOST_TERMS else idf, "term").select("id", "term", (F.col("tf") * F.col("idf")).alias("w"), (F.col("qtf") * F.col("idf")).alias("qw"))
+    unseen = q.join(counts.select("term"), "term", "left_anti").select((F.col("qtf") * (F.log(F.lit(n + 1) / 2) + 1)).alias("qw"))
     seen = idf.where("qtf IS NOT NULL").select((F.col("qtf") * F.col("idf")).alias("qw"))
     norm = seen.unionAll(unseen).agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qn"))
     per = v.groupBy("id").agg(F.sum(F.col("w") * F.col("qw")).alias("dot"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
