@@ -80,6 +80,7 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     winners = first.where("n > 1").select("component_id", F.col("first.__row").alias("kept"))
     # Most documents stay alone: only the rows of groups are shuffled.
     beaten = durable(rows.join(winners, "component_id").select("__row", "kept").distinct())
+    _give_back(spark)  # what follows here and in the next two stages runs no Python on the executors
     small = F.broadcast(beaten) if beaten.count() <= _MOST_BROADCAST else beaten
     alone = keyed.join(small.select("__row"), "__row", "left_anti")
     grouped = keyed.join(small.where("__row = kept").select("__row"), "__row", "left_semi").dropDuplicates(["__row"])
@@ -92,7 +93,6 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null texts stay null; rows with null or repeated ids are rows of their own; columns of any name
     are kept, and ``n_chars`` follows the text; an empty table gives an empty one.
     """
-    _give_back(spark)
     return pii.redact(docs)
 
 
@@ -106,7 +106,6 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     source; null or repeated ids are rows of their own; columns of any name are kept; an empty table
     gives an empty one.
     """
-    _give_back(spark)
     named, others = _renamed(docs, "doc_id", "source", "text")
     body = f"__c_{docs.columns.index('text')}"
     mixed = mixing.mix(named, extra=others, passages=True)
