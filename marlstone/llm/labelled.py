@@ -1,4 +1,4 @@
-"""Choosing a bounded sample of labelled rows to fit a classifier on."""
+"""The labelled rows to fit a classifier on."""
 
 from __future__ import annotations
 
@@ -13,16 +13,18 @@ def fold(id_col: str = "doc_id", folds: int = 5):
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(folds))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label_col: str, held_fold: int, max_rows: int, folds: int = 5) -> DataFrame:
-    """(doc_id, text, label) of at most ``max_rows`` labelled rows outside the held-out fold.
+def training_rows(docs: DataFrame, labels: DataFrame, label_col: str, held_fold: int, max_rows: int | None = None, folds: int = 5) -> DataFrame:
+    """(doc_id, text, label) of the labelled rows outside the held-out fold.
 
-    The rows with the smallest hashes of their ids are taken, so reruns agree. Ids labelled
-    twice count with their largest label; null labels do not count.
+    With ``max_rows``, at most so many: those with the smallest hashes of their ids, so reruns
+    agree. Ids labelled twice count with their largest label; null labels do not count.
     """
     named = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label"))
     usable = named.where("doc_id IS NOT NULL AND label IS NOT NULL").where(fold() != held_fold)
     once = usable.groupBy("doc_id").agg(F.max("label").alias("label"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    if max_rows is None:
+        return texts.join(durable(once), "doc_id")
     # At most max_rows of 12 bytes: a proven bound for the broadcast below.
     chosen = durable(once.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return texts.join(F.broadcast(chosen), "doc_id")

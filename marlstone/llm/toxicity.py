@@ -10,9 +10,8 @@ quoted ones take from it; a hit between quotation marks scores nothing. The high
 score of a text's windows are features beside its counts of hits, quoted and not. A logistic model
 on these features gives the score.
 
-Bounds: ``max_rows`` labelled rows are fitted on. Every word that passes the test is kept; each is
-in 4 of those rows, so there are at most a quarter as many as the rows have words. Stems have up to
-32 characters; longer words that begin alike are terms of their own. Every text is scored whole. Nulls: a null text scores as an empty one; null labels are not learned
+All labelled rows outside the held-out fold are fitted on: words are counted and the model's sums
+added up by tasks. Every word that passes the test is kept. Stems have up to 32 characters; longer words that begin alike are terms of their own. Every text is scored whole. Nulls: a null text scores as an empty one; null labels are not learned
 from; a null id keeps its row and is not held out. Without usable labels of both kinds, every
 score is the share of toxic training rows (0 without any). Other columns are ignored.
 """
@@ -22,7 +21,7 @@ from __future__ import annotations
 import unicodedata
 from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +34,8 @@ from marlstone.session import bound_batches, durable
 
 EXACT, FUZZY, STEM = 1, 2, 3
 _WINDOW = 20
-_MOST_CELLS = 4_000_000
+_MOST_CELLS = 8_000_000
+_MOST_KNOWN = 500_000
 _QUOTES = "\"«»“”„"
 FEATURES = ("hits", "fuzzy", "stem", "quoted", "worst", "per_word", "windows")
 
@@ -75,6 +75,7 @@ class Automaton:
     a word ending there is, ``longest`` the number of characters after which no state but a stem's
     is left. States are made when a word first reaches them, so any number of terms can be held;
     where a run of words starts with a table of more than ``_MOST_CELLS``, all are dropped and made anew.
+    What words are is kept by their hash, up to ``_MOST_KNOWN`` of them, so that states are made for new words only.
     """
 
     def __init__(self, terms: list[str], stems: list[str]) -> None:
@@ -90,6 +91,7 @@ class Automaton:
         self.longest = max([len(t) + edits_allowed(t) for t in terms] + [len(t) for t in stems], default=0)
         self.symbols: np.ndarray | None = None
         self._reset()
+        self._forget()
 
     def _add(self, word: str, edits: int, is_stem: bool) -> None:
         at = 0
@@ -137,6 +139,9 @@ class Automaton:
         self.step[0] = 0
         self._state(self._closed({0: 0}))
 
+    def _forget(self) -> None:
+        self.known, self.known_kind = np.zeros(0, tk.U64), np.zeros(0, np.int8)
+
     def _state(self, state: bytes | str) -> int:
         if state not in self.ids:
             i = self.ids[state] = len(self.states)
@@ -180,11 +185,12 @@ class Automaton:
         return to
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("symbols", "ids", "states", "step", "accepts")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("symbols", "ids", "states", "step", "accepts", "known", "known_kind")}
 
     def __setstate__(self, kept: dict) -> None:
         self.__dict__.update(kept, symbols=None)
         self._reset()
+        self._forget()
 
     def symbol_table(self) -> np.ndarray:
         if self.symbols is None:
@@ -195,13 +201,29 @@ class Automaton:
 
     def match(self, points: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """What each word points[start:end] is: 0, EXACT, FUZZY or STEM."""
-        found = np.zeros(len(start), np.int8)
-        if self.longest == 0:
-            return found
-        # A worker outlives its tasks and keeps what was broadcast to it: only the automaton in use keeps states.
+        if self.longest == 0 or len(start) == 0:
+            return np.zeros(len(start), np.int8)
+        # A worker outlives its tasks and keeps what was broadcast to it: only the automaton in use keeps states and words.
         if _in_use and _in_use[0] is not self:
             _in_use[0]._reset()
+            _in_use[0]._forget()
         _in_use[:] = [self]
+        words, first, of = np.unique(tk.span_hashes(points, start, end), return_index=True, return_inverse=True)
+        if len(self.known) > _MOST_KNOWN:
+            self._forget()
+        at = np.searchsorted(self.known, words)
+        old = np.zeros(len(words), bool)
+        if len(self.known):
+            old = self.known[np.minimum(at, len(self.known) - 1)] == words
+        found = np.zeros(len(words), np.int8)
+        found[old] = self.known_kind[at[old]]
+        new = ~old
+        found[new] = self._matched(points, start[first[new]], end[first[new]])
+        self.known, self.known_kind = np.insert(self.known, at[new], words[new]), np.insert(self.known_kind, at[new], found[new])
+        return found[of]
+
+    def _matched(self, points: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        found = np.zeros(len(start), np.int8)
         if len(self.states) * self.step.shape[1] > _MOST_CELLS:
             self._reset()
         at = np.arange(len(start))
@@ -341,24 +363,33 @@ def learn_lexicon(words: DataFrame, n_toxic: int, n_clean: int, least: int = 4)
     return [w for w in terms if not starts(w)], sorted(stems)
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50) -> np.ndarray:
-    """Weights of a ridge logistic regression (the constant first) by Newton steps with halving."""
+def logistic_sums(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The loss of the weights ``w`` (the constant first) over rows, its gradient and its curvature, in one array."""
     a = np.column_stack([np.ones(len(x)), x])
-    w = np.zeros(a.shape[1])
-    penalty = np.full(a.shape[1], ridge)
+    z = a @ w
+    p = 1 / (1 + np.exp(-np.clip(z, -35, 35)))
+    return np.concatenate([[np.logaddexp(0, z).sum() - y @ z], a.T @ (p - y), ((a * (p * (1 - p) + 1e-9)[:, None]).T @ a).ravel()])
+
+
+def fit_logistic(sums: Callable[[np.ndarray], np.ndarray], n_features: int, ridge: float = 1.0, rounds: int = 50) -> np.ndarray:
+    """Weights of a ridge logistic regression (the constant first) by Newton steps with halving; ``sums`` gives ``logistic_sums`` over all rows."""
+    n = n_features + 1
+    w = np.zeros(n)
+    penalty = np.full(n, ridge)
     penalty[0] = 1e-6
 
-    def loss(v: np.ndarray) -> float:
-        z = a @ v
-        return float(np.logaddexp(0, z).sum() - y @ z + 0.5 * (penalty * v * v).sum())
+    def at(v: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        found = sums(v)
+        return float(found[0] + 0.5 * (penalty * v * v).sum()), found[1 : n + 1] + penalty * v, found[n + 1 :].reshape(n, n) + np.diag(penalty)
 
+    now, slope, curve = at(w)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -35, 35)))
-        step = np.linalg.solve((a * (p * (1 - p) + 1e-9)[:, None]).T @ a + np.diag(penalty), a.T @ (y - p) - penalty * w)
-        scale, now = 1.0, loss(w)
-        while scale > 1e-4 and loss(w + scale * step) > now:
+        step, scale = np.linalg.solve(curve, -slope), 1.0
+        tried = at(w + step)
+        while scale > 1e-4 and tried[0] > now:
             scale /= 2
-        w = w + scale * step
+            tried = at(w + scale * step)
+        w, (now, slope, curve) = w + scale * step, tried
         if np.abs(scale * step).max() < 1e-8:
             break
     return w
@@ -385,11 +416,11 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, held_fold: int = 0, max_rows: int = 20_000) -> Model:
-    """Learn the lexicon and the weights from at most ``max_rows`` labelled rows."""
+def fit(docs: DataFrame, labels: DataFrame, held_fold: int = 0) -> Model:
+    """Learn the lexicon and the weights from all labelled rows outside the held-out fold."""
     spark = docs.sparkSession
     bound_batches(spark)
-    train = training_rows(docs, labels, "toxic", held_fold, max_rows).select("text", "label")
+    train = training_rows(docs, labels, "toxic", held_fold).select("text", "label")
     words = durable(train.mapInArrow(_word_counts, "word string, n_toxic long, n_clean long").groupBy("word").agg(F.sum("n_toxic").alias("n_toxic"), F.sum("n_clean").alias("n_clean")))
     totals = {int(r["label"] != 0): r["k"] for r in train.groupBy((F.col("label") != 0).cast("int").alias("label")).agg(F.count("*").alias("k")).collect()}
     toxic, clean = totals.get(1, 0), totals.get(0, 0)
@@ -401,8 +432,20 @@ def fit(docs: DataFrame, labels: DataFrame, held_fold: int = 0, max_rows: int =
     automaton = Automaton(terms, stems)
     shared = spark.sparkContext.broadcast(automaton)
     columns = ", ".join(f"{f} double" for f in FEATURES) + ", label int"
-    rows = np.array([tuple(r) for r in train.mapInArrow(_train_features_shared(shared), columns).collect()], float)  # max_rows rows at most
-    return Model(automaton, fit_logistic(rows[:, :-1], (rows[:, -1] != 0).astype(float)), terms, stems)
+    rows = durable(train.mapInArrow(_train_features_shared(shared), columns))
+    return Model(automaton, fit_logistic(lambda w: _summed(rows, w), len(FEATURES)), terms, stems)
+
+
+def _summed(rows: DataFrame, w: np.ndarray) -> np.ndarray:
+    """``logistic_sums`` over all rows of features: one array of each task, added in the order of the tasks, so that reruns agree."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 + len(w) + len(w) ** 2)
+        for b in batches:
+            total += logistic_sums(np.column_stack([c.to_numpy() for c in b.columns[:-1]]), (b.column(len(FEATURES)).to_numpy() != 0).astype(float), w)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
+
+    return np.sum([np.frombuffer(r["sums"]) for r in rows.mapInArrow(run, "sums binary").collect()], axis=0)
 
 
 def _train_features_shared(shared):
@@ -430,8 +473,8 @@ def score(docs: DataFrame, model: Model, extra: tuple[str, ...] = ()) -> DataFra
     return base.mapInArrow(run, ", ".join(["doc_id long", "score double", *(f"`{c}` {types[c]}" for c in extra)]))
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> DataFrame:
+def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted (score >= 0.5) of every document."""
-    scored = score(docs, fit(docs, labels, 0, max_rows))
+    scored = score(docs, fit(docs, labels))
     held = F.coalesce(fold() == 0, F.lit(False))
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
