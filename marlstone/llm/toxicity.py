@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from marlstone.llm import textkernel as tk
 from marlstone.llm.labelled import fold, training_rows
-from marlstone.session import bound_batches, durable
+from marlstone.session import bound_batches, discard, durable
 
 EXACT, FUZZY, STEM = 1, 2, 3
 _WINDOW = 20
@@ -420,7 +420,8 @@ def fit(docs: DataFrame, labels: DataFrame, held_fold: int = 0) -> Model:
     """Learn the lexicon and the weights from all labelled rows outside the held-out fold."""
     spark = docs.sparkSession
     bound_batches(spark)
-    train = training_rows(docs, labels, "toxic", held_fold).select("text", "label")
+    labelled = training_rows(docs, labels, "toxic", held_fold)
+    train = labelled.select("text", "label")
     words = durable(train.mapInArrow(_word_counts, "word string, n_toxic long, n_clean long").groupBy("word").agg(F.sum("n_toxic").alias("n_toxic"), F.sum("n_clean").alias("n_clean")))
     totals = {int(r["label"] != 0): r["k"] for r in train.groupBy((F.col("label") != 0).cast("int").alias("label")).agg(F.count("*").alias("k")).collect()}
     toxic, clean = totals.get(1, 0), totals.get(0, 0)
@@ -433,7 +434,11 @@ def fit(docs: DataFrame, labels: DataFrame, held_fold: int = 0) -> Model:
     shared = spark.sparkContext.broadcast(automaton)
     columns = ", ".join(f"{f} double" for f in FEATURES) + ", label int"
     rows = durable(train.mapInArrow(_train_features_shared(shared), columns))
-    return Model(automaton, fit_logistic(lambda w: _summed(rows, w), len(FEATURES)), terms, stems)
+    weights = fit_logistic(lambda w: _summed(rows, w), len(FEATURES))
+    for read in (words, rows, labelled):
+        if hasattr(read, "durable_path"):  # the texts only where they were shuffled
+            discard(read)
+    return Model(automaton, weights, terms, stems)
 
 
 def _summed(rows: DataFrame, w: np.ndarray) -> np.ndarray:
