@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from marlstone.llm import textkernel as tk
 from marlstone.llm.labelled import fold, training_rows
-from marlstone.session import bound_batches, discard, durable
+from marlstone.session import bound_batches, bound_reads, discard, durable
 
 EXACT, FUZZY, STEM = 1, 2, 3
 _WINDOW = 20
@@ -420,6 +420,7 @@ def fit(docs: DataFrame, labels: DataFrame, held_fold: int = 0) -> Model:
     """Learn the lexicon and the weights from all labelled rows outside the held-out fold."""
     spark = docs.sparkSession
     bound_batches(spark)
+    bound_reads(spark)
     labelled = training_rows(docs, labels, "toxic", held_fold)
     train = labelled.select("text", "label")
     words = durable(train.mapInArrow(_word_counts, "word string, n_toxic long, n_clean long").groupBy("word").agg(F.sum("n_toxic").alias("n_toxic"), F.sum("n_clean").alias("n_clean")))
@@ -463,6 +464,7 @@ def _train_features_shared(shared):
 def score(docs: DataFrame, model: Model, extra: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, score and the columns named in ``extra`` of every row."""
     bound_batches(docs.sparkSession)
+    bound_reads(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = ["doc_id", "score", *extra]
 

@@ -77,3 +77,8 @@ def discard(df: DataFrame) -> None:
 def bound_batches(spark: SparkSession, size: str = "4m") -> None:
     """Bound the bytes of an Arrow batch, which both the executor and its Python workers hold outside the heap."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
+def bound_reads(spark: SparkSession, rows: int = 256) -> None:
+    """Bound the rows that a Parquet reader decodes at once: 4,096 long texts make arrays that the executor's heap grows for."""
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(rows))

@@ -60,3 +60,10 @@ def test_fit_is_the_same_beyond_a_broadcast_and_leaves_no_texts(spark, monkeypat
     assert (got.terms, got.stems) == (want.terms, want.stems) and got.terms
     assert abs(got.weights - want.weights).max() < 1e-9
     assert [t for t in tmp_path.iterdir() if {"text", "word", "hits"} & set(spark.read.parquet(str(t)).columns)] == []
+
+
+def test_long_texts_are_read_a_few_at_a_time(spark, tables):
+    docs, labels = tables
+    spark.conf.unset("spark.sql.parquet.columnarReaderBatchSize")
+    toxicity.score(docs, toxicity.fit(docs, labels))
+    assert int(spark.conf.get("spark.sql.parquet.columnarReaderBatchSize")) <= 256
